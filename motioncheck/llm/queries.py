@@ -20,8 +20,14 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motioncheck.llm.substring import dedup_substrings
+
+    return dedup_substrings(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join,)}
+    return {f.__name__: f for f in (op1_ngram_join, op3_substring_dedup)}
 
 
 #: A word shingle of op1 is a list of words; links, then the smallest id within reach.
@@ -48,5 +54,20 @@ FROM n LEFT JOIN u ON list_sort(n.sh) = u.sh LEFT JOIN l ON l.id = u.id
 """
 
 
+#: Each window's least document; a word goes if a window that covers it starts in a smaller one.
+_OP3 = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM g),
+m AS (SELECT win, min(doc_id) AS least FROM k GROUP BY win),
+c AS (SELECT DISTINCT k.doc_id, unnest(range(k.i, k.i + 13)) AS p FROM k JOIN m ON k.win = m.win AND m.least < k.doc_id),
+r AS (SELECT doc_id, list(p) AS ps FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN r ON w.doc_id = r.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": _OP1}
+    return {"op1_ngram_join": _OP1, "op3_substring_dedup": _OP3}
