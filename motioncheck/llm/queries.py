@@ -26,8 +26,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motioncheck.llm.packing import default_vocabulary, pack
+
+    return pack(_table(spark, sf_dir, "documents"), default_vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op3_substring_dedup)}
+    return {f.__name__: f for f in (op1_ngram_join, op3_substring_dedup, op8_packing)}
 
 
 #: A word shingle of op1 is a list of words; links, then the smallest id within reach.
