@@ -32,8 +32,21 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), default_vocabulary())
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motioncheck.llm.urls import filter_urls, labelled_outcomes
+
+    pages = _table(spark, sf_dir, "pages")
+    return filter_urls(pages, labelled_outcomes(pages, _table(spark, sf_dir, "labels"))).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motioncheck.llm.warc import archived
+
+    return archived(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op3_substring_dedup, op8_packing)}
+    return {f.__name__: f for f in (op1_ngram_join, op3_substring_dedup, op6_url_filters, op8_packing, op9_warc)}
 
 
 #: A word shingle of op1 is a list of words; links, then the smallest id within reach.
@@ -75,5 +88,53 @@ FROM w LEFT JOIN r ON w.doc_id = r.doc_id
 """
 
 
+#: Counts per host, domain and suffix; each level's prior is the mean of the level above, with one strength by moments.
+_OP6 = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM u),
+l AS (
+  SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality = 1 AND toxic = 0 THEN 0 END) AS bad FROM labels GROUP BY doc_id),
+o AS (
+  SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
+  FROM p JOIN l ON try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})(?:\.html|/)?$', 1), '') AS BIGINT) = l.doc_id WHERE bad IS NOT NULL GROUP BY host),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM o GROUP BY domain, suffix),
+s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
+s1 AS (SELECT *, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM s) AS m FROM s),
+sr AS (SELECT greatest(2.0, least(200.0, CASE WHEN r > 0 THEN 1 / r - 1 ELSE 200.0 END)) AS t FROM
+  (SELECT CASE WHEN sum(m * (1 - m) * n * (n - 1)) > 0 THEN (sum((k - n * m) * (k - n * m)) - sum(m * (1 - m) * n)) / sum(m * (1 - m) * n * (n - 1)) ELSE 0 END AS r FROM s1)),
+s2 AS (SELECT suffix, (m * t + k) / (t + n) AS prior FROM s1, sr),
+d1 AS (SELECT d.*, prior AS m FROM d JOIN s2 USING (suffix)),
+dr AS (SELECT greatest(2.0, least(200.0, CASE WHEN r > 0 THEN 1 / r - 1 ELSE 200.0 END)) AS t FROM
+  (SELECT CASE WHEN sum(m * (1 - m) * n * (n - 1)) > 0 THEN (sum((k - n * m) * (k - n * m)) - sum(m * (1 - m) * n)) / sum(m * (1 - m) * n * (n - 1)) ELSE 0 END AS r FROM d1)),
+d2 AS (SELECT domain, (m * t + k) / (t + n) AS prior FROM d1, dr),
+h1 AS (SELECT o.*, prior AS m FROM o JOIN d2 USING (domain)),
+hr AS (SELECT greatest(2.0, least(200.0, CASE WHEN r > 0 THEN 1 / r - 1 ELSE 200.0 END)) AS t FROM
+  (SELECT CASE WHEN sum(m * (1 - m) * n * (n - 1)) > 0 THEN (sum((k - n * m) * (k - n * m)) - sum(m * (1 - m) * n)) / sum(m * (1 - m) * n * (n - 1)) ELSE 0 END AS r FROM h1)),
+h2 AS (SELECT host, m * t + k AS a, (1 - m) * t + n - k AS b FROM h1, hr),
+h3 AS (SELECT host, a / (a + b) - 2.0 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM h2),
+f AS (
+  SELECT p.*, bound, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'block example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'block example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'block com/de/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'allow com/fr/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'allow org/' END AS r
+  FROM p LEFT JOIN h3 USING (host))
+SELECT page_id, host, path, r[7:] AS rule, CASE WHEN r IS NOT NULL THEN r[:5] WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM f
+"""
+
+#: What reading the archives must find.
+_OP9 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, payload_bytes, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN last > p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN last > p.page_id THEN last END AS refers_to
+FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest AND p.payload_bytes = m.payload_bytes
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": _OP1, "op3_substring_dedup": _OP3}
+    return {"op1_ngram_join": _OP1, "op3_substring_dedup": _OP3, "op6_url_filters": _OP6, "op9_warc": _OP9}
