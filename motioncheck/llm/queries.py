@@ -45,8 +45,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motioncheck.llm.neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op3_substring_dedup, op6_url_filters, op8_packing, op9_warc)}
+    return {f.__name__: f for f in (op1_ngram_join, op3_substring_dedup, op6_url_filters, op8_packing, op9_warc, op10_neighbours)}
 
 
 #: A word shingle of op1 is a list of words; links, then the smallest id within reach.
