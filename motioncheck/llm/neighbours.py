@@ -135,7 +135,7 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id: str = "vec_id", vect
     count = rows.count()
     shards, blocks = max(1, -(-count // SHARD)), max(1, -(-count // every // BLOCK))
     own = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("query", F.lit(False))
-    asked = rows.where(F.pmod(F.col("id"), F.lit(every)) == 0).withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long")).withColumn("query", F.lit(True))
+    asked = rows.where(F.pmod(F.col("id"), F.lit(every)) == 0).withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).withColumn("query", F.lit(True))
     # the projections of a vector's length are the same in every task
     test = quantile(confidence, dimensions)
 

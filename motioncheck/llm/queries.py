@@ -20,6 +20,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motioncheck.llm.html_text import main_texts
+
+    return main_texts(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from motioncheck.llm.substring import dedup_substrings
 
@@ -52,7 +58,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op3_substring_dedup, op6_url_filters, op8_packing, op9_warc, op10_neighbours)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_html_extraction, op3_substring_dedup, op6_url_filters, op8_packing, op9_warc, op10_neighbours)}
 
 
 #: A word shingle of op1 is a list of words; links, then the smallest id within reach.
