@@ -174,3 +174,61 @@ def shingle_sets(chunk: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
             out[a] = ngrams(chunk.hashes[w : w + n], int(n))[0] ^ _U(int(n) * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF)
             keep[a] = True
     return out[keep], np.concatenate([[0], np.cumsum(keep)])[first]
+
+
+class WordTable:
+    """Rows for up to `most` word hashes, in open addressing; found for many hashes at once."""
+
+    PROBES = 24
+
+    def __init__(self, most: int = 500_000):
+        self.most = most
+        self.mask = np.uint64((1 << (2 * most - 1).bit_length()) - 1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(int(self.mask) + 1, _U)
+        self.rows = np.zeros(int(self.mask) + 1, np.int32)
+        self.size = 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's row, or -1."""
+        hashes = np.maximum(hashes, _U(1))
+        out = np.full(len(hashes), -1, np.int64)
+        slot = (hashes & self.mask).astype(np.int64)
+        have = self.keys[slot]
+        hit = have == hashes
+        out[hit] = self.rows[slot[hit]]
+        todo = np.flatnonzero(~hit & (have != 0))
+        for step in range(1, self.PROBES):
+            if not len(todo):
+                break
+            at = (slot[todo] + step) & int(self.mask)
+            have = self.keys[at]
+            hit = have == hashes[todo]
+            out[todo[hit]] = self.rows[at[hit]]
+            todo = todo[~hit & (have != 0)]
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Gives distinct new hashes the next rows. One that finds no place stays unknown, and its row unused."""
+        hashes = np.maximum(hashes, _U(1))
+        rows = np.arange(self.size, self.size + len(hashes), dtype=np.int32)
+        self.size += len(hashes)
+        slot = (hashes & self.mask).astype(np.int64)
+        todo = np.arange(len(hashes))
+        for step in range(self.PROBES):
+            at = (slot[todo] + step) & int(self.mask)
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[todo[free]]  # of several for one place, the last gets it
+            placed = self.keys[at] == hashes[todo]
+            self.rows[at[placed]] = rows[todo[placed]]
+            todo = todo[~placed]
+            if not len(todo):
+                return
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The indices of several ranges, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
