@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from motioncheck.llm.words import ngrams
+from motioncheck.llm.words import distinct, ngrams
 
 #: The index is sorted by this many words; patterns have that many at most.
 DEPTH = 16
@@ -79,7 +79,7 @@ class FMIndex:
     """
 
     def __init__(self, hashes: np.ndarray, lengths: np.ndarray, values: np.ndarray):
-        self.words = np.unique(hashes)
+        self.words = distinct(hashes)
         ends = np.cumsum(lengths)
         # symbol 0 ends each sequence
         symbols = np.insert(np.searchsorted(self.words, hashes) + 1, ends, 0)

@@ -25,7 +25,7 @@ WINDOW = 2048
 #: The id that ends a document.
 END = 1
 #: Texts that are encoded at once.
-BATCH = 200
+BATCH = 1000
 #: Open windows that a task holds at most; then the fullest are closed as at its end.
 OPEN = 4096
 
@@ -141,9 +141,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END,
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, found in zip(part.column(0).to_pylist(), words.encode(texts)):
-                    packer.add(doc, found + last)
+                for doc, found in zip(part.column(0).to_pylist(), words.encode(part.column(1))):
+                    packer.add(doc, found.tobytes() + last)
                 yield from rows_of(packer)
         packer.finish()
         yield from rows_of(packer)

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motioncheck.llm.words import distinct
+
 #: Bits of a bitmap of shared hashes, at most. 2**27 bits are 16 MB on the driver and in each worker.
 BITMAP_BITS = 27
 
@@ -129,7 +131,7 @@ def shared_bitmap(blocks: DataFrame, bits: int, bitmap_bits: int = BITMAP_BITS)
             other = (hashes[1:] == hashes[:-1]) & (owners[1:] != owners[:-1])
             found = hashes[1:][other]
             if len(found):
-                at = np.unique((found >> shift).astype(np.int64) & (per - 1))
+                at = distinct((found >> shift).astype(np.int64) & (per - 1))
                 if per >= 8 and 32 * len(at) > per:
                     bits_of = np.zeros(per, np.uint8)
                     bits_of[at] = 1

@@ -232,3 +232,9 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices of several ranges, one after another."""
     ends = np.cumsum(lengths)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending, by sorting."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
