@@ -250,7 +250,7 @@ def fit(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "lan
     top = keyed.groupBy("lang").agg(F.count("*").alias("n"))
     share = {r.lang: r.n for r in top.collect()}  # a row per language
     span = 2.0**64
-    limits = {k: int(-(2**63) + min(1.0, 1.5 * sample / n + 10 / n) * (span - 1)) for k, n in share.items()}
+    limits = {k: min(2**63 - 1, int(-(2**63) + min(1.0, 1.5 * sample / n + 10 / n) * span)) for k, n in share.items()}
     near = None
     for k, v in limits.items():
         own = (F.col("lang") == k) & (F.col("h") <= v)

@@ -32,12 +32,33 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the chain flags as toxic."""
+    from motioncheck.llm.toxicity import toxic_documents
+
+    return toxic_documents(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from motioncheck.llm.packing import default_vocabulary, pack
 
     return pack(_table(spark, sf_dir, "documents"), default_vocabulary())
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motioncheck.llm.langid import default_pieces, fit, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs, default_pieces()))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    from motioncheck.llm.decontam import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from motioncheck.llm.urls import filter_urls, labelled_outcomes
 
@@ -58,7 +79,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_html_extraction, op3_substring_dedup, op6_url_filters, op8_packing, op9_warc, op10_neighbours)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_html_extraction, op3_substring_dedup, op4_language_id, op5_decontamination, op6_url_filters, op7_toxicity, op8_packing, op9_warc, op10_neighbours)}
 
 
 #: A word shingle of op1 is a list of words; links, then the smallest id within reach.
