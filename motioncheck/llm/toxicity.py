@@ -21,7 +21,7 @@ from motioncheck.llm import words
 from motioncheck.llm.decontam import PLAIN
 
 #: The bound of the sample: labelled documents, and distinct words of each.
-SAMPLE, SAMPLE_WORDS = 8_000, 4_000
+SAMPLE, SAMPLE_WORDS = 12_000, 4_000
 #: Folds; words that a model has at most; words that chance alone would choose, at most.
 FOLDS, FEATURES, CHANCE = 5, 512, 0.05
 #: The ridge, and the rounds of fitting.
