@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motioncheck.llm import ngram_join
+from motioncheck.llm import decontam, langid, ngram_join, packing, substring
 from motioncheck.llm.shared import ready, workspace, written
 
 STAGES = [
+    ("language_id", langid.keep_identified),
     ("ngram_join", ngram_join.keep_one),
+    ("substring_dedup", substring.keep_unique),
+    ("decontamination", decontam.keep_clean),
+    ("packing", packing.packed),
 ]
 
 #: SQL can't express the stages; tests hold them against brute force.
