@@ -1,0 +1 @@
+"""streaming of the motion engine."""
