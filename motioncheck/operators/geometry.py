@@ -17,6 +17,16 @@ LANE_RADIUS, STOP_RADIUS, VRU_RADIUS = 10.0, 7.5, 1.0
 STOP_STATES = ("stop", "arrow_stop", "flashing_stop")
 
 
+def scope(features: DataFrame) -> tuple[str, ...]:
+    """The key by which map features belong to scenarios; none if one map of bounded size is shared by all."""
+    return ("scenario_id",) if "scenario_id" in features.columns else ()
+
+
+def _on_map(points: DataFrame, features: DataFrame) -> DataFrame:
+    """points with the features of their scenario, or with all of a shared map."""
+    return points.join(features, "scenario_id") if scope(features) else points.join(F.broadcast(features))
+
+
 def segments(features: DataFrame, keys: tuple[str, ...], closed: bool = False) -> DataFrame:
     """(keys, seg_ord, ax, ay, bx, by) of a feature's points; closed rings begin with the edge from the last point."""
     p = F.col("points")
@@ -38,7 +48,7 @@ def _fraction(x: Column, y: Column) -> Column:
 
 def projections(points: DataFrame, lane_segments: DataFrame) -> DataFrame:
     """points x their scenario's segments: distance, signed offset (left of travel is positive), tangent."""
-    joined = points.join(F.broadcast(lane_segments)) if "scenario_id" not in lane_segments.columns else points.join(lane_segments, "scenario_id")
+    joined = _on_map(points, lane_segments)
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     f = _fraction(F.col("x_m"), F.col("y_m"))
     joined = joined.withColumn("f", f).where("f is not null")
@@ -47,8 +57,8 @@ def projections(points: DataFrame, lane_segments: DataFrame) -> DataFrame:
 
 
 def lane_associations(states: DataFrame, lanes: DataFrame, radius: float = LANE_RADIUS) -> DataFrame:
-    """Each state's nearest lane within the radius; the first lane and segment win ties. lanes is one shared map of bounded size."""
-    own = segments(lanes, ("lane_ord", "feature_id"))
+    """Each state's nearest lane within the radius; the first lane and segment win ties."""
+    own = segments(lanes, (*scope(lanes), "lane_ord", "feature_id"))
     near = projections(states.select(*TRACK, "state_ord", "time_s", "x_m", "y_m"), own).groupBy(*TRACK, "state_ord", "time_s")
     best = near.agg(F.min(F.struct("distance_m", "lane_ord", "seg_ord", "offset_m", "feature_id")).alias("best"))
     return best.where(F.col("best.distance_m") <= radius).select(*TRACK, F.col("state_ord").alias("sample_ord"), "time_s", F.col("best.feature_id").alias("lane_id"), F.col("best.offset_m").alias("lateral_offset_m"), F.col("best.distance_m").alias("distance_m"))
@@ -60,8 +70,9 @@ def lane_offset(states: DataFrame, lanes: DataFrame) -> DataFrame:
 
 def polygon_distances(points: DataFrame, keys: tuple[str, ...], polygons: DataFrame) -> DataFrame:
     """(keys, cw_ord, distance_m, inside): even-odd inside is 0, else the least distance to an edge."""
-    edges = segments(polygons, ("cw_ord",), closed=True).withColumn("corners", F.count("*").over(Window.partitionBy("cw_ord")))
-    joined = points.join(F.broadcast(edges))
+    own = (*scope(polygons), "cw_ord")
+    edges = segments(polygons, own, closed=True).withColumn("corners", F.count("*").over(Window.partitionBy(*own)))
+    joined = _on_map(points, edges)
     x, y = F.col("x_m"), F.col("y_m")
     f = F.coalesce(_fraction(x, y), F.lit(0.0))
     edge = distance(x, y, F.col("ax") + f * (F.col("bx") - F.col("ax")), F.col("ay") + f * (F.col("by") - F.col("ay")))
@@ -88,12 +99,13 @@ def vru_crosswalk_proximity(states: DataFrame, crosswalks: DataFrame, subjects:
     return own.join(held, ["scenario_id", "time_s"]).groupBy(*STATE).agg(F.min(distance(F.col("x_m"), F.col("y_m"), F.col("vx"), F.col("vy"))).alias("value")).withColumnRenamed("state_ord", "sample_ord")
 
 
-def stop_tangents(stops: DataFrame, lanes: DataFrame, key: str) -> DataFrame:
-    """stops (key, lane_id, x_m, y_m) with the tangent of their lane's nearest segment."""
-    own = segments(lanes, ("feature_id",))
-    found = projections(stops.select(key, "lane_id", "x_m", "y_m").distinct(), own).where("lane_id = feature_id")
-    best = found.groupBy(key, "lane_id", "x_m", "y_m").agg(F.min(F.struct("distance_m", "seg_ord", "tx", "ty")).alias("best"))
-    return best.select(key, F.col("lane_id"), F.col("x_m").alias("sx"), F.col("y_m").alias("sy"), F.col("best.tx").alias("tx"), F.col("best.ty").alias("ty"))
+def stop_tangents(stops: DataFrame, lanes: DataFrame, *keys: str) -> DataFrame:
+    """stops (keys, lane_id, x_m, y_m) with the tangent of their lane's nearest segment."""
+    keys = (*scope(stops), *keys, "lane_id", "x_m", "y_m")
+    own = segments(lanes, (*scope(lanes), "feature_id"))
+    found = projections(stops.select(*keys).distinct(), own).where("lane_id = feature_id")
+    best = found.groupBy(*keys).agg(F.min(F.struct("distance_m", "seg_ord", "tx", "ty")).alias("best"))
+    return best.select(*keys[:-2], F.col("x_m").alias("sx"), F.col("y_m").alias("sy"), F.col("best.tx").alias("tx"), F.col("best.ty").alias("ty"))
 
 
 def _with_previous(states: DataFrame) -> DataFrame:
@@ -109,16 +121,16 @@ def _crossed() -> Column:
 
 def _lane_distances(states: DataFrame, lanes: DataFrame) -> DataFrame:
     """(state keys, lane_id, lane_m) of states within STOP_RADIUS of a lane."""
-    found = projections(states.select(*STATE, "x_m", "y_m"), segments(lanes, ("feature_id",)))
+    found = projections(states.select(*STATE, "x_m", "y_m"), segments(lanes, (*scope(lanes), "feature_id")))
     return found.groupBy(*STATE, F.col("feature_id").alias("lane_id")).agg(F.min("distance_m").alias("lane_m")).where(F.col("lane_m") <= STOP_RADIUS)
 
 
 def red_stop_line_violation(states: DataFrame, lanes: DataFrame, signals: DataFrame) -> DataFrame:
     """1 when a state crosses the stop point of a signal that asks to stop at exactly its time, else 0."""
-    red = signals.where(F.col("state").isin(*STOP_STATES)).select("signal_ord", "time_s", "lane_id", "x_m", "y_m")
-    tangents = stop_tangents(red.withColumn("stop", F.lit(0)), lanes, "stop").drop("stop")
-    red = red.withColumnsRenamed({"x_m": "sx", "y_m": "sy"}).join(F.broadcast(tangents), ["lane_id", "sx", "sy"])
-    own = _with_previous(states).where("pt is not null").join(red, "time_s")
+    own = scope(signals)
+    red = signals.where(F.col("state").isin(*STOP_STATES)).select(*own, "signal_ord", "time_s", "lane_id", "x_m", "y_m")
+    red = red.withColumnsRenamed({"x_m": "sx", "y_m": "sy"}).join(stop_tangents(red, lanes), [*own, "lane_id", "sx", "sy"])
+    own = _with_previous(states).where("pt is not null").join(red, [*own, "time_s"])
     near = _lane_distances(states, lanes)
     found = own.join(near, [*STATE, "lane_id"])
     return found.select(*TRACK, (F.col("signal_ord")).alias("sample_ord"), "time_s", F.when(_crossed(), 1.0).otherwise(0.0).alias("value"))
@@ -127,6 +139,6 @@ def red_stop_line_violation(states: DataFrame, lanes: DataFrame, signals: DataFr
 def stop_sign_crossing_speed(states: DataFrame, lanes: DataFrame, signs: DataFrame) -> DataFrame:
     """Speed of the step that crosses a stop sign of a lane nearby; a state may cross several."""
     stops = stop_tangents(signs, lanes, "sign_ord")
-    own = _with_previous(states).where("pt is not null").join(_lane_distances(states, lanes), list(STATE)).join(F.broadcast(stops), "lane_id")
+    own = _with_previous(states).where("pt is not null").join(_lane_distances(states, lanes), list(STATE)).join(stops, [*scope(signs), "lane_id"])
     pace = distance(F.col("x_m"), F.col("y_m"), F.col("px"), F.col("py")) / (F.col("time_s") - F.col("pt"))
     return own.where(_crossed()).select(*TRACK, (F.col("state_ord") * 1000 + F.col("sign_ord")).alias("sample_ord"), "time_s", pace.alias("value"))

@@ -87,11 +87,13 @@ def motion_class(current: DataFrame, future: DataFrame, thresholds: RiskThreshol
 
 
 def near_map(future: DataFrame, crosswalks: DataFrame, signs: DataFrame, signals: DataFrame, thresholds: RiskThresholds) -> DataFrame:
-    """Whether any future state is near a crosswalk, or a stop sign's or any signal's stop point. The map is shared and of bounded size."""
+    """Whether any future state is near a crosswalk, or a stop sign's or any signal's stop point."""
     keys = (*AGENT, "state_ord")
     walk = geometry.polygon_distances(future.select(*keys, "x_m", "y_m"), keys, crosswalks).groupBy(*AGENT).agg(F.bool_or(F.col("distance_m") <= thresholds.crosswalk_m).alias("near_crosswalk"))
-    stops = signs.select("x_m", "y_m").union(signals.select("x_m", "y_m")).distinct().toDF("sx", "sy")
-    control = future.join(F.broadcast(stops)).groupBy(*AGENT).agg(F.bool_or(distance(F.col("x_m"), F.col("y_m"), F.col("sx"), F.col("sy")) <= thresholds.control_m).alias("near_control"))
+    own = geometry.scope(signs)
+    stops = signs.select(*own, "x_m", "y_m").union(signals.select(*own, "x_m", "y_m")).distinct().toDF(*own, "sx", "sy")
+    near = future.join(stops, "scenario_id") if own else future.join(F.broadcast(stops))
+    control = near.groupBy(*AGENT).agg(F.bool_or(distance(F.col("x_m"), F.col("y_m"), F.col("sx"), F.col("sy")) <= thresholds.control_m).alias("near_control"))
     return future.select(*AGENT).distinct().join(walk, list(AGENT), "left").join(control, list(AGENT), "left").select(*AGENT, F.coalesce("near_crosswalk", F.lit(False)).alias("near_crosswalk"), F.coalesce("near_control", F.lit(False)).alias("near_control"))
 
 

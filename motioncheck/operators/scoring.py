@@ -28,7 +28,8 @@ def agent_scores(points: DataFrame, states: DataFrame, miss_threshold_m: float =
         raise ValueError("miss_threshold_m must be nonnegative")
     modes = mode_errors(point_errors(points, states))
     best = modes.groupBy(*AGENT).agg(F.min(F.struct("ade_m", "mode_index", "evaluated_points")).alias("best"), F.min("fde_m").alias("min_fde_m"), F.count("*").alias("modes"))
-    expected = points.where("mode_index = 0").groupBy(*AGENT).agg(F.count("*").alias("expected_points"))
+    # the first mode's points
+    expected = points.groupBy(*AGENT, "mode_index").agg(F.count("*").alias("n")).groupBy(*AGENT).agg(F.min(F.struct("mode_index", "n"))["n"].alias("expected_points"))
     kinds = states.groupBy(*AGENT).agg(F.first("object_type").alias("object_type"))
     found = best.join(expected, list(AGENT)).join(kinds, list(AGENT))
     return found.select(*AGENT, "object_type", "modes", F.col("best.evaluated_points").alias("evaluated_points"), "expected_points", F.col("best.ade_m").alias("min_ade_m"), "min_fde_m", (F.col("min_fde_m") > miss_threshold_m).alias("miss"), F.col("best.mode_index").alias("best_mode_index"), (F.col("best.evaluated_points") / F.col("expected_points")).alias("ground_truth_coverage"))
