@@ -1,0 +1,42 @@
+"""Queries of this subpackage against their SQL, and the pipeline's stages."""
+
+from __future__ import annotations
+
+import pytest
+
+import corpus_pipeline
+from motioncheck.llm import queries
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_same_rows(spark, duck, name):
+    found = queries.queries()[name](spark, DATA).toPandas()
+    want = duck.sql(queries.oracle_sql()[name]).to_df()
+    columns = sorted(want.columns)
+    assert columns == sorted(found.columns)
+    both = [d[columns].astype(object).where(d[columns].notna(), None).astype(str).sort_values(columns).to_numpy().tolist() for d in (found, want)]
+    assert both[0] == both[1]
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    first = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = spark.createDataFrame(stage(spark, docs, DATA).collect(), docs.schema)
+        assert out.columns == first.columns
+        assert 0 < out.count() <= docs.count(), name
+        docs = out
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
+    whole = corpus_pipeline.run(spark, DATA)
+    assert whole.count() == packed.count()
+
+
+def test_pipeline_keeps_clean_documents(spark):
+    texts = [(i, " ".join(f"the word{i}x{j} and of in that is" for j in range(40)), "en", "s", 1) for i in range(30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = {r.doc_id: r.text for r in stage(spark, docs, DATA).collect()}
+        assert kept == {t[0]: t[1] for t in texts}, name
