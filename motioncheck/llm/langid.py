@@ -297,7 +297,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_i
 
 
 #: A document is rejected below this posterior.
-SURE = 0.5
+SURE = 0.3
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from motioncheck.llm import queries
@@ -30,8 +31,9 @@ def test_pipeline(spark):
         docs = out
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
-    whole = corpus_pipeline.run(spark, DATA)
-    assert whole.count() == packed.count()
+    # pieces depend on how documents are dealt to tasks; their ids don't
+    tokens = lambda df: {r.doc_id: r.n for r in df.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert tokens(corpus_pipeline.run(spark, DATA)) == tokens(packed)
 
 
 def test_pipeline_keeps_clean_documents(spark):
