@@ -125,9 +125,8 @@ def make_forecast(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def compare_evaluations(spark: SparkSession, a: argparse.Namespace) -> int:
     raw = json.loads(Path(a.policy).read_text()) if a.policy else {}
-    policy = compare.ComparisonPolicy(**{k: float(v) for k, v in raw.items() if k in compare.ComparisonPolicy.__dataclass_fields__})
-    scores = [json_files.read_report(spark, p)[1].withColumn("ground_truth_coverage", F.lit(1.0)) for p in (a.baseline, a.candidate)]
-    found = assemble.comparison(*scores, policy, a.bootstrap_samples, a.bootstrap_seed)
+    summaries, scores = zip(*(json_files.read_report(spark, p) for p in (a.baseline, a.candidate)))
+    found = assemble.comparison(*scores, compare.policy_of(raw), a.bootstrap_samples, a.bootstrap_seed, summaries)
     text = render.comparison(found)
     render.write(a.markdown, text)
     render.write(a.html, render.html(text, "comparison"))

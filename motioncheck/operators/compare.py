@@ -20,12 +20,20 @@ class ComparisonPolicy:
     max_fde_increase_m: float = 0.0
     max_miss_rate_increase: float = 0.0
     max_coverage_decrease: float = 0.0
+    require_significant_ade_improvement: bool = False
+    require_significant_fde_improvement: bool = False
 
     def __post_init__(self) -> None:
         if min(self.max_ade_increase_m, self.max_fde_increase_m, self.max_miss_rate_increase, self.max_coverage_decrease) < 0:
             raise ValueError("tolerances must be nonnegative")
 
 
+def policy_of(raw: dict) -> ComparisonPolicy:
+    """The policy that a mapping states; other keys are ignored."""
+    kinds = {f: bool if f.startswith("require_") else float for f in ComparisonPolicy.__dataclass_fields__}
+    return ComparisonPolicy(**{k: kinds[k](v) for k, v in raw.items() if k in kinds})
+
+
 def agent_deltas(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     """Candidate minus baseline for each agent of both."""
     b = baseline.select(*AGENT, F.col("min_ade_m").alias("baseline_min_ade_m"), F.col("min_fde_m").alias("baseline_min_fde_m"), F.col("miss").alias("baseline_miss"))
@@ -65,6 +73,17 @@ def gate(baseline: DataFrame, candidate: DataFrame, policy: ComparisonPolicy = C
     return both.select(*[d.alias(f"{n}_delta") for n, d in delta.items()], ok.alias("gate_passed"))
 
 
+def violations(deltas: dict, intervals: dict, policy: ComparisonPolicy) -> list[str]:
+    """What breaks the policy: deltas of means beyond its tolerances, or improvements that aren't significant."""
+    found = [f"{name} rose by {deltas[f'{name}_delta']:g}; {most:g} is allowed" for name, most in (("mean_min_ade_m", policy.max_ade_increase_m), ("mean_min_fde_m", policy.max_fde_increase_m), ("miss_rate", policy.max_miss_rate_increase)) if deltas[f"{name}_delta"] > most + SAME]
+    if -deltas["mean_ground_truth_coverage_delta"] > policy.max_coverage_decrease + SAME:
+        found.append(f"mean_ground_truth_coverage fell by {-deltas['mean_ground_truth_coverage_delta']:g}; {policy.max_coverage_decrease:g} is allowed")
+    for asked, name in ((policy.require_significant_ade_improvement, "min_ade_delta_m"), (policy.require_significant_fde_improvement, "min_fde_delta_m")):
+        if asked and intervals[name]["upper"] >= 0:
+            found.append(f"the interval of {name} reaches {intervals[name]['upper']:g}: no significant improvement")
+    return found
+
+
 def interval_ranks(samples: int) -> tuple[int, int]:
     """0-based ranks of a 95% interval's bounds among sorted means."""
     return math.floor(0.025 * (samples - 1)), math.ceil(0.975 * (samples - 1))

@@ -7,12 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motioncheck.functions.columns import holds
+from motioncheck.functions.columns import OPERATORS, holds
 from motioncheck.operators import geometry, signals
 
 REQ = ("scenario_id", "req_ord")
 #: The metrics that need another agent.
 PAIRED = ("separation", "time_to_collision")
+#: The signals of the map, which don't apply where nothing of theirs is found.
+MAPPED = ("lane_lateral_offset", "crosswalk_proximity", "vru_crosswalk_proximity", "red_stop_line_violation", "stop_sign_crossing_speed")
+METRICS = ("speed", "acceleration", "jerk", *PAIRED, *MAPPED)
 
 
 @dataclass
@@ -48,6 +51,12 @@ def resolve(requirements: DataFrame, scenarios: DataFrame) -> DataFrame:
     return both.select(*REQ, "requirement_id", "metric", "operator", "threshold", _selected(F.col("subject")).alias("agent_id"), _selected(F.col("other")).alias("other_id"), F.col("other").isNotNull().alias("paired"))
 
 
+def unsupported(requirements: DataFrame) -> DataFrame:
+    """Requirements with a metric or an operator that there isn't."""
+    known = F.col("metric").isin(*METRICS) & F.col("operator").isin(*OPERATORS)
+    return requirements.where(~F.coalesce(known, F.lit(False)))
+
+
 def unresolved(resolved: DataFrame) -> DataFrame:
     """Requirements whose selector finds no agent, or whose metric needs another agent and has none: an error of the input."""
     lacks = F.col("agent_id").isNull() | (F.col("paired") & F.col("other_id").isNull()) | (F.col("metric").isin(*PAIRED) & ~F.col("paired"))
@@ -99,10 +108,6 @@ def failed_samples(judged: DataFrame) -> DataFrame:
     return judged.where(~F.col("met"))
 
 
-#: The signals of the map, which don't apply where nothing of theirs is found.
-MAPPED = ("lane_lateral_offset", "crosswalk_proximity", "vru_crosswalk_proximity", "red_stop_line_violation", "stop_sign_crossing_speed")
-
-
 def results(judged: DataFrame, resolved: DataFrame) -> DataFrame:
     """A row per requirement and scenario; passed is null where it doesn't apply. No samples at all passes, except for signals of the map."""
     counted = judged.groupBy(*REQ).agg(F.count("*").alias("evaluated_samples"), F.count_if(~F.col("met")).alias("failed_samples"), F.min("value").alias("observed_min"), F.max("value").alias("observed_max"))

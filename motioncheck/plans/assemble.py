@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motioncheck.operators import compare, evidence, forecast, regression, requirements, risk, scoring
+from motioncheck.operators import compare, evidence, forecast, regression, requirements, risk, scoring, signals
 
 #: What each grade of confidence rests on.
 RATIONALES = {"not_applicable": "the requirement does not apply", "low": "too few samples, or data errors", "medium": "few samples, or data warnings", "high": "enough samples and no data warnings"}
@@ -26,11 +26,16 @@ def _by(rows: list[dict], *keys: str) -> dict[tuple, list[dict]]:
 
 def validation(recording: requirements.Recording, wanted: DataFrame) -> list[dict]:
     """A report per scenario: status, and for each requirement its result, intervals, sensitivity, quality and confidence."""
+    if odd := requirements.unsupported(wanted).limit(5).collect():
+        raise ValueError(f"unsupported metric or operator: {', '.join(r.requirement_id for r in odd)}")
     resolved = requirements.resolve(wanted, recording.scenarios).cache()
     if bad := requirements.unresolved(resolved).limit(5).collect():
         raise ValueError(f"no agent for {', '.join(f'{r.requirement_id} in {r.scenario_id}' for r in bad)}")
     if lost := requirements.unknown_agents(resolved, recording.states).limit(5).collect():
         raise KeyError(f"unknown agents {', '.join(f'{r.agent_id} in {r.scenario_id}' for r in lost)}")
+    pairs = resolved.where(F.col("metric").isin(*requirements.PAIRED)).select("scenario_id", "agent_id", "other_id")
+    if few := signals.misaligned(recording.states, pairs).limit(5).collect():
+        raise ValueError(f"fewer than two common times: {', '.join(f'{r.agent_id} and {r.other_id} in {r.scenario_id}' for r in few)}")
     judged = requirements.judged(requirements.samples(resolved, recording), resolved).cache()
     results = requirements.results(judged, resolved).cache()
     quality = evidence.quality(recording.states, recording.scenarios).cache()
@@ -122,21 +127,32 @@ def evaluation(scores: DataFrame, miss_threshold_m: float = 2.0, samples: int =
     return out
 
 
-def comparison(baseline: DataFrame, candidate: DataFrame, policy: compare.ComparisonPolicy, samples: int = 2000, seed: int = 0) -> dict:
-    """Gate, deltas, paired intervals, change counts and rankings of two sets of scores of the same agents."""
+def comparison(baseline: DataFrame, candidate: DataFrame, policy: compare.ComparisonPolicy, samples: int = 2000, seed: int = 0, summaries: tuple[DataFrame, DataFrame] | None = None) -> dict:
+    """Gate, deltas, violations, paired intervals, change counts and rankings of two sets of scores of the same agents.
+
+    summaries: a row of means for each side as its report states them; else they are taken from the scores.
+    """
     if samples < 0:
         raise ValueError("samples must be nonnegative")
+    if not samples and (policy.require_significant_ade_improvement or policy.require_significant_fde_improvement):
+        raise ValueError("significance needs samples")
     if odd := compare.identity(baseline, candidate).limit(1).collect():
         raise ValueError(f"agent {odd[0].agent_id} of {odd[0].scenario_id} is only in the {odd[0].only_in}")
     deltas = compare.agent_deltas(baseline, candidate).cache()
-    means = [scoring.means(df) for df in (baseline, candidate)]
-    gate = _rows(compare.gate(*means, policy))[0]
+    means = summaries or tuple(scoring.means(df) for df in (baseline, candidate))
+    moved = _rows(compare.gate(*means, policy))[0]
+    moved.pop("gate_passed")
+    intervals = _intervals(deltas, ("min_ade_delta_m", "min_fde_delta_m", "miss_delta"), samples, seed)
+    found = compare.violations(moved, intervals, policy)
     out = {
-        "gate_passed": gate.pop("gate_passed"),
+        "gate_passed": not found,
+        "scenario_count": deltas.select("scenario_id").distinct().count(),
+        "agent_count": deltas.count(),
         "baseline": _rows(means[0])[0],
         "candidate": _rows(means[1])[0],
-        "deltas": gate,
-        "paired_confidence_intervals": _intervals(deltas, ("min_ade_delta_m", "min_fde_delta_m", "miss_delta"), samples, seed),
+        "deltas": moved,
+        "violations": found,
+        "paired_confidence_intervals": intervals,
         "agent_change_counts": {r["metric"]: r for r in _rows(compare.change_counts(deltas))},
     }
     by_scenario = compare.scenario_deltas(deltas)

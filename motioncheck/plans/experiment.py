@@ -70,8 +70,7 @@ def load(manifest: str) -> Experiment:
     miss, samples, paired = float(scored.get("miss_threshold_m", 2.0)), int(scored.get("bootstrap_samples", 1000)), int(compared.get("bootstrap_samples", 2000))
     if miss <= 0 or samples < 0 or paired < 0:
         raise ValueError("miss_threshold_m must be positive, and bootstrap_samples nonnegative")
-    known = {k: float(v) for k, v in compared.get("policy", {}).items() if k in compare.ComparisonPolicy.__dataclass_fields__}
-    return Experiment(name(raw["experiment_id"]), {k: dataset.get(k) for k in ("name", "version")}, shards, candidates, miss, samples, int(scored.get("bootstrap_seed", 0)), compared["baseline"], compared["candidate"], paired, int(compared.get("bootstrap_seed", 0)), compare.ComparisonPolicy(**known), at / outputs["directory"], limit)
+    return Experiment(name(raw["experiment_id"]), {k: dataset.get(k) for k in ("name", "version")}, shards, candidates, miss, samples, int(scored.get("bootstrap_seed", 0)), compared["baseline"], compared["candidate"], paired, int(compared.get("bootstrap_seed", 0)), compare.policy_of(compared.get("policy", {})), at / outputs["directory"], limit)
 
 
 def digest(path: Path) -> str:
@@ -141,7 +140,7 @@ def run(spark: SparkSession, manifest: str) -> dict:
         "source_revision": revision(),
         "dataset": own.dataset | {"scenario_count": n, "shards": [{"path": Path(s).name, "bytes": Path(s).stat().st_size, "sha256": digest(Path(s))} for s in own.shards]},
         "configuration": {"candidates": [{"name": a, "model": b} for a, b in own.candidates], "miss_threshold_m": own.miss_threshold_m, "bootstrap_samples": own.samples, "bootstrap_seed": own.seed, "policy": vars(own.policy), "limit": own.limit},
-        "result": {"gate_passed": compared["gate_passed"], "deltas": compared["deltas"], "risk_context": contexts},
+        "result": {"gate_passed": compared["gate_passed"], "deltas": compared["deltas"], "violations": compared["violations"], "risk_context": contexts},
         "artifacts": [{"path": p.name, "bytes": p.stat().st_size, "sha256": digest(p)} for p in made],
     }
     render.write(str(own.folder / "experiment-index.json"), render.as_json(index))

@@ -269,6 +269,25 @@ def test_commands(spark, shard, tmp_path, capsys, monkeypatch):
     assert said()["summary"]["agents"] == 2
 
 
+def test_import_command(spark, shard, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    nested = framed.read_scenarios(spark, shard)
+    points = forecast.forecast(json_files.states_of(nested), json_files.timelines(nested), "kinematic_ensemble").withColumn("confidence", F.lit(2.0))
+    good = {"model_name": "m", "model_version": "1", "source_repository": "r", "source_revision": "v", "checkpoint_sha256": "0" * 64, "coordinate_frame": "scenario_global", "future_data_used": False}
+    json_files.write_external(points, good, str(tmp_path / "x.json"))
+    assert cli.main(["import-predictions", str(tmp_path / "x.json"), str(tmp_path / "x.binproto"), shard]) == 0
+    assert json.loads(capsys.readouterr().out)["agents"] == 2
+    assert {round(r.confidence, 5) for r in framed.read_submission(spark, str(tmp_path / "x.binproto")).collect()} == {0.33333}
+
+
+def test_policies():
+    moved = {"mean_min_ade_m_delta": 0.2, "mean_min_fde_m_delta": 0.0, "miss_rate_delta": 0.0, "mean_ground_truth_coverage_delta": -0.5}
+    strict = compare.policy_of({"max_ade_increase_m": 0.1, "require_significant_ade_improvement": True, "other": 1})
+    assert len(compare.violations(moved, {"min_ade_delta_m": {"upper": 0.0}}, strict)) == 3
+    with pytest.raises(ValueError):
+        compare.policy_of({"max_miss_rate_increase": -1})
+
+
 def test_json_commands(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr(cli, "session", lambda: spark)
 
