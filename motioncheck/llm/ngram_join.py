@@ -49,6 +49,30 @@ def _posted(n: np.ndarray) -> np.ndarray:
     return np.maximum(n - _needed(n) + np.minimum(n, 1), np.ceil(POSTED * n).astype(np.int64))
 
 
+def _both_posted(n: int) -> int:
+    """Shingles that a set of n and any partner both post, at least.
+
+    With an overlap of o, sets of n and m post the first posted(n) - (n - o) and posted(m) - (m - o)
+    of their common shingles at least, in one order; both post the fewer of the two.
+    """
+    least = n
+    for m in range(_needed(np.int64(n)), DEN * n // NUM + 1):
+        o = -(-NUM * (n + m) // (NUM + DEN))
+        if o <= min(n, m):
+            least = min(least, *(int(_posted(np.int64(x))) - x + o for x in (n, m)))
+    return least
+
+
+#: _both_posted() of small sets. From 80 on a partner's side never is the fewer one: it posts
+#: n / 8 of them at least, and the own side needs n / 10 + 2 at most.
+SMALL = np.array([_both_posted(n) for n in range(100)])
+
+
+def _marked_least(n: np.ndarray) -> np.ndarray:
+    """Of a set's posted shingles, how many are marked at least if it has a partner."""
+    return np.where(n < len(SMALL), SMALL[np.minimum(n, len(SMALL) - 1)], _posted(n) - n + _needed(n))
+
+
 def _sets(text: pa.Array, k: int) -> Iterator[tuple]:
     """For each chunk: chunk, hashes, first, sizes, two digests of each set, each hash's place in its set."""
     for chunk in words.chunks(text, lower=True):
@@ -92,7 +116,7 @@ def _candidates(docs: DataFrame, marks: np.ndarray, k: int) -> DataFrame:
             found = np.zeros(len(hashes) + 1, np.int64)
             found[1:][early] = shared.marked(held.value, hashes[early])
             found = np.cumsum(found)
-            take = np.flatnonzero((n > 0) & (found[first[1:]] - found[first[:-1]] >= np.maximum(1, _posted(n) - n + _needed(n))))
+            take = np.flatnonzero((n > 0) & (found[first[1:]] - found[first[:-1]] >= _marked_least(n)))
             blobs = pa.array([hashes[first[d] : first[d + 1]].tobytes() for d in take], pa.binary())
             yield pa.record_batch([batch.column(0).slice(chunk.row, chunk.docs).take(pa.array(take)), _long(n[take]), _long(d1[take]), _long(d2[take]), blobs], names=["doc_id", "n_shingles", "d1", "d2", "hashes"])
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from motioncheck.llm import decontam, fm_index, html_text, langid, neighbours, packing, substring, suffixes, tokens, trie, words
+from motioncheck.llm import decontam, fm_index, html_text, langid, neighbours, ngram_join, packing, substring, suffixes, tokens, trie, words
 
 DATA = "/root/testdata/sf0.01"
 
@@ -50,6 +50,27 @@ def test_trie_join(seed):
     assert groups(len(sets), want) == groups(len(sets), found)
 
 
+def test_candidates_keep_all_partners():
+    size = np.arange(1, 601)
+    posted, marked = ngram_join._posted(size), ngram_join._marked_least(size)
+    assert marked.min() >= 1
+    for n in size.tolist():  # the worst case: all shingles that are not common come first
+        m = size[(size >= n) & (4 * size <= 5 * n)]
+        o = -(-4 * (n + m) // 9)
+        m, o = m[o <= n], o[o <= n]
+        both = np.minimum(posted[n - 1] - (n - o), posted[m - 1] - (m - o))
+        assert (both >= marked[n - 1]).all() and (both >= marked[m - 1]).all()
+
+
+def test_small_sets_meet_larger_ones(spark):
+    texts = {}
+    for i in range(200):
+        for j, n in enumerate((8, 9, 12, 14, 28, 34)):  # 4 and 5, 8 and 10, 24 and 30 shingles
+            texts[1000 * j + i] = " ".join(f"t{i}p{j // 2}w{w}" for w in range(n))
+    found = {r.doc_id: r.component_id for r in ngram_join.ngram_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert found == {d: d % 1000 + d // 2000 * 2000 for d in texts}
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_fm_index_and_repeats(seed):
     rng = random.Random(seed)
