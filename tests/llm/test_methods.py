@@ -224,6 +224,24 @@ def test_boilerplate_without_articles():
     assert html_text.host_texts(pages) == [f"unique text {i} of page {i} here a&b <c" for i in range(3)]
 
 
+def test_boilerplate_of_a_large_host(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = []
+    for i in range(450):
+        body = [f"unique text {i} of page {i} here", "Our site has many fine pages"] + [f"section {x} has its own long notice {x}" for x in rng.sample(range(200), 2)]
+        rows.append((i, f"http://{'big' if i < 440 else 'other'}.example/{i}", "<body>" + "".join(f"<p>{b}</p>" for b in body) + "</body>"))
+    rows += [(1, "http://big.example/1", "<body><p>short"), (2, None, "<body><p>Our site has many fine pages"), (None, "http://big.example/x", "<article>whole")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    hosts = collections.defaultdict(list)
+    for i, url, html in rows:
+        hosts[(url or "//").split("/")[2]].append((i, url, html_text.blocks(html)))
+    want = collections.Counter((i, url, text) for own in hosts.values() for (i, url, _), text in zip(own, html_text.host_texts([b for _, _, b in own])))
+    assert not any("fine pages" in text for _, url, text in want if url)
+    for together in (200, 10_000):
+        monkeypatch.setattr(html_text, "TOGETHER", together)
+        assert collections.Counter((r.page_id, r.url, r.text) for r in html_text.main_texts(pages).collect()) == want
+
+
 def test_language_held_out_accuracy():
     rows = table("documents", "doc_id, text, lang")
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
