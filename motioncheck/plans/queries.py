@@ -147,7 +147,7 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "regression_gate": lambda c: regression.gate(c.transitions, c.changes),
     "lane_assoc": lambda c: geometry.lane_associations(c.states, c.lanes),
     "signal_lane_offset": lambda c: geometry.lane_offset(c.states, c.lanes),
-    "polygon_distance": lambda c: geometry.polygon_distances(c.states.select(*geometry.STATE, "x_m", "y_m"), geometry.STATE, c.crosswalks).where("cw_ord < 2"),
+    "polygon_distance": lambda c: geometry.polygon_distances(c.states.select(*geometry.STATE, "x_m", "y_m"), geometry.STATE, c.crosswalks),
     "signal_crosswalk": lambda c: geometry.crosswalk_proximity(c.states, c.crosswalks),
     "signal_vru_crosswalk": lambda c: geometry.vru_crosswalk_proximity(c.states, c.crosswalks, c.states),
     "signal_red_stop_line": lambda c: geometry.red_stop_line_violation(c.states, c.lanes, c.signals),
@@ -175,7 +175,7 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "bootstrap_exact": lambda c: compare.bootstrap_exact(c.resampled),
     "external_predictions": lambda c: c.external,
     "external_invalid_modes": lambda c: external.invalid_modes(c.external.withColumn("x_m", F.when(F.col("agent_id").cast("int") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("x_m"))).where("not (agent_id % 11 = 0 and point_ord = 3)")),
-    "external_identity": lambda c: external.population_differences(c.external, forecast.targets(c.scenarios).where("scenario_id = 's0'")),
+    "external_identity": lambda c: external.population_differences(c.external, forecast.targets(c.scenarios)),
     "normalized_confidence": lambda c: external.normalized_confidence(c.external.where("point_ord = 0").select("scenario_id", "agent_id", "mode_index", "confidence")),
     "submission_attach_times": lambda c: external.with_times(c.external, c.scenarios, forecast.STEPS).select("scenario_id", "agent_id", "mode_index", "point_ord", "time_s"),
     "float32_roundtrip": lambda c: external.submitted(c.points("kinematic_ensemble")),

@@ -1,0 +1,26 @@
+"""Queries whose SQL has a filter return the rows of that SQL without the filter."""
+
+from __future__ import annotations
+
+import pytest
+
+import __spark_entry__
+
+DATA = "/root/testdata/sf0.001"
+SQL = __spark_entry__.oracle_sql()
+FILTERS = {
+    "polygon_distance": " WHERE cw < 2",
+    "external_identity": " WHERE scenario_id = 's0'",
+}
+
+
+@pytest.mark.parametrize("name", FILTERS)
+def test_all_rows(spark, duck, name):
+    found = __spark_entry__.queries()[name](spark, DATA).toPandas()
+    assert SQL[name].endswith(FILTERS[name])
+    want = duck.sql(SQL[name].removesuffix(FILTERS[name])).to_df()
+    assert len(want) > len(duck.sql(SQL[name]).to_df())
+    columns = sorted(want.columns)
+    assert columns == sorted(found.columns)
+    both = [d[columns].astype(object).where(d[columns].notna(), None).astype(str).sort_values(columns).to_numpy().tolist() for d in (found, want)]
+    assert both[0] == both[1]
