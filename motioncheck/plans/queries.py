@@ -123,15 +123,15 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "aligned_pairs": lambda c: signals.aligned_pairs(c.states, c.pairs),
     "signal_separation": lambda c: signals.separation(c.states, c.pairs),
     "signal_closing_speed": lambda c: signals.closing_speed(c.states, c.pairs),
-    "signal_ttc": lambda c: signals.time_to_collision(c.states, c.pairs).where("value < double('infinity')"),
+    "signal_ttc": lambda c: signals.time_to_collision(c.states, c.pairs),
     "wrapped_angle": lambda c: c.states.select("scenario_id", "agent_id", "state_ord", wrapped_angle(F.col("x_m") / 8 - 6).alias("angle")),
     "asof_current_state": lambda c: risk.current_states(c.states, forecast.targets(c.scenarios)).drop("current_time_s"),
     "resolve_selectors": lambda c: c.baseline[0].select("scenario_id", "req_ord", "requirement_id", "agent_id", "other_id"),
     "unknown_agents": lambda c: requirements.unknown_agents(c.baseline[0].withColumn("agent_id", F.when(F.col("req_ord") == 2, F.concat("agent_id", F.lit("x"))).otherwise(F.col("agent_id"))), c.states),
-    "metric_samples": lambda c: c.baseline[1].where("value < double('infinity')").select("scenario_id", "req_ord", "sample_ord", "time_s", "value"),
+    "metric_samples": lambda c: c.baseline[1].select("scenario_id", "req_ord", "sample_ord", "time_s", "value"),
     "threshold_predicates": lambda c: c.baseline[1].groupBy("scenario_id", "req_ord").agg(F.count_if("met").alias("met"), F.count_if(~F.col("met")).alias("unmet")),
     "failed_samples": lambda c: requirements.failed_samples(c.baseline[1]).select("scenario_id", "req_ord", "sample_ord", "time_s", "value"),
-    "requirement_results": lambda c: c.baseline[2].where("req_ord <> 5"),
+    "requirement_results": lambda c: c.baseline[2],
     "result_status": lambda c: evidence.result_status(c.baseline[2]),
     "failure_intervals": lambda c: requirements.failure_intervals(c.baseline[1]).drop("island", "threshold"),
     "explanations": lambda c: evidence.explanations(requirements.failure_intervals(c.baseline[1])).select("scenario_id", "req_ord", "start_time_s", "worst_value", "threshold_deviation"),

@@ -11,6 +11,9 @@ SQL = __spark_entry__.oracle_sql()
 FILTERS = {
     "polygon_distance": " WHERE cw < 2",
     "external_identity": " WHERE scenario_id = 's0'",
+    "signal_ttc": " WHERE isfinite(value)",
+    "metric_samples": " WHERE isfinite(value)",
+    "requirement_results": " WHERE req_ord <> 5",
 }
 
 
