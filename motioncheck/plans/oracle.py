@@ -166,15 +166,15 @@ FINALS = {
     "aligned_pairs": _select("aligned_s", "sample_ord", "time_s x_m y_m other_x_m other_y_m", f"{_A} other_id"),
     "signal_separation": _select("separation_s", "sample_ord", "time_s value", f"{_A} other_id"),
     "signal_closing_speed": _select("closing_s", "sample_ord", "time_s value", f"{_A} other_id"),
-    "signal_ttc": _select("ttc_s", "sample_ord", "time_s value", f"{_A} other_id") + " WHERE isfinite(value)",
+    "signal_ttc": _select("ttc_s", "sample_ord", "time_s value", f"{_A} other_id"),
     "wrapped_angle": f"SELECT scenario_id, agent_id, state_ord::BIGINT AS state_ord, round({_wrap('a')}, 6) AS angle FROM (SELECT *, x_m / 8 - 6 AS a FROM states)",
     "asof_current_state": _select("current_", "state_ord", "x_m y_m", _A),
     "resolve_selectors": _select("resolved", "req_ord", "", f"{_A} requirement_id other_id"),
     "unknown_agents": "SELECT scenario_id, agent_id || 'x' AS agent_id FROM resolved WHERE req_ord = 2",
-    "metric_samples": _select("samples", "req_ord sample_ord", "time_s value", "scenario_id") + " WHERE isfinite(value)",
+    "metric_samples": _select("samples", "req_ord sample_ord", "time_s value", "scenario_id"),
     "threshold_predicates": "SELECT scenario_id, req_ord::BIGINT AS req_ord, count(*) FILTER (met)::BIGINT AS met, count(*) FILTER (NOT met)::BIGINT AS unmet FROM judged GROUP BY ALL",
     "failed_samples": _select("judged", "req_ord sample_ord", "time_s value", "scenario_id") + " WHERE NOT met",
-    "requirement_results": _select("results", "req_ord evaluated_samples failed_samples", "observed_min observed_max", "scenario_id requirement_id applicable passed") + " WHERE req_ord <> 5",
+    "requirement_results": _select("results", "req_ord evaluated_samples failed_samples", "observed_min observed_max", "scenario_id requirement_id applicable passed"),
     "result_status": "SELECT scenario_id, req_ord::BIGINT AS req_ord, requirement_id, CASE WHEN passed IS NULL THEN 'NOT_APPLICABLE' WHEN passed THEN 'PASS' ELSE 'FAIL' END AS status FROM results",
     "failure_intervals": _select("intervals", "req_ord sample_count", "start_time_s end_time_s worst_value", "scenario_id requirement_id"),
     "explanations": "SELECT scenario_id, req_ord::BIGINT AS req_ord, round(start_time_s, 6) AS start_time_s, round(worst_value, 6) AS worst_value, round(abs(worst_value - threshold), 6) AS threshold_deviation FROM intervals",
@@ -190,7 +190,7 @@ FINALS = {
     "regression_gate": "SELECT *, NOT (new_failures > 0 OR missing > 0 OR lost_applicability > 0) AS gate_passed FROM (SELECT count(*) FILTER (classification = 'NEW_FAILURE')::BIGINT AS new_failures, count(*) FILTER (classification = 'RESOLVED')::BIGINT AS resolved, count(*) FILTER (classification = 'LOST_APPLICABILITY')::BIGINT AS lost_applicability FROM transitions) a, (SELECT count(*) FILTER (kind = 'missing')::BIGINT AS missing, count(*) FILTER (kind = 'added')::BIGINT AS added FROM changes) b",
     "lane_assoc": _select("lane_assoc", "sample_ord", "time_s lateral_offset_m distance_m", f"{_A} lane_id"),
     "signal_lane_offset": "SELECT scenario_id, agent_id, sample_ord::BIGINT AS sample_ord, round(time_s, 6) AS time_s, round(abs(lateral_offset_m), 6) AS value FROM lane_assoc",
-    "polygon_distance": "SELECT scenario_id, agent_id, state_ord::BIGINT AS state_ord, round(time_s, 6) AS time_s, cw::BIGINT AS cw_ord, round(dist, 6) AS distance_m, x_m >= 10 + 20 * cw AND x_m < 12 + 20 * cw AND y_m >= 0 AND y_m < 40 AS inside FROM cw_state WHERE cw < 2",
+    "polygon_distance": "SELECT scenario_id, agent_id, state_ord::BIGINT AS state_ord, round(time_s, 6) AS time_s, cw::BIGINT AS cw_ord, round(dist, 6) AS distance_m, x_m >= 10 + 20 * cw AND x_m < 12 + 20 * cw AND y_m >= 0 AND y_m < 40 AS inside FROM cw_state",
     "signal_crosswalk": _select("crosswalk", "sample_ord", "time_s value", _A),
     "signal_vru_crosswalk": _select("vru_crosswalk", "sample_ord", "time_s value", _A),
     "signal_red_stop_line": _select("red", "sample_ord", "time_s value", _A),
@@ -217,7 +217,7 @@ FINALS = {
     "bootstrap_ci": "SELECT metric, round(max(mean) FILTER (r = 4), 6) AS lower, round(max(mean) FILTER (r = 195), 6) AS upper FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY round(mean, 9), b) - 1 AS r FROM (SELECT d.metric, b, avg(v.value) AS mean FROM (SELECT metric, b, (b * 7919 + i * 104729 + b * i * 31 + metric_ord) % n AS ord FROM (SELECT metric, metric_ord, n, b, unnest(range(0, n)) AS i FROM (SELECT metric, metric_ord, count(*) AS n, unnest(range(0, 200)) AS b FROM resampled GROUP BY metric, metric_ord))) d JOIN resampled v ON v.metric = d.metric AND v.ord = d.ord GROUP BY d.metric, b)) GROUP BY metric",
     "external_predictions": _select("ext", "mode_index point_ord", "confidence x_m y_m", _A),
     "external_invalid_modes": "SELECT DISTINCT scenario_id, agent_id, CASE WHEN agent_id::INT % 11 = 0 THEN 'points' ELSE 'coordinates' END AS reason FROM ext WHERE agent_id::INT % 11 = 0 OR agent_id::INT % 7 = 0",
-    "external_identity": "SELECT DISTINCT scenario_id, agent_id, 'unexpected' AS problem FROM ext e ANTI JOIN targets t USING (scenario_id, agent_id) UNION ALL SELECT scenario_id, agent_id, 'missing' FROM targets t ANTI JOIN ext e USING (scenario_id, agent_id) WHERE scenario_id = 's0'",
+    "external_identity": "SELECT DISTINCT scenario_id, agent_id, 'unexpected' AS problem FROM ext e ANTI JOIN targets t USING (scenario_id, agent_id) UNION ALL SELECT scenario_id, agent_id, 'missing' FROM targets t ANTI JOIN ext e USING (scenario_id, agent_id)",
     "normalized_confidence": "SELECT scenario_id, agent_id, mode_index::BIGINT AS mode_index, round(confidence / sum(confidence) OVER (PARTITION BY scenario_id, agent_id), 6) AS confidence FROM ext WHERE point_ord = 0",
     "submission_attach_times": "SELECT scenario_id, agent_id, mode_index::BIGINT AS mode_index, point_ord::BIGINT AS point_ord, round((15 + 5 * point_ord) / 10e0, 6) AS time_s FROM ext",
     "float32_roundtrip": "SELECT scenario_id, agent_id, mode_index::BIGINT AS mode_index, point_ord::BIGINT AS point_ord, round(confidence::FLOAT::DOUBLE, 6) AS confidence, round(x_m::FLOAT::DOUBLE, 6) AS x_m, round(y_m::FLOAT::DOUBLE, 6) AS y_m FROM ensemble",
