@@ -5,7 +5,8 @@ counts how many have each fill. A document goes to the fill level that leaves th
 of squared counts, or to a new window where that is least. Longer documents first fill whole
 windows. Every task packs its own documents as they come; what is open at its end is joined,
 cut into whole windows, and the rest into windows whose lengths are powers of two, which take
-no padding. So a task holds no more than its open windows, and no shuffle is needed.
+no padding. No shuffle is needed. A task holds the ids of the pieces in its open windows, four
+bytes a token: at most those of its own partition, a split of spark.sql.files.maxPartitionBytes.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ WINDOW = 2048
 END = 1
 #: Texts that are encoded at once.
 BATCH = 1000
-#: Open windows that a task holds at most; then the fullest are closed as at its end.
-OPEN = 4096
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -43,7 +42,6 @@ class Packer:
         self.count = np.zeros(window + 1, np.int64)
         self.open: list[list[list[tuple]]] = [[] for _ in range(window)]
         self.closed: list[tuple] = []
-        self.n_open = 0
 
     def _close(self, pieces: list[tuple]) -> None:
         at = 0
@@ -70,37 +68,23 @@ class Packer:
         level = int(gain.argmin())
         pieces = self.open[level].pop() if level else []
         count[level] -= level > 0
-        self.n_open += level == 0
         pieces.append(piece)
         if level + size == self.window:
-            self.n_open -= 1
             self._close(pieces)
         else:
             count[level + size] += 1
             self.open[level + size].append(pieces)
-            if self.n_open > OPEN:
-                self.finish(whole_only=True)
 
-    def finish(self, whole_only: bool = False) -> None:
+    def finish(self) -> None:
         """Joins the open windows' pieces, fullest first, and cuts them into closed windows."""
         room, pieces, left = self.window, [], [p for level in self.open[::-1] for window in level for p in window]
         self.open = [[] for _ in range(self.window)]
         self.count[:] = 0
-        self.n_open = 0
         rest = sum(len(p[2]) for p in left) // 4
-        if whole_only:
-            room = self.window
         for doc, start, ids, total in left:
             while ids:
                 if not pieces:
                     room = self.window if rest >= self.window else 1 << (rest.bit_length() - 1)
-                if whole_only and rest < self.window and not pieces:
-                    size = len(ids) // 4
-                    rest -= size
-                    self.count[size] += 1
-                    self.open[size].append([(doc, start, ids, total)])
-                    self.n_open += 1
-                    break
                 part, ids = ids[: 4 * room], ids[4 * room :]
                 pieces.append((doc, start, part, total))
                 start += len(part) // 4
@@ -118,8 +102,9 @@ class Packer:
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END, text: str = "text", id: str = "doc_id", ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) per piece.
 
-    A document is the ids of its text by the vocabulary's file, strings of special tokens
-    being ordinary text, then `end`; null or empty text is `end` alone. A sequence is padded
+    A document is the ids that the `tokenizers` library gives its text by the vocabulary's
+    file, with no tokens added around it, then `end`; a special token's string in the text is
+    that token, as in the library. Null or empty text is `end` alone. A sequence is padded
     to `window` by its reader, unless its length is a power of two. Null ids and rows that
     repeat an id are documents like others; other columns are ignored, whatever their names;
     no rows make no rows. Sequence ids are unique, and the same if a task runs again. With
@@ -157,4 +142,5 @@ def default_vocabulary() -> str:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """pack() of all documents with the default vocabulary: nulls, empty texts, repeated rows and other columns as there."""
     return pack(docs, default_vocabulary())

@@ -2,7 +2,8 @@
 
 A single space between two characters that aren't white space is a bound that no token
 crosses, so a text's ids are those of its space-led words one after another. Words are found
-and cached by their hashes, many at once; new ones are encoded together.
+and cached by their hashes, many at once; new ones are encoded together. The vocabulary's
+added tokens part a word first and are one id each, as in its own library.
 """
 
 from __future__ import annotations
@@ -61,17 +62,20 @@ class Words:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         step = made.get("pre_tokenizer") or {}
         plain = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and not made.get("normalizer")
+        # an added token that takes in white space, or only stands between certain characters, is left to the library
+        tokens = made.get("added_tokens") or []
+        plain &= not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or not x["content"] or any(c.isspace() for c in x["content"]) for x in tokens)
         # ids in the order of merges: ranks are enough, and the vocabulary's faster library does
         self.core = None
         if plain and all(vocab[a + b] == 256 + i for i, (a, b) in enumerate(pairs)):
             import tiktoken
 
             byte = _byte_of()
-            added = {x["content"] for x in made.get("added_tokens", [])}
-            ranks = {bytes(byte[c] for c in word): i for word, i in vocab.items() if word not in added}
-            self.core = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.width = np.zeros(max(ranks.values()) + 1, np.int64)
-            for word, i in ranks.items():
+            self.added = {x["content"]: x["id"] for x in tokens}
+            ranks = {bytes(byte[c] for c in word): i for word, i in vocab.items() if word not in self.added}
+            self.core = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
+            self.width = np.zeros(max([*ranks.values(), *self.added.values()]) + 1, np.int64)
+            for word, i in [*ranks.items(), *((x.encode(), i) for x, i in self.added.items())]:
                 self.width[i] = len(word)
             self.rows = WordTable(CACHE)
             self.start, self.count = np.zeros(CACHE, np.int32), np.zeros(CACHE, np.int32)
@@ -80,13 +84,17 @@ class Words:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(path)
-            self.slow.encode_special_tokens = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        if any(x in text for x in self.added):
+            return np.array(self.core.encode(text, allowed_special="all"), np.uint32)
+        return np.array(self.core.encode_ordinary(text), np.uint32)
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words one after another, and how many each has. Space-led words that end in no white space are encoded together."""
         plain = [w[:1] == b" " and not w[-1:].isspace() and w[-1] < 0x80 or w[:1] == b" " and not w.decode()[-1:].isspace() for w in words]
         led = [w for w, p in zip(words, plain) if p]
-        ids = np.array(self.core.encode_ordinary(b"".join(led).decode()), np.uint32)
+        ids = self._ids(b"".join(led).decode())
         ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(w) for w in led])) + 1 if led else np.zeros(0, np.int64)
         parts, counts, done, n = [], np.zeros(len(words), np.int64), 0, 0
         for i, (w, p) in enumerate(zip(words, plain)):
@@ -94,7 +102,7 @@ class Words:
                 counts[i] = ends[n] - (ends[n - 1] if n else 0)
                 n += 1
             else:
-                own = np.array(self.core.encode_ordinary(w.decode()), np.uint32)
+                own = self._ids(w.decode())
                 last = int(ends[n - 1]) if n else 0
                 parts += [ids[done:last], own]
                 done, counts[i] = last, len(own)

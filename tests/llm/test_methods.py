@@ -116,12 +116,13 @@ def test_token_ids_are_the_library_s():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     rng = random.Random(3)
     texts = [t or "" for (t,) in table("documents", "text")][:400]
     texts += ["", " ", "a  b", " a b ", "a \n b\n\nc  d", "it's they'll 12 3.4 <|endoftext|> x", "日本語 テキスト  ", "\x85 a", "a 　b c", "é a", "🙂 🙂🙂 ퟿"]
-    texts += ["".join(rng.choice(" \n\ta.'sé　  \x85\x1c1語") for _ in range(rng.randint(1, 40))) for _ in range(2000)]
+    texts += ["x<|endoftext|>y", "<|endoftext|>", "a <|endoftext|>b", "a  <|endoftext|>  b", "<|endoftext|><|endoftext|> \n<|endoftext|>", "<|endoftext| >", "é<|endoftext|>é 　<|endoftext|>"]
+    texts += ["".join(rng.choice([*" \n\ta.'sé　  \x85\x1c1語", "<|endoftext|>", "<|endof"]) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert want[texts.index("x<|endoftext|>y")] == [87, 50256, 88]
     own = tokens.Words(path)
     for _ in range(2):  # new words, then known ones
         assert [x.tolist() for x in own.encode(pa.array(texts))] == want
@@ -148,14 +149,19 @@ def test_packing_is_whole_and_tight():
         assert at <= 2048 and at & (at - 1) == 0
 
 
-def test_open_windows_are_bounded(monkeypatch):
-    monkeypatch.setattr(packing, "OPEN", 8)
-    packer = packing.Packer(64, 0)
-    for i in range(2000):
-        packer.add(i, bytes(4 * (33 + i % 20)))
-        assert packer.n_open <= 9
+def test_many_open_windows():
+    # none of these fit together, so every window stays open until the end
+    packer = packing.Packer(2048, 0)
+    for i in range(6000):
+        packer.add(i, bytes(4 * (1100 + i % 20)))
+    assert packer.count.sum() == 6000 and not packer.rows()
     packer.finish()
-    assert sum(r[2] for r in packer.rows()) == sum(33 + i % 20 for i in range(2000))
+    rows = packer.rows()
+    assert sum(r[2] for r in rows) == sum(1100 + i % 20 for i in range(6000))
+    used = collections.Counter()
+    for r in rows:
+        used[r[5]] += r[2]
+    assert sorted(used.values())[-len(used) + 11 :] == [2048] * (len(used) - 11) and all(n & (n - 1) == 0 for n in used.values())
 
 
 def test_hamming_index():
