@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from motioncheck.llm import decontam, html_text, langid, neighbours, ngram_join, packing, substring, toxicity, urls, warc
+from motioncheck.llm import decontam, html_text, langid, neighbours, ngram_join, packing, shared, substring, toxicity, urls, warc
 
 LONG = " ".join(f"w{i % 997}x{i % 13}" for i in range(60_000))
 SAME = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
@@ -137,6 +138,53 @@ def test_archives(pages):
     assert warc.archived(pages.where("false")).count() == 0
 
 
+PIECES = ["WARC/1.1\r\n", "\r\n", "\r\n\r\n", "WARC-Type: ", "WARC", "/1.1\r\n", "WARC-Type:", "x", "", "é", "response\r\n", "Content-Length: 3\r\n", "\n", "\r", " "]
+
+
+@pytest.mark.parametrize("split", ["128m", "700b"])
+def test_archives_keep_every_page(spark, split):
+    rng = random.Random(9)
+    texts = ["WARC/1.1\r\nx", "abc", "\r\nWARC/1.1\r\n", "x\r\n\r\nWARC/1.1", warc.MARK, warc.MARK * 3, "WARC/1.1", "WARC", "\r\n\r\n", "\r\n", warc.MARK[:-1], "W" + warc.MARK]
+    texts += ["".join(rng.choice(PIECES) for _ in range(rng.randint(1, 12))) for _ in range(300)] + [warc.MARK + "y" * 2000] * 3
+    rows = [(i, f"http://h/{i}", t) for i, t in enumerate(texts)] + [(0, "http://h/0", texts[0]), (0, "http://h/0", texts[0]), (None, None, warc.MARK), (None, None, warc.MARK)]
+    pages = spark.createDataFrame(rows, PAGES).repartition(3)
+    path = shared.workspace(spark)
+    warc.write_archives(pages, path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        found = sorted(((r.page_id, r.url, r.payload, r.record_type, r.refers_to) for r in warc.read_archives(spark, path).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    last = len(texts) - 1
+    assert found == sorted([(i, u, None, "revisit", last) if i in (last - 1, last - 2) else (i, u, t, "response", None) for i, u, t in rows], key=str)
+
+
+def test_archives_are_warc(spark, pages):
+    """Records by their own Content-Length, as other readers take them."""
+    path = shared.workspace(spark)
+    rows = spark.createDataFrame([(i, f"http://h/{i}", t) for i, t in enumerate([warc.MARK * 2, "z" * 1500, "z" * 1500, None, "é", "é"])] + [(4, "http://h/4", "é")] * 2, PAGES)
+    warc.write_archives(rows, path, date="2024-01-02T03:04:05Z")
+    raw = b"".join(bytes(r.content) for r in spark.read.format("binaryFile").load(path).collect())
+    at, records = 0, []
+    while at < len(raw):
+        head = raw[at : raw.index(b"\r\n\r\n", at)].decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in head[1:])
+        begin = at + len("\r\n".join(head).encode()) + 4
+        end = begin + int(fields["Content-Length"])
+        assert head[0] == "WARC/1.1" and raw[end : end + 4] == b"\r\n\r\n" and fields["WARC-Date"] == "2024-01-02T03:04:05Z"
+        records.append((fields, raw[begin:end]))
+        at = end + 4
+    ids = [f["WARC-Record-ID"] for f, _ in records]
+    assert len(set(ids)) == len(ids) == 8 + 2  # one page is three segments
+    by = {f["WARC-Record-ID"]: (f, b) for f, b in records}
+    revisit = next(f for f, _ in records if f["WARC-Type"] == "revisit")
+    assert by[revisit["WARC-Refers-To"]][1].endswith(b"z" * 1500) and by[revisit["WARC-Refers-To"]][0]["WARC-Page-ID"] == "2"
+    parts = sorted((int(f["WARC-Segment-Number"]), f, b) for f, b in records if "WARC-Segment-Number" in f)
+    assert b"".join(b for _, _, b in parts).endswith(b"\r\n\r\n" + (warc.MARK * 2).encode()) and {f["WARC-Segment-Origin-ID"] for _, f, _ in parts[1:]} == {parts[0][1]["WARC-Record-ID"]}
+    assert int(parts[-1][1]["WARC-Segment-Total-Length"]) == sum(len(b) for _, _, b in parts)
+
+
 def test_urls(spark, pages):
     outcomes = spark.createDataFrame([("h", 1)] * 40 + [("good", 0)] * 40 + [(None, 1), ("h", None)], "host string, bad int")
     found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(pages, outcomes).collect() if r.page_id}
