@@ -3,7 +3,7 @@
 Method: a fixed public vocabulary of pieces; each language has a probability for each piece.
 A word's probability in a language is the sum over all its segmentations into pieces, by a
 forward algorithm; a text's is the product over its words. Piece probabilities are learned by
-expectation maximisation over the same sums, on the words of a bounded sample of documents.
+expectation maximisation over the same sums, on the whole texts of a bounded number of documents.
 
 Words are scored once per worker and kept in a cache, all new ones of a batch together.
 """
@@ -17,29 +17,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motioncheck.llm import shared
 from motioncheck.llm.words import Chunk, WordTable, chunks
 
-#: The bound of the sample that is learned from: documents per language, characters of each, rounds.
-SAMPLE, SAMPLE_CHARS, ROUNDS = 400, 20_000, 3
-#: Characters of a piece at most; of a word that are scored together (a longer one is scored in parts).
-PIECE, WORD = 10, 40
+#: The bound of the sample that is learned from: documents per language; rounds of learning.
+SAMPLE, ROUNDS = 400, 3
+#: Longer words are scored one by one and in logarithms, as their probabilities are too small for the plain sums. The same sums.
+LONG = 40
+#: Positions of a long word whose pieces are looked up at once.
+STRIP = 8192
 #: A piece's weight before anything is counted, and the probability of an unknown character.
 SMOOTHING, UNKNOWN = 0.05, 1e-7
+#: Times the usual log probability of a character: what a word counts as at worst, and what a text may have at most.
+WORST, UNUSUAL = 2.5, 1.7
+#: Usual characters that are added to each text when its rate is taken.
+FEW = 20
 #: Words in a worker's cache; a full one is emptied.
 CACHE = 1_000_000
 
 _letter = re.compile(r"[^\W\d_]")
+_gaps = re.compile("[ \t-\r]+")
 
 
 class Pieces:
-    """The vocabulary's pieces of up to PIECE characters, found by a rolling hash of code points."""
+    """The vocabulary's pieces, found by a rolling hash of code points."""
 
     def __init__(self, pieces: list[str]):
-        self.pieces = sorted({p for p in pieces if 0 < len(p) <= PIECE})
+        self.pieces = sorted({p for p in pieces if p})
+        self.longest = max(map(len, self.pieces), default=1)
         codes = [np.array([_hash(p)], np.uint64) for p in self.pieces]
         keys = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         order = np.argsort(keys)
@@ -56,8 +65,8 @@ class Pieces:
         out = np.full(len(keys), -1)
         maybe = np.flatnonzero(self.some[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)])
         own = keys[maybe]
-        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
-        hit = self.keys[at] == own
+        at = np.minimum(np.searchsorted(self.keys, own), max(0, len(self.keys) - 1))
+        hit = self.keys[at] == own if len(self.keys) else np.zeros(len(own), bool)
         out[maybe[hit]] = self.number[at[hit]]
         return out
 
@@ -86,7 +95,7 @@ class Lattice:
         for begin in range(longest):
             live = np.flatnonzero(self.size > begin)
             h = np.zeros(len(live), np.uint64)
-            for length in range(1, min(PIECE, longest - begin) + 1):
+            for length in range(1, min(pieces.longest, longest - begin) + 1):
                 stay = self.size[live] >= begin + length
                 live, h = live[stay], h[stay]
                 if not len(live):
@@ -127,12 +136,63 @@ class Lattice:
         return used
 
 
-def _parts(word: str) -> list[str]:
-    """A word as the vocabulary has it, with a mark before it; long ones in parts."""
-    word = "▁" + word
-    if len(word) <= WORD:
-        return [word]
-    return [word[i : i + WORD] for i in range(0, len(word), WORD)]
+class LongWord:
+    """All segmentations of one word of any length; sums in logarithms, position after position."""
+
+    def __init__(self, word: str, pieces: Pieces):
+        self.codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        self.n, self.pieces, self.longest = len(self.codes), pieces, pieces.longest
+
+    def _strip(self, at: int, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From positions at to at + STRIP: [i, l], the piece of the l + 1 characters from there on (-1: none), and its log probabilities."""
+        codes = self.codes[at : at + STRIP + self.longest - 1]
+        rows = min(STRIP, self.n - at)
+        found, h = np.full((rows, self.longest), -1, np.int32), np.zeros(rows, np.uint64)
+        for length in range(self.longest):
+            live = min(rows, len(codes) - length)
+            if live <= 0:
+                break
+            h = (h[:live] ^ codes[length : length + live]) * _MULTIPLIER
+            h ^= h >> np.uint64(29)
+            found[:live, length] = self.pieces.find(h)
+        own = logs[found]
+        own[:, 1:][found[:, 1:] < 0] = -np.inf  # a single character is an edge always
+        return found, own
+
+    def forward(self, logs: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Log probability of the word per language; keep gets those of the characters before each position, in strips."""
+        out = np.full((1 + self.longest, logs.shape[1]), -np.inf)
+        out[0] = 0
+        for at in range(0, self.n, STRIP):
+            edges = self._strip(at, logs)[1]
+            out = np.concatenate([out, np.full((len(edges), logs.shape[1]), -np.inf)])
+            for i in range(len(edges)):
+                to = out[i + 1 : i + 1 + self.longest]
+                np.logaddexp(to, out[i] + edges[i], out=to)
+            if keep is not None:
+                keep.append(out[: len(edges)])
+            out = out[len(edges) :]
+        return out[0]
+
+    def expected(self, logs: np.ndarray, counts: np.ndarray, used: np.ndarray) -> None:
+        """Adds the expected uses of each piece by the word, which occurs `counts` (languages) times."""
+        strips: list[np.ndarray] = []
+        total = self.forward(logs, strips)
+        after = np.full((1 + self.longest, logs.shape[1]), -np.inf)  # of this strip's end and later
+        after[0] = 0
+        for at, before in list(zip(range(0, self.n, STRIP), strips))[::-1]:
+            piece, edges = self._strip(at, logs)
+            after = np.concatenate([np.full((len(edges), logs.shape[1]), -np.inf), after])
+            for i in range(len(edges) - 1, -1, -1):
+                after[i] = np.logaddexp.reduce(after[i + 1 : i + 1 + self.longest] + edges[i], axis=0)
+            for length in range(self.longest):
+                use = np.exp(before + edges[:, length] + after[length + 1 : length + 1 + len(edges)] - total) * counts
+                np.add.at(used, piece[:, length], use)
+            after = after[: 1 + self.longest]
+
+
+#: How the vocabulary marks a word's beginning, a fixed value.
+MARK = "▁"
 
 
 class Model:
@@ -142,15 +202,16 @@ class Model:
         self.pieces = Pieces(pieces)
         self.languages: list[str] = []
         self.probability = np.zeros((0, 0))
+        self.usual = np.zeros(0)  # log probability of a character of the learned texts, per language
 
     def learn(self, counts: dict[str, Counter], rounds: int = ROUNDS) -> "Model":
         self.languages = sorted(counts)
         table: dict[str, np.ndarray] = {}
         for i, language in enumerate(self.languages):
             for word, n in counts[language].items():
-                for part in _parts(word):
-                    table.setdefault(part, np.zeros(len(self.languages)))[i] += n
-        words = sorted(table, key=lambda w: (len(w), w))
+                table.setdefault(MARK + word, np.zeros(len(self.languages)))[i] += n
+        words = sorted((w for w in table if len(w) <= LONG), key=lambda w: (len(w), w))
+        long = [(LongWord(w, self.pieces), table[w]) for w in sorted(table) if len(w) > LONG]
         groups = [words[i : i + 20_000] for i in range(0, len(words), 20_000)]
         lattices = [(Lattice(g, self.pieces), np.stack([table[w] for w in g])) for g in groups]
         k = len(self.pieces)
@@ -158,70 +219,91 @@ class Model:
         p[k] = UNKNOWN
         for _ in range(rounds):
             used = sum((lattice.expected(p, n) for lattice, n in lattices), np.zeros_like(p))
+            logs = np.log(p)
+            for word, n in long:
+                word.expected(logs, n, used)
             p = used + SMOOTHING
             p[:k] /= p[:k].sum(axis=0)
             p[k] = UNKNOWN
         self.probability = p
+        every = list(table)
+        times, sizes = np.stack([table[w] for w in every]), np.array([len(w) for w in every])
+        found = self.scores([w[len(MARK) :] for w in every])
+        self.usual = (times * found).sum(axis=0) / (times * sizes[:, None]).sum(axis=0)
         return self
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word per language."""
-        parts = [_parts(w) for w in words]
+        words = [MARK + w for w in words]
         out = np.zeros((len(words), len(self.languages)))
-        flat = [(len(p), i, p) for i, own in enumerate(parts) for p in own]
-        flat.sort(key=lambda x: x[0])
-        lengths = np.array([n for n, _, _ in flat])
-        cuts = sorted({0, len(flat), *np.searchsorted(lengths, [5, 8, 11, 15, 20, 28]).tolist(), *range(0, len(flat), 16384)})
+        sizes = np.array([len(w) for w in words])
+        order = np.argsort(sizes, kind="stable")
+        short = int(np.searchsorted(sizes[order], LONG, "right"))
+        cuts = sorted({0, short, *np.searchsorted(sizes[order[:short]], [5, 8, 11, 15, 20, 28]).tolist(), *range(0, short, 16384)})
         for a, b in zip(cuts, cuts[1:]):  # words of about one length together
-            group = flat[a:b]
-            lattice = Lattice([p for _, _, p in group], self.pieces)
-            alpha = lattice.forward(self.probability)[np.arange(len(group)), lattice.size]
-            np.add.at(out, np.array([i for _, i, _ in group]), np.log(alpha + 1e-300))
+            own = order[a:b]
+            lattice = Lattice([words[i] for i in own.tolist()], self.pieces)
+            out[own] = np.log(lattice.forward(self.probability)[np.arange(len(own)), lattice.size])
+        logs = np.log(self.probability) if short < len(words) else None
+        for i in order[short:].tolist():
+            out[i] = LongWord(words[i], self.pieces).forward(logs)
         return out
 
 
 class Scorer:
-    """A worker's cache of words and their scores."""
+    """A worker's cache of words: per language the score and the bounded score, then the length."""
 
     def __init__(self, model: Model):
         self.model, self.rows = model, WordTable(CACHE)
-        self.table = np.zeros((CACHE, len(model.languages)))
+        self.table = np.zeros((CACHE, 2 * len(model.languages) + 1))
+
+    def _new(self, words: list[str]) -> np.ndarray:
+        scores = self.model.scores(words)
+        sizes = np.array([len(w) + len(MARK) for w in words], float)[:, None]
+        return np.concatenate([scores, np.maximum(scores, WORST * self.model.usual * sizes), sizes], axis=1)
 
     def of(self, chunk: Chunk) -> np.ndarray:
-        """Each word's scores."""
+        """Each word's row."""
         at = self.rows.find(chunk.hashes)
         missing = np.flatnonzero(at < 0)
         if not len(missing):
             return self.table[at]
         new, first, back = np.unique(chunk.hashes[missing], return_index=True, return_inverse=True)
-        text = chunk.raw.tobytes()
-        scores = self.model.scores([text[chunk.starts[i] : chunk.ends[i]].decode("utf-8", "replace").lower() for i in missing[first].tolist()])
+        raw = chunk.raw
+        found = self._new([raw[chunk.starts[i] : chunk.ends[i]].tobytes().decode("utf-8", "replace").lower() for i in missing[first].tolist()])
         out = self.table[at]
-        out[missing] = scores[back]
+        out[missing] = found[back]
         if self.rows.size + len(new) > CACHE:
             self.rows.clear()
         if len(new) <= CACHE:
-            self.table[self.rows.size : self.rows.size + len(new)] = scores
+            self.table[self.rows.size : self.rows.size + len(new)] = found
             self.rows.add(new)
         return out
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
-        languages, scores = [], []
+    def predict(self, texts: pa.Array) -> tuple[list[str], list[float], list[float | None]]:
+        """Of each text: language, its posterior, and its rate (see identify())."""
+        languages, scores, rates = [], [], []
+        k = len(self.model.languages)
         for chunk in chunks(texts, lower=True):
-            if len(self.model.languages):
-                sums = np.concatenate([np.zeros((1, len(self.model.languages))), np.cumsum(self.of(chunk), axis=0)])
+            if k:
+                sums = np.concatenate([np.zeros((1, 2 * k + 1)), np.cumsum(self.of(chunk), axis=0)])
                 total = sums[chunk.first[1:]] - sums[chunk.first[:-1]]
-                best = total.argmax(axis=1)
-                sure = 1 / np.exp(total - total[np.arange(chunk.docs), best][:, None]).sum(axis=1)
+                best = total[:, :k].argmax(axis=1)
+                row = np.arange(chunk.docs)
+                sure = 1 / np.exp(total[:, :k] - total[row, best][:, None]).sum(axis=1)
+                usual = self.model.usual[best]
+                rate = (total[row, k + best] + FEW * usual) / ((total[:, -1] + FEW) * usual)
             for d in range(chunk.docs):
                 text = texts[chunk.row + d].as_py()
-                if not text or not self.model.languages or not _letter.search(text):
+                if not text or not k or not _letter.search(text):
                     languages.append("und")
                     scores.append(0.0)
+                    rates.append(None)
                 else:
                     languages.append(self.model.languages[best[d]])
                     scores.append(float(sure[d]))
-        return languages, scores
+                    rates.append(float(rate[d]))
+        return languages, scores, rates
 
 
 def default_pieces() -> list[str]:
@@ -239,70 +321,103 @@ def held_out(id: Column) -> Column:
 
 
 def fit(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "lang", id: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Learns from at most `sample` documents of each language: those of the least hashes of the id.
+    """Learns from the whole texts of about `sample` documents of each language: those of the least hashes of the id.
 
-    Documents that are held out, and null texts, languages and ids, are not learned from. A
-    language's documents are chosen by a top-k of bounded size per task, with no shuffle of texts.
+    Documents that are held out, and null texts, languages and ids, are not learned from. Rows
+    that repeat an id are in the sample or out of it together. No texts are shuffled or sent to
+    the driver: tasks count the sampled documents' words, and the sums come.
     """
+    spark = docs.sparkSession
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(id).isNotNull() & ~held_out(F.col(id)))
-    keyed = known.select(F.col(lang).alias("lang"), F.xxhash64(F.col(id), F.lit(3)).alias("h"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("text"))
-    # thresholds first: the sample-th least hash of each language, found without texts
-    top = keyed.groupBy("lang").agg(F.count("*").alias("n"))
-    share = {r.lang: r.n for r in top.collect()}  # a row per language
-    span = 2.0**64
-    limits = {k: min(2**63 - 1, int(-(2**63) + min(1.0, 1.5 * sample / n + 10 / n) * span)) for k, n in share.items()}
-    near = None
-    for k, v in limits.items():
-        own = (F.col("lang") == k) & (F.col("h") <= v)
-        near = own if near is None else near | own
-    counts: dict[str, Counter] = {}
-    taken: Counter = Counter()
-    if near is not None:
-        for row in sorted(keyed.where(near).collect(), key=lambda r: (r.lang, r.h, r.text)):
-            if taken[row.lang] < sample:
-                taken[row.lang] += 1
-                counts.setdefault(row.lang, Counter()).update(row.text.lower().split())
+    keyed = known.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(id), F.lit(3)).alias("h"), F.col(text).alias("text"))
+    sizes = {r.lang: r.n for r in keyed.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language, as the model has
     model = Model(pieces)
-    return model.learn(counts) if counts else model
+    if not sizes:
+        return model
+    # a share of the hashes' range that holds the sample almost surely, then the sample's largest hash
+    near = spark.createDataFrame([(k, int(-(2**63) + min(1.0, 1.5 * sample / n + 10 / n) * (2.0**64 - 2**12))) for k, n in sizes.items()], "own string, near long")
+    hashes: dict[str, list[int]] = {}
+    for row in keyed.select("lang", "h").join(F.broadcast(near), (F.col("lang") == F.col("own")) & (F.col("h") <= F.col("near"))).select("lang", "h").collect():  # about 1.5 samples a language
+        hashes.setdefault(row.lang, []).append(row.h)
+    limits = spark.createDataFrame([(k, sorted(h)[:sample][-1]) for k, h in hashes.items()], "own string, most long")
+    chosen = keyed.join(F.broadcast(limits), (F.col("lang") == F.col("own")) & (F.col("h") <= F.col("most"))).select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own: Counter = Counter()
+            for language, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own.update((language, w) for w in _gaps.split(text.as_py().lower()) if w)
+            if own:
+                languages, words = zip(*own)
+                yield pa.record_batch([pa.array(languages), pa.array(words), pa.array(list(own.values()), pa.int64())], names=["lang", "word", "n"])
+
+    counts: dict[str, Counter] = {k: Counter() for k in hashes}
+    for row in chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
+        counts[row.lang][row.word] = row.n
+    return model.learn(counts)
 
 
 _scorers: dict[int, Scorer] = {}
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, *keep) per row of docs; only the text is looked at.
+def _scorer(key: int, model: Broadcast) -> Scorer:
+    """This worker's scorer of a model."""
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(model.value)
+    return _scorers[key]
+
 
-    score is the posterior probability of the language among the learned ones. Null text and
-    text without letters is `und` with 0, as is every text if nothing was learned. Whole
-    texts count, of any length. Ties go to the first language in order. Rows that repeat an id are rows of their own; columns not in
-    `keep` are ignored, whatever their names; no rows make no rows.
+def _key(model: Model) -> int:
+    return zlib.crc32(model.probability.tobytes()) ^ len(model.languages)
+
+
+def identify(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, rate) per row of docs; only the text is looked at.
+
+    score is the posterior probability of the language among the learned ones. rate tells how
+    usual the text is in that language: its log probability a character over that of learned
+    texts. 1 is usual, other languages and junk are higher; no word counts as worse than WORST,
+    and FEW usual characters are added, so that short texts need more to be unusual. Null text
+    and text without letters is `und` with score 0 and null rate, as is every text if nothing
+    was learned. Whole texts count, of any length. Ties go to the first language in order. Rows that
+    repeat an id are rows of their own; other columns are ignored, whatever their names; no
+    rows make no rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    key = zlib.crc32(model.probability.tobytes()) ^ len(model.languages)
+    held, key = docs.sparkSession.sparkContext.broadcast(model), _key(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(held.value)
-        scorer = _scorers[key]
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                languages, scores = scorer.predict(part.column(2))
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(languages, pa.string()), pa.array(scores, pa.float64()), *part.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *part.schema.names[3:]])
+                languages, scores, rates = _scorer(key, held).predict(part.column(2))
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(languages, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score", "rate"])
 
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), held_out(F.col(id)).alias("held_out"), F.col(text).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
-    kinds = ", ".join(["doc_id long, held_out boolean, lang_pred string, score double", *(f"keep_{i} {rows.schema[f'keep_{i}'].dataType.simpleString()}" for i in range(len(keep)))])
-    return rows.mapInArrow(run, kinds).withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), held_out(F.col(id)).alias("held_out"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rate double")
 
 
-#: A document is rejected below this posterior.
-SURE = 0.3
+def in_learned_languages(docs: DataFrame, model: Model, text: str = "text", limit: float = UNUSUAL) -> DataFrame:
+    """The rows of docs whose text has a rate (see identify()) of `limit` at most, with all columns as they are: a pass with no shuffle.
+
+    `und` is left out: null, empty and letterless texts, and all if nothing was learned.
+    """
+    held, key = docs.sparkSession.sparkContext.broadcast(model), _key(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rates = _scorer(key, held).predict(batch.column(text))[2]
+            yield batch.filter(pa.array([r is not None and r <= limit for r in rates], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose text is in a learned language."""
+    """The documents whose text is in a language that `lang` of these documents teaches.
+
+    Rejects by the rate, not by the posterior, which is high for one of the learned languages
+    whatever the text. Null, empty and letterless texts go; repeated rows each count; null ids
+    and languages are judged but not learned from; all columns stay as they are; no rows make no rows.
+    """
     shared.ready(spark)
-    columns = ("text", "lang", "source", "n_chars")
-    found = identify(docs, fit(docs, default_pieces()), keep=columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("doc_id", *columns)
+    return in_learned_languages(docs, fit(docs, default_pieces()))

@@ -75,7 +75,7 @@ def test_dedup_substrings(docs, none):
 def test_language(docs, none):
     pieces = langid.default_pieces()
     model = langid.fit(docs, pieces)
-    found = [tuple(r) for r in langid.identify(docs, model, keep=("source",)).select("doc_id", "held_out", "lang_pred", "score").collect()]
+    found = [tuple(r) for r in langid.identify(docs, model).select("doc_id", "held_out", "lang_pred", "score").collect()]
     assert len(found) == len(ROWS)
     by = {r[0]: r for r in found if r[0] is not None}
     for i in (3, 4, 5):
@@ -85,6 +85,35 @@ def test_language(docs, none):
     empty = langid.fit(none, pieces)
     assert langid.identify(none, empty).count() == 0
     assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
+    kept = langid.in_learned_languages(docs, model)
+    assert kept.columns == docs.columns and not {3, 4, 5} & {r.doc_id for r in kept.collect()}
+    assert langid.in_learned_languages(docs, empty).count() == 0 and langid.in_learned_languages(none, model).count() == 0
+
+
+def test_language_learns_whole_texts(spark):
+    """Words far beyond any prefix and of any length are learned from."""
+    far, long = "zyx " * 30, "qv" * 5000
+    rows = [(i, "common words " * 4000 + far + long, "xx") for i in range(30)] + [(100 + i, "other kind of text " * 50, "yy") for i in range(30)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["▁", "zyx", "▁zyx", "qv", "common", "▁common", "words", *"abcdefghijklmnopqrstuvwxyz"])
+    found = dict(zip(model.pieces.pieces, model.probability[:, model.languages.index("xx")]))
+    assert found["▁zyx"] > 1e-4 and found["qv"] > 0.1
+
+
+def test_language_stage_rejects(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    odd = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(20, 90))) for _ in range(40)]
+    odd += ["日本語のテキストです。 これは学習されていない言語です。 " * 3, "Это текст на русском языке который не изучался моделью", "12 34 --", "x1 y2 z3 q9 k7 " * 9]
+    german = docs.where("lang = 'de'").count()
+    some = docs.where("lang <> 'de'").select("doc_id", "text", "lang")
+    taught = langid.fit(some, langid.default_pieces())
+    left = langid.in_learned_languages(docs.select("doc_id", "text", "lang"), taught).groupBy("lang").count().collect()
+    left = {r["lang"]: r["count"] for r in left}
+    assert left.get("de", 0) <= 0.02 * german and sum(n for k, n in left.items() if k != "de") >= 0.995 * some.count()
+    mixed = docs.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"), allowMissingColumns=True)
+    kept = {r.doc_id for r in langid.keep_identified(spark, mixed, "").select("doc_id").collect()}
+    assert not {i for i in kept if i >= 10**6} and len(kept) >= 0.998 * docs.count()
 
 
 def test_contaminated(spark, docs, none):

@@ -256,7 +256,7 @@ def test_language_held_out_accuracy():
         if r not in held:
             counts.setdefault(r[2], collections.Counter()).update(r[1].lower().split())
     model = langid.Model(langid.default_pieces()).learn(counts, rounds=2)
-    found, sure = langid.Scorer(model).predict(pa.array([r[1] for r in held]))
+    found, sure, _ = langid.Scorer(model).predict(pa.array([r[1] for r in held]))
     assert np.mean([a == r[2] for a, r in zip(found, held)]) > 0.98 and all(0 <= x <= 1 for x in sure)
 
 
@@ -274,6 +274,24 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(model.scores(asked), [np.log(total("▁" + w)) for w in asked])
 
 
+@pytest.mark.parametrize("strip", [8192, 7])
+def test_long_words_are_summed_whole(monkeypatch, strip):
+    monkeypatch.setattr(langid, "STRIP", strip)
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "aba", "▁ab", "abababababab"]
+    model = langid.Model(pieces).learn({"x": collections.Counter({"aba": 3, "ab": 2}), "y": collections.Counter({"ba": 4})})
+    asked = ["▁" + w for w in ("abab" * 8, "abcab" * 5, "b" * 35)]
+    lattice, logs = langid.Lattice(asked, model.pieces), np.log(model.probability)
+    plain = np.log(lattice.forward(model.probability)[np.arange(3), lattice.size])
+    assert np.allclose(plain, [langid.LongWord(w, model.pieces).forward(logs) for w in asked], rtol=1e-12)
+    counts = np.array([[1.0, 2], [3, 0], [2, 2]])
+    used = np.zeros_like(model.probability)
+    for w, n in zip(asked, counts):
+        langid.LongWord(w, model.pieces).expected(logs, n, used)
+    assert np.allclose(lattice.expected(model.probability, counts), used)
+    # a word of 41 characters and one of 40 with the same sums: no bound between them
+    assert np.allclose(model.scores(["ab" * 30])[0], langid.LongWord("▁" + "ab" * 30, model.pieces).forward(logs))
+
+
 def test_neighbours_recall():
     rows = [r for r in table("embeddings", "vec_id, embedding")]
     ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
