@@ -1,13 +1,20 @@
 """Benchmark decontamination: documents that hold a passage close to a benchmark item.
 
-Method: SimHash of item-sized windows. A window's fingerprint has 64 bits, the signs of the
-summed bits of its shingles' hashes. An index over the items' fingerprints cuts them into
-RADIUS + 1 blocks of bits: two fingerprints within RADIUS bits agree in a block, so looking
-up each block finds all items within that radius. Candidates are verified by the exact
-weighted similarity of their shingle multisets.
-
-Windows that share no shingle with any item can't pass the verification; so fingerprints are
-only taken of windows around shared shingles, which is most of the saving.
+Method: SimHash of windows. A window's fingerprint has 64 bits, the signs of the summed bits of
+its shingles' hashes. Items are cut into all their windows of SPAN shingles (a shorter item is
+one window of its own size), and every window of that size of every document is looked up. The
+index cuts fingerprints into RADIUS + 1 blocks of bits: two of them within RADIUS bits agree in
+a block, so looking up each block finds all items' windows within that radius. A hit proposes an
+item and where it would begin; the item-sized windows around that place are verified by the
+exact weighted similarity of their shingle multisets.
+
+Why windows shorter than the item: two item-sized windows with a similarity of 0.8 differ in
+about 10 of 64 bits and sometimes in 20, and an index that guarantees 20 has 21 blocks of 3
+bits, whose buckets hold more candidates than there are items. But where at most a ninth of the
+shingles on each side have no partner, they leave whole runs between them: an edit of a word
+spoils five shingles in a row, so a window of n shingles with the similarity has a run of SPAN
+that is the item's, unless edits of a length below a word's are packed together. Such runs have
+a distance of 0, and RADIUS is what the lookup allows on top.
 """
 
 from __future__ import annotations
@@ -22,9 +29,13 @@ from pyspark.sql import functions as F
 
 from motioncheck.llm import shared, words
 
-WORDS, SIMILAR, RADIUS = 5, 0.8, 20
+WORDS, SIMILAR = 5, 0.8
+#: Shingles of a window, and bits in which it may differ.
+SPAN, RADIUS = 8, 3
 #: Items that are broadcast together; a larger benchmark takes a pass for each part.
 ITEMS, ITEM_BYTES = 200_000, 64 << 20
+#: Windows of a text that are fingerprinted at once, whatever its length: 64 bytes each.
+STRIP = 1 << 14
 
 #: ASCII punctuation parts words here like white space: passages are often quoted in brackets and marks.
 PLAIN = words.WHITE.copy()
@@ -42,19 +53,23 @@ def shingles_of(hashes: np.ndarray) -> np.ndarray:
     return words.ngrams(hashes, WORDS)
 
 
-def signs(shingles: np.ndarray) -> np.ndarray:
-    """Each shingle's 64 bits as 1 and -1."""
+def window_fingerprints(shingles: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of all windows of `size` shingles in a row."""
+    n = len(shingles) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
     bits = np.unpackbits(words.mix(shingles).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return bits.astype(np.int32) * 2 - 1
-
-
-def fingerprints(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=-1, bitorder="little").reshape(-1, 8).copy().view(np.uint64).ravel()
-
-
-def window_fingerprints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprints of the windows of `size` shingles at some starts, from running sums of signs."""
-    return fingerprints(sums[starts + size] - sums[starts])
+    # sums of 1, 2, 4... bits in a row, put together to `size` of them
+    total, have, power, width = None, 0, bits, 1
+    while True:
+        if size & width:
+            part = power[have : have + n]
+            total = part.copy() if total is None else total + part
+            have += width
+        if width * 2 > size:
+            break
+        power, width = power[:-width] + power[width:], width * 2
+    return np.packbits(total > size // 2, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 class HammingIndex:
@@ -66,20 +81,26 @@ class HammingIndex:
         for a, b in zip(_CUTS, _CUTS[1:]):
             key = self._key(prints, a, b)
             order = np.argsort(key, kind="stable")
-            self.tables.append((a, b, np.searchsorted(key[order], np.arange((1 << (b - a)) + 1)), order))
+            cut = np.searchsorted(key[order], np.arange((1 << (b - a)) + 1)).astype(np.int32)
+            self.tables.append((a, b, cut, np.diff(cut) > 0, order))
 
     @staticmethod
     def _key(prints: np.ndarray, a: int, b: int) -> np.ndarray:
-        return ((prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
+        return ((prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int32)
+
+    def candidates(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, item) of those that agree in a block, for each block."""
+        for a, b, cut, some, order in self.tables:
+            key = self._key(prints, a, b)
+            query = np.flatnonzero(some[key])
+            key = key[query]
+            count = cut[key + 1] - cut[key]
+            yield np.repeat(query, count), order[words.spread(cut[key].astype(np.int64), count.astype(np.int64))]
 
     def within(self, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
         """(query, item) pairs of all fingerprints within the radius, RADIUS at most."""
         found = []
-        for a, b, cut, order in self.tables:
-            key = self._key(prints, a, b)
-            count = cut[key + 1] - cut[key]
-            query = np.repeat(np.arange(len(prints)), count)
-            item = order[words.spread(cut[key], count)]
+        for query, item in self.candidates(prints):
             near = np.bitwise_count(prints[query] ^ self.prints[item]) <= radius
             found.append(query[near] * len(self.prints) + item[near])
         pairs = words.distinct(np.concatenate(found))
@@ -93,76 +114,82 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / whole if whole else 0.0
 
 
+def shift(width: int, size: int) -> int:
+    """How far a window of `width` with the similarity to an item of `size` may lie from where the item would begin by a shared run.
+
+    Shingles that one side has more before the run have no partner, and at most so many haven't.
+    Below 0: such a window can't have the similarity.
+    """
+    need = int(np.ceil(SIMILAR * (width + size) / (1 + SIMILAR) - 1e-9))
+    return size - need if need <= width else -1
+
+
 class Items:
-    """A benchmark's items, indexed by length and fingerprint."""
+    """A benchmark's items, and an index of their windows for each size of window."""
 
     def __init__(self, rows: list[tuple]):
-        self.ids, self.counts, sizes, prints = [], [], [], []
-        every = []
+        self.ids: list[int] = []
+        self.counts: list[Counter] = []
+        self.sizes: list[int] = []
+        prints, owners, places = defaultdict(list), defaultdict(list), defaultdict(list)
         texts = pa.array([text for _, text in rows], pa.string())
         for chunk in words.chunks(texts, lower=True, white=PLAIN):
             for d in range(chunk.docs):
                 own = shingles_of(chunk.hashes[chunk.first[d] : chunk.first[d + 1]])
                 if len(own):
+                    size = min(SPAN, len(own))
+                    found = window_fingerprints(own, size)
+                    prints[size].append(found)
+                    owners[size].append(np.full(len(found), len(self.ids)))
+                    places[size].append(np.arange(len(found)))
                     self.ids.append(rows[chunk.row + d][0])
                     self.counts.append(Counter(own.tolist()))
-                    sizes.append(len(own))
-                    prints.append(fingerprints(signs(own).sum(axis=0)[None])[0])
-                    every.append(own)
-        self.sizes = np.array(sizes, np.int64)
-        self.shingles = words.distinct(np.concatenate(every)) if every else np.zeros(0, np.uint64)
-        self.some = np.zeros(1 << 22, bool)
-        self.some[(self.shingles & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        # items that hold a shingle, and an index for each length
-        self.holders: dict[int, set[int]] = defaultdict(set)
-        for i, own in enumerate(every):
-            for x in own.tolist():
-                self.holders[x].add(int(self.sizes[i]))
-        self.groups = {int(n): (np.flatnonzero(self.sizes == n), HammingIndex(np.array(prints, np.uint64)[self.sizes == n])) for n in set(sizes)}
-
-    def hits(self, shingles: np.ndarray) -> np.ndarray:
-        """Where a shingle is any item's."""
-        maybe = np.flatnonzero(self.some[(shingles & np.uint64((1 << 22) - 1)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.shingles, shingles[maybe]), max(0, len(self.shingles) - 1))
-        return maybe[self.shingles[at] == shingles[maybe]] if len(self.shingles) else maybe[:0]
-
-    def matches(self, own: np.ndarray, hits: np.ndarray) -> list[tuple[int, int, float]]:
-        """(item, first shingle, similarity) of each item's best window in a document, SIMILAR or more."""
-        by_size: dict[int, list[int]] = defaultdict(list)
-        for h in hits.tolist():
-            for size in self.holders[int(own[h])]:
-                by_size[size].append(h)
-        best: dict[int, tuple[float, int]] = {}
-        # hits are near one another or far: running sums are taken over each near group
-        for size, at in by_size.items():
-            members, index = self.groups[size]
-            width = min(size, len(own))
-            if width < SIMILAR * size:
-                continue
-            near = np.array(at)
-            # a window with the similarity has this many of the item's shingles, or it can't reach it
-            need = int(np.ceil(2 * SIMILAR / (1 + SIMILAR) * (width + size) / 2 - 1e-9))
-            starts = words.distinct(np.clip((near[:, None] - np.arange(width)).ravel(), 0, len(own) - width))
-            held = np.searchsorted(near, starts + width) - np.searchsorted(near, starts)
-            starts = starts[held >= need]
-            if not len(starts):
-                continue
-            low, high = int(starts[0]), int(starts[-1]) + width
-            if high - low > 4 * len(starts) * width:  # sparse: one running sum for each run of starts
-                runs = np.split(starts, np.flatnonzero(np.diff(starts) > width) + 1)
-            else:
-                runs = [starts]
-            for run in runs:
-                low, high = int(run[0]), int(run[-1]) + width
-                sums = np.zeros((high - low + 1, 64), np.int32)
-                np.cumsum(signs(own[low:high]), axis=0, out=sums[1:])
-                query, item = index.within(window_fingerprints(sums, run - low, width))
-                for q, i in zip(query.tolist(), item.tolist()):
-                    item_no, start = int(members[i]), int(run[q])
-                    value = similarity(Counter(own[start : start + width].tolist()), self.counts[item_no])
-                    if value >= SIMILAR and value > best.get(item_no, (0.0, 0))[0]:
-                        best[item_no] = (value, start)
-        return [(i, start, value) for i, (value, start) in sorted(best.items())]
+                    self.sizes.append(len(own))
+        #: size of window -> index, and each print's item and place in it
+        self.groups = {size: (HammingIndex(np.concatenate(found)), np.concatenate(owners[size]), np.concatenate(places[size])) for size, found in prints.items()}
+        #: a text with fewer shingles than SPAN may be close to these items, as a whole, though it has no window of their size
+        self.few = {n: [i for i, size in enumerate(self.sizes) if n < size <= n / SIMILAR] for n in range(1, SPAN)}
+
+    def proposals(self, own: np.ndarray) -> dict[int, set[int]]:
+        """Item -> where its windows may begin in a text's shingles."""
+        starts: dict[int, set[int]] = {i: {0} for i in self.few.get(len(own), ())}
+        for size, (index, owners, places) in self.groups.items():
+            for low in range(0, len(own) - size + 1, STRIP):
+                query, hit = index.within(window_fingerprints(own[low : low + STRIP + size - 1], size))
+                for at, item, place in zip((low + query).tolist(), owners[hit].tolist(), places[hit].tolist()):
+                    width = min(self.sizes[item], len(own))
+                    slack = shift(width, self.sizes[item])
+                    if slack >= 0:
+                        last = len(own) - width
+                        starts.setdefault(item, set()).update(range(min(last, max(0, at - place - slack)), min(last, max(0, at - place + slack)) + 1))
+        return starts
+
+    def matches(self, own: np.ndarray) -> list[tuple[int, int, float]]:
+        """(item, first shingle, similarity) of each item's best window in a text, SIMILAR or more; the first of equal ones."""
+        out = []
+        for item, starts in sorted(self.proposals(own).items()):
+            counts, width = self.counts[item], min(self.sizes[item], len(own))
+            best, at, last = (0.0, 0), None, None
+            for start in sorted(starts):
+                if at is None or start - at > width:
+                    window = own[start : start + width].tolist()
+                    have = Counter(x for x in window if x in counts)
+                    both = sum(min(n, counts[x]) for x, n in have.items())
+                else:  # the window moves on, shingle by shingle
+                    for gone, come in zip(own[at:start].tolist(), own[at + width : start + width].tolist()):
+                        if gone in counts:
+                            both -= have[gone] <= counts[gone]
+                            have[gone] -= 1
+                        if come in counts:
+                            both += have[come] < counts[come]
+                            have[come] += 1
+                at = start
+                value = both / (width + self.sizes[item] - both)
+                if value >= SIMILAR - 1e-12 and value > best[0]:
+                    best, last = (value, start), start
+            if last is not None:
+                out.append((item, best[1], best[0]))
+        return out
 
 
 def item_parts(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> Iterator[list[tuple]]:
@@ -175,15 +202,28 @@ def item_parts(benchmark: DataFrame, id: str = "item_id", text: str = "text") ->
         yield [(r.id, r.text) for r in part.collect()]
 
 
+def _hit(items: Items, chunk: words.Chunk) -> np.ndarray:
+    """Documents of a chunk that have a window that hits the index, and those with too few words for one."""
+    some = (chunk.counts > 0) & (chunk.counts < WORDS + SPAN - 1)
+    if min(items.sizes) > SPAN / SIMILAR:
+        some[:] = False
+    for size, (index, _, _) in items.groups.items():
+        grams = words.ngrams(chunk.hashes, WORDS)
+        for low in range(0, len(grams) - size + 1, STRIP):
+            prints = window_fingerprints(grams[low : low + STRIP + size - 1], size)
+            for query, item in index.candidates(prints):
+                near = query[np.bitwise_count(prints[query] ^ index.prints[item]) <= RADIUS]
+                some[np.searchsorted(chunk.first, low + near, "right") - 1] = True
+    return np.flatnonzero(some)
+
+
 def matches_of(items: Items, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
     """(row, matches) of the texts that hold items."""
+    if not items.ids:
+        return
     for chunk in words.chunks(texts, lower=True, white=PLAIN):
-        at = items.hits(words.ngrams(chunk.hashes, WORDS))
-        some = set(words.distinct(chunk.doc_of_word()[at]).tolist()) | set(np.flatnonzero((chunk.counts > 0) & (chunk.counts < WORDS)).tolist())
-        for d in sorted(some):
-            own = shingles_of(chunk.hashes[chunk.first[d] : chunk.first[d + 1]])
-            hits = items.hits(own)
-            found = items.matches(own, hits) if len(hits) else []
+        for d in _hit(items, chunk).tolist():
+            found = items.matches(shingles_of(chunk.hashes[chunk.first[d] : chunk.first[d + 1]]))
             if found:
                 yield chunk.row + d, found
 
@@ -194,9 +234,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
     Words are runs of characters that are neither white space nor ASCII punctuation, A-Z
     lower-cased. A document holds an item when a window of the item's length (or the whole
     document, if shorter) has a weighted 5-word shingle similarity of 0.8 or more with it; the
-    best window is reported, the first of equal ones. Texts and items that are null or have no words hold and
-    match nothing. Null ids are reported as null; rows that repeat an id each count; other columns are ignored, whatever
-    their names; no rows make no rows.
+    best window is reported, the first of equal ones. An item of fewer than five words is one
+    shingle of its own, which only a document of just these words holds: a word or two would be
+    found everywhere. Texts and items that are null or have no words hold and match nothing.
+    Null ids are reported as null; rows that repeat an id each count; other columns are ignored,
+    whatever their names; no rows make no rows. Memory is a strip of windows, whatever a text's length.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -235,6 +277,10 @@ def without(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item."""
+    """The documents that hold no benchmark item (see contaminated()).
+
+    Null, empty and wordless texts stay, repeated rows each count, all columns stay as they
+    are, and no rows make no rows.
+    """
     shared.ready(spark)
     return without(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -166,39 +166,86 @@ def test_many_open_windows():
 
 def test_hamming_index():
     rng = np.random.default_rng(2)
-    items = rng.integers(0, 1 << 63, 300).astype(np.uint64)
-    asked = items[:50] ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 26), replace=False)) for _ in range(50)], np.uint64)
-    query, item = decontam.HammingIndex(items).within(asked)
-    want = {(q, i) for q, x in enumerate(asked) for i, y in enumerate(items) if int(x ^ y).bit_count() <= decontam.RADIUS}
-    assert set(zip(query.tolist(), item.tolist())) == want
+    items = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    asked = items[:500] ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(500)], np.uint64)
+    index = decontam.HammingIndex(items)
+    query, item = index.within(asked)
+    near = np.bitwise_count(asked[:, None] ^ items[None])
+    assert set(zip(query.tolist(), item.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(near <= decontam.RADIUS))))
+    # the index prunes: it fetches a small share of the items
+    assert sum(len(q) for q, _ in index.candidates(asked)) < 0.01 * len(asked) * len(items)
 
 
-def test_edited_passages():
-    items = table("benchmark", "item_id, text")
-    rng = random.Random(1)
-    built = decontam.Items(items)
+@pytest.mark.parametrize("size", range(1, 9))
+def test_window_fingerprints(size):
+    own = words.mix(np.arange(40, dtype=np.uint64))
+    bits = [[int(words.mix(own)[i]) >> b & 1 for b in range(64)] for i in range(40)]
+    want = [sum((sum(bits[i + j][b] for j in range(size)) > size // 2) << b for b in range(64)) for i in range(41 - size)]
+    assert decontam.window_fingerprints(own, size).tolist() == want
+
+
+def plain_shingles(text: str) -> list[tuple]:
+    text = "".join(" " if ord(c) < 128 and decontam.PLAIN[ord(c)] else c.lower() if "A" <= c <= "Z" else c for c in text).split()
+    return [tuple(text[i : i + 5]) for i in range(len(text) - 4)]
+
 
-    def shingles(text: str) -> list[tuple]:
-        text = "".join(" " if ord(c) < 128 and decontam.PLAIN[ord(c)] else c.lower() if "A" <= c <= "Z" else c for c in text).split()
-        return [tuple(text[i : i + 5]) for i in range(len(text) - 4)]
+def plain_best(own: list[tuple], item: list[tuple]) -> float:
+    size = min(len(item), len(own))
+    counts = collections.Counter(item)
+    return max((decontam.similarity(collections.Counter(own[s : s + size]), counts) for s in range(len(own) - size + 1)), default=0) if own else 0
 
-    counts = {i: collections.Counter(shingles(t)) for i, t in items}
+
+@pytest.mark.parametrize("seed", range(4))
+def test_edited_passages(monkeypatch, seed):
+    """The same documents and items as the exact similarity of every window: nothing is lost by the index."""
+    monkeypatch.setattr(decontam, "STRIP", 50)
+    rng = random.Random(seed)
+    items = table("benchmark", "item_id, text")
+    if seed % 2:  # items of all sizes, with words that come again and again
+        items = [(i, " ".join(rng.choice("a b c d e f g h".split()) + str(rng.randrange(4)) for _ in range(rng.choice([5, 6, 8, 9, 11, 12, 13, 14, 17, 22, 30, 90, 300])))) for i in range(40)]
+    built = decontam.Items(items)
+    known = {i: plain_shingles(t) for i, t in items}
     made = []
-    for _ in range(400):
+    for _ in range(300):
         i, text = rng.choice(items)
         own = text.split()
-        for _ in range(rng.randint(0, 3)):
-            p = rng.randrange(len(own))
-            own[p : p + rng.randint(0, 1)] = ["edited"] * rng.randint(0, 1)
-        pad = [f"pad{rng.random()}" for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 3 + len(own) // 40)):
+            p = rng.randrange(len(own)) if own else 0
+            own[p : p + rng.randint(0, 1)] = [rng.choice(["edited", own[p] if p < len(own) else "x"])] * rng.randint(0, 1)
+        pad = [f"pad{rng.random()}" for _ in range(rng.choice([0, 0, 5, 60, 200]))]
         k = rng.randint(0, len(pad))
         made.append((i, " ".join(pad[:k] + own + pad[k:])))
-    found = {(row, built.ids[i]) for row, some in decontam.matches_of(built, pa.array([t for _, t in made])) for i, _, _ in some}
-    for n, (i, text) in enumerate(made):
-        own = shingles(text)
-        size = min(sum(counts[i].values()), len(own))
-        best = max(decontam.similarity(collections.Counter(own[s : s + size]), counts[i]) for s in range(len(own) - size + 1)) if own else 0
-        assert (best >= 0.8) == ((n, i) in found)
+    found = {(row, built.ids[i]): value for row, some in decontam.matches_of(built, pa.array([t for _, t in made])) for i, _, value in some}
+    want = {}
+    for n, (_, text) in enumerate(made):
+        own = plain_shingles(text)
+        for i, item in known.items():
+            best = plain_best(own, item) if item and len(own) >= 0.8 * len(item) else 0
+            if best >= 0.8 - 1e-12:
+                want[n, i] = best
+    assert len(want) > 100 and found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_short_items_and_texts():
+    items = decontam.Items([(1, "one two three four"), (2, "a b c d e f g h i j"), (3, ""), (4, None)])
+    texts = ["one two three four", "One, two three (four)", "one two three four five", "a b c d e f g h i", "a b c d e f g", "x a b c d e f g h i j x", "", None]
+    assert [(row, [items.ids[i] for i, _, _ in some]) for row, some in decontam.matches_of(items, pa.array(texts))] == [(0, [1]), (1, [1]), (3, [2]), (5, [2])]
+
+
+def test_long_text_with_a_late_passage():
+    (i, text), *_ = table("benchmark", "item_id, text")
+    long = " ".join(f"w{n % 977}x{n % 13}" for n in range(300_000))
+    (row, ((item, start, value),)), = decontam.matches_of(decontam.Items([(i, text)]), pa.array([f"{long} {text} {long}"]))
+    assert (row, item, start, value) == (0, 0, 300_000, 1.0)
+
+
+def test_parts_of_a_benchmark(spark, monkeypatch):
+    docs = spark.createDataFrame([(n, f"pad {n} pad {t} end") for n, t in table("benchmark", "item_id, text")], "doc_id long, text string")
+    items = spark.createDataFrame(table("benchmark", "item_id, text"), "item_id long, text string")
+    whole = sorted(tuple(r) for r in decontam.contaminated(docs, items).collect())
+    monkeypatch.setattr(decontam, "ITEMS", 9)
+    assert len(list(decontam.item_parts(items))) == 5 and sorted(tuple(r) for r in decontam.contaminated(docs, items).collect()) == whole and len(whole) >= 40
+    assert decontam.without(docs, items).count() == 0
 
 
 def test_suffix_array():
