@@ -239,3 +239,15 @@ def test_neighbours(spark):
     found = sorted(tuple(r) for r in neighbours.nearest(df).collect())
     assert found == [(0, 1, 1, 1.0), (0, 2, 50, 1.0), (0, 3, 2, 0.0), (50, 1, 0, 1.0), (50, 2, 1, 1.0), (50, 3, 2, 0.0)]
     assert neighbours.nearest(df.where("false")).count() == 0
+
+
+def test_neighbours_of_repeated_ids_and_vectors(spark):
+    """One vector with most rows; ids with two vectors, as candidates and as queries."""
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(300)] + [(1000 + i, [3.0, 1.0, float(i)]) for i in range(20)] + [(50, [3.0, 1.0, 4.0]), (1003, [1.0, 2.0, 3.0]), (1003, [1.0, 2.0, 3.0])]
+    found = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    assert found[0] == [(i, 1.0) for i in (1, 2, 3, 4, 5)]
+    # by its second vector 50 is near 1004 too; the cosines of equal vectors differ in their last bits
+    assert {x for _, x in found[50]} == {1.0} and {i for i, _ in found[50]} <= {0, 1, 2, 3, 4, 1004}
+    assert found[100] == [(i, 1.0) for i in (0, 1, 2, 3, 4)] and len(found) == 7

@@ -339,23 +339,66 @@ def test_long_words_are_summed_whole(monkeypatch, strip):
     assert np.allclose(model.scores(["ab" * 30])[0], langid.LongWord("▁" + "ab" * 30, model.pieces).forward(logs))
 
 
-def test_neighbours_recall():
+def nearest_by_force(ids: np.ndarray, v: np.ndarray, every: int, k: int = 5) -> dict[int, list[tuple[int, float]]]:
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    out = {}
+    for q in np.flatnonzero(ids % every == 0):
+        cosine = unit @ unit[q]
+        order = [i for i in np.lexsort((ids, -cosine)).tolist() if ids[i] != ids[q]][:k]
+        out[int(ids[q])] = [(int(ids[i]), float(cosine[i])) for i in order]
+    return out
+
+
+def recall(found: list, best: dict) -> float:
+    """The share of queries' true neighbours that are found, or others as near."""
+    got = collections.defaultdict(list)
+    for q, _, i, x in found:
+        got[q].append(x)
+    return float(np.mean([sum(x >= own[-1][1] - 1e-9 for x in got[q]) / len(own) for q, own in best.items()]))
+
+
+@pytest.mark.parametrize("cell", [12_000, 60])
+def test_neighbours_recall(spark, monkeypatch, cell):
+    """Over several cells and blocks of queries too, against brute force."""
+    monkeypatch.setattr(neighbours, "CELL", cell)
+    monkeypatch.setattr(neighbours, "BLOCK", 7 if cell == 60 else 50_000)
     rows = [r for r in table("embeddings", "vec_id, embedding")]
-    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     rng = np.random.default_rng(7)
-    near = v[:40] + rng.standard_normal((40, v.shape[1])) * 0.05
-    ids, v = np.concatenate([ids, 10_000 + np.arange(40)]), np.concatenate([v, near])
-    asked = ids % 5 == 0
-    directions = rng.standard_normal((v.shape[1], neighbours.DIMENSIONS))
-    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    best = {int(q): set(ids[ids != q][np.argsort(-(unit[ids != q] @ unit[ids == q][0]), kind="stable")[:5]].tolist()) for q in ids[asked]}
-    got = collections.defaultdict(set)
-    for q, i, _ in neighbours.search(ids, v, ids[asked], v[asked], 5, neighbours.quantile(neighbours.CONFIDENCE, neighbours.DIMENSIONS), directions):
-        got[q].add(i)
-    assert np.mean([len(got[q] & best[q]) / 5 for q in best]) >= 0.9
+    near = [(10_000 + i, (np.array(v) + rng.standard_normal(len(v)) * 0.05).astype(np.float32).tolist()) for i, v in rows[:40]]
+    ids, v = np.array([r[0] for r in rows + near]), np.array([r[1] for r in rows + near], float)
+    best = nearest_by_force(ids, v, 5)
+    found = [tuple(r) for r in neighbours.nearest(spark.createDataFrame(rows + near, "vec_id long, embedding array<float>"), every=5).collect()]
+    by = {(q, i): x for q, own in nearest_by_force(ids, v, 5, len(ids)).items() for i, x in own}
+    assert sorted((q, r) for q, r, _, _ in found) == [(q, r) for q in sorted(best) for r in range(1, 6)]
+    assert all(abs(by[q, i] - x) < 1e-12 for q, _, i, x in found)
+    assert recall(found, best) >= 0.9
+
+
+def test_neighbours_are_incremental():
+    """The stopping test spares most rows where neighbours are near, many where they are not, and rows come by projected distance."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((60, 64))
+    for rows, most in ((np.repeat(centres, 100, axis=0) + 0.3 * rng.standard_normal((6000, 64)), 0.1), (rng.standard_normal((6000, 64)), 0.7)):
+        ids, on = np.arange(len(rows)), neighbours.directions(64, neighbours.DIMENSIONS, 7)
+        index, points = neighbours.Index(ids, rows, on), neighbours.projected(rows, on)
+        away = np.concatenate([x for _, _, x in index.incremental(points[0])])
+        assert len(away) == len(rows) and (np.diff(away) >= 0).all()
+        best = nearest_by_force(ids, rows, 60)
+        test = neighbours.quantile(neighbours.CONFIDENCE, neighbours.DIMENSIONS)
+        found = [(q, 0, i, -x) for q in best for x, i in index.search(rows[q], points[q], 6, test) if i != q]
+        assert index.verified <= most * len(rows) * len(best) and recall(found, best) >= 0.9
     assert abs(neighbours.chi_square(15.507, 8) - 0.95) < 1e-4
 
 
+def test_cells_fill_the_space():
+    rng = np.random.default_rng(5)
+    points = rng.standard_normal((4000, 6))
+    cells = neighbours.Cells(points[:500], 4, 6)
+    own = cells.of(points)
+    assert ((points > cells.low[own]) | (cells.low[own] == -np.inf)).all() and (points <= cells.high[own]).all()
+    assert np.bincount(own, minlength=16).min() > 100
+
+
 def test_word_table():
     rng = np.random.default_rng(3)
     have = words.WordTable(1000)
