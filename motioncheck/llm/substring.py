@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from motioncheck.llm import shared, words
 from motioncheck.llm.fm_index import FMIndex
+from motioncheck.llm.suffixes import digests, pack_stretches, unpack_stretches
 
 WIDTH = 13
 #: Words of the hashes whose least is a window's minimizer.
@@ -36,31 +37,12 @@ COPY = -1
 INDEXED = 1_500_000
 
 
-def _minimizers(chunk: words.Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The index of each window's first word, and the window's minimizer."""
-    grams = words.ngrams(chunk.hashes, GRAM)
-    n = len(chunk.hashes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least = grams[:n].copy()
-    for j in range(1, width - GRAM + 1):
-        np.minimum(least, grams[j : j + n], out=least)
-    left = np.repeat(chunk.first[1:], chunk.counts)[:n] - np.arange(n)
-    whole = np.flatnonzero(left >= width)
-    return whole, least[whole]
-
-
-def _runs(starts: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Where a run of consecutive windows with one minimizer begins."""
-    return np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)])) if len(starts) else starts
-
-
 def _posts(docs: DataFrame, width: int, bits: int) -> DataFrame:
     def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch | None]:
         keys = batch.column(1).to_numpy().view(np.uint64)
         for chunk in words.chunks(batch.column(2)):
-            starts, least = _minimizers(chunk, width)
-            at = _runs(starts, least)
+            starts, least = words.minimizers(chunk, width, GRAM)
+            at = words.runs(starts, least)
             yield shared.pack(least[at], bits, keys[chunk.row + chunk.doc_of_word()[starts[at]]])
 
     return docs.mapInArrow(lambda batches: shared.each(batches, make), shared.BLOCKS)
@@ -74,68 +56,34 @@ def _stretches(docs: DataFrame, marks: np.ndarray, width: int, bits: int) -> Dat
         ids, keys = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
         null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
         for chunk in words.chunks(batch.column(2)):
-            starts, least = _minimizers(chunk, width)
+            starts, least = words.minimizers(chunk, width, GRAM)
             doc = chunk.doc_of_word()
             keep = shared.marked(held.value, least) & ~null[chunk.row + doc[starts]] if len(starts) else np.zeros(0, bool)
             starts, least = starts[keep], least[keep]
-            at = _runs(starts, least)
+            at = words.runs(starts, least)
             if len(at):
                 begins = starts[at]
                 lengths = np.diff(np.append(at, len(starts))) + width - 1
                 row = doc[begins]
-                yield _pack(least[at], bits, chunk.hashes, begins, lengths, ids[chunk.row + row], keys[chunk.row + row], begins - chunk.first[row])
+                yield pack_stretches(least[at], bits, chunk.hashes, begins, lengths, ids[chunk.row + row], keys[chunk.row + row], begins - chunk.first[row])
 
     return docs.mapInArrow(lambda batches: shared.each(batches, make), shared.BLOCKS)
 
 
-def _pack(least: np.ndarray, bits: int, hashes: np.ndarray, begins: np.ndarray, lengths: np.ndarray, ids: np.ndarray, keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    bucket = (least >> np.uint64(64 - bits)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
-    blocks = []
-    for a, b in zip(cuts, cuts[1:]):
-        own = order[a:b]
-        text = hashes[_spread(begins[own], lengths[own])]
-        # 48 bits of a word's hash
-        blocks.append(b"".join([np.uint32(b - a).tobytes(), ids[own].tobytes(), keys[own].tobytes(), places[own].astype(np.uint32).tobytes(), lengths[own].astype(np.uint32).tobytes(), (text >> np.uint64(32)).astype(np.uint32).tobytes(), ((text >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()]))
-    return pa.record_batch([pa.array(bucket[order[cuts[:-1]]]), pa.array(blocks, pa.binary())], names=["bucket", "block"])
-
-
-def _unpack(blocks: list[bytes]) -> tuple[np.ndarray, ...]:
-    parts: list[tuple] = []
-    for x in blocks:
-        n, at, own = int(np.frombuffer(x, np.uint32, 1)[0]), 4, []
-        for kind in (np.int64, np.int64, np.uint32, np.uint32):
-            own.append(np.frombuffer(x, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-        total = int(own[3].sum())
-        high, low = np.frombuffer(x, np.uint32, total, at), np.frombuffer(x, np.uint16, total, at + 4 * total)
-        parts.append((*own, high.astype(np.uint64) << np.uint64(16) | low))
-    return tuple(np.concatenate(p) for p in zip(*parts))
-
-
-def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
 def repeated(ids: np.ndarray, places: np.ndarray, lengths: np.ndarray, text: np.ndarray, width: int, indexed: int = INDEXED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a shard's stretches: entry, and the range of the document's words (from, to) that repeat a smaller id's."""
     lengths = lengths.astype(np.int64)
     ends = np.cumsum(lengths)
     firsts = ends - lengths
     # equal stretches are one, with the least id
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(words.mix(text) * words.powers(np.uint64(0xD1342543DE82EF95), len(text)))])
-    inverse = words.powers(np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64)), len(text) + 1)
-    digest = words.mix((sums[ends] - sums[firsts]) * inverse[firsts] + lengths.astype(np.uint64))
-    _, one, of = np.unique(digest, return_index=True, return_inverse=True)
+    _, one, of = np.unique(digests(text, firsts, lengths), return_index=True, return_inverse=True)
     least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, of, ids)
     size = lengths[one]
-    own = text[_spread(firsts[one], size)]
+    own = text[words.spread(firsts[one], size)]
     at = np.cumsum(size) - size
     windows = size - width + 1
-    starts = _spread(at, windows)
+    starts = words.spread(at, windows)
     best = np.full(len(starts), np.iinfo(np.int64).max)
     parts = np.concatenate([[0], np.flatnonzero(np.diff((at + size) // indexed)) + 1, [len(one)]])
     for a, b in zip(parts, parts[1:]):
@@ -148,7 +96,7 @@ def repeated(ids: np.ndarray, places: np.ndarray, lengths: np.ndarray, text: np.
     window_at = np.cumsum(windows) - windows
     count = windows[of]
     entry = np.repeat(np.arange(len(ids)), count)
-    offset = _spread(np.zeros(len(ids), np.int64), count)
+    offset = words.spread(np.zeros(len(ids), np.int64), count)
     hit = best[window_at[of[entry]] + offset] < ids[entry]
     entry, offset = entry[hit], offset[hit]
     if not len(entry):
@@ -162,7 +110,7 @@ def repeated(ids: np.ndarray, places: np.ndarray, lengths: np.ndarray, text: np.
 def _ranges(stretches: DataFrame, width: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blocks in shared.by_bucket(batches):
-            ids, keys, places, lengths, text = _unpack(blocks)
+            ids, keys, places, lengths, text = unpack_stretches(blocks)
             entry, low, high = repeated(ids, places.astype(np.int64), lengths, text, width)
             yield pa.record_batch([pa.array(ids[entry]), pa.array(keys[entry]), pa.array(low << 32 | high)], names=["id", "key", "range"])
 

@@ -1,17 +1,54 @@
-"""A suffix array of several token streams, and the long substrings that distinct streams share."""
+"""Stretches of words that are dealt by a minimizer, suffix arrays of them, and the long substrings that distinct owners share."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
+from motioncheck.llm import words
 
-def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order, and for each its longest common prefix with the one before (Kasai)."""
+
+def pack_stretches(least: np.ndarray, bits: int, hashes: np.ndarray, begins: np.ndarray, lengths: np.ndarray, ids: np.ndarray, keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """Rows of (bucket, block): stretches of hashed words, by the top bits of their minimizer, with two 64-bit values and a place."""
+    bucket = (least >> np.uint64(64 - bits)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
+    blocks = []
+    for a, b in zip(cuts, cuts[1:]):
+        own = order[a:b]
+        text = hashes[words.spread(begins[own], lengths[own])]
+        # 48 bits of a word's hash
+        blocks.append(b"".join([np.uint32(b - a).tobytes(), ids[own].tobytes(), keys[own].tobytes(), places[own].astype(np.uint32).tobytes(), lengths[own].astype(np.uint32).tobytes(), (text >> np.uint64(32)).astype(np.uint32).tobytes(), ((text >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()]))
+    return pa.record_batch([pa.array(bucket[order[cuts[:-1]]]), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
+
+def unpack_stretches(blocks: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(ids, keys, places, lengths, words) of blocks made by pack_stretches()."""
+    parts: list[tuple] = []
+    for x in blocks:
+        n, at, own = int(np.frombuffer(x, np.uint32, 1)[0]), 4, []
+        for kind in (np.int64, np.int64, np.uint32, np.uint32):
+            own.append(np.frombuffer(x, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+        total = int(own[3].sum())
+        high, low = np.frombuffer(x, np.uint32, total, at), np.frombuffer(x, np.uint16, total, at + 4 * total)
+        parts.append((*own, high.astype(np.uint64) << np.uint64(16) | low))
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def digests(text: np.ndarray, firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of each stretch's words."""
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(words.mix(text) * words.powers(np.uint64(0xD1342543DE82EF95), len(text)))])
+    inverse = words.powers(np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64)), len(text) + 1)
+    return words.mix((sums[firsts + lengths] - sums[firsts]) * inverse[firsts] + lengths.astype(np.uint64))
+
+
+def suffix_array(symbols: np.ndarray) -> np.ndarray:
+    """The suffixes in order, by prefix doubling."""
     n = len(symbols)
     rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    width = 1
-    order = np.argsort(rank, kind="stable")
-    while rank.max() < n - 1:
+    width, order = 1, np.argsort(rank, kind="stable")
+    while n and rank.max() < n - 1:
         second = np.zeros(n, np.int64)
         if width < n:
             second[: n - width] = rank[width:] + 1
@@ -19,44 +56,50 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(key, kind="stable")
         rank[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) > 0)])
         width *= 2
-    rank[order] = np.arange(n)
-    text, place, order_list = symbols.tolist(), rank.tolist(), order.tolist()
-    common, h = [0] * n, 0
-    for i in range(n):
-        r = place[i]
-        if r:
-            j = order_list[r - 1]
-            while i + h < n and j + h < n and text[i + h] == text[j + h]:
-                h += 1
-            common[r] = h
-            h -= h > 0
-        else:
-            h = 0
-    return order, np.array(common)
-
-
-def repeated_tokens(streams: list[list], least: int) -> list[np.ndarray]:
-    """For each stream, which of its tokens a substring of `least` tokens or more covers that another stream has too."""
+    return order
+
+
+def repeated_starts(text: np.ndarray, lengths: np.ndarray, low: np.ndarray, high: np.ndarray, least: int) -> np.ndarray:
+    """Where in some streams (one after another) a substring of `least` symbols begins that two owners have.
+
+    low and high: the least and the largest owner of each stream. The suffix array of the streams,
+    each followed by a symbol of its own, has equal substrings side by side.
+    """
+    if not len(text):
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(lengths)
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(text)) + of  # in the streams with separators
+    symbols = np.full(len(text) + len(lengths), -1, np.int64)
+    symbols[at] = np.unique(text, return_inverse=True)[1]
+    gaps = np.flatnonzero(symbols < 0)
+    symbols[gaps] = -1 - np.arange(len(gaps))
+    owner = np.repeat(np.arange(len(lengths)), lengths + 1)
+    order = suffix_array(symbols)
+    # suffixes side by side that agree in `least` symbols; one past the end agrees with none
+    padded = np.concatenate([symbols, np.full(least, -1 - len(gaps))])
+    alike = np.ones(len(order) - 1, bool)
+    for j in range(least):
+        alike &= padded[order[1:] + j] == padded[order[:-1] + j]
+    edges = np.flatnonzero(np.concatenate([[True], ~alike]))
+    several = np.minimum.reduceat(low[owner[order]], edges) != np.maximum.reduceat(high[owner[order]], edges)
+    run = np.cumsum(np.concatenate([[False], ~alike]))
+    found = order[several[run]]
+    # a suffix that is shorter than `least` before its separator stands alone, but its stream may have two owners
+    found = found[(symbols[found] >= 0) & (found + least <= ends[owner[found]] + owner[found])]
+    return np.sort(found - owner[found])
+
+
+def repeated_tokens(streams: list[list], least: int, owners: list[int]) -> list[np.ndarray]:
+    """For each stream, which of its tokens a substring of `least` tokens or more covers that another owner's stream has too."""
     tokens: dict = {}
-    symbols, owner = [], []
-    for s, stream in enumerate(streams):
-        symbols += [tokens.setdefault(t, len(tokens)) for t in stream] + [-1 - s]  # a separator of its own
-        owner += [s] * (len(stream) + 1)
-    found = np.zeros(len(symbols), bool)
-    if len(streams) > 1:
-        owners, cover = np.array(owner), np.zeros(len(symbols) + 1, np.int64)
-        order, common = suffix_array(np.array(symbols))
-        # runs of suffixes that share `least` tokens, from two streams at least
-        run = np.cumsum(common < least)
-        of = owners[order]
-        edges = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-        several = np.minimum.reduceat(of, edges) != np.maximum.reduceat(of, edges)
-        at = order[several[run - run[0]]]
-        np.add.at(cover, at, 1)
-        np.add.at(cover, np.minimum(at + least, len(symbols)), -1)
-        found = np.cumsum(cover[:-1]) > 0
-    out, at = [], 0
-    for stream in streams:
-        out.append(found[at : at + len(stream)])
-        at += len(stream) + 1
-    return out
+    symbols = np.array([tokens.setdefault(t, len(tokens)) for stream in streams for t in stream], np.int64)
+    lengths = np.array([len(stream) for stream in streams], np.int64)
+    own = np.array(owners, np.int64)
+    cover = np.zeros(len(symbols) + 1, np.int64)
+    at = repeated_starts(symbols, lengths, own, own, least)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + least, -1)
+    found = np.cumsum(cover[:-1]) > 0
+    cuts = np.cumsum(np.concatenate([[0], lengths]))
+    return [found[a:b] for a, b in zip(cuts, cuts[1:])]

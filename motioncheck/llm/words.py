@@ -176,6 +176,25 @@ def shingle_sets(chunk: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], np.concatenate([[0], np.cumsum(keep)])[first]
 
 
+def minimizers(chunk: Chunk, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The index of each whole window's first word, and the window's minimizer: the least hash of `gram` words in a row."""
+    grams = ngrams(chunk.hashes, gram)
+    n = len(chunk.hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    least = grams[:n].copy()
+    for j in range(1, width - gram + 1):
+        np.minimum(least, grams[j : j + n], out=least)
+    left = np.repeat(chunk.first[1:], chunk.counts)[:n] - np.arange(n)
+    whole = np.flatnonzero(left >= width)
+    return whole, least[whole]
+
+
+def runs(starts: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Where a run of consecutive windows with one minimizer begins."""
+    return np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)])) if len(starts) else starts
+
+
 class WordTable:
     """Rows for up to `most` word hashes, in open addressing; found for many hashes at once."""
 

@@ -250,49 +250,107 @@ def test_parts_of_a_benchmark(spark, monkeypatch):
 
 def test_suffix_array():
     rng = random.Random(5)
-    for _ in range(50):
+    for _ in range(80):
         streams = [[rng.choice("abcd") for _ in range(rng.randint(0, 30))] for _ in range(rng.randint(0, 6))]
-        found = suffixes.repeated_tokens(streams, 4)
+        owners = [rng.randint(-3, 3) for _ in streams]
+        symbols = [ord(x) for s in streams for x in s]
+        assert suffixes.suffix_array(np.array(symbols, np.int64)).tolist() == sorted(range(len(symbols)), key=lambda i: symbols[i:])
+        found = suffixes.repeated_tokens(streams, 4, owners)
         for s, own in enumerate(streams):
             want = [False] * len(own)
             for i in range(len(own) - 3):
-                if any(own[i : i + 4] == other[j : j + 4] for o, other in enumerate(streams) if o != s for j in range(len(other) - 3)):
+                if any(own[i : i + 4] == other[j : j + 4] for o, other in enumerate(streams) if owners[o] != owners[s] for j in range(len(other) - 3)):
                     want[i : i + 4] = [True] * 4
             assert found[s].tolist() == want
 
 
-def test_pages_give_their_articles():
+def expected_article(html: str) -> str:
+    """The text of an article whose markup is the data's: blocks parted by p, h1 and br."""
+    import html as entities
     import re
 
-    docs = dict(table("documents", "doc_id, text"))
-    for _, url, html in table("pages", "page_id, url, html"):
-        article, other = html_text.blocks(html)
-        number = int(re.search(r"/(\d+)(?:[./?#]|$)", url.split("://")[1].partition("/")[2] and "/" + url.split("://")[1].partition("/")[2])[1])
-        assert " ".join(docs[number].split()) in " ".join(article) and not other
+    inner = re.search(r"<article>(.*)</article>", html, re.S)[1]
+    parts = [" ".join(entities.unescape(re.sub(r"</?b>", "", x)).split()) for x in re.split(r"</?(?:p|h1|h2|br|ul|li|div)\b[^>]*>", inner)]
+    return " ".join(x for x in parts if x)
+
+
+def test_pages_give_their_articles(spark):
+    """The whole text, nothing more, for every page; and the words of the document that the page was made of."""
+    rows = table("pages", "page_id, url, html")
+    found = {r.page_id: (r.url, r.text, r.n_chars) for r in html_text.main_texts(spark.read.parquet(f"{DATA}/pages.parquet")).collect()}
+    assert found == {i: (url, expected_article(html), len(expected_article(html))) for i, url, html in rows}
+
+
+def test_streams_of_every_host_are_read(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    for _, _, html in table("pages", "page_id, url, html"):
+        assert html_text._plan(html_text.blocks(html))[2]  # each page has blocks that its host's array takes
+    once = [r.window for r in html_text._repeated(pages.selectExpr("'h' host", "array(html, html) stream", "page_id owner")).collect()]
+    assert once  # pages share tokens
+
+
+PAGE = "<html><head><title>no</title></head><body class='has-sidebar'><header>top</header><div class='cookie-notice'>no</div><div>Our site has many fine pages</div><p>{}</p><ul class=menu><li>no</ul><section id='comments'><p>no</section><form><p>no</form><aside>no</aside><script>no</script><p>a&amp;b &lt;c</p><!-- no --></body></html>"
 
 
 def test_boilerplate_without_articles():
-    page = "<html><head><title>no</title></head><body><header>top</header><div class='cookie-notice'>no</div><div>Our site has many fine pages</div><p>{}</p><ul class=menu><li>no</ul><section id='comments'><p>no</section><form><p>no</form><aside>no</aside><script>no</script><p>a&amp;b &lt;c</p><!-- no --></body></html>"
-    pages = [html_text.blocks(page.format(f"unique text {i} of page {i} here")) for i in range(3)]
+    pages = [html_text.blocks(PAGE.format(f"unique text {i} of page {i} here")) for i in range(3)]
     assert html_text.host_texts(pages) == [f"unique text {i} of page {i} here a&b <c" for i in range(3)]
 
 
-def test_boilerplate_of_a_large_host(spark, monkeypatch):
+ARTICLES = {
+    '<article><p>Main.</p><article class="comment"><p>Reader comment</p></article></article>': "Main.",
+    '<article><h2 class="section-header">A heading</h2><p class="search-engines">On search.</p>Rest</article>': "A heading On search. Rest",
+    '<article class="post has-sidebar"><header class="header"><h1>Title</h1></header><p>x<br>y</p><div class="ad-slot">Buy</div><div class="related-posts"><p>no</p></div></article>': "Title x y",
+    '<div id="comments"><article><p>A comment</p></article></div><div class="content"><p>The text</p></div>': "The text",
+    "<article><p>one <b>two</b> three<p>four &lt;five&gt; &#233;&eacute;</p><script>if (a < b) {}</script><nav>no</nav></article><footer>no</footer>": "one two three four <five> éé",
+    '<main role="main"><p>In main</p><div class="comments-area"><p>no</p></div><div class="newsletter"><p>no</p></div></main><p>outside</p>': "In main",
+    '<p title="a > b">quoted</p><p title="open>rest</p><article>in</article>': "in",
+    "<article>a<!-- b -->c<![CDATA[d]]>e<style>f</style></article>": "ace",
+    "<article hidden>no</article><p>yes": "yes",
+    "plain text": "plain text",
+}
+
+
+@pytest.mark.parametrize("html", ARTICLES)
+def test_what_an_article_holds(html):
+    assert html_text.host_texts([html_text.blocks(html)]) == [ARTICLES[html]]
+
+
+def test_doubtful_blocks_in_articles_are_judged_by_the_host():
+    pages = [f'<article><div class="post-header">{"Filed under news by the editors" if i else "A heading of just this page"}</div><p>Body {i}</p></article>' for i in range(3)]
+    assert html_text.host_texts([html_text.blocks(p) for p in pages]) == ["A heading of just this page Body 0", "Body 1", "Body 2"]
+
+
+def test_unbalanced_pages_take_linear_time():
+    import time
+
+    for piece in ("<b>", "<p><i>x</p>", '<a href="', "<a b='x", "</b>", "<", "<!", "= ", "<b></i>"):
+        began = time.time()
+        html_text.blocks(piece * 200_000)
+        assert time.time() - began < 8, piece
+
+
+@pytest.mark.parametrize("pages", [30, 1000])
+def test_boilerplate_of_a_host(spark, pages):
+    """Any number of pages, against one suffix array of the host."""
     rng = random.Random(6)
     rows = []
-    for i in range(450):
+    for i in range(pages):
         body = [f"unique text {i} of page {i} here", "Our site has many fine pages"] + [f"section {x} has its own long notice {x}" for x in rng.sample(range(200), 2)]
-        rows.append((i, f"http://{'big' if i < 440 else 'other'}.example/{i}", "<body>" + "".join(f"<p>{b}</p>" for b in body) + "</body>"))
+        if i % 7 == 0:
+            body.append("as told in the article of another page at length")
+        rows.append((i, f"http://{'big' if i < pages - 10 else 'other'}.example/{i}", "<body>" + "".join(f"<p>{b}</p>" for b in body) + "</body>"))
+        if i % 5 == 0:
+            rows.append((i, rows[-1][1].replace("example/", "example/a/"), f'<article><p>as told in the article of another page at length<p class="entry-footer">Our site has many fine pages<p class="entry-header">Head {i} of this one page only</article><nav>section {i} has its own long notice {i}</nav>'))
+    rows += [rows[0], rows[0], (7_000_000, rows[0][1], rows[0][2])]  # repeated rows, and a copy
     rows += [(1, "http://big.example/1", "<body><p>short"), (2, None, "<body><p>Our site has many fine pages"), (None, "http://big.example/x", "<article>whole")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     hosts = collections.defaultdict(list)
     for i, url, html in rows:
         hosts[(url or "//").split("/")[2]].append((i, url, html_text.blocks(html)))
     want = collections.Counter((i, url, text) for own in hosts.values() for (i, url, _), text in zip(own, html_text.host_texts([b for _, _, b in own])))
-    assert not any("fine pages" in text for _, url, text in want if url)
-    for together in (200, 10_000):
-        monkeypatch.setattr(html_text, "TOGETHER", together)
-        assert collections.Counter((r.page_id, r.url, r.text) for r in html_text.main_texts(pages).collect()) == want
+    assert not any("fine pages" in text for _, url, text in want if url) and sum("another page at length" in text for _, _, text in want) > 3
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert collections.Counter((r.page_id, r.url, r.text) for r in html_text.main_texts(table).collect()) == want
 
 
 def test_language_held_out_accuracy():
