@@ -2,9 +2,9 @@
 
 Method: categories are predicted one after another by linear models on the words of a text;
 each later model also takes the probabilities of earlier categories. It is trained with
-out-of-fold probabilities of those, so that it sees them as wrong as they will be. Models are
-fitted on the driver from the words of a bounded sample of labelled documents; predicting is
-one pass over all texts.
+out-of-fold probabilities of those, so that it sees them as wrong as they will be. Tasks count
+the words of a bounded number of labelled documents; models are fitted on the driver from the
+words that go with a category; predicting is one pass over all texts.
 """
 
 from __future__ import annotations
@@ -17,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motioncheck.llm import words
+from motioncheck.llm import shared, words
 from motioncheck.llm.decontam import PLAIN
 
-#: The bound of the sample: labelled documents, and distinct words of each.
-SAMPLE, SAMPLE_WORDS = 12_000, 4_000
-#: Folds; words that a model has at most; words that chance alone would choose, at most.
-FOLDS, FEATURES, CHANCE = 5, 512, 0.05
+#: The bound of the sample: labelled documents, with all of their words.
+SAMPLE = 12_000
+#: Folds; words that chance alone would choose, at most.
+FOLDS, CHANCE = 5, 0.05
 #: The ridge, and the rounds of fitting.
-RIDGE, ROUNDS = 0.1, 40
+RIDGE, ROUNDS = 0.1, 60
 #: A document is flagged at this probability of the last category.
 LIMIT = 0.5
 
@@ -82,115 +82,178 @@ class Chain:
         return np.concatenate(parts)
 
 
-def associated(rows: np.ndarray, columns: np.ndarray, n_columns: int, y: np.ndarray) -> np.ndarray:
-    """The columns whose documents' share of y is so far from the whole's that chance makes one such in CHANCE columns.
+def associated(seen: np.ndarray, both: np.ndarray, share_of_all: float, n_words: int) -> np.ndarray:
+    """Which words' documents have a share of the category so far from the whole's that chance makes CHANCE such among n_words.
 
-    Chance by Chernoff's bound of the binomial tail, so rare words need no rule of their own.
+    seen: a word's documents; both: those in the category. Chance by Chernoff's bound of the
+    binomial tail, so rare words need no rule of their own.
     """
-    q = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
-    seen = np.bincount(columns, minlength=n_columns).astype(float)
-    both = np.bincount(columns, weights=y[rows], minlength=n_columns)
+    q = min(max(share_of_all, 1e-6), 1 - 1e-6)
     share = both / np.maximum(seen, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         far = np.where(share > 0, share * np.log(share / q), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - q)), 0)
-    strength = seen * far
-    good = np.flatnonzero(strength > np.log(max(1, int((seen > 0).sum())) / CHANCE))
-    return np.sort(good[np.argsort(-strength[good], kind="stable")][:FEATURES])
+    return seen * far > np.log(max(1, n_words) / CHANCE)
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton's method; the bias has no ridge."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], RIDGE)
+@dataclass
+class Sparse:
+    """A matrix of 0 and 1, by the rows and columns of the ones, with some dense columns and one of ones beside it."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    shape: tuple[int, int]
+    dense: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.dense = np.concatenate([self.dense, np.ones((self.shape[0], 1))], axis=1)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights=w[self.columns], minlength=self.shape[0]) + self.dense @ w[self.shape[1] :]
+
+    def transposed_times(self, v: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.columns, weights=v[self.rows], minlength=self.shape[1]), self.dense.T @ v])
+
+    def squares(self, v: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.columns, weights=v[self.rows], minlength=self.shape[1]), (self.dense * self.dense).T @ v])
+
+
+def fit_linear(x: Sparse, y: np.ndarray) -> np.ndarray:
+    """Ridge logistic regression: weights of x's columns. Newton's steps by conjugate gradients; the bias has next to no ridge."""
+    size = x.shape[1] + x.dense.shape[1]
+    w, ridge = np.zeros(size), np.full(size, RIDGE)
     ridge[-1] = 1e-3
     for _ in range(ROUNDS):
-        p = sigmoid(x @ w)
-        gradient = x.T @ (p - y) + ridge * w
-        curve = (x.T * np.maximum(p * (1 - p), 1e-6)) @ x + np.diag(ridge)
-        step = np.linalg.solve(curve, gradient)
-        w -= step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-6:
+        p = sigmoid(x.times(w))
+        gradient = x.transposed_times(p - y) + ridge * w
+        if np.abs(gradient).max() < 1e-6:
             break
-    return w[:-1], float(w[-1])
-
-
-def fit_chain(documents: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, categories: list[str]) -> Chain:
-    """documents: distinct word hashes of each; labels: (documents, categories), nan where unknown."""
-    empty = Chain(categories, np.zeros(0, np.uint64), np.zeros((0, len(categories))), np.full(len(categories), -35.0), np.zeros((len(categories), len(categories))))
-    if not documents:
-        return empty
-    sizes = [len(d) for d in documents]
-    table, columns = np.unique(np.concatenate(documents), return_inverse=True)
-    rows = np.repeat(np.arange(len(documents)), sizes)
-    weights = np.zeros((len(table), len(categories)))
-    bias, earlier = np.full(len(categories), -35.0), np.zeros((len(categories), len(categories)))
-    known_before = np.zeros((len(documents), 0))
-    for c in range(len(categories)):
+        curve = np.maximum(p * (1 - p), 1e-6)
+        scale = x.squares(curve) + ridge
+        step, left = np.zeros(size), gradient.copy()
+        z = left / scale
+        way, power = z.copy(), left @ z
+        for _ in range(200):
+            turned = x.transposed_times(curve * x.times(way)) + ridge * way
+            far = power / (way @ turned)
+            step += far * way
+            left -= far * turned
+            if np.abs(left).max() < 1e-3 * np.abs(gradient).max() + 1e-9:
+                break
+            z = left / scale
+            power, before = left @ z, power
+            way = z + power / before * way
+        w -= step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
+    return w
+
+
+def fit_chain(rows: np.ndarray, columns: np.ndarray, table: np.ndarray, chosen: np.ndarray, labels: np.ndarray, folds: np.ndarray, categories: list[str]) -> Chain:
+    """(document, word) pairs; the words' hashes; [category, fold, word]: the words that a model takes, without that fold's documents (the last: with all); labels (documents, categories), nan where unknown."""
+    n, many = labels.shape
+    weights = np.zeros((len(table), many))
+    bias, earlier = np.full(many, -35.0), np.zeros((many, many))
+    before = np.zeros((n, 0))
+    for c in range(many):
         y = labels[:, c]
         known = ~np.isnan(y)
-        out = np.full(len(documents), np.nan)
-
-        def train(use: np.ndarray, y=y, before=known_before) -> tuple[np.ndarray, np.ndarray, float]:
-            if not use.any():
-                return np.zeros(0, np.int64), np.zeros(before.shape[1]), -35.0
-            keep = use[rows]
-            place = np.cumsum(use) - 1
-            chosen = associated(place[rows[keep]], columns[keep], len(table), y[use])
-            where = np.full(len(table), -1)
-            where[chosen] = np.arange(len(chosen))
-            x = np.zeros((int(use.sum()), len(chosen) + before.shape[1]))
-            hit = keep & (where[columns] >= 0)
-            x[place[rows[hit]], where[columns[hit]]] = 1
-            x[:, len(chosen) :] = before[use]
-            w, b = fit_linear(x, y[use])
-            return chosen, w, b
-
-        def apply(model: tuple, on: np.ndarray, before=known_before) -> np.ndarray:
-            chosen, w, b = model
-            each = np.zeros(len(table))
-            each[chosen] = w[: len(chosen)]
-            sums = np.bincount(rows, weights=each[columns], minlength=len(documents))
-            return sigmoid(b + sums + before @ w[len(chosen) :])[on]
-
-        for f in range(FOLDS):  # what a later model is trained with
-            own = folds == f
-            out[own] = apply(train(known & ~own), own)
-        chosen, w, b = train(known)
-        weights[chosen, c] = w[: len(chosen)]
-        bias[c], earlier[c, :c] = b, w[len(chosen) :]
-        known_before = np.concatenate([known_before, out[:, None]], axis=1)
+        out = np.zeros(n)
+        for f in range(FOLDS + 1):
+            use = known & (folds != f)  # no document is in the last fold: the model itself
+            take = np.flatnonzero(chosen[c, f])
+            w, last = np.zeros(len(table)), np.zeros(c + 1)
+            last[-1] = -35.0
+            if use.any():
+                where = np.full(len(table), -1)
+                where[take] = np.arange(len(take))
+                own = use[rows] & (where[columns] >= 0)
+                found = fit_linear(Sparse((np.cumsum(use) - 1)[rows[own]], where[columns[own]], (int(use.sum()), len(take)), before[use]), y[use])
+                w[take], last = found[: len(take)], found[len(take) :]
+            if f < FOLDS:  # what a later model is trained with
+                on = folds == f
+                sums = np.bincount(rows, weights=w[columns], minlength=n)
+                out[on] = sigmoid(sums + before @ last[:-1] + last[-1])[on]
+            else:
+                weights[:, c], earlier[c, :c], bias[c] = w, last[:-1], last[-1]
+        before = np.concatenate([before, out[:, None]], axis=1)
     used = np.flatnonzero(weights.any(axis=1))
     return Chain(categories, table[used], weights[used], bias, earlier)
 
 
+def fold_of(ids: np.ndarray) -> np.ndarray:
+    return (words.mix(ids.view(np.uint64)) % np.uint64(FOLDS)).astype(np.int32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], text: str = "text", id: str = "doc_id", sample: int = SAMPLE) -> Chain:
     """A chain for categories (name -> 0/1 column of labels, in the chain's order).
 
-    Learns from about `sample` labelled documents at most, those of the least hashes of the
-    id: a set whose broadcast that parameter bounds. Null labels are not learned from.
+    Learns from the whole texts of `sample` labelled ids at most, those of the least hashes: a
+    set whose broadcast that parameter bounds. An id's labels are the largest of its rows'; null
+    ones are not learned from. Words are counted by tasks; those that go with a category come to
+    the driver, and the documents' share of them.
     """
-    marks = labels.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("_id"), F.xxhash64(id, F.lit(5)).alias("_h"), *[c.cast("double").alias(f"_{i}") for i, c in enumerate(categories.values())])
+    spark = docs.sparkSession
+    folder = shared.workspace(spark)
+    names = [f"_{i}" for i in range(len(categories))]
+    marks = labels.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("_id"), *[c.cast("int").alias(x) for x, c in zip(names, categories.values())])
+    marks = marks.groupBy("_id").agg(*[F.max(x).alias(x) for x in names]).withColumn("_h", F.xxhash64("_id", F.lit(5)))
     n = marks.count()
-    limit = int(-(2**63) + min(1.0, sample / max(1, n)) * (2.0**64 - 2**12))
-    chosen = marks.where(F.col("_h") <= limit).dropDuplicates(["_id"]).orderBy("_h").limit(sample)
+    limit = int(-(2**63) + min(1.0, 1.2 * sample / max(1, n) + 200 / max(1, n)) * (2.0**64 - 2**12))
+    chosen = marks.where(F.col("_h") <= limit).orderBy("_h", "_id").limit(sample).drop("_h")
     own = docs.select(F.col(id).cast("long").alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, doc, hashes in word_sets(batch.column(1)):
                 cuts = np.searchsorted(doc, np.arange(chunk.docs + 1))
-                blobs = [hashes[a:b][:SAMPLE_WORDS].tobytes() for a, b in zip(cuts, cuts[1:])]
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(hashes.view(np.int64)))
                 part = batch.slice(chunk.row, chunk.docs)
-                yield pa.record_batch([part.column(0), pa.array(blobs, pa.binary()), *part.columns[2:]], names=["_doc", "_words", *batch.schema.names[2:]])
-
-    names = [f"_{i}" for i in range(len(categories))]
-    rows = own.select("_doc", "_text", *names).mapInArrow(gather, "_doc long, _words binary, " + ", ".join(f"{x} double" for x in names)).collect()
-    rows.sort(key=lambda r: (r._doc, bytes(r._words)))
-    documents = [np.frombuffer(r._words, np.uint64) for r in rows]
-    y = np.array([[np.nan if r[x] is None else r[x] for x in names] for r in rows]).reshape(len(rows), len(names))
-    folds = (words.mix(np.array([r._doc for r in rows], np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(int) if rows else np.zeros(0, int)
-    return fit_chain(documents, y, folds, list(categories))
+                fold = fold_of(part.column(0).to_numpy())
+                yield pa.record_batch([part.column(0), pa.array(fold), lists, *part.columns[2:]], names=["_doc", "_fold", "_words", *batch.schema.names[2:]])
+
+    kinds = "_doc long, _fold int, _words array<long>, " + ", ".join(f"{x} int" for x in names)
+    sampled = shared.written(own.select("_doc", "_text", *names).mapInArrow(gather, kinds), f"{folder}/sampled")
+    cells = [(x, f) for x in names for f in range(FOLDS)]
+    # per category and fold: documents with a label, and those in the category
+    within = lambda x, f, v: F.sum(F.when(F.col("_fold") == f, v)).cast("double")
+    sums = [F.coalesce(within(x, f, v), F.lit(0.0)).alias(f"{kind}{x}_{f}") for x, f in cells for kind, v in (("n", F.col(x).isNotNull().cast("int")), ("k", F.col(x)))]
+    counts = shared.written(sampled.select(F.explode("_words").alias("word"), "_fold", *names).groupBy("word").agg(*sums), f"{folder}/counts")
+    whole = sampled.agg(*sums).first().asDict()
+    others = lambda kind, x, f: [f"{kind}{x}_{g}" for g in range(FOLDS) if g != f]
+    models = [(x, f) for x in names for f in range(FOLDS + 1)]  # of the last, no fold is left out
+    seen = counts.agg(*[F.count_if(sum(map(F.col, others("n", x, f))) > 0).alias(f"{x}_{f}") for x, f in models]).first().asDict()
+    shares = {m: sum(whole[c] for c in others("k", *m)) / max(1.0, sum(whole[c] for c in others("n", *m))) for m in models}
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+            found = np.zeros(batch.num_rows, np.int64)
+            for i, (x, f) in enumerate(models):
+                found |= associated(sum(own[c] for c in others("n", x, f)), sum(own[c] for c in others("k", x, f)), shares[x, f], seen[f"{x}_{f}"]).astype(np.int64) << i
+            keep = pa.array(found != 0)
+            yield pa.record_batch([batch.column("word").filter(keep), pa.array(found).filter(keep)], names=["word", "models"])
+
+    picked = counts.mapInArrow(choose, "word long, models long").collect()  # the words that go with a category
+    table = np.array(sorted(np.int64(r.word).view(np.uint64) for r in picked), np.uint64)
+    takes = np.zeros((len(names), FOLDS + 1, len(table)), bool)
+    for r in picked:
+        at = int(np.searchsorted(table, np.int64(r.word).view(np.uint64)))
+        for i in range(len(models)):
+            takes[i // (FOLDS + 1), i % (FOLDS + 1), at] = r.models >> i & 1
+    held = spark.sparkContext.broadcast(table)
+
+    def restrict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, found = batch.column(2), []
+            for own in lists:
+                own = own.values.to_numpy().view(np.uint64)
+                at = np.minimum(np.searchsorted(held.value, own), max(0, len(held.value) - 1))
+                found.append(at[held.value[at] == own].astype(np.int32) if len(held.value) else at[:0].astype(np.int32))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32())), *batch.columns[3:]], names=batch.schema.names)
+
+    rows = sampled.mapInArrow(restrict, kinds.replace("array<long>", "array<int>")).collect()
+    rows.sort(key=lambda r: (r._doc, r._words))
+    y = np.array([[np.nan if r[x] is None else r[x] for x in names] for r in rows], float).reshape(len(rows), len(names))
+    pairs = [np.array(r._words, np.int64) for r in rows]
+    return fit_chain(np.repeat(np.arange(len(rows)), [len(p) for p in pairs]) if rows else np.zeros(0, np.int64), np.concatenate(pairs) if rows else np.zeros(0, np.int64), table, takes, y, np.array([r._fold for r in rows], np.int32), list(categories))
 
 
 def classify(docs: DataFrame, chain: Chain, text: str = "text", id: str = "doc_id") -> DataFrame:
