@@ -8,8 +8,9 @@ Method: a prefix-tree join of globally ordered sets:
 3. the kept sets' shingles are ordered by frequency (by a table of fixed size), rare ones
    first; sets that share a prefix shingle and are near in size form candidate clusters;
 4. a cluster's sets are stored in a trie and joined by traversing it with shared partial
-   overlaps, pruned by bounds of the remaining lengths. A large cluster is cut into size
-   bands and blocks, and every pair of blocks that may hold a link is a task of its own.
+   overlaps, pruned by bounds of the remaining lengths. In a large cluster, sets are compared
+   with one centre of their size band first; then it is cut into blocks, and every pair of
+   blocks that may hold a link between sets that aren't connected yet is a unit of its own.
 
 Every bound is exact, so no link between different sets is lost. Equal sets are one set
 throughout, so copies cost a row each and no pairs.
@@ -34,8 +35,8 @@ NUM, DEN = 4, 5
 POSTED = 0.3
 #: Bits of the table of shingles' frequencies: a byte each, 16 MB.
 LEVEL_BITS = 24
-#: Shingles that a block of a large cluster has, about; a task joins two blocks.
-BLOCK = 600_000
+#: Shingles that a block of a large cluster has, about; a unit joins two blocks.
+BLOCK = 60_000
 
 SETS = "doc_id long, n_shingles long, d1 long, d2 long, posted binary"
 
@@ -98,12 +99,12 @@ def signatures(docs: DataFrame, k: int = WORDS) -> DataFrame:
 
 
 def _first_shingles(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch | None]:
+    def make(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         for _, hashes, _, n, d1, _, place in _sets(batch.column(1), k):
             keep = place < np.repeat(_posted(n), n)
-            yield shared.pack(hashes[keep], bits, np.repeat(d1, n)[keep])
+            yield hashes[keep], np.repeat(d1, n)[keep]
 
-    return docs.mapInArrow(lambda batches: shared.each(batches, make), shared.BLOCKS)
+    return docs.mapInArrow(lambda batches: shared.gathered(batches, make, lambda *c: shared.owners_packed(*c, bits)), shared.BLOCKS)
 
 
 def _candidates(docs: DataFrame, marks: np.ndarray, k: int) -> DataFrame:
@@ -127,74 +128,140 @@ def _candidates(docs: DataFrame, marks: np.ndarray, k: int) -> DataFrame:
 def _levels(sets: DataFrame, bits: int) -> np.ndarray:
     """How common shingles are among the candidates: by the hash's top LEVEL_BITS bits, the logarithm of the largest count."""
 
-    def post(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch | None]:
-        if batch.num_rows:
-            yield shared.pack(np.concatenate([np.frombuffer(h.as_buffer(), np.uint64) for h in batch.column(0)]), bits)
+    def post(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        for h in batch.column(0):
+            yield (np.frombuffer(h.as_buffer(), np.uint64),)
+
+    def counted(hashes: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        return hashes[first], np.diff(np.append(first, len(hashes))) if times is None else np.add.reduceat(times[order], first)
+
+    def reduce(hashes: np.ndarray) -> Iterator[pa.RecordBatch | None]:
+        yield shared.pack((own := counted(hashes))[0], bits, own[1].astype(np.int64))
 
     per, shift = 1 << (LEVEL_BITS - bits), np.uint64(64 - LEVEL_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, blocks in shared.by_bucket(batches):
-            hashes = np.sort(shared.unpack(blocks)[0])
-            first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-            level = np.log2(np.diff(np.append(first, len(hashes)))).astype(np.uint8)
+            hashes, times = counted(*shared.unpack(blocks, np.int64))
+            level = np.log2(times).astype(np.uint8)
             if level.any():
                 own = np.zeros(per, np.uint8)
-                np.maximum.at(own, (hashes[first] >> shift).astype(np.int64) & (per - 1), level)
+                np.maximum.at(own, (hashes >> shift).astype(np.int64) & (per - 1), level)
                 yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["bucket", "block"])
 
     table = np.zeros(1 << LEVEL_BITS, np.uint8)
-    for row in shared.dealt(sets.select("hashes").mapInArrow(lambda batches: shared.each(batches, post), shared.BLOCKS)).mapInArrow(count, shared.BLOCKS).collect():  # at most the table's own size
+    for row in shared.dealt(sets.select("hashes").mapInArrow(lambda batches: shared.gathered(batches, post, reduce), shared.BLOCKS)).mapInArrow(count, shared.BLOCKS).collect():  # at most the table's own size
         table[row.bucket * per : (row.bucket + 1) * per] = np.frombuffer(row.block, np.uint8)
     return table
 
 
-def _cluster_edges(sets: DataFrame, levels: np.ndarray, bits: int) -> DataFrame:
+def chained(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Chains of sets that share a hash, by size: (hash, least size, largest size, least id) of each, and (least id, id) of those joined.
+
+    low, high, ids: of sets or of chains. One chain goes on where the next size is near in ratio.
+    """
+    order = np.lexsort((low, hashes))
+    hashes, low, high, ids = hashes[order], low[order], high[order], ids[order]
+    new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    group = np.cumsum(new) << 40  # sizes are below 2**40
+    reach = np.maximum.accumulate(group + high) - group
+    begins = np.flatnonzero(new | np.concatenate([[True], DEN * reach[:-1] < NUM * low[1:]]))
+    least, ends = np.minimum.reduceat(ids, begins), np.append(begins[1:], len(ids)) - 1
+    pairs = np.stack([np.repeat(least, ends + 1 - begins), ids], 1)
+    return (hashes[begins], low[begins], reach[ends], least), np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
+def _pairs(found: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+
+def _cluster_edges(sets: DataFrame, levels: np.ndarray, bits: int, folder: str) -> DataFrame:
     """(a, b): sets that share a prefix shingle, chained by size: all candidates are connected.
 
     The order is one of the shingles alone: rare ones first, then by hash. So passages that many
-    documents hold don't connect them unless nearly all of a document is such passages.
+    documents hold don't connect them unless nearly all of a document is such passages. A task
+    chains its own sets first, and posts a hash's chains: a hash that all sets have isn't hot.
     """
     held = sets.sparkSession.sparkContext.broadcast(levels)
 
-    def post(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch | None]:
-        ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        prefix = sizes - _needed(sizes) + 1
-        parts = []
-        for h, p in zip(batch.column(2), prefix.tolist()):
+    def post(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        for i, size, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             own = np.frombuffer(h.as_buffer(), np.uint64)
-            parts.append(own[np.argsort(held.value[(own >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)], kind="stable")[:p]])
-        if parts:
-            yield shared.pack(np.concatenate(parts), bits, np.repeat(ids, prefix), np.repeat(sizes, prefix))
+            own = own[np.argsort(held.value[(own >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)], kind="stable")[: size - int(_needed(size)) + 1]]
+            yield own, np.full(len(own), i), np.full(len(own), size)
+
+    def reduce(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch | None]:
+        chains, pairs = chained(hashes, sizes, sizes, ids)
+        yield shared.pack(chains[0], bits, *chains[1:])
+        if len(pairs):  # known already: of no bucket
+            yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([pairs.tobytes()], pa.binary())], names=["bucket", "block"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blocks in shared.by_bucket(batches):
-            hashes, ids, sizes = shared.unpack(blocks, np.int64, np.int64)
-            order = np.lexsort((ids, sizes, hashes))
-            hashes, ids, sizes = hashes[order], ids[order], sizes[order]
-            near = (hashes[1:] == hashes[:-1]) & (DEN * sizes[:-1] >= NUM * sizes[1:])
-            begins = np.concatenate([[True], ~near])
-            least = np.minimum.reduceat(ids, np.flatnonzero(begins))[np.cumsum(begins) - 1]
-            pairs = np.unique(np.stack([least, ids], 1)[least != ids], axis=0)
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            yield _pairs(chained(*shared.unpack(blocks, np.int64, np.int64, np.int64))[1])
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0):
+                yield _pairs(np.frombuffer(block.as_buffer(), np.int64).reshape(-1, 2))
+
+    posts = shared.written(sets.select("id", "n_shingles", "hashes").mapInArrow(lambda batches: shared.gathered(batches, post, reduce), shared.BLOCKS), f"{folder}/posts")
+    return shared.dealt(posts.where("bucket >= 0")).mapInArrow(link, "a long, b long").union(posts.where("bucket < 0").select("block").mapInArrow(known, "a long, b long"))
 
-    posts = sets.select("id", "n_shingles", "hashes").mapInArrow(lambda batches: shared.each(batches, post), shared.BLOCKS)
-    return shared.dealt(posts).mapInArrow(link, "a long, b long")
 
+def _banded(sets: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(id, n_shingles, label, band): a pair's bands are one apart at most; the little more guards against rounding."""
+    return sets.select("id", "n_shingles").join(clusters, "id").withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(DEN / NUM + 0.001))).cast("int"))
 
-def _units(sets: DataFrame, clusters: DataFrame, block: int) -> DataFrame:
-    """Each set in each task that joins it: (unit, id, hashes). A small cluster is one unit."""
+
+def _centre_links(sets: DataFrame, banded: DataFrame, block: int) -> DataFrame:
+    """(a, b): links of the sets of large clusters to the set of the least id in their band: a row for each set.
+
+    A large cluster is mostly near copies, and what links to one centre is connected: pairs
+    among it needn't be looked at. A centre may have any number of sets: rows are joined to it,
+    by a join that Spark can split, and compared one by one.
+    """
+    large = banded.groupBy("label").agg(F.sum("n_shingles").alias("total")).where(F.col("total") > 2 * block).select("label")
+    centres = banded.join(large, "label", "left_semi").groupBy("label", "band").agg(F.min("id").alias("centre"))
+    meets = banded.join(centres, ["label", "band"]).where("id <> centre").select("id", "centre")
+    above = centres.select("label", (F.col("band") - 1).alias("band"), F.col("centre").alias("id"))
+    meets = meets.union(above.join(centres, ["label", "band"]).select("id", "centre"))  # centres of neighbouring bands
+    own = sets.select("id", "hashes")
+    both = meets.join(own, "id").join(own.select(F.col("id").alias("centre"), F.col("hashes").alias("of")), "centre").select("centre", "id", "of", "hashes")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                shared_ones = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(DEN * shared_ones >= NUM * (len(x) + len(y) - shared_ones))
+            yield pa.record_batch([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+
+    return both.mapInArrow(compare, "a long, b long")
+
+
+def _units(sets: DataFrame, banded: DataFrame, cores: DataFrame, block: int) -> DataFrame:
+    """Each set in each task that joins it: (unit, id, hashes). A small cluster is one unit.
+
+    A large one is cut into bands, these by what is connected already (cores: id, core), and
+    these into blocks; each pair of blocks that may hold a link between unconnected sets is a unit.
+    """
     # all of it without the sets themselves, which are joined to their units at the end
-    within = sets.select("id", "n_shingles").join(clusters, "id").withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(DEN / NUM + 0.001))).cast("int"))
-    bands = within.groupBy("label", "band").agg(F.sum("n_shingles").alias("weight"))
-    total = bands.groupBy("label").agg(F.sum("weight").alias("total"), F.collect_list(F.struct("band", F.ceil(F.col("weight") / F.lit(float(block))).cast("int").alias("blocks"))).alias("bands"))
-    within = within.join(total, "label").withColumn("blocks", F.map_from_entries("bands"))
-    # in a large one, a pair's bands are one apart at most; the little more guards against rounding
-    own = F.struct(F.col("band").alias("b"), F.pmod(F.xxhash64("id"), F.col("blocks")[F.col("band")]).cast("int").alias("k"))
-    near = F.filter(F.array(*[F.col("band") + d for d in (-1, 0, 1)]), lambda b: F.col("blocks")[b].isNotNull())
-    others = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0), F.col("blocks")[b] - 1), lambda k: F.struct(b.alias("b"), k.alias("k")))))
+    within = banded.join(cores, "id", "left")
+    parts = within.groupBy("label", "band", "core").agg(F.sum("n_shingles").alias("weight"))
+    part = F.struct("band", "core", F.ceil(F.col("weight") / F.lit(float(block))).cast("int").alias("blocks"))
+    total = parts.groupBy("label").agg(F.sum("weight").alias("total"), F.collect_list(part).alias("parts"))  # a few per band
+    within = within.join(total, "label")
+    mine = F.filter("parts", lambda p: (p["band"] == F.col("band")) & p["core"].eqNullSafe(F.col("core")))[0]
+    own = F.struct(F.col("band").alias("b"), F.col("core").alias("c"), F.pmod(F.xxhash64("id"), mine["blocks"]).cast("int").alias("k"))
+    near = F.filter("parts", lambda p: (F.abs(p["band"] - F.col("band")) <= 1) & ~F.coalesce(p["core"] == F.col("core"), F.lit(False)))
+    others = F.flatten(F.transform(near, lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda k: F.struct(p["band"].alias("b"), p["core"].alias("c"), k.alias("k")))))
     pairs = F.transform(others, lambda o: F.struct(F.least(own, o).alias("one"), F.greatest(own, o).alias("two")))
-    cell = F.struct(F.lit(0).alias("b"), F.lit(0).alias("k"))
+    cell = F.struct(F.lit(0).alias("b"), F.lit(None).cast("long").alias("c"), F.lit(0).alias("k"))
     whole = F.array(F.struct(cell.alias("one"), cell.alias("two")))
     placed = within.select("id", "label", F.explode(F.when(F.col("total") <= 2 * block, whole).otherwise(pairs)).alias("cells"))
     return sets.select("id", "hashes").join(placed.select("id", F.struct("label", "cells").alias("unit")), "id")
@@ -227,14 +294,14 @@ def _links(units: DataFrame) -> DataFrame:
 
 
 def ngram_groups(docs: DataFrame, k: int = WORDS, text: str = "text", id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, links) per row of docs.
+    """(doc_id, n_shingles, component_id) per row of docs.
 
     A document's set: its distinct k-word shingles, A-Z lower-cased; with fewer words the
     whole sequence; with none, or null text, it is empty and linked with nothing.
-    component_id is the smallest id reachable by links. links: rows of other sets are counted
-    once per link that was needed to connect the group (0: alone or copies only).
-    Null ids get a null component and link with nothing; rows that repeat an id are one node;
-    other columns are ignored, whatever their names; no rows make no rows.
+    component_id is the smallest id reachable by links. Links between sets that others connect
+    already are not looked for, so their number isn't known. Null ids get a null component and
+    link with nothing; rows that repeat an id are one node; other columns are ignored, whatever
+    their names; no rows make no rows.
     """
     spark = docs.sparkSession
     folder = shared.workspace(spark)
@@ -243,20 +310,25 @@ def ngram_groups(docs: DataFrame, k: int = WORDS, text: str = "text", id: str =
     sizes = shared.written(signatures(docs, k), f"{folder}/sizes")
     marks = shared.shared_bitmap(_first_shingles(docs, k, bits), bits)
     sets = shared.written(_candidates(docs, marks, k), f"{folder}/sets")
-    clusters = shared.components(_cluster_edges(sets, _levels(sets, bits), bits), f"{folder}/clusters")
-    links = shared.written(_links(_units(sets, clusters, block)), f"{folder}/links")
+    clusters = shared.components(_cluster_edges(sets, _levels(sets, bits), bits, folder), f"{folder}/clusters")
+    banded = shared.written(_banded(sets, clusters), f"{folder}/banded")
+    centre_links = shared.written(_centre_links(sets, banded, block), f"{folder}/centres")
+    cores = shared.components(centre_links, f"{folder}/cores").withColumnRenamed("label", "core")
+    links = shared.written(_links(_units(sets, banded, cores, block)).union(centre_links), f"{folder}/links")
     groups = shared.written(shared.components(links, f"{folder}/groups"), f"{folder}/components")
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     # equal sets have one representative, and its component is theirs
     like = sizes.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    like = like.join(groups, "id", "left").join(degree, "id", "left")
-    like = like.where("copies > 1 or label is not null").select("d1", "d2", "n_shingles", F.coalesce("label", "id").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    like = like.join(groups, "id", "left").where("copies > 1 or label is not null").select("d1", "d2", "n_shingles", F.coalesce("label", "id").alias("label"))
     like = shared.written(like, f"{folder}/labels")
     found = sizes.join(like.withColumnRenamed("n_shingles", "n"), (sizes.d1 == like.d1) & (sizes.d2 == like.d2) & (sizes.n_shingles == F.col("n")) & sizes.doc_id.isNotNull(), "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return found.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are the smallest id of their group; equal rows of one id stay."""
+    """The documents that are the smallest id of their group; equal rows of one id stay, and null ids.
+
+    Null, empty and wordless texts are groups of their own; all columns stay as they are; no rows make no rows.
+    """
+    shared.ready(spark)
     groups = ngram_groups(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(groups, docs["doc_id"].eqNullSafe(groups["_kept"]), "left_semi")

@@ -83,6 +83,36 @@ def pack(hashes: np.ndarray, bits: int, *columns: np.ndarray) -> pa.RecordBatch
     return pa.record_batch([pa.array(buckets[cuts[:-1]]), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
 
+#: Posts that a task gathers before it reduces and packs them.
+POSTS = 1 << 21
+
+
+def gathered(batches: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]], reduce: Callable[..., Iterator[pa.RecordBatch | None]]) -> Iterator[pa.RecordBatch]:
+    """reduce() of the columns that make() gives, many batches together: what all of them have is posted once."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    for batch in batches:
+        for columns in make(batch):
+            if len(columns[0]):
+                held.append(columns)
+                size += len(columns[0])
+            if size >= POSTS:
+                yield from (x for x in reduce(*(np.concatenate(c) for c in zip(*held))) if x is not None and x.num_rows)
+                held, size = [], 0
+    if held:
+        yield from (x for x in reduce(*(np.concatenate(c) for c in zip(*held))) if x is not None and x.num_rows)
+
+
+def owners_packed(hashes: np.ndarray, owners: np.ndarray, bits: int) -> Iterator[pa.RecordBatch | None]:
+    """pack() of hash and owner, with two owners of each hash at most: whether several have it is all that is asked."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, owners = hashes[order], owners[order]
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    low, high = np.minimum.reduceat(owners, first), np.maximum.reduceat(owners, first)
+    more = low != high
+    yield pack(np.concatenate([hashes[first], hashes[first][more]]), bits, np.concatenate([low, high[more]]))
+
+
 def unpack(blocks: list[bytes], *kinds: type) -> list[np.ndarray]:
     """The columns of blocks made by pack(), hashes first."""
     parts: list[list[np.ndarray]] = [[] for _ in range(1 + len(kinds))]

@@ -38,14 +38,14 @@ INDEXED = 1_500_000
 
 
 def _posts(docs: DataFrame, width: int, bits: int) -> DataFrame:
-    def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch | None]:
+    def make(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         keys = batch.column(1).to_numpy().view(np.uint64)
         for chunk in words.chunks(batch.column(2)):
             starts, least = words.minimizers(chunk, width, GRAM)
             at = words.runs(starts, least)
-            yield shared.pack(least[at], bits, keys[chunk.row + chunk.doc_of_word()[starts[at]]])
+            yield least[at], keys[chunk.row + chunk.doc_of_word()[starts[at]]]
 
-    return docs.mapInArrow(lambda batches: shared.each(batches, make), shared.BLOCKS)
+    return docs.mapInArrow(lambda batches: shared.gathered(batches, make, lambda *c: shared.owners_packed(*c, bits)), shared.BLOCKS)
 
 
 def _stretches(docs: DataFrame, marks: np.ndarray, width: int, bits: int) -> DataFrame:

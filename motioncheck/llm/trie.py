@@ -99,12 +99,15 @@ def self_join(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int
     size = np.array([len(ranked[i]) for i in order])
     trie = Trie(np.concatenate([ranked[i] for i in order]), np.concatenate([[0], np.cumsum(size)]))
     group, mark, links = np.arange(len(sets)), np.zeros(len(tokens), bool), []
+    members = [[i] for i in range(len(sets))]
     for s in range(len(sets) - 1):
         own = trie.flat[trie.at[s] : trie.at[s + 1]]
         mark[own] = True
         for t in trie.links(s, mark, group, num, den):
             if group[t] != group[s]:
                 links.append((order[s], order[t]))
-                group[group == group[t]] = group[s]
+                into, gone = sorted((int(group[s]), int(group[t])), key=lambda g: -len(members[g]))
+                group[members[gone]] = into  # the smaller group moves
+                members[into] += members[gone]
         mark[own] = False
     return links

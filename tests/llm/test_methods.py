@@ -13,7 +13,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from motioncheck.llm import decontam, fm_index, html_text, langid, neighbours, ngram_join, packing, substring, suffixes, tokens, toxicity, trie, words
+from motioncheck.llm import decontam, fm_index, html_text, langid, neighbours, ngram_join, packing, shared, substring, suffixes, tokens, toxicity, trie, words
 
 DATA = "/root/testdata/sf0.01"
 
@@ -52,6 +52,64 @@ def test_trie_join(seed):
     assert groups(len(sets), want) == groups(len(sets), found)
 
 
+def by_force(texts: dict[int, str]) -> dict[int, int]:
+    """The least id that links reach, by all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        own = t.split()
+        sets[i] = {tuple(own[j : j + 5]) for j in range(len(own) - 4)} or ({tuple(own)} if own else set())
+    ids = sorted(sets)
+    links = [(x, y) for x in range(len(ids)) for y in range(x) if sets[ids[x]] and 100 * len(sets[ids[x]] & sets[ids[y]]) >= 80 * len(sets[ids[x]] | sets[ids[y]])]
+    return {i: ids[g] for i, g in zip(ids, groups(len(ids), links))}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_large_clusters(spark, monkeypatch, seed):
+    """Units of any number, centres, posts of a few sets at once: the same groups as all pairs."""
+    monkeypatch.setattr(shared, "POSTS", 500)
+    rng = random.Random(seed)
+    texts, common = {}, [f"c{j}" for j in range(300)]
+    for i in range(260):
+        base = [f"b{i % 9}w{j}" for j in range(20 + 11 * (i % 9))] if rng.random() < 0.8 else common[: rng.randint(30, 300)]
+        own = list(base)
+        for _ in range(rng.randint(0, 4)):
+            p = rng.randrange(len(own))
+            own[p : p + rng.randint(0, 1)] = [f"x{rng.randrange(1000)}"] * rng.randint(0, 1)
+        texts[i] = " ".join(own)
+    want = by_force(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    for block in (50, 400, 60_000):
+        assert {r.doc_id: r.component_id for r in ngram_join.ngram_groups(docs, block=block).collect()} == want, block
+
+
+def test_chains():
+    """Chains of parts, chained again, connect what one chaining of all connects."""
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        n = int(rng.integers(1, 60))
+        hashes, sizes, ids = rng.integers(0, 4, n).astype(np.uint64), rng.integers(1, 400, n), rng.permutation(n).astype(np.int64)
+        whole = groups(n, ngram_join.chained(hashes, sizes, sizes, ids)[1].tolist())
+        near = [(int(ids[i]), int(ids[j])) for i in range(n) for j in range(n) if hashes[i] == hashes[j] and sizes[i] <= sizes[j] and 5 * sizes[i] >= 4 * sizes[j]]
+        assert whole == groups(n, near)
+        links, parts = [], []
+        for k in range(3):
+            own = slice(k, None, 3)
+            if len(ids[own]):
+                chains, pairs = ngram_join.chained(hashes[own], sizes[own], sizes[own], ids[own])
+                parts.append(chains)
+                links += pairs.tolist()
+        assert groups(n, links + ngram_join.chained(*(np.concatenate(c) for c in zip(*parts)))[1].tolist()) == whole
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    for n, m in ((60, 40), (300, 280), (40, 0)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(0, i) for i in range(1, n // 3)] * (m > 0)
+        found = {r.id: r.label for r in shared.components(spark.createDataFrame(edges, "a long, b long"), shared.workspace(spark)).collect()}
+        want = groups(n, edges)
+        assert found == {i: want[i] for i in {x for e in edges if e[0] != e[1] for x in e}}
+
+
 def test_candidates_keep_all_partners():
     size = np.arange(1, 601)
     posted, marked = ngram_join._posted(size), ngram_join._marked_least(size)
