@@ -36,10 +36,12 @@ def unique(nested: DataFrame) -> DataFrame:
     return nested
 
 
-def limited(nested: DataFrame, n: int | None) -> DataFrame:
+def limited(nested: DataFrame, n: int | None, paths: str | list[str]) -> DataFrame:
+    """The first n scenarios as the files have them."""
     if n is not None and n < 1:
         raise SystemExit("--limit must be positive")
-    return nested.limit(n) if n else nested
+    found = framed.in_file_order(nested, paths)
+    return found.limit(n) if n else found
 
 
 def say(payload: object) -> None:
@@ -61,7 +63,7 @@ def verify(spark: SparkSession, a: argparse.Namespace) -> int:
 def verify_scenes(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.index < 0:
         raise SystemExit("--index must be nonnegative")
-    one = framed.read_scenarios(spark, a.records).offset(a.index).limit(1).cache()
+    one = framed.in_file_order(framed.read_scenarios(spark, a.records), a.records).offset(a.index).limit(1).cache()
     if one.isEmpty():
         raise SystemExit("there is no scenario of that index")
     report = assemble.validation(recording(one), json_files.read_requirements(spark, a.requirements))[0]
@@ -74,7 +76,7 @@ def verify_scenes(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def inspect(spark: SparkSession, a: argparse.Namespace) -> int:
-    nested = limited(framed.read_scenarios(spark, a.records), a.limit).cache()
+    nested = limited(framed.read_scenarios(spark, a.records), a.limit, a.records).cache()
     if a.svg:
         render.write(a.svg, render.svg(nested.first().asDict(recursive=True)))
     rows = nested.select("scenario_id", F.size("tracks").alias("track_count"), "sdc_agent_id", "current_time_index", "objects_of_interest", "tracks_to_predict", "map_feature_count")
@@ -116,7 +118,7 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def make_forecast(spark: SparkSession, a: argparse.Namespace) -> int:
-    nested = unique(limited(framed.read_scenarios(spark, a.records), a.limit))
+    nested = unique(limited(framed.read_scenarios(spark, a.records), a.limit, a.records))
     points = assemble.forecasts(spark, json_files.states_of(nested), json_files.timelines(nested), a.model)
     framed.write_submission(points, a.output)
     say({"model": a.model, "scenarios": nested.count(), "output": a.output})

@@ -90,16 +90,17 @@ def interval_ranks(samples: int) -> tuple[int, int]:
 
 
 def bootstrap_exact(values: DataFrame, samples: int = 1000, seed: int = 0) -> DataFrame:
-    """(metric, lower, upper) from values (metric, metric_ord, ord, value): Python's generator, seed + metric_ord, a task per metric.
+    """(metric, lower, upper) from values (metric, metric_ord, scenario_id, agent_id, value): Python's generator, seed + metric_ord, a task per metric.
 
-    Holds a metric's values in one task: for evaluations of up to some millions of agents.
+    Values are drawn by their place in the order of scenarios and agents. Holds a metric's
+    values in one task: for evaluations of up to some millions of agents; beyond, bootstrap_hashed().
     """
     if samples < 1:
         raise ValueError("samples must be positive")
     low, high = interval_ranks(samples)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        own = group.sort_values("ord")["value"].tolist()
+        own = group.sort_values(list(AGENT))["value"].tolist()
         draw, n = random.Random(seed + int(group["metric_ord"].iloc[0])), len(own)
         found = sorted(math.fsum(own[draw.randrange(n)] for _ in range(n)) / n for _ in range(samples))
         return pd.DataFrame({"metric": [group["metric"].iloc[0]], "lower": [found[low]], "upper": [found[high]]})
@@ -107,18 +108,32 @@ def bootstrap_exact(values: DataFrame, samples: int = 1000, seed: int = 0) -> Da
     return values.groupBy("metric").applyInPandas(run, "metric string, lower double, upper double")
 
 
+#: P(Poisson(1) <= k) for k = 0, 1...: a resample takes a value k times with nearly this distribution.
+POISSON = [math.fsum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(10)]
+
+
+def metric_values(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(metric, metric_ord, scenario_id, agent_id, value): a row per column of each agent's row."""
+    each = F.array(*[F.struct(F.lit(c).alias("metric"), F.lit(i).alias("metric_ord"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])
+    return df.select(*AGENT, F.explode(each).alias("m")).select("m.metric", "m.metric_ord", *AGENT, "m.value")
+
+
 def bootstrap_hashed(values: DataFrame, samples: int = 200, seed: int = 0) -> DataFrame:
-    """(metric, lower, upper) from values (metric, metric_ord, ord 0.., value): draws by an integer hash, distributed.
+    """(metric, lower, upper) from values (metric, metric_ord, scenario_id, agent_id, value): a distributed bootstrap.
 
-    Draw i of sample b takes the value with ord (7919 b + 104729 i + 31 b i + seed) mod n. The
-    values are joined with the draws by metric and ord.
+    Resample b takes a value as often as a Poisson variable of mean 1 says, which a digest of
+    seed, metric, b, scenario and agent decides. So no row needs a place among all: each is read
+    once, and what is shuffled is a sum for each metric, resample and task. A resample that takes
+    nothing has the plain mean.
     """
     if samples < 1:
         raise ValueError("samples must be positive")
-    sizes = values.groupBy("metric", "metric_ord").agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    at = F.pmod(F.col("b") * 7919 + F.col("i") * 104729 + F.col("b") * F.col("i") * 31 + F.lit(seed) + F.col("metric_ord"), F.col("n"))
-    means = draws.withColumn("ord", at).join(values.select("metric", "ord", "value"), ["metric", "ord"]).groupBy("metric", "b").agg(F.avg("value").alias("mean"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("metric_ord").cast("string"), F.col("b").cast("string"), *AGENT))
+    uniform = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
+    times = sum((F.when(F.col("u") >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+    drawn = values.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("u", uniform).withColumn("n", times)
+    mean = F.coalesce(F.sum(F.col("n") * F.col("value")) / F.nullif(F.sum("n"), F.lit(0)), F.avg("value"))
+    means = drawn.groupBy("metric", "b").agg(mean.alias("mean"))
     rank = F.row_number().over(Window.partitionBy("metric").orderBy(F.round("mean", 9), "b")) - 1
     low, high = interval_ranks(samples)
     ranked = means.withColumn("rank", rank)

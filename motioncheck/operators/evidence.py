@@ -8,13 +8,25 @@ from pyspark.sql import functions as F
 from motioncheck.functions.columns import holds, status
 from motioncheck.operators.requirements import REQ
 
-QUALITY = ("scenario_id", "code", "severity", "agent_ids")
+QUALITY = ("scenario_id", "code", "severity", "agent_ids", "message")
+#: What each annotation says.
+MESSAGES = {
+    "INSUFFICIENT_TRACK_SAMPLES": "Some tracks contain fewer than two valid states and cannot support derived metrics.",
+    "IRREGULAR_SAMPLING": "One or more tracks contain time gaps greater than 1.5 times their median step.",
+    "PARTIAL_REPORTED_VELOCITY": "Reported velocity is incomplete; position-derived kinematics remain available.",
+    "NO_MAP_FEATURES": "No map features are attached; map-aware requirements are not applicable.",
+}
 
 
 def _annotation(tracks: DataFrame, code: str, severity: str) -> DataFrame:
     """An annotation with the agents of (scenario_id, track_ord, agent_id), in the tracks' order."""
     agents = F.transform(F.sort_array(F.collect_list(F.struct("track_ord", "agent_id"))), lambda s: s["agent_id"])
-    return tracks.groupBy("scenario_id").agg(agents.alias("agent_ids")).select("scenario_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), "agent_ids")
+    return tracks.groupBy("scenario_id").agg(agents.alias("agent_ids")).select("scenario_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), "agent_ids", F.lit(MESSAGES[code]).alias("message"))
+
+
+def _of_scenario(scenarios: DataFrame, code: str) -> DataFrame:
+    """An annotation that names no agents."""
+    return scenarios.select("scenario_id", F.lit(code).alias("code"), F.lit("info").alias("severity"), F.array().cast("array<string>").alias("agent_ids"), F.lit(MESSAGES[code]).alias("message"))
 
 
 def sampling_steps(states: DataFrame) -> DataFrame:
@@ -25,18 +37,23 @@ def sampling_steps(states: DataFrame) -> DataFrame:
 
 
 def quality(states: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """(scenario_id, code, severity, agent_ids): short tracks, irregular sampling, partial velocities, no map."""
+    """(scenario_id, code, severity, agent_ids, message): short tracks, irregular sampling, partial velocities, no map.
+
+    The last two name no agents. Velocities are partial where any state lacks one of its two.
+    """
     tracks = sampling_steps(states)
     short = _annotation(tracks.where("n_states < 2"), "INSUFFICIENT_TRACK_SAMPLES", "error")
     irregular = _annotation(tracks.where("steps >= 2 and longest > 1.5 * median"), "IRREGULAR_SAMPLING", "warning")
-    bare = scenarios.where("map_feature_count = 0").select("scenario_id", F.lit("NO_MAP_FEATURES").alias("code"), F.lit("info").alias("severity"), F.array().cast("array<string>").alias("agent_ids"))
-    found = short.union(irregular).union(bare)
+    found = short.union(irregular).union(_of_scenario(scenarios.where("map_feature_count = 0"), "NO_MAP_FEATURES"))
     if {"velocity_x_mps", "velocity_y_mps"} <= set(states.columns):
-        both = F.count_if(F.col("velocity_x_mps").isNotNull() & F.col("velocity_y_mps").isNotNull())
-        partial = states.groupBy("scenario_id", "track_ord", "agent_id").agg(both.alias("both"), F.count("*").alias("n")).where("both < n")
-    else:
-        partial = tracks.select("scenario_id", "track_ord", "agent_id")
-    return found.union(_annotation(partial, "PARTIAL_REPORTED_VELOCITY", "info"))
+        states = states.where(F.col("velocity_x_mps").isNull() | F.col("velocity_y_mps").isNull())
+    return found.union(_of_scenario(states.select("scenario_id").distinct(), "PARTIAL_REPORTED_VELOCITY"))
+
+
+def relevant(resolved: DataFrame, quality: DataFrame) -> DataFrame:
+    """(scenario_id, req_ord, code, severity, agent_ids, message): annotations without agents, or with the requirement's."""
+    named = resolved.select(*REQ, F.filter(F.array("agent_id", "other_id"), lambda a: a.isNotNull()).alias("named"))
+    return named.join(quality, "scenario_id").where((F.size("agent_ids") == 0) | F.arrays_overlap("agent_ids", "named")).drop("named")
 
 
 def thresholds(requirements: DataFrame) -> DataFrame:
@@ -62,9 +79,7 @@ def explanations(intervals: DataFrame) -> DataFrame:
 
 def confidence(results: DataFrame, resolved: DataFrame, quality: DataFrame) -> DataFrame:
     """(scenario_id, req_ord, requirement_id, grade): of annotations without agents, or with the requirement's."""
-    named = resolved.select(*REQ, F.filter(F.array("agent_id", "other_id"), lambda a: a.isNotNull()).alias("named"))
-    relevant = named.join(quality, "scenario_id").where((F.size("agent_ids") == 0) | F.arrays_overlap("agent_ids", "named"))
-    marks = relevant.groupBy(*REQ).agg(F.bool_or(F.col("severity") == "error").alias("error"), F.bool_or(F.col("severity") == "warning").alias("warning"))
+    marks = relevant(resolved, quality).groupBy(*REQ).agg(F.bool_or(F.col("severity") == "error").alias("error"), F.bool_or(F.col("severity") == "warning").alias("warning"))
     n = F.col("evaluated_samples")
     grade = F.when(~F.col("applicable"), "not_applicable").when((n < 2) | F.coalesce("error", F.lit(False)), "low").when((n < 5) | F.coalesce("warning", F.lit(False)), "medium").otherwise("high")
     return results.join(marks, list(REQ), "left").select(*REQ, "requirement_id", grade.alias("evidence_confidence"))

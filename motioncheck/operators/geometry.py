@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from motioncheck.functions.columns import distance
 
 TRACK = ("scenario_id", "agent_id")
+STATE = (*TRACK, "state_ord", "time_s")
 LANE_RADIUS, STOP_RADIUS, VRU_RADIUS = 10.0, 7.5, 1.0
 #: The states of a signal that ask to stop.
 STOP_STATES = ("stop", "arrow_stop", "flashing_stop")
@@ -48,7 +49,10 @@ def _fraction(x: Column, y: Column) -> Column:
 
 def projections(points: DataFrame, lane_segments: DataFrame) -> DataFrame:
     """points x their scenario's segments: distance, signed offset (left of travel is positive), tangent."""
-    joined = _on_map(points, lane_segments)
+    return _projected(_on_map(points, lane_segments))
+
+
+def _projected(joined: DataFrame) -> DataFrame:
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     f = _fraction(F.col("x_m"), F.col("y_m"))
     joined = joined.withColumn("f", f).where("f is not null")
@@ -56,16 +60,28 @@ def projections(points: DataFrame, lane_segments: DataFrame) -> DataFrame:
     return joined.withColumn("distance_m", F.hypot(ox, oy)).withColumn("offset_m", (dx * oy - dy * ox) / F.sqrt(dx * dx + dy * dy)).withColumn("tx", dx).withColumn("ty", dy)
 
 
-def lane_associations(states: DataFrame, lanes: DataFrame, radius: float = LANE_RADIUS) -> DataFrame:
-    """Each state's nearest lane within the radius; the first lane and segment win ties."""
+def lane_distances(states: DataFrame, lanes: DataFrame, radius: float) -> DataFrame:
+    """(state keys, lane_id, best) of the lanes within the radius: distance, lane, segment and offset of each lane's nearest point."""
     own = segments(lanes, (*scope(lanes), "lane_ord", "feature_id"))
-    near = projections(states.select(*TRACK, "state_ord", "time_s", "x_m", "y_m"), own).groupBy(*TRACK, "state_ord", "time_s")
-    best = near.agg(F.min(F.struct("distance_m", "lane_ord", "seg_ord", "offset_m", "feature_id")).alias("best"))
-    return best.where(F.col("best.distance_m") <= radius).select(*TRACK, F.col("state_ord").alias("sample_ord"), "time_s", F.col("best.feature_id").alias("lane_id"), F.col("best.offset_m").alias("lateral_offset_m"), F.col("best.distance_m").alias("distance_m"))
+    near = projections(states.select(*STATE, "x_m", "y_m"), own).where(F.col("distance_m") <= radius)
+    return near.groupBy(*STATE, F.col("feature_id").alias("lane_id")).agg(F.min(F.struct("distance_m", "lane_ord", "seg_ord", "offset_m", "feature_id")).alias("best"))
+
 
+def nearest_lanes(distances: DataFrame) -> DataFrame:
+    """Each state's nearest lane of lane_distances(); the first lane and segment win ties."""
+    best = distances.groupBy(*STATE).agg(F.min("best").alias("best"))
+    return best.select(*TRACK, F.col("state_ord").alias("sample_ord"), "time_s", F.col("best.feature_id").alias("lane_id"), F.col("best.offset_m").alias("lateral_offset_m"), F.col("best.distance_m").alias("distance_m"))
 
-def lane_offset(states: DataFrame, lanes: DataFrame) -> DataFrame:
-    return lane_associations(states, lanes).select(*TRACK, "sample_ord", "time_s", F.abs("lateral_offset_m").alias("value"))
+
+def lane_associations(states: DataFrame, lanes: DataFrame, radius: float = LANE_RADIUS) -> DataFrame:
+    """Each state's nearest lane within the radius."""
+    return nearest_lanes(lane_distances(states, lanes, radius))
+
+
+def lane_offset(states: DataFrame, lanes: DataFrame, distances: DataFrame | None = None) -> DataFrame:
+    """distances: lane_distances() within LANE_RADIUS, where they are known already."""
+    near = nearest_lanes(distances) if distances is not None else lane_associations(states, lanes)
+    return near.select(*TRACK, "sample_ord", "time_s", F.abs("lateral_offset_m").alias("value"))
 
 
 def polygon_distances(points: DataFrame, keys: tuple[str, ...], polygons: DataFrame) -> DataFrame:
@@ -83,7 +99,16 @@ def polygon_distances(points: DataFrame, keys: tuple[str, ...], polygons: DataFr
     return found.select(*keys, "cw_ord", F.when(F.col("inside"), 0.0).otherwise(F.col("edge_m")).alias("distance_m"), "inside")
 
 
-STATE = (*TRACK, "state_ord", "time_s")
+def canvas(points: DataFrame, width: int = 900, height: int = 700, padding: int = 50) -> DataFrame:
+    """points (scenario_id, ..., x_m, y_m) with their place px, py on a scenario's drawing: one scale, y upwards; only finite points."""
+    if width <= 2 * padding or height <= 2 * padding:
+        raise ValueError("the canvas is smaller than its padding")
+    inf = float("inf")
+    own = points.where(~F.isnan("x_m") & ~F.isnan("y_m") & (F.abs("x_m") < inf) & (F.abs("y_m") < inf))
+    span = lambda c: F.greatest(F.lit(1.0), F.max(c) - F.min(c))
+    of = own.groupBy("scenario_id").agg(F.min("x_m").alias("x0"), F.min("y_m").alias("y0"), F.least((width - 2 * padding) / span("x_m"), (height - 2 * padding) / span("y_m")).alias("scale"))
+    placed = own.join(of, "scenario_id")
+    return placed.withColumn("px", padding + (F.col("x_m") - F.col("x0")) * F.col("scale")).withColumn("py", height - padding - (F.col("y_m") - F.col("y0")) * F.col("scale")).drop("x0", "y0", "scale", "x_m", "y_m")
 
 
 def crosswalk_proximity(states: DataFrame, crosswalks: DataFrame) -> DataFrame:
@@ -102,8 +127,8 @@ def vru_crosswalk_proximity(states: DataFrame, crosswalks: DataFrame, subjects:
 def stop_tangents(stops: DataFrame, lanes: DataFrame, *keys: str) -> DataFrame:
     """stops (keys, lane_id, x_m, y_m) with the tangent of their lane's nearest segment."""
     keys = (*scope(stops), *keys, "lane_id", "x_m", "y_m")
-    own = segments(lanes, (*scope(lanes), "feature_id"))
-    found = projections(stops.select(*keys).distinct(), own).where("lane_id = feature_id")
+    own = segments(lanes, (*scope(lanes), "feature_id")).withColumnRenamed("feature_id", "lane_id")
+    found = _projected(stops.select(*keys).distinct().join(own, [*scope(lanes), "lane_id"]))
     best = found.groupBy(*keys).agg(F.min(F.struct("distance_m", "seg_ord", "tx", "ty")).alias("best"))
     return best.select(*keys[:-2], F.col("x_m").alias("sx"), F.col("y_m").alias("sy"), F.col("best.tx").alias("tx"), F.col("best.ty").alias("ty"))
 
@@ -119,26 +144,29 @@ def _crossed() -> Column:
     return (before <= 0) & (after > 0)
 
 
-def _lane_distances(states: DataFrame, lanes: DataFrame) -> DataFrame:
-    """(state keys, lane_id, lane_m) of states within STOP_RADIUS of a lane."""
-    found = projections(states.select(*STATE, "x_m", "y_m"), segments(lanes, (*scope(lanes), "feature_id")))
-    return found.groupBy(*STATE, F.col("feature_id").alias("lane_id")).agg(F.min("distance_m").alias("lane_m")).where(F.col("lane_m") <= STOP_RADIUS)
+def _near_lanes(states: DataFrame, lanes: DataFrame, stops: DataFrame, distances: DataFrame | None) -> DataFrame:
+    """(state keys, lane_id) of states within STOP_RADIUS of a lane with stops."""
+    if distances is None:
+        own = [*scope(lanes), "lane_id"]
+        lanes = lanes.join(stops.select(*own).distinct().withColumnRenamed("lane_id", "feature_id"), [*scope(lanes), "feature_id"], "left_semi")
+        distances = lane_distances(states, lanes, STOP_RADIUS)
+    return distances.where(F.col("best.distance_m") <= STOP_RADIUS).select(*STATE, "lane_id")
 
 
-def red_stop_line_violation(states: DataFrame, lanes: DataFrame, signals: DataFrame) -> DataFrame:
+def red_stop_line_violation(states: DataFrame, lanes: DataFrame, signals: DataFrame, distances: DataFrame | None = None) -> DataFrame:
     """1 when a state crosses the stop point of a signal that asks to stop at exactly its time, else 0."""
     own = scope(signals)
     red = signals.where(F.col("state").isin(*STOP_STATES)).select(*own, "signal_ord", "time_s", "lane_id", "x_m", "y_m")
     red = red.withColumnsRenamed({"x_m": "sx", "y_m": "sy"}).join(stop_tangents(red, lanes), [*own, "lane_id", "sx", "sy"])
     own = _with_previous(states).where("pt is not null").join(red, [*own, "time_s"])
-    near = _lane_distances(states, lanes)
+    near = _near_lanes(states, lanes, signals, distances)
     found = own.join(near, [*STATE, "lane_id"])
     return found.select(*TRACK, (F.col("signal_ord")).alias("sample_ord"), "time_s", F.when(_crossed(), 1.0).otherwise(0.0).alias("value"))
 
 
-def stop_sign_crossing_speed(states: DataFrame, lanes: DataFrame, signs: DataFrame) -> DataFrame:
+def stop_sign_crossing_speed(states: DataFrame, lanes: DataFrame, signs: DataFrame, distances: DataFrame | None = None) -> DataFrame:
     """Speed of the step that crosses a stop sign of a lane nearby; a state may cross several."""
     stops = stop_tangents(signs, lanes, "sign_ord")
-    own = _with_previous(states).where("pt is not null").join(_lane_distances(states, lanes), list(STATE)).join(stops, [*scope(signs), "lane_id"])
+    own = _with_previous(states).where("pt is not null").join(_near_lanes(states, lanes, signs, distances), list(STATE)).join(stops, [*scope(signs), "lane_id"])
     pace = distance(F.col("x_m"), F.col("y_m"), F.col("px"), F.col("py")) / (F.col("time_s") - F.col("pt"))
     return own.where(_crossed()).select(*TRACK, (F.col("state_ord") * 1000 + F.col("sign_ord")).alias("sample_ord"), "time_s", pace.alias("value"))

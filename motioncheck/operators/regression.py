@@ -22,9 +22,10 @@ class RegressionPolicy:
 
 
 def transitions(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
-    """(scenario_id, req_ord, requirement_id, baseline_status, candidate_status, classification) of scenarios in both results."""
-    b = baseline.select("scenario_id", "req_ord", "requirement_id", status(F.col("passed")).alias("baseline_status"))
-    c = candidate.select("scenario_id", "req_ord", status(F.col("passed")).alias("candidate_status"))
+    """(scenario_id, req_ord, requirement_id, statuses and failed samples of both, classification) of scenarios in both results."""
+    failed = lambda df: F.col("failed_samples") if "failed_samples" in df.columns else F.lit(None).cast("long")
+    b = baseline.select("scenario_id", "req_ord", "requirement_id", status(F.col("passed")).alias("baseline_status"), failed(baseline).alias("baseline_failed_samples"))
+    c = candidate.select("scenario_id", "req_ord", status(F.col("passed")).alias("candidate_status"), failed(candidate).alias("candidate_failed_samples"))
     was, now = F.col("baseline_status"), F.col("candidate_status")
     kind = F.when(was == now, F.concat(F.lit("UNCHANGED_"), was)).when(now == "FAIL", "NEW_FAILURE").when((was == "FAIL") & (now == "PASS"), "RESOLVED").when(now == "NOT_APPLICABLE", "LOST_APPLICABILITY").otherwise("NEWLY_APPLICABLE_PASS")
     return b.join(c, ["scenario_id", "req_ord"]).withColumn("classification", kind)
@@ -49,11 +50,11 @@ def common(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
 def gate(transitions: DataFrame, changes: DataFrame, policy: RegressionPolicy = RegressionPolicy()) -> DataFrame:
     """One row: counts of what changed, and whether the policy lets it pass."""
     kind = F.col("classification")
-    counted = transitions.agg(F.count_if(kind == "NEW_FAILURE").alias("new_failures"), F.count_if(kind == "RESOLVED").alias("resolved"), F.count_if(kind == "LOST_APPLICABILITY").alias("lost_applicability"))
-    sets = changes.agg(F.count_if(F.col("kind") == "missing").alias("missing"), F.count_if(F.col("kind") == "added").alias("added"))
+    counted = transitions.agg(F.count_if(kind == "NEW_FAILURE").alias("new_failures"), F.count_if(kind == "RESOLVED").alias("resolved_failures"), F.count_if(kind == "LOST_APPLICABILITY").alias("lost_applicability"))
+    sets = changes.agg(F.count_if(F.col("kind") == "missing").alias("missing_candidate_scenarios"), F.count_if(F.col("kind") == "added").alias("added_candidate_scenarios"))
     bad = F.col("new_failures") > policy.max_new_failures
     if policy.fail_on_missing_candidate_scenarios:
-        bad = bad | (F.col("missing") > 0)
+        bad = bad | (F.col("missing_candidate_scenarios") > 0)
     if policy.fail_on_lost_applicability:
         bad = bad | (F.col("lost_applicability") > 0)
     return counted.crossJoin(F.broadcast(sets)).withColumn("gate_passed", ~bad)  # one row each

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from motioncheck.functions.columns import OPERATORS, holds
 from motioncheck.operators import geometry, signals
+from motioncheck.sources.stored import stored
 
 REQ = ("scenario_id", "req_ord")
 #: The metrics that need another agent.
@@ -75,30 +76,45 @@ def samples(resolved: DataFrame, of: Recording) -> DataFrame:
     subjects = own.select("scenario_id", "agent_id").where("agent_id is not null").distinct()
     states = of.states.join(subjects, ["scenario_id", "agent_id"], "left_semi")
     pairs = own.where(F.col("metric").isin(*PAIRED)).select("scenario_id", "agent_id", "other_id").distinct()
-    made = {
-        "speed": signals.speed(states),
-        "acceleration": signals.acceleration(states),
-        "jerk": signals.jerk(states),
-        "separation": signals.separation(of.states, pairs),
-        "time_to_collision": signals.time_to_collision(of.states, pairs),
-    }
+    tracks = ("scenario_id", "agent_id")
+    parts = [
+        _asked(signals.kinematics(states), own, ("speed", "acceleration", "jerk"), tracks),
+        _asked(signals.paired(of.states, pairs), own, PAIRED, (*tracks, "other_id")),
+    ]
+    made = {}
     if of.lanes is not None:
-        made["lane_lateral_offset"] = geometry.lane_offset(states, of.lanes)
+        near = geometry.lane_distances(states, of.lanes, geometry.LANE_RADIUS)
+        if of.signals is not None or of.signs is not None:  # read by several signals
+            near = stored(near)
+        made["lane_lateral_offset"] = geometry.lane_offset(states, of.lanes, near)
         if of.signals is not None:
-            made["red_stop_line_violation"] = geometry.red_stop_line_violation(states, of.lanes, of.signals)
+            made["red_stop_line_violation"] = geometry.red_stop_line_violation(states, of.lanes, of.signals, near)
         if of.signs is not None:
-            made["stop_sign_crossing_speed"] = geometry.stop_sign_crossing_speed(states, of.lanes, of.signs)
+            made["stop_sign_crossing_speed"] = geometry.stop_sign_crossing_speed(states, of.lanes, of.signs, near)
     if of.crosswalks is not None:
         made["crosswalk_proximity"] = geometry.crosswalk_proximity(states, of.crosswalks)
         made["vru_crosswalk_proximity"] = geometry.vru_crosswalk_proximity(of.states, of.crosswalks, subjects)
-    out = None
+    mapped = None
     for metric, found in made.items():
-        keys = ["scenario_id", "agent_id", *(["other_id"] if metric in PAIRED else [])]
-        part = found.join(own.where(F.col("metric") == metric).select(*REQ, *keys[1:]), keys).select(*REQ, "sample_ord", "time_s", "value")
-        out = part if out is None else out.union(part)
+        found = found.select(*tracks, F.lit(metric).alias("metric"), "sample_ord", "time_s", "value")
+        mapped = found if mapped is None else mapped.union(found)
+    if mapped is not None:
+        parts.append(mapped.join(own.select(*REQ, "agent_id", "metric"), [*tracks, "metric"]).select(*REQ, "sample_ord", "time_s", "value"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
     return out
 
 
+def _asked(found: DataFrame, own: DataFrame, metrics: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
+    """Samples of the asked metrics, from a table with a column for each: one join for all."""
+    asked = own.where(F.col("metric").isin(*metrics)).select(*REQ, *keys[1:], "metric")
+    value = None
+    for m in metrics:
+        value = F.when(F.col("metric") == m, F.col(m)) if value is None else value.when(F.col("metric") == m, F.col(m))
+    return found.join(asked, list(keys)).select(*REQ, "sample_ord", "time_s", value.alias("value")).where("value is not null")
+
+
 def judged(samples: DataFrame, resolved: DataFrame) -> DataFrame:
     """samples with whether each meets its requirement."""
     return samples.join(resolved.select(*REQ, "requirement_id", "operator", "threshold"), list(REQ)).withColumn("met", holds(F.col("value"), F.col("operator"), F.col("threshold")))
@@ -108,6 +124,46 @@ def failed_samples(judged: DataFrame) -> DataFrame:
     return judged.where(~F.col("met"))
 
 
+#: Why a requirement doesn't apply where the scenario's map lacks what it needs, and where it has it.
+NO_LANES, NO_CROSSWALKS = "scenario contains no lane-center geometry", "scenario contains no crosswalk polygons"
+NO_STOP_SIGNALS, NO_STOP_SIGNS = "scenario contains no stop-state traffic signals", "scenario contains no usable stop-sign lane geometry"
+NOT_OBSERVED = {
+    "lane_lateral_offset": f"subject is never within {geometry.LANE_RADIUS:g} m of a lane center",
+    "vru_crosswalk_proximity": "no pedestrian or cyclist is observed in a mapped crosswalk context",
+    "red_stop_line_violation": "subject is not aligned with an active stop-state signal",
+    "stop_sign_crossing_speed": "subject does not cross a mapped stop-sign position",
+}
+
+
+def map_content(of: Recording) -> DataFrame:
+    """(scenario_id, has_lanes, has_crosswalks, has_signs, has_stop_signals) of each scenario; a signal counts on a lane of the map."""
+    found = of.scenarios.select("scenario_id")
+    red = of.signals.where(F.col("state").isin(*geometry.STOP_STATES)) if of.signals is not None and of.lanes is not None else None
+    if red is not None:
+        named = of.lanes.select(*geometry.scope(of.lanes), F.col("feature_id").alias("lane_id"))
+        red = red.join(named, [*geometry.scope(of.lanes), "lane_id"], "left_semi")
+    for name, table in (("has_lanes", of.lanes), ("has_crosswalks", of.crosswalks), ("has_signs", of.signs), ("has_stop_signals", red)):
+        if table is None:
+            found = found.withColumn(name, F.lit(False))
+        elif geometry.scope(table):
+            found = found.join(table.select("scenario_id").distinct().withColumn(name, F.lit(True)), "scenario_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+        else:  # one row
+            found = found.crossJoin(F.broadcast(table.agg((F.count("*") > 0).alias(name))))
+    return found
+
+
+def with_reasons(results: DataFrame, resolved: DataFrame, of: Recording) -> DataFrame:
+    """results with not_applicable_reason, null where the requirement applies."""
+    metric = F.col("metric")
+    lanes, walks, signs, lights = (~F.col(c) for c in ("has_lanes", "has_crosswalks", "has_signs", "has_stop_signals"))
+    lacks = F.when(metric.isin("lane_lateral_offset", "red_stop_line_violation") & lanes, NO_LANES).when(metric.isin("crosswalk_proximity", "vru_crosswalk_proximity") & walks, NO_CROSSWALKS)
+    lacks = lacks.when((metric == "red_stop_line_violation") & lights, NO_STOP_SIGNALS).when((metric == "stop_sign_crossing_speed") & (lanes | signs), NO_STOP_SIGNS)
+    for name, text in NOT_OBSERVED.items():
+        lacks = lacks.when(metric == name, text)
+    both = results.join(resolved.select(*REQ, "metric"), list(REQ)).join(map_content(of), "scenario_id")
+    return both.select(*results.columns, F.when(~F.col("applicable"), lacks).alias("not_applicable_reason"))
+
+
 def results(judged: DataFrame, resolved: DataFrame) -> DataFrame:
     """A row per requirement and scenario; passed is null where it doesn't apply. No samples at all passes, except for signals of the map."""
     counted = judged.groupBy(*REQ).agg(F.count("*").alias("evaluated_samples"), F.count_if(~F.col("met")).alias("failed_samples"), F.min("value").alias("observed_min"), F.max("value").alias("observed_max"))

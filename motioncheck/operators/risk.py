@@ -10,28 +10,33 @@ from pyspark.sql import functions as F
 
 from motioncheck.functions.columns import distance, time_key, wrapped_angle
 from motioncheck.operators import geometry
+from motioncheck.sources.stored import stored
 
 AGENT = ("scenario_id", "agent_id")
 
 
 @dataclass(frozen=True)
 class RiskThresholds:
-    """Limits of the context; density counts other agents within density_radius_m."""
+    """Limits of the context."""
 
     close_interaction_m: float = 5.0
     dense_scene_agents: int = 10
-    density_radius_m: float = 30.0
-    sdc_error_m: float = 5.0
-    crosswalk_m: float = 5.0
-    control_m: float = 10.0
-    stationary_m: float = 2.0
-    turning_rad: float = 0.35
+    large_separation_error_m: float = 5.0
+    crosswalk_context_m: float = 5.0
+    control_context_m: float = 10.0
+    stationary_displacement_m: float = 2.0
+    turning_angle_rad: float = 0.35
 
     def __post_init__(self) -> None:
-        if min(self.close_interaction_m, self.dense_scene_agents, self.density_radius_m, self.sdc_error_m, self.crosswalk_m, self.control_m, self.stationary_m) < 0 or not 0 < self.turning_rad <= math.pi:
+        lengths = (self.close_interaction_m, self.large_separation_error_m, self.crosswalk_context_m, self.control_context_m)
+        if min(lengths) <= 0 or self.dense_scene_agents < 1 or self.stationary_displacement_m < 0 or not 0 < self.turning_angle_rad <= math.pi:
             raise ValueError("risk thresholds are out of range")
 
 
+#: Other agents within this many metres count for density, a fixed value.
+DENSITY_RADIUS = 30.0
+
+
 def best_points(points: DataFrame, scores: DataFrame) -> DataFrame:
     """The predicted points of each agent's best mode, by time."""
     best = scores.select(*AGENT, F.col("best_mode_index").alias("mode_index"))
@@ -82,31 +87,33 @@ def motion_class(current: DataFrame, future: DataFrame, thresholds: RiskThreshol
     step = path.withColumn("dx", dx).withColumn("dy", dy).withColumn("bearing", F.when(F.hypot("dx", "dy") > 0.1, F.atan2("dy", "dx")))
     seen = step.groupBy(*AGENT).agg(F.min(F.struct("ord", "x_m", "y_m")).alias("a"), F.max(F.struct("ord", "x_m", "y_m")).alias("z"), F.count("bearing").alias("bearings"), F.min_by("bearing", F.when(F.col("bearing").isNotNull(), F.col("ord"))).alias("first"), F.max_by("bearing", F.when(F.col("bearing").isNotNull(), F.col("ord"))).alias("last"))
     moved = distance(F.col("a.x_m"), F.col("a.y_m"), F.col("z.x_m"), F.col("z.y_m"))
-    turns = (F.col("bearings") >= 2) & (F.abs(wrapped_angle(F.col("last") - F.col("first"))) >= thresholds.turning_rad)
-    return seen.select(*AGENT, moved.alias("displacement_m"), F.when(moved <= thresholds.stationary_m, "stationary").when(turns, "turning").otherwise("straight").alias("motion_class"))
+    turns = (F.col("bearings") >= 2) & (F.abs(wrapped_angle(F.col("last") - F.col("first"))) >= thresholds.turning_angle_rad)
+    return seen.select(*AGENT, moved.alias("displacement_m"), F.when(moved <= thresholds.stationary_displacement_m, "stationary").when(turns, "turning").otherwise("straight").alias("motion_class"))
 
 
 def near_map(future: DataFrame, crosswalks: DataFrame, signs: DataFrame, signals: DataFrame, thresholds: RiskThresholds) -> DataFrame:
     """Whether any future state is near a crosswalk, or a stop sign's or any signal's stop point."""
     keys = (*AGENT, "state_ord")
-    walk = geometry.polygon_distances(future.select(*keys, "x_m", "y_m"), keys, crosswalks).groupBy(*AGENT).agg(F.bool_or(F.col("distance_m") <= thresholds.crosswalk_m).alias("near_crosswalk"))
+    walk = geometry.polygon_distances(future.select(*keys, "x_m", "y_m"), keys, crosswalks).groupBy(*AGENT).agg(F.bool_or(F.col("distance_m") <= thresholds.crosswalk_context_m).alias("near_crosswalk"))
     own = geometry.scope(signs)
     stops = signs.select(*own, "x_m", "y_m").union(signals.select(*own, "x_m", "y_m")).distinct().toDF(*own, "sx", "sy")
     near = future.join(stops, "scenario_id") if own else future.join(F.broadcast(stops))
-    control = near.groupBy(*AGENT).agg(F.bool_or(distance(F.col("x_m"), F.col("y_m"), F.col("sx"), F.col("sy")) <= thresholds.control_m).alias("near_control"))
+    control = near.groupBy(*AGENT).agg(F.bool_or(distance(F.col("x_m"), F.col("y_m"), F.col("sx"), F.col("sy")) <= thresholds.control_context_m).alias("near_control"))
     return future.select(*AGENT).distinct().join(walk, list(AGENT), "left").join(control, list(AGENT), "left").select(*AGENT, F.coalesce("near_crosswalk", F.lit(False)).alias("near_crosswalk"), F.coalesce("near_control", F.lit(False)).alias("near_control"))
 
 
 def evidence(states: DataFrame, scenarios: DataFrame, targets: DataFrame, points: DataFrame, scores: DataFrame, crosswalks: DataFrame, signs: DataFrame, signals: DataFrame, thresholds: RiskThresholds = RiskThresholds()) -> DataFrame:
     """A row per scored agent: its context, tags in order, and review priority."""
-    best = best_points(points, scores)
-    current, future = current_states(states, targets), future_states(states, best)
+    # read by several parts
+    scores, states = stored(scores), stored(states.select(*AGENT, "state_ord", "time_s", "x_m", "y_m"))
+    best = stored(best_points(points, scores))
+    current, future = stored(current_states(states, targets)), stored(future_states(states, best))
     found = scores
-    for part in (scene_density(states, current, thresholds.density_radius_m), min_actor_separation(states, future), sdc_interaction(states, scenarios, best), motion_class(current, future, thresholds), near_map(future, crosswalks, signs, signals, thresholds)):
+    for part in (scene_density(states, current, DENSITY_RADIUS), min_actor_separation(states, future), sdc_interaction(states, scenarios, best), motion_class(current, future, thresholds), near_map(future, crosswalks, signs, signals, thresholds)):
         found = found.join(part, list(AGENT), "left")
     close = F.coalesce(F.col("min_actor_separation_m") <= thresholds.close_interaction_m, F.lit(False))
     dense = F.col("nearby_agents") >= thresholds.dense_scene_agents
-    off = F.coalesce(F.col("sdc_separation_error_m") >= thresholds.sdc_error_m, F.lit(False))
+    off = F.coalesce(F.col("sdc_separation_error_m") >= thresholds.large_separation_error_m, F.lit(False))
     weak = F.col("object_type").isin("pedestrian", "cyclist")
     tags = F.filter(F.array(F.when(close, "close_interaction"), F.when(dense, "dense_scene"), F.when(off, "large_sdc_separation_error"), F.when(F.col("near_crosswalk"), "crosswalk_context"), F.when(F.col("near_control"), "traffic_control_context"), F.when(weak, "vulnerable_road_user")), lambda t: t.isNotNull())
     matters = close | off | F.col("near_crosswalk") | F.col("near_control")
@@ -114,6 +121,26 @@ def evidence(states: DataFrame, scenarios: DataFrame, targets: DataFrame, points
     return found.withColumn("risk_tags", tags).withColumn("review_priority", priority)
 
 
+def identity(scenarios: DataFrame, points: DataFrame, scores: DataFrame) -> DataFrame:
+    """(scenario_id, agent_id, problem) where scenarios, forecasts and scores are not of the same scenarios and agents: an error of the input."""
+    every, forecast, scored = (df.select(*names).distinct() for df, names in ((scenarios, ("scenario_id",)), (points, AGENT), (scores, AGENT)))
+    found = None
+    for a, b, on, problem in ((every, forecast, ["scenario_id"], "scenario without forecasts"), (every, scored, ["scenario_id"], "scenario without scores"), (forecast, every, ["scenario_id"], "forecast of an unknown scenario"), (forecast, scored, list(AGENT), "forecast without a score"), (scored, forecast, list(AGENT), "score without a forecast")):
+        lost = a.join(b, on, "left_anti").select("scenario_id", (F.col("agent_id") if "agent_id" in a.columns else F.lit(None).cast("string")).alias("agent_id"), F.lit(problem).alias("problem"))
+        found = lost if found is None else found.union(lost)
+    return found
+
+
+#: How reports name the columns of evidence.
+REPORTED = {"displacement_m": "future_displacement_m", "nearby_agents": "scene_density_30m", "sdc_separation_error_m": "max_sdc_separation_error_m", "near_control": "near_traffic_control"}
+
+
+def reported(evidence: DataFrame) -> DataFrame:
+    """evidence with the columns of a report, by its names."""
+    names = (*AGENT, "object_type", "motion_class", "review_priority", "risk_tags", "min_ade_m", "min_fde_m", "miss", "displacement_m", "nearby_agents", "min_actor_separation_m", "min_sdc_separation_m", "sdc_separation_error_m", "near_crosswalk", "near_control")
+    return evidence.select(*names).withColumnsRenamed(REPORTED)
+
+
 def counters(evidence: DataFrame) -> DataFrame:
     """(kind, name, agents) of priorities, motion classes and tags."""
     names = F.concat(F.array(F.struct(F.lit("review_priority").alias("kind"), F.col("review_priority").alias("name")), F.struct(F.lit("motion_class").alias("kind"), F.col("motion_class").alias("name"))), F.transform("risk_tags", lambda t: F.struct(F.lit("risk_tag").alias("kind"), t.alias("name"))))

@@ -25,19 +25,34 @@ def derivative(samples: DataFrame, keys: tuple[str, ...] = TRACK) -> DataFrame:
     return samples.withColumn("value", step).where("value is not null")
 
 
-def speed(states: DataFrame) -> DataFrame:
-    """Displacement per second between consecutive states, at the later one; reported velocities don't count."""
+def kinematics(states: DataFrame) -> DataFrame:
+    """speed, acceleration and jerk of each state, null where there are too few before it: windows over one sort.
+
+    Displacement per second between consecutive states, at the later one; reported velocities don't count.
+    """
     w = _along(TRACK, "state_ord")
-    moved = F.hypot(F.col("x_m") - F.lag("x_m").over(w), F.col("y_m") - F.lag("y_m").over(w)) / (F.col("time_s") - F.lag("time_s").over(w))
-    return states.select(*TRACK, F.col("state_ord").alias("sample_ord"), "time_s", moved.alias("value")).where("value is not null")
+    gap = F.col("time_s") - F.lag("time_s").over(w)
+    moved = F.hypot(F.col("x_m") - F.lag("x_m").over(w), F.col("y_m") - F.lag("y_m").over(w)) / gap
+    found = states.select(*TRACK, "state_ord", "time_s", moved.alias("speed"))
+    for name, of in (("acceleration", "speed"), ("jerk", "acceleration")):
+        found = found.withColumn(name, (F.col(of) - F.lag(of).over(w)) / gap)
+    return found.withColumnRenamed("state_ord", "sample_ord")
+
+
+def _one(found: DataFrame, name: str, keys: tuple[str, ...]) -> DataFrame:
+    return found.select(*keys, "sample_ord", "time_s", F.col(name).alias("value")).where("value is not null")
+
+
+def speed(states: DataFrame) -> DataFrame:
+    return _one(kinematics(states), "speed", TRACK)
 
 
 def acceleration(states: DataFrame) -> DataFrame:
-    return derivative(speed(states))
+    return _one(kinematics(states), "acceleration", TRACK)
 
 
 def jerk(states: DataFrame) -> DataFrame:
-    return derivative(acceleration(states))
+    return _one(kinematics(states), "jerk", TRACK)
 
 
 def aligned_pairs(states: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -47,22 +62,30 @@ def aligned_pairs(states: DataFrame, pairs: DataFrame) -> DataFrame:
     return subject.join(pairs.distinct(), list(TRACK)).join(other, ["scenario_id", "other_id", "time_s"])
 
 
+def paired(states: DataFrame, pairs: DataFrame) -> DataFrame:
+    """separation, closing_speed and time_to_collision of pairs at equal times; the last two null at the first.
+
+    Time to collision is separation over closing speed, and infinite when not closing.
+    """
+    apart = distance(F.col("x_m"), F.col("y_m"), F.col("other_x_m"), F.col("other_y_m"))
+    found = aligned_pairs(states, pairs).select(*PAIR, "sample_ord", "time_s", apart.alias("separation"))
+    w = _along(PAIR, "sample_ord")
+    closing = -(F.col("separation") - F.lag("separation").over(w)) / (F.col("time_s") - F.lag("time_s").over(w))
+    found = found.withColumn("closing_speed", closing)
+    left = F.when(F.col("closing_speed") > 0, F.col("separation") / F.col("closing_speed")).when(F.col("closing_speed").isNotNull(), float("inf"))
+    return found.withColumn("time_to_collision", left)
+
+
 def separation(states: DataFrame, pairs: DataFrame) -> DataFrame:
-    found = aligned_pairs(states, pairs)
-    return found.select(*PAIR, "sample_ord", "time_s", distance(F.col("x_m"), F.col("y_m"), F.col("other_x_m"), F.col("other_y_m")).alias("value"))
+    return _one(paired(states, pairs), "separation", PAIR)
 
 
 def closing_speed(states: DataFrame, pairs: DataFrame) -> DataFrame:
-    return derivative(separation(states, pairs), PAIR).withColumn("value", -F.col("value"))
+    return _one(paired(states, pairs), "closing_speed", PAIR)
 
 
 def time_to_collision(states: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Separation over closing speed; infinite when not closing."""
-    apart = separation(states, pairs)
-    w = _along(PAIR, "sample_ord")
-    closing = -(F.col("value") - F.lag("value").over(w)) / (F.col("time_s") - F.lag("time_s").over(w))
-    found = apart.withColumn("closing", closing).where("closing is not null")
-    return found.withColumn("value", F.when(F.col("closing") > 0, F.col("value") / F.col("closing")).otherwise(float("inf"))).drop("closing")
+    return _one(paired(states, pairs), "time_to_collision", PAIR)
 
 
 def misaligned(states: DataFrame, pairs: DataFrame) -> DataFrame:

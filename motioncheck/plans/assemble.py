@@ -37,13 +37,15 @@ def validation(recording: requirements.Recording, wanted: DataFrame) -> list[dic
     if few := signals.misaligned(recording.states, pairs).limit(5).collect():
         raise ValueError(f"fewer than two common times: {', '.join(f'{r.agent_id} and {r.other_id} in {r.scenario_id}' for r in few)}")
     judged = requirements.judged(requirements.samples(resolved, recording), resolved).cache()
-    results = requirements.results(judged, resolved).cache()
+    results = requirements.with_reasons(requirements.results(judged, resolved), resolved, recording).cache()
     quality = evidence.quality(recording.states, recording.scenarios).cache()
     keys = ("scenario_id", "req_ord")
     intervals = _by(_rows(evidence.explanations(requirements.failure_intervals(judged)).orderBy("start_time_s")), *keys)
     swept = _by(_rows(evidence.sensitivity(judged.drop("threshold", "operator"), resolved, results).orderBy("threshold")), *keys)
     grades = {(r["scenario_id"], r["req_ord"]): r["evidence_confidence"] for r in _rows(evidence.confidence(results, resolved, quality))}
     notes = _by(_rows(quality.orderBy("code")), "scenario_id")
+    own_notes = _by(_rows(evidence.relevant(resolved, quality).orderBy("code")), *keys)
+    units = {r["req_ord"]: r["units"] for r in _rows(wanted.select("req_ord", "units"))} if "units" in wanted.columns else {}
     stated = {(r["scenario_id"], r["req_ord"]): r for r in _rows(resolved)}
     of = _by(_rows(results.orderBy(*keys)), "scenario_id")
     reports = []
@@ -51,17 +53,19 @@ def validation(recording: requirements.Recording, wanted: DataFrame) -> list[dic
         own = []
         for r in of[(roll["scenario_id"],)]:
             key = (r["scenario_id"], r["req_ord"])
-            words = [narrative(stated[key], i) for i in intervals.get(key, [])]
-            own.append({"requirement": stated[key], "result": r, "explanations": [i | {"narrative": w} for i, w in zip(intervals.get(key, []), words)], "sensitivity": swept.get(key, []), "evidence_confidence": grades[key], "confidence_rationale": RATIONALES[grades[key]]})
+            unit = units.get(r["req_ord"]) or ""
+            words = [narrative(stated[key], i, unit) for i in intervals.get(key, [])]
+            reason = r["not_applicable_reason"]
+            own.append({"requirement": stated[key] | {"units": unit}, "result": r | {"units": unit}, "explanations": [i | {"narrative": w} for i, w in zip(intervals.get(key, []), words)], "sensitivity": swept.get(key, []), "quality_annotations": [{k: n[k] for k in ("code", "severity", "message", "agent_ids")} for n in own_notes.get(key, [])], "evidence_confidence": grades[key], "confidence_rationale": reason or RATIONALES[grades[key]]})
         reports.append(roll | {"passed": roll["overall_status"] == "PASS", "quality_annotations": notes.get((roll["scenario_id"],), []), "requirement_evidence": own})
     for df in (resolved, judged, results, quality):
         df.unpersist()
     return reports
 
 
-def narrative(requirement: dict, interval: dict) -> str:
-    side = "below" if requirement["operator"].startswith("greater") else "above"
-    return f"{requirement['metric']} was {side} {requirement['threshold']:g} from {interval['start_time_s']:g} s to {interval['end_time_s']:g} s; the worst value was {interval['worst_value']:g}, {interval['threshold_deviation']:g} off"
+def narrative(requirement: dict, interval: dict, units: str = "") -> str:
+    side, of = "below" if requirement["operator"].startswith("greater") else "above", f" {units}" if units else ""
+    return f"{requirement['metric']} was {side} {requirement['threshold']:g}{of} from {interval['start_time_s']:g} s to {interval['end_time_s']:g} s; the worst value was {interval['worst_value']:g}{of}, {interval['threshold_deviation']:g}{of} off"
 
 
 def regressions(baseline: requirements.Recording, candidate: requirements.Recording, wanted: DataFrame, policy: regression.RegressionPolicy) -> dict:
@@ -77,8 +81,8 @@ def regressions(baseline: requirements.Recording, candidate: requirements.Record
     violations = []
     if gate["new_failures"] > policy.max_new_failures:
         violations.append(f"{gate['new_failures']} new failures; {policy.max_new_failures} are allowed")
-    if gate["missing"] and policy.fail_on_missing_candidate_scenarios:
-        violations.append(f"{gate['missing']} scenarios are missing")
+    if gate["missing_candidate_scenarios"] and policy.fail_on_missing_candidate_scenarios:
+        violations.append(f"{gate['missing_candidate_scenarios']} scenarios are missing")
     if gate["lost_applicability"] and policy.fail_on_lost_applicability:
         violations.append(f"{gate['lost_applicability']} requirements no longer apply")
     sets = _by(_rows(changes.orderBy("scenario_id")), "kind")
@@ -92,19 +96,10 @@ def regressions(baseline: requirements.Recording, candidate: requirements.Record
     }
 
 
-def _metric_values(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """(metric, metric_ord, ord, value), ordered by scenario and agent."""
-    from pyspark.sql import Window
-
-    ranked = df.withColumn("ord", F.row_number().over(Window.orderBy("scenario_id", "agent_id")) - 1)
-    each = F.array(*[F.struct(F.lit(c).alias("metric"), F.lit(i).alias("metric_ord"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])
-    return ranked.select("ord", F.explode(each).alias("m")).select("m.metric", "m.metric_ord", "ord", "m.value")
-
-
 def _intervals(df: DataFrame, columns: tuple[str, ...], samples: int, seed: int) -> dict:
     if samples < 1:
         return {}
-    return {r.metric: {"lower": r.lower, "upper": r.upper, "confidence": 0.95} for r in compare.bootstrap_exact(_metric_values(df, columns), samples, seed).collect()}
+    return {r.metric: {"lower": r.lower, "upper": r.upper, "confidence": 0.95} for r in compare.bootstrap_exact(compare.metric_values(df, columns), samples, seed).collect()}
 
 
 def evaluation(scores: DataFrame, miss_threshold_m: float = 2.0, samples: int = 1000, seed: int = 0) -> dict:
@@ -173,10 +168,10 @@ def risks(found: DataFrame, thresholds: risk.RiskThresholds) -> dict:
         "interpretation": "context of forecast errors for review; not a measure of safety",
         "thresholds": vars(thresholds),
         "summary": {"agents": found.count()} | {k: {r["name"]: r["agents"] for r in counters.get((n,), [])} for k, n in (("review_priority", "review_priority"), ("motion_class", "motion_class"), ("risk_tags", "risk_tag"))},
-        "by_motion_class": strata.get(("motion_class",), []),
-        "by_review_priority": strata.get(("review_priority",), []),
-        "highest_priority_cases": _rows(risk.top_cases(found)),
-        "agents": _rows(found.orderBy("scenario_id", "agent_id")),
+        "by_motion_class": {r.pop("name"): {k: v for k, v in r.items() if k != "kind"} for r in strata.get(("motion_class",), [])},
+        "by_review_priority": {r.pop("name"): {k: v for k, v in r.items() if k != "kind"} for r in strata.get(("review_priority",), [])},
+        "highest_priority_cases": _rows(risk.reported(risk.top_cases(found))),
+        "agents": _rows(risk.reported(found).orderBy("scenario_id", "agent_id")),
     }
     found.unpersist()
     return out

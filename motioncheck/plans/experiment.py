@@ -100,7 +100,7 @@ def run(spark: SparkSession, manifest: str) -> dict:
         raise FileNotFoundError(lost[0])
     nested = framed.read_scenarios(spark, list(own.shards))
     if own.limit:
-        nested = nested.orderBy("scenario_id").limit(own.limit)
+        nested = framed.in_file_order(nested, list(own.shards)).limit(own.limit)
     nested = nested.cache()
     if repeated := json_files.duplicates(nested).limit(1).collect():
         raise ValueError(f"scenario {repeated[0].scenario_id} appears more than once")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from motioncheck.operators.compare import POISSON
 from motioncheck.operators.forecast import STEPS
 from motioncheck.sources.views import REQUIREMENTS
 
@@ -65,14 +66,14 @@ PARTS = {
     "stop_speed": "SELECT l.scenario_id, l.agent_id, l.state_ord * 1000 + sign_ord AS sample_ord, l.time_s, sqrt((x_m - px) ** 2 + (y_m - py) ** 2) / (l.time_s - pt) AS value FROM lagged l JOIN lane_near n ON n.scenario_id = l.scenario_id AND n.agent_id = l.agent_id AND n.state_ord = l.state_ord JOIN signs g ON g.lane_id = n.lane_id JOIN tangents t ON t.lane_id = g.lane_id AND t.sx = g.sx AND t.sy = g.sy WHERE pt IS NOT NULL AND (px - g.sx) * tx + (py - g.sy) * ty <= 0 AND (x_m - g.sx) * tx + (y_m - g.sy) * ty > 0",
     "samples": "SELECT r.scenario_id, req_ord, sample_ord, time_s, value FROM resolved r JOIN (SELECT 'speed' AS m, * FROM speed UNION ALL SELECT 'acceleration', * FROM acceleration UNION ALL SELECT 'jerk', * FROM jerk UNION ALL SELECT 'lane_lateral_offset', scenario_id, agent_id, sample_ord, time_s, abs(lateral_offset_m) FROM lane_assoc UNION ALL SELECT 'crosswalk_proximity', * FROM crosswalk UNION ALL SELECT 'vru_crosswalk_proximity', * FROM vru_crosswalk UNION ALL SELECT 'red_stop_line_violation', * FROM red UNION ALL SELECT 'stop_sign_crossing_speed', * FROM stop_speed) x ON x.m = r.metric AND x.scenario_id = r.scenario_id AND x.agent_id = r.agent_id UNION ALL SELECT r.scenario_id, req_ord, sample_ord, time_s, value FROM resolved r JOIN separation s ON metric = 'separation' AND s.scenario_id = r.scenario_id AND s.agent_id = r.agent_id AND s.other_id = r.other_id UNION ALL SELECT r.scenario_id, req_ord, sample_ord, time_s, value FROM resolved r JOIN ttc s ON metric = 'time_to_collision' AND s.scenario_id = r.scenario_id AND s.agent_id = r.agent_id AND s.other_id = r.other_id",
     "judged": f"SELECT s.*, requirement_id, operator, threshold, {_holds('value')} AS met FROM samples s JOIN resolved r USING (scenario_id, req_ord)",
-    "results": "SELECT scenario_id, req_ord, requirement_id, coalesce(n, 0) AS evaluated_samples, coalesce(bad, 0) AS failed_samples, lo AS observed_min, hi AS observed_max, req_ord < 6 OR coalesce(n, 0) > 0 AS applicable, CASE WHEN req_ord < 6 OR coalesce(n, 0) > 0 THEN coalesce(bad, 0) = 0 END AS passed FROM resolved LEFT JOIN (SELECT scenario_id, req_ord, count(*) AS n, count(*) FILTER (NOT met) AS bad, min(value) AS lo, max(value) AS hi FROM judged GROUP BY ALL) USING (scenario_id, req_ord)",
+    "results": "SELECT scenario_id, req_ord, requirement_id, coalesce(n, 0) AS evaluated_samples, coalesce(bad, 0) AS failed_samples, lo AS observed_min, hi AS observed_max, req_ord < 6 OR coalesce(n, 0) > 0 AS applicable, CASE WHEN req_ord < 6 OR coalesce(n, 0) > 0 THEN coalesce(bad, 0) = 0 END AS passed, CASE WHEN req_ord >= 6 AND coalesce(n, 0) = 0 THEN CASE metric WHEN 'lane_lateral_offset' THEN 'subject is never within 10 m of a lane center' WHEN 'vru_crosswalk_proximity' THEN 'no pedestrian or cyclist is observed in a mapped crosswalk context' WHEN 'red_stop_line_violation' THEN 'subject is not aligned with an active stop-state signal' WHEN 'stop_sign_crossing_speed' THEN 'subject does not cross a mapped stop-sign position' END END AS not_applicable_reason FROM resolved LEFT JOIN (SELECT scenario_id, req_ord, count(*) AS n, count(*) FILTER (NOT met) AS bad, min(value) AS lo, max(value) AS hi FROM judged GROUP BY ALL) USING (scenario_id, req_ord)",
     "bad_steps": "SELECT *, min(CASE WHEN step > 0 THEN step END) OVER (PARTITION BY scenario_id, req_ord) AS nominal FROM (SELECT *, time_s - lag(time_s) OVER (PARTITION BY scenario_id, req_ord ORDER BY sample_ord) AS step FROM judged WHERE NOT met)",
     "islands": "SELECT *, sum(CASE WHEN step IS NULL OR step > 1.5 * nominal THEN 1 ELSE 0 END) OVER (PARTITION BY scenario_id, req_ord ORDER BY sample_ord ROWS UNBOUNDED PRECEDING) AS island FROM bad_steps",
     "intervals": "SELECT scenario_id, req_ord, requirement_id, min(time_s) AS start_time_s, max(time_s) AS end_time_s, count(*) AS sample_count, CASE WHEN starts_with(any_value(operator), 'greater') THEN min(value) ELSE max(value) END AS worst_value, any_value(threshold) AS threshold FROM islands GROUP BY scenario_id, req_ord, requirement_id, island",
     "tracks_i": "SELECT scenario_id, track_ord, agent_id, count(*) AS n_states, count(step) AS steps, max(step) AS longest, median(step) AS med FROM (SELECT *, time_s - lag(time_s) OVER (PARTITION BY scenario_id, agent_id ORDER BY state_ord) AS step FROM irregular) GROUP BY ALL",
-    "quality": "SELECT scenario_id, 'INSUFFICIENT_TRACK_SAMPLES' AS code, 'error' AS severity, list(agent_id ORDER BY track_ord) AS agent_ids FROM tracks_i WHERE n_states < 2 GROUP BY scenario_id UNION ALL SELECT scenario_id, 'IRREGULAR_SAMPLING', 'warning', list(agent_id ORDER BY track_ord) FROM tracks_i WHERE steps >= 2 AND longest > 1.5 * med GROUP BY scenario_id UNION ALL SELECT scenario_id, 'NO_MAP_FEATURES', 'info', [] FROM scenarios UNION ALL SELECT scenario_id, 'PARTIAL_REPORTED_VELOCITY', 'info', list(agent_id ORDER BY track_ord) FROM tracks_i GROUP BY scenario_id",
+    "quality": "SELECT scenario_id, 'INSUFFICIENT_TRACK_SAMPLES' AS code, 'error' AS severity, list(agent_id ORDER BY track_ord) AS agent_ids FROM tracks_i WHERE n_states < 2 GROUP BY scenario_id UNION ALL SELECT scenario_id, 'IRREGULAR_SAMPLING', 'warning', list(agent_id ORDER BY track_ord) FROM tracks_i WHERE steps >= 2 AND longest > 1.5 * med GROUP BY scenario_id UNION ALL SELECT scenario_id, 'NO_MAP_FEATURES', 'info', [] FROM scenarios UNION ALL SELECT DISTINCT scenario_id, 'PARTIAL_REPORTED_VELOCITY', 'info', [] FROM irregular",
     "swept": "SELECT scenario_id, req_ord, operator, unnest([threshold - d, threshold, threshold + d]) AS swept FROM (SELECT *, CASE WHEN threshold = 0 THEN 0.1e0 ELSE 0.1e0 * abs(threshold) END AS d FROM resolved) JOIN results USING (scenario_id, req_ord) WHERE applicable",
-    "transitions": "SELECT scenario_id, req_ord, b.requirement_id, b.st AS baseline_status, c.st AS candidate_status, CASE WHEN b.st = c.st THEN 'UNCHANGED_' || b.st WHEN c.st = 'FAIL' THEN 'NEW_FAILURE' WHEN b.st = 'FAIL' AND c.st = 'PASS' THEN 'RESOLVED' WHEN c.st = 'NOT_APPLICABLE' THEN 'LOST_APPLICABILITY' ELSE 'NEWLY_APPLICABLE_PASS' END AS classification FROM (SELECT *, CASE WHEN passed IS NULL THEN 'NOT_APPLICABLE' WHEN passed THEN 'PASS' ELSE 'FAIL' END AS st FROM results) b JOIN (SELECT *, CASE WHEN passed IS NULL THEN 'NOT_APPLICABLE' WHEN passed THEN 'PASS' ELSE 'FAIL' END AS st FROM results_c) c USING (scenario_id, req_ord)",
+    "transitions": "SELECT scenario_id, req_ord, b.requirement_id, b.failed_samples AS baseline_failed_samples, c.failed_samples AS candidate_failed_samples, b.st AS baseline_status, c.st AS candidate_status, CASE WHEN b.st = c.st THEN 'UNCHANGED_' || b.st WHEN c.st = 'FAIL' THEN 'NEW_FAILURE' WHEN b.st = 'FAIL' AND c.st = 'PASS' THEN 'RESOLVED' WHEN c.st = 'NOT_APPLICABLE' THEN 'LOST_APPLICABILITY' ELSE 'NEWLY_APPLICABLE_PASS' END AS classification FROM (SELECT *, CASE WHEN passed IS NULL THEN 'NOT_APPLICABLE' WHEN passed THEN 'PASS' ELSE 'FAIL' END AS st FROM results) b JOIN (SELECT *, CASE WHEN passed IS NULL THEN 'NOT_APPLICABLE' WHEN passed THEN 'PASS' ELSE 'FAIL' END AS st FROM results_c) c USING (scenario_id, req_ord)",
     "changes": "(SELECT scenario_id, 'missing' AS kind FROM states EXCEPT SELECT scenario_id, 'missing' FROM states_c) UNION ALL (SELECT scenario_id, 'added' FROM states_c EXCEPT SELECT scenario_id, 'added' FROM states)",
     "targets": "SELECT scenario_id, unnest(range(0, len(preds))) AS agent_ord, unnest(preds) AS agent_id FROM scenarios",
     "hist": "SELECT scenario_id, agent_id, max(time_s) FILTER (b = 0) AS t0, max(x_m) FILTER (b = 0) AS x0, max(y_m) FILTER (b = 0) AS y0, max(time_s) FILTER (b = 1) AS t1, max(x_m) FILTER (b = 1) AS x1, max(y_m) FILTER (b = 1) AS y1, max(time_s) FILTER (b = 2) AS t2, max(x_m) FILTER (b = 2) AS x2, max(y_m) FILTER (b = 2) AS y2 FROM (SELECT *, row_number() OVER (PARTITION BY scenario_id, agent_id ORDER BY state_ord DESC) - 1 AS b FROM states JOIN targets USING (scenario_id, agent_id) WHERE time_s <= 1) GROUP BY ALL",
@@ -86,7 +87,11 @@ PARTS = {
     "modes": "SELECT scenario_id, agent_id, mode_index, avg(error_m) AS ade_m, arg_max(error_m, point_ord) AS fde_m, count(*) AS evaluated_points FROM errors GROUP BY ALL",
     "scores": "SELECT scenario_id, agent_id, object_type, n AS modes, evaluated_points, 16 AS expected_points, ade_m AS min_ade_m, fde AS min_fde_m, fde > 2 AS miss, mode_index AS best_mode_index, evaluated_points / 16e0 AS ground_truth_coverage FROM (SELECT *, row_number() OVER (PARTITION BY scenario_id, agent_id ORDER BY ade_m, mode_index) AS r, count(*) OVER (PARTITION BY scenario_id, agent_id) AS n, min(fde_m) OVER (PARTITION BY scenario_id, agent_id) AS fde FROM modes) JOIN (SELECT DISTINCT scenario_id, agent_id, object_type FROM states) USING (scenario_id, agent_id) WHERE r = 1",
     "deltas": "SELECT scenario_id, agent_id, c.object_type, b.min_ade_m AS baseline_min_ade_m, c.min_ade_m AS candidate_min_ade_m, c.min_ade_m - b.min_ade_m AS min_ade_delta_m, c.min_fde_m - b.min_fde_m AS min_fde_delta_m, c.miss::INT - b.miss::INT AS miss_delta, c.best_mode_index AS candidate_best_mode_index FROM scores_v b JOIN scores c USING (scenario_id, agent_id)",
-    "resampled": "SELECT m.metric, m.metric_ord, ord, m.value FROM (SELECT ord, unnest([{'metric': 'min_ade_m', 'metric_ord': 0, 'value': min_ade_m}, {'metric': 'min_fde_m', 'metric_ord': 1, 'value': min_fde_m}, {'metric': 'miss', 'metric_ord': 2, 'value': miss::DOUBLE}]) AS m FROM (SELECT *, row_number() OVER (ORDER BY scenario_id, agent_id) - 1 AS ord FROM scores))",
+    "resampled": "SELECT m.metric, m.metric_ord, scenario_id, agent_id, m.value FROM (SELECT scenario_id, agent_id, unnest([{'metric': 'min_ade_m', 'metric_ord': 0, 'value': min_ade_m}, {'metric': 'min_fde_m', 'metric_ord': 1, 'value': min_fde_m}, {'metric': 'miss', 'metric_ord': 2, 'value': miss::DOUBLE}]) AS m FROM scores)",
+    "paired": "SELECT m.metric, m.metric_ord, scenario_id, agent_id, m.value FROM (SELECT scenario_id, agent_id, unnest([{'metric': 'min_ade_delta_m', 'metric_ord': 0, 'value': min_ade_delta_m}, {'metric': 'min_fde_delta_m', 'metric_ord': 1, 'value': min_fde_delta_m}, {'metric': 'miss_delta', 'metric_ord': 2, 'value': miss_delta::DOUBLE}]) AS m FROM deltas)",
+    "messages": "SELECT * FROM (VALUES ('INSUFFICIENT_TRACK_SAMPLES', 'Some tracks contain fewer than two valid states and cannot support derived metrics.'), ('IRREGULAR_SAMPLING', 'One or more tracks contain time gaps greater than 1.5 times their median step.'), ('PARTIAL_REPORTED_VELOCITY', 'Reported velocity is incomplete; position-derived kinematics remain available.'), ('NO_MAP_FEATURES', 'No map features are attached; map-aware requirements are not applicable.')) AS t(code, message)",
+    "notes": "SELECT r.scenario_id, req_ord, array_to_string(list(code || ': ' || message ORDER BY code), '; ') AS quality_annotations FROM resolved r JOIN quality q ON q.scenario_id = r.scenario_id AND (len(agent_ids) = 0 OR list_contains(agent_ids, agent_id) OR list_contains(agent_ids, other_id)) JOIN messages USING (code) GROUP BY ALL",
+    "graded": "SELECT s.scenario_id, s.req_ord, s.requirement_id, CASE WHEN NOT applicable THEN 'not_applicable' WHEN evaluated_samples < 2 OR coalesce(e, false) THEN 'low' WHEN evaluated_samples < 5 OR coalesce(w, false) THEN 'medium' ELSE 'high' END AS evidence_confidence FROM results s LEFT JOIN (SELECT r.scenario_id, req_ord, bool_or(severity = 'error') AS e, bool_or(severity = 'warning') AS w FROM resolved r JOIN quality q ON q.scenario_id = r.scenario_id AND (len(agent_ids) = 0 OR list_contains(agent_ids, agent_id) OR list_contains(agent_ids, other_id)) GROUP BY ALL) m ON m.scenario_id = s.scenario_id AND m.req_ord = s.req_ord",
     "ext": "SELECT 's0' AS scenario_id, vec_id::VARCHAR AS agent_id, p // 32 AS mode_index, (p % 32) // 2 AS point_ord, (2 - p // 32 + vec_id % 3)::DOUBLE AS confidence, max(v::DOUBLE) FILTER (p % 2 = 0) AS x_m, max(v::DOUBLE) FILTER (p % 2 = 1) AS y_m FROM (SELECT vec_id, unnest(range(0, 64)) AS p, unnest(embedding[:64]) AS v FROM embeddings WHERE embedding IS NOT NULL) GROUP BY ALL",
     "best": "SELECT e.scenario_id, e.agent_id, point_ord, round(time_s * 1e6)::BIGINT AS t, x_m AS hx, y_m AS hy FROM ensemble e JOIN scores s ON s.scenario_id = e.scenario_id AND s.agent_id = e.agent_id AND s.best_mode_index = e.mode_index",
     "current_": "SELECT scenario_id, agent_id, arg_max(state_ord, state_ord) AS state_ord, arg_max(x_m, state_ord) AS x_m, arg_max(y_m, state_ord) AS y_m FROM states JOIN targets USING (scenario_id, agent_id) WHERE time_s <= 1 + 1e-6 GROUP BY ALL",
@@ -156,6 +161,16 @@ _A = "scenario_id agent_id"
 _MEANS = "count(*)::BIGINT AS agents, round(avg(min_ade_m), 6) AS mean_min_ade_m, round(avg(min_fde_m), 6) AS mean_min_fde_m, round(avg(miss::DOUBLE), 6) AS miss_rate, round(avg(ground_truth_coverage), 6) AS mean_ground_truth_coverage"
 _GATE = "max(CASE WHEN k = 'c' THEN {0} END) - max(CASE WHEN k = 'b' THEN {0} END)"
 
+_DRAWN = " + ".join(f"CASE WHEN u >= {p!r}::DOUBLE THEN 1 ELSE 0 END" for p in POISSON)
+
+
+def _bootstrap(values: str) -> str:
+    """Bounds of 200 resamples' means: each value as often as a Poisson variable, by a digest."""
+    drawn = f"SELECT metric, b, value, {_DRAWN} AS n FROM (SELECT *, ('0x' || substr(md5('0:' || metric_ord || ':' || b || ':' || scenario_id || ':' || agent_id), 1, 12))::BIGINT / 281474976710656e0 AS u FROM (SELECT *, unnest(range(0, 200)) AS b FROM {values}))"
+    means = f"SELECT metric, b, coalesce(sum(n * value) / nullif(sum(n), 0), avg(value)) AS mean FROM ({drawn}) GROUP BY metric, b"
+    return f"SELECT metric, round(max(mean) FILTER (r = 4), 6) AS lower, round(max(mean) FILTER (r = 195), 6) AS upper FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY round(mean, 9), b) - 1 AS r FROM ({means})) GROUP BY metric"
+
+
 FINALS = {
     "scan_states": _select("states", "track_ord state_ord event_id", "time_s x_m y_m", f"{_A} object_type"),
     "scenario_timeline": "SELECT scenario_id, unnest(range(0, 91))::BIGINT AS step, round(unnest(range(0, 91)) / 10e0, 6) AS time_s FROM scenarios",
@@ -174,20 +189,20 @@ FINALS = {
     "metric_samples": _select("samples", "req_ord sample_ord", "time_s value", "scenario_id"),
     "threshold_predicates": "SELECT scenario_id, req_ord::BIGINT AS req_ord, count(*) FILTER (met)::BIGINT AS met, count(*) FILTER (NOT met)::BIGINT AS unmet FROM judged GROUP BY ALL",
     "failed_samples": _select("judged", "req_ord sample_ord", "time_s value", "scenario_id") + " WHERE NOT met",
-    "requirement_results": _select("results", "req_ord evaluated_samples failed_samples", "observed_min observed_max", "scenario_id requirement_id applicable passed"),
+    "requirement_results": _select("results", "req_ord evaluated_samples failed_samples", "observed_min observed_max", "scenario_id requirement_id applicable passed not_applicable_reason"),
     "result_status": "SELECT scenario_id, req_ord::BIGINT AS req_ord, requirement_id, CASE WHEN passed IS NULL THEN 'NOT_APPLICABLE' WHEN passed THEN 'PASS' ELSE 'FAIL' END AS status FROM results",
     "failure_intervals": _select("intervals", "req_ord sample_count", "start_time_s end_time_s worst_value", "scenario_id requirement_id"),
     "explanations": "SELECT scenario_id, req_ord::BIGINT AS req_ord, round(start_time_s, 6) AS start_time_s, round(worst_value, 6) AS worst_value, round(abs(worst_value - threshold), 6) AS threshold_deviation FROM intervals",
     "quality_irregular": "SELECT scenario_id, agent_id, steps::BIGINT AS steps, round(longest, 6) AS longest, round(med, 6) AS median FROM tracks_i WHERE steps >= 2 AND longest > 1.5 * med",
-    "quality_annotations": "SELECT scenario_id, code, severity, array_to_string(agent_ids, ',') AS agent_ids FROM quality",
+    "quality_annotations": "SELECT scenario_id, code, severity, array_to_string(agent_ids, ',') AS agent_ids, message FROM quality JOIN messages USING (code)",
     "sensitivity_sweep": f"SELECT scenario_id, req_ord::BIGINT AS req_ord, round(swept, 6) AS threshold, count(*) FILTER (NOT met) = 0 AS passed, count(*) FILTER (NOT met)::BIGINT AS failed_samples, round(CASE WHEN count(value) > 0 THEN count(*) FILTER (NOT met) / count(value) ELSE 0e0 END, 6) AS failed_fraction FROM (SELECT w.*, value, {_holds('value', 'swept')} AS met FROM swept w LEFT JOIN samples USING (scenario_id, req_ord)) GROUP BY scenario_id, req_ord, swept",
     "evidence_confidence": "SELECT s.scenario_id, s.req_ord::BIGINT AS req_ord, s.requirement_id, CASE WHEN NOT applicable THEN 'not_applicable' WHEN evaluated_samples < 2 OR coalesce(e, false) THEN 'low' WHEN evaluated_samples < 5 OR coalesce(w, false) THEN 'medium' ELSE 'high' END AS evidence_confidence FROM results s LEFT JOIN (SELECT r.scenario_id, req_ord, bool_or(severity = 'error') AS e, bool_or(severity = 'warning') AS w FROM resolved r JOIN quality q ON q.scenario_id = r.scenario_id AND (len(agent_ids) = 0 OR list_contains(agent_ids, agent_id) OR list_contains(agent_ids, other_id)) GROUP BY ALL) m ON m.scenario_id = s.scenario_id AND m.req_ord = s.req_ord",
     "validation_rollup": "SELECT scenario_id, CASE WHEN count(*) FILTER (NOT passed) > 0 THEN 'FAIL' WHEN count(*) FILTER (applicable) = 0 THEN 'NOT APPLICABLE' ELSE 'PASS' END AS overall_status, count(*) FILTER (passed)::BIGINT AS passed_count, count(*) FILTER (applicable)::BIGINT AS applicable_count, count(*)::BIGINT AS total FROM results GROUP BY scenario_id",
-    "regression_transitions": _select("transitions", "req_ord", "", "scenario_id requirement_id baseline_status candidate_status classification"),
+    "regression_transitions": _select("transitions", "req_ord baseline_failed_samples candidate_failed_samples", "", "scenario_id requirement_id baseline_status candidate_status classification"),
     "regression_scenarios": "SELECT scenario_id, CASE WHEN bool_or(classification IN ('NEW_FAILURE', 'LOST_APPLICABILITY')) THEN 'REGRESSED' WHEN bool_or(classification = 'RESOLVED') THEN 'IMPROVED' ELSE 'UNCHANGED' END AS status FROM transitions GROUP BY scenario_id",
     "set_missing_added": "SELECT scenario_id, kind FROM changes",
     "set_common": "SELECT scenario_id FROM states INTERSECT SELECT scenario_id FROM states_c",
-    "regression_gate": "SELECT *, NOT (new_failures > 0 OR missing > 0 OR lost_applicability > 0) AS gate_passed FROM (SELECT count(*) FILTER (classification = 'NEW_FAILURE')::BIGINT AS new_failures, count(*) FILTER (classification = 'RESOLVED')::BIGINT AS resolved, count(*) FILTER (classification = 'LOST_APPLICABILITY')::BIGINT AS lost_applicability FROM transitions) a, (SELECT count(*) FILTER (kind = 'missing')::BIGINT AS missing, count(*) FILTER (kind = 'added')::BIGINT AS added FROM changes) b",
+    "regression_gate": "SELECT *, NOT (new_failures > 0 OR missing_candidate_scenarios > 0 OR lost_applicability > 0) AS gate_passed FROM (SELECT count(*) FILTER (classification = 'NEW_FAILURE')::BIGINT AS new_failures, count(*) FILTER (classification = 'RESOLVED')::BIGINT AS resolved_failures, count(*) FILTER (classification = 'LOST_APPLICABILITY')::BIGINT AS lost_applicability FROM transitions) a, (SELECT count(*) FILTER (kind = 'missing')::BIGINT AS missing_candidate_scenarios, count(*) FILTER (kind = 'added')::BIGINT AS added_candidate_scenarios FROM changes) b",
     "lane_assoc": _select("lane_assoc", "sample_ord", "time_s lateral_offset_m distance_m", f"{_A} lane_id"),
     "signal_lane_offset": "SELECT scenario_id, agent_id, sample_ord::BIGINT AS sample_ord, round(time_s, 6) AS time_s, round(abs(lateral_offset_m), 6) AS value FROM lane_assoc",
     "polygon_distance": "SELECT scenario_id, agent_id, state_ord::BIGINT AS state_ord, round(time_s, 6) AS time_s, cw::BIGINT AS cw_ord, round(dist, 6) AS distance_m, x_m >= 10 + 20 * cw AND x_m < 12 + 20 * cw AND y_m >= 0 AND y_m < 40 AS inside FROM cw_state",
@@ -214,7 +229,18 @@ FINALS = {
     "top_improved_agents": "SELECT scenario_id, agent_id, round(d, 6) AS min_ade_delta_m FROM (SELECT *, round(min_ade_delta_m, 9) AS d FROM deltas) ORDER BY d, scenario_id, agent_id LIMIT 10",
     "top_regressed_agents": "SELECT scenario_id, agent_id, round(d, 6) AS min_ade_delta_m FROM (SELECT *, round(min_ade_delta_m, 9) AS d FROM deltas) ORDER BY d DESC, scenario_id, agent_id LIMIT 10",
     "comparison_gate": "SELECT round(a, 6) AS mean_min_ade_m_delta, round(f, 6) AS mean_min_fde_m_delta, round(m, 6) AS miss_rate_delta, round(c, 6) AS mean_ground_truth_coverage_delta, a <= 1e-12 AND f <= 1e-12 AND m <= 1e-12 AND -c <= 1e-12 AS gate_passed FROM (SELECT " + ", ".join(f"avg({x}) FILTER (k = 'c') - avg({x}) FILTER (k = 'b') AS {n}" for x, n in (("min_ade_m", "a"), ("min_fde_m", "f"), ("miss::DOUBLE", "m"), ("ground_truth_coverage", "c"))) + " FROM (SELECT 'b' AS k, * FROM scores_v UNION ALL SELECT 'c', * FROM scores))",
-    "bootstrap_ci": "SELECT metric, round(max(mean) FILTER (r = 4), 6) AS lower, round(max(mean) FILTER (r = 195), 6) AS upper FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY round(mean, 9), b) - 1 AS r FROM (SELECT d.metric, b, avg(v.value) AS mean FROM (SELECT metric, b, (b * 7919 + i * 104729 + b * i * 31 + metric_ord) % n AS ord FROM (SELECT metric, metric_ord, n, b, unnest(range(0, n)) AS i FROM (SELECT metric, metric_ord, count(*) AS n, unnest(range(0, 200)) AS b FROM resampled GROUP BY metric, metric_ord))) d JOIN resampled v ON v.metric = d.metric AND v.ord = d.ord GROUP BY d.metric, b)) GROUP BY metric",
+    "bootstrap_ci": _bootstrap("resampled"),
+    "paired_bootstrap_ci": _bootstrap("paired"),
+    "evidence": "SELECT r.scenario_id, r.req_ord::BIGINT AS req_ord, r.requirement_id, passed, failed_samples::BIGINT AS failed_samples, not_applicable_reason, evidence_confidence, quality_annotations FROM results r JOIN graded g ON g.scenario_id = r.scenario_id AND g.req_ord = r.req_ord LEFT JOIN notes n ON n.scenario_id = r.scenario_id AND n.req_ord = r.req_ord",
+    "point_in_polygon": "SELECT scenario_id, agent_id, cw::BIGINT AS cw_ord, count(*) FILTER (x_m >= 10 + 20 * cw AND x_m < 12 + 20 * cw AND y_m >= 0 AND y_m < 40)::BIGINT AS states_inside FROM cw_state GROUP BY ALL",
+    "risk_evidence": "SELECT scenario_id, agent_id, object_type, motion_class, review_priority, array_to_string(tags, ',') AS risk_tags, round(min_ade_m, 6) AS min_ade_m, round(min_fde_m, 6) AS min_fde_m, miss, round(displacement_m, 6) AS future_displacement_m, nearby_agents::BIGINT AS scene_density_30m, round(min_actor_separation_m, 6) AS min_actor_separation_m, round(min_sdc_separation_m, 6) AS min_sdc_separation_m, round(sdc_separation_error_m, 6) AS max_sdc_separation_error_m, near_crosswalk, near_control AS near_traffic_control FROM risk",
+    "svg_projection": "SELECT scenario_id, agent_id, state_ord::BIGINT AS state_ord, round(50 + (x_m - x0) * scale, 6) AS px, round(650 - (y_m - y0) * scale, 6) AS py FROM states JOIN (SELECT scenario_id, min(x_m) AS x0, min(y_m) AS y0, least(800 / greatest(1e0, max(x_m) - min(x_m)), 600 / greatest(1e0, max(y_m) - min(y_m))) AS scale FROM states GROUP BY scenario_id) USING (scenario_id)",
+    "tfrecord_scan": "SELECT 0::BIGINT AS record_ord, count(DISTINCT scenario_id)::BIGINT AS records, count(DISTINCT scenario_id)::BIGINT AS filled FROM states",
+    "scenario_scan": _select("states", "track_ord", "time_s x_m y_m", f"{_A} object_type"),
+    "scenario_json": _select("states", "track_ord state_ord", "time_s x_m y_m", f"{_A} object_type"),
+    "normalize_valid_states": "SELECT scenario_id, agent_id, count(*)::BIGINT AS valid_states FROM states GROUP BY ALL",
+    "map_normalize": "SELECT scenario_id, (n + w + s)::BIGINT AS map_feature_count, n::BIGINT AS lanes, w::BIGINT AS crosswalks, s::BIGINT AS signs, g::BIGINT AS signals FROM (SELECT DISTINCT scenario_id FROM states), (SELECT count(*) AS n FROM lanes), (SELECT count(DISTINCT cw) AS w FROM cw_edge), (SELECT count(*) AS s FROM signs), (SELECT count(*) AS g FROM lights)",
+    "manifest_duplicates": "SELECT DISTINCT scenario_id FROM states WHERE scenario_id = 's1'",
     "external_predictions": _select("ext", "mode_index point_ord", "confidence x_m y_m", _A),
     "external_invalid_modes": "SELECT DISTINCT scenario_id, agent_id, CASE WHEN agent_id::INT % 11 = 0 THEN 'points' ELSE 'coordinates' END AS reason FROM ext WHERE agent_id::INT % 11 = 0 OR agent_id::INT % 7 = 0",
     "external_identity": "SELECT DISTINCT scenario_id, agent_id, 'unexpected' AS problem FROM ext e ANTI JOIN targets t USING (scenario_id, agent_id) UNION ALL SELECT scenario_id, agent_id, 'missing' FROM targets t ANTI JOIN ext e USING (scenario_id, agent_id)",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from motioncheck.functions.columns import r6, wrapped_angle
 from motioncheck.operators import compare, evidence, external, forecast, geometry, regression, requirements, risk, scoring, signals
-from motioncheck.sources import views
+from motioncheck.sources import framed, json_files, views
+from motioncheck.sources.stored import stored, workspace
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -63,11 +64,11 @@ class Case:
         return requirements.Recording(states, views.scenarios(states), self.lanes, self.crosswalks, self.signs, self.signals)
 
     def evaluated(self, states: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Resolved requirements, judged samples, results."""
-        of = self.recording(states)
+        """Resolved requirements, judged samples, results; states are written once, as all signals read them."""
+        of = self.recording(stored(states))
         resolved = requirements.resolve(views.requirements(self.spark), of.scenarios)
         judged = requirements.judged(requirements.samples(resolved, of), resolved)
-        return resolved, judged, requirements.results(judged, resolved)
+        return resolved, judged, requirements.with_reasons(requirements.results(judged, resolved), resolved, of)
 
     @cached_property
     def baseline(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -105,12 +106,37 @@ class Case:
 
     @cached_property
     def resampled(self) -> DataFrame:
-        """(metric, metric_ord, ord, value) of the ensemble's scores."""
-        from pyspark.sql import Window
+        """Values of the ensemble's scores."""
+        return compare.metric_values(self.scores(), ("min_ade_m", "min_fde_m", "miss"))
 
-        own = self.scores().withColumn("ord", F.row_number().over(Window.orderBy("scenario_id", "agent_id")).cast("long") - 1)
-        metrics = F.array(*[F.struct(F.lit(n).alias("metric"), F.lit(i).alias("metric_ord"), F.col(n).cast("double").alias("value")) for i, n in enumerate(("min_ade_m", "min_fde_m", "miss"))])
-        return own.select("ord", F.explode(metrics).alias("m")).select("m.metric", "m.metric_ord", "ord", "m.value")
+    @cached_property
+    def quality(self) -> DataFrame:
+        return evidence.quality(self._view(views.states_irregular), self.scenarios)
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        """A row per requirement: its result, grade, and the annotations that concern it."""
+        resolved, _, results = self.baseline
+        notes = evidence.relevant(resolved, self.quality).groupBy(*requirements.REQ).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(": ", "code", "message"))), "; ").alias("quality_annotations"))
+        found = results.join(evidence.confidence(results, resolved, self.quality).drop("requirement_id"), list(requirements.REQ)).join(notes, list(requirements.REQ), "left")
+        return found.select(*requirements.REQ, "requirement_id", "passed", "failed_samples", "not_applicable_reason", "evidence_confidence", "quality_annotations")
+
+    @cached_property
+    def nested(self) -> DataFrame:
+        """Scenarios as nested rows, with the shared map: as files and records hold them."""
+        state = F.struct("state_ord", "time_s", "x_m", "y_m")
+        tracks = self.states.groupBy("scenario_id", "track_ord", "agent_id", "object_type").agg(F.sort_array(F.collect_list(state)).alias("states"))
+        tracks = tracks.groupBy("scenario_id").agg(F.sort_array(F.collect_list(F.struct("track_ord", "agent_id", "object_type", "states"))).alias("tracks"))
+        listed = lambda table, order, *names: table.select(F.lit(0).alias("one"), F.struct(order, *names).alias("f")).groupBy("one").agg(F.sort_array(F.collect_list("f")).alias("f"))
+        found = self.scenarios.join(tracks, "scenario_id")
+        for name, table, order, names in (("lanes", self.lanes, "lane_ord", ("feature_id", "points")), ("crosswalks", self.crosswalks, "cw_ord", ("points",)), ("stop_signs", self.signs, "sign_ord", ("lane_id", "x_m", "y_m")), ("signals", self.signals, "signal_ord", ("time_s", "lane_id", "state", "x_m", "y_m"))):
+            found = found.crossJoin(F.broadcast(listed(table, order, *names).select(F.col("f").alias(name))))  # one row: the shared map
+        return found
+
+    @cached_property
+    def records(self) -> DataFrame:
+        """(path, content): a framed file per scenario, as the binary source gives it."""
+        return framed.encoded_scenarios(self.nested)
 
 
 QUERIES: dict[str, Callable[[Case], DataFrame]] = {
@@ -139,6 +165,7 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "quality_annotations": lambda c: evidence.quality(c._view(views.states_irregular), c.scenarios).withColumn("agent_ids", F.array_join("agent_ids", ",")),
     "sensitivity_sweep": lambda c: evidence.sensitivity(c.baseline[1], c.baseline[0], c.baseline[2]),
     "evidence_confidence": lambda c: evidence.confidence(c.baseline[2], c.baseline[0], evidence.quality(c._view(views.states_irregular), c.scenarios)),
+    "evidence": lambda c: c.evidence,
     "validation_rollup": lambda c: evidence.rollup(c.baseline[2]),
     "regression_transitions": lambda c: c.transitions,
     "regression_scenarios": lambda c: regression.scenario_regressions(c.transitions),
@@ -148,6 +175,7 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "lane_assoc": lambda c: geometry.lane_associations(c.states, c.lanes),
     "signal_lane_offset": lambda c: geometry.lane_offset(c.states, c.lanes),
     "polygon_distance": lambda c: geometry.polygon_distances(c.states.select(*geometry.STATE, "x_m", "y_m"), geometry.STATE, c.crosswalks),
+    "point_in_polygon": lambda c: geometry.polygon_distances(c.states.select(*geometry.STATE, "x_m", "y_m"), geometry.STATE, c.crosswalks).groupBy("scenario_id", "agent_id", "cw_ord").agg(F.count_if("inside").alias("states_inside")),
     "signal_crosswalk": lambda c: geometry.crosswalk_proximity(c.states, c.crosswalks),
     "signal_vru_crosswalk": lambda c: geometry.vru_crosswalk_proximity(c.states, c.crosswalks, c.states),
     "signal_red_stop_line": lambda c: geometry.red_stop_line_violation(c.states, c.lanes, c.signals),
@@ -172,6 +200,7 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "top_regressed_agents": lambda c: compare.most_changed(c.deltas.select("scenario_id", "agent_id", F.round("min_ade_delta_m", 9).alias("min_ade_delta_m")), True),
     "comparison_gate": lambda c: compare.gate(scoring.means(c.scores("constant_velocity")), scoring.means(c.scores())),
     "bootstrap_ci": lambda c: compare.bootstrap_hashed(c.resampled),
+    "paired_bootstrap_ci": lambda c: compare.bootstrap_hashed(compare.metric_values(c.deltas, ("min_ade_delta_m", "min_fde_delta_m", "miss_delta"))),
     "bootstrap_exact": lambda c: compare.bootstrap_exact(c.resampled),
     "external_predictions": lambda c: c.external,
     "external_invalid_modes": lambda c: external.invalid_modes(c.external.withColumn("x_m", F.when(F.col("agent_id").cast("int") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("x_m"))).where("not (agent_id % 11 = 0 and point_ord = 3)")),
@@ -186,12 +215,41 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "near_map_context": lambda c: c.risk.select("scenario_id", "agent_id", "near_crosswalk", "near_control"),
     "risk_tags": lambda c: c.risk.select("scenario_id", "agent_id", F.array_join("risk_tags", ",").alias("risk_tags")),
     "review_priority": lambda c: c.risk.select("scenario_id", "agent_id", "review_priority"),
+    "risk_evidence": lambda c: risk.reported(c.risk).withColumn("risk_tags", F.array_join("risk_tags", ",")),
     "risk_counters": lambda c: risk.counters(c.risk),
     "risk_strata": lambda c: risk.strata(c.risk),
     "risk_top_cases": lambda c: risk.top_cases(c.risk).select("scenario_id", "agent_id", "review_priority", "min_ade_m"),
+    "svg_projection": lambda c: geometry.canvas(c.states.select("scenario_id", "agent_id", "state_ord", "x_m", "y_m")),
+    "tfrecord_scan": lambda c: framed.decoded_records(c.records).groupBy("record_ord").agg(F.count("*").alias("records"), F.count_if(F.length("payload") > 0).alias("filled")),
+    "scenario_scan": lambda c: json_files.states_of(framed.decoded_scenarios(c.records)).select("scenario_id", "agent_id", "object_type", "track_ord", "time_s", "x_m", "y_m"),
+    "normalize_valid_states": lambda c: framed.decoded_scenarios(c.records).select("scenario_id", F.explode("tracks").alias("t")).select("scenario_id", "t.agent_id", F.size("t.states").alias("valid_states")),
+    "map_normalize": lambda c: map_counts(framed.decoded_scenarios(c.records)),
+    "scenario_json": lambda c: json_files.states_of(written_json(c)).select("scenario_id", "agent_id", "object_type", "track_ord", "state_ord", "time_s", "x_m", "y_m"),
+    "manifest_duplicates": lambda c: json_files.duplicates(written_json(c, "s1")),
 }
 
 
+def map_counts(nested: DataFrame) -> DataFrame:
+    """What a decoded map has, per scenario."""
+    maps = json_files.map_tables(nested)
+    found = nested.select("scenario_id", "map_feature_count")
+    for name, table in maps.items():
+        found = found.join(table.groupBy("scenario_id").agg(F.count("*").alias(name)), "scenario_id", "left")
+    return found
+
+
+def written_json(c: Case, again: str | None = None) -> DataFrame:
+    """The scenarios written as JSON files, one each, and read by the source of such files; `again`: a scenario with a second file."""
+    folder = workspace(c.spark)
+    track = lambda t: F.struct(t["agent_id"], t["object_type"], F.transform(t["states"], lambda s: F.struct(s["time_s"], s["x_m"], s["y_m"])).alias("states"))
+    own = c.nested.select("scenario_id", "current_time_index", "sdc_agent_id", "tracks_to_predict", "objects_of_interest", "timestamps_s", F.transform("tracks", track).alias("tracks"))
+    rows = own.select(F.col("scenario_id").alias("file"), F.to_json(F.struct(*own.columns)).alias("value"))
+    if again:
+        rows = rows.union(rows.where(F.col("file") == again).withColumn("file", F.concat("file", F.lit("-again"))))
+    rows.repartition("file").write.partitionBy("file").text(folder)
+    return json_files.read_scenarios(c.spark, [f"{folder}/*"])
+
+
 def _query(make: Callable[[Case], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: rounded(make(Case(spark, sf_dir)))
 

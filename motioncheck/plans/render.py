@@ -32,10 +32,12 @@ def validation(report: dict) -> str:
         status = "NOT APPLICABLE" if not r["applicable"] else "PASS" if r["passed"] else "FAIL"
         range_text = "not evaluated" if r["observed_min"] is None else f"{figure(r['observed_min'])} to {figure(r['observed_max'])}"
         out += [f"## {r['requirement_id']}: {status}", "", f"Observed {range_text}; {r['failed_samples']} of {r['evaluated_samples']} samples failed. Confidence {e['evidence_confidence']}: {e['confidence_rationale']}.", ""]
+        if r.get("not_applicable_reason"):
+            out += [f"Not applicable: {r['not_applicable_reason']}.", ""]
         out += [f"- {x['narrative']}" for x in e["explanations"]]
         if e["sensitivity"]:
             out += ["", table(e["sensitivity"], ["threshold", "passed", "failed_samples", "failed_fraction"])]
-    out += ["## Data quality", "", table([q | {"agent_ids": ", ".join(q["agent_ids"])} for q in report["quality_annotations"]], ["code", "severity", "agent_ids"])]
+    out += ["## Data quality", "", table([q | {"agent_ids": ", ".join(q["agent_ids"])} for q in report["quality_annotations"]], ["code", "severity", "agent_ids", "message"])]
     return "\n".join(out)
 
 
@@ -61,7 +63,7 @@ def comparison(found: dict) -> str:
 
 
 def risks(found: dict) -> str:
-    return "\n".join(["# Risk context", "", found["interpretation"], "", "## By motion class", "", table(found["by_motion_class"]), "## By priority", "", table(found["by_review_priority"]), "## First cases", "", table(found["highest_priority_cases"], ["scenario_id", "agent_id", "review_priority", "motion_class", "min_ade_m", "risk_tags"]), "## Thresholds", "", table([found["thresholds"]])])
+    return "\n".join(["# Risk context", "", found["interpretation"], "", "## By motion class", "", table([{"motion_class": k} | v for k, v in found["by_motion_class"].items()]), "## By priority", "", table([{"review_priority": k} | v for k, v in found["by_review_priority"].items()]), "## First cases", "", table(found["highest_priority_cases"], ["scenario_id", "agent_id", "review_priority", "motion_class", "min_ade_m", "risk_tags"]), "## Thresholds", "", table([found["thresholds"]])])
 
 
 def html(markdown: str, title: str) -> str:

@@ -103,6 +103,32 @@ def test_requirements(spark):
     assert [r.agent_id for r in requirements.unknown_agents(odd, own).collect()] == ["zz"]
 
 
+def test_reasons(spark, street):
+    lanes, walks, signs, lights = street
+    own = track(spark, {"a": [(t, 100 + t, 50) for t in range(3)], "b": [(t, 0, 0) for t in range(3)]})
+    asked = wanted(spark, *[(m, "less_than", 1.0, "@sdc", None) for m in requirements.MAPPED], ("speed", "less_than", 9.0, "@sdc", None))
+
+    def reasons(*tables):
+        of = requirements.Recording(own, scenarios(spark), *tables)
+        resolved = requirements.resolve(asked, of.scenarios)
+        found = requirements.results(requirements.judged(requirements.samples(resolved, of), resolved), resolved)
+        return [r.not_applicable_reason for r in requirements.with_reasons(found, resolved, of).orderBy("req_ord").collect()]
+
+    assert reasons() == [requirements.NO_LANES, requirements.NO_CROSSWALKS, requirements.NO_CROSSWALKS, requirements.NO_LANES, requirements.NO_STOP_SIGNS, None]
+    there = ["subject is never within 10 m of a lane center", None, *list(requirements.NOT_OBSERVED.values())[1:], None]
+    assert reasons(lanes, walks, signs, lights) == there
+    assert reasons(lanes, walks, signs, lights.where("state <> 'stop'"))[3] == requirements.NO_STOP_SIGNALS
+    assert reasons(*(d.withColumn("scenario_id", F.lit("s")) for d in (lanes, walks, signs, lights))) == there
+    assert reasons(*(d.withColumn("scenario_id", F.lit("other")) for d in (lanes, walks, signs, lights)))[:2] == [requirements.NO_LANES, requirements.NO_CROSSWALKS]
+
+
+def test_partial_velocity_names_no_agents(spark):
+    own = track(spark, {"a": [(0, 0, 0), (1, 2, 0)], "b": [(0, 0, 0), (1, 2, 0)]}).withColumn("velocity_x_mps", F.lit(1.0)).withColumn("velocity_y_mps", F.when(F.col("agent_id") == "a", 1.0))
+    notes = evidence.quality(own, scenarios(spark, map_feature_count=3)).collect()
+    assert [(r.code, r.agent_ids, r.message) for r in notes] == [("PARTIAL_REPORTED_VELOCITY", [], evidence.MESSAGES["PARTIAL_REPORTED_VELOCITY"])]
+    assert evidence.quality(own.where("agent_id = 'a'"), scenarios(spark, map_feature_count=3)).count() == 0
+
+
 def test_nan_fails_and_islands_use_failed_steps(spark):
     rows = [("s", 0, i, float(t), v) for i, (t, v) in enumerate([(0, math.nan), (1, 1.0), (10, 9.0), (11, 9.0), (13, 9.0)])]
     samples = spark.createDataFrame(rows, "scenario_id string, req_ord long, sample_ord long, time_s double, value double")
@@ -155,11 +181,17 @@ def test_comparison(spark):
     new = spark.createDataFrame([("s", str(i), "vehicle", 1.0, 3.0, False, 1, 1.0) for i in range(5)], kind)
     deltas = compare.agent_deltas(old, new)
     assert {r.metric: r.improved for r in compare.change_counts(deltas).collect()} == {"min_ade_m": 5, "min_fde_m": 5, "miss": 5}
-    own = deltas.select(F.lit("d").alias("metric"), F.lit(0).alias("metric_ord"), F.col("agent_id").cast("long").alias("ord"), F.col("min_ade_delta_m").alias("value"))
+    own = compare.metric_values(deltas, ("min_ade_delta_m",))
     for made in (compare.bootstrap_exact(own, 50), compare.bootstrap_hashed(own, 50)):
         assert [(r.lower, r.upper) for r in made.collect()] == [(-1, -1)]
     from motioncheck.operators.scoring import means
 
+    # widths of the two forms are alike, for any number of agents
+    for n in (61, 601):
+        some = compare.metric_values(spark.createDataFrame([("s", str(i), float(i * i % 97)) for i in range(n)], "scenario_id string, agent_id string, v double"), ("v",))
+        exact, hashed = (f(some, 200).first() for f in (compare.bootstrap_exact, compare.bootstrap_hashed))
+        mean = sum(i * i % 97 for i in range(n)) / n
+        assert hashed.lower < mean < hashed.upper and 0.75 < (hashed.upper - hashed.lower) / (exact.upper - exact.lower) < 1.33
     assert compare.gate(means(old), means(new)).first().gate_passed and not compare.gate(means(new), means(old)).first().gate_passed
     assert compare.identity(old, new.where("agent_id <> '2'")).first().agent_id == "2"
 
@@ -331,8 +363,11 @@ def test_risk(spark, street):
     assert (found.review_priority, found.motion_class) == ("high", "turning")
     assert found.risk_tags == ["close_interaction", "large_sdc_separation_error", "traffic_control_context", "vulnerable_road_user"]
     assert found.nearby_agents == 2 and found.sdc_separation_error_m > 5
+    assert risk.reported(risk.evidence(own, of, forecast.targets(of), points, scores, walks, signs, lights)).first().scene_density_30m == 2
+    assert risk.identity(of, points, scores).count() == 0
+    assert {r.problem for r in risk.identity(of, points, scores.where("false")).collect()} == {"scenario without scores", "forecast without a score"}
     with pytest.raises(ValueError):
-        risk.RiskThresholds(turning_rad=4.0)
+        risk.RiskThresholds(turning_angle_rad=4.0)
 
 
 def test_drawing():
