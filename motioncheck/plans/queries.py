@@ -68,7 +68,12 @@ class Case:
         of = self.recording(stored(states))
         resolved = requirements.resolve(views.requirements(self.spark), of.scenarios)
         judged = requirements.judged(requirements.samples(resolved, of), resolved)
-        return resolved, judged, requirements.with_reasons(requirements.results(judged, resolved), resolved, of)
+        return resolved, judged, requirements.results(judged, resolved)
+
+    @cached_property
+    def reasoned(self) -> DataFrame:
+        """Results with why a requirement doesn't apply."""
+        return requirements.with_reasons(self.baseline[2], self.baseline[0], self.recording(self.states))
 
     @cached_property
     def baseline(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -116,7 +121,7 @@ class Case:
     @cached_property
     def evidence(self) -> DataFrame:
         """A row per requirement: its result, grade, and the annotations that concern it."""
-        resolved, _, results = self.baseline
+        resolved, results = self.baseline[0], self.reasoned
         notes = evidence.relevant(resolved, self.quality).groupBy(*requirements.REQ).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(": ", "code", "message"))), "; ").alias("quality_annotations"))
         found = results.join(evidence.confidence(results, resolved, self.quality).drop("requirement_id"), list(requirements.REQ)).join(notes, list(requirements.REQ), "left")
         return found.select(*requirements.REQ, "requirement_id", "passed", "failed_samples", "not_applicable_reason", "evidence_confidence", "quality_annotations")
@@ -157,7 +162,7 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "metric_samples": lambda c: c.baseline[1].select("scenario_id", "req_ord", "sample_ord", "time_s", "value"),
     "threshold_predicates": lambda c: c.baseline[1].groupBy("scenario_id", "req_ord").agg(F.count_if("met").alias("met"), F.count_if(~F.col("met")).alias("unmet")),
     "failed_samples": lambda c: requirements.failed_samples(c.baseline[1]).select("scenario_id", "req_ord", "sample_ord", "time_s", "value"),
-    "requirement_results": lambda c: c.baseline[2],
+    "requirement_results": lambda c: c.reasoned,
     "result_status": lambda c: evidence.result_status(c.baseline[2]),
     "failure_intervals": lambda c: requirements.failure_intervals(c.baseline[1]).drop("island", "threshold"),
     "explanations": lambda c: evidence.explanations(requirements.failure_intervals(c.baseline[1])).select("scenario_id", "req_ord", "start_time_s", "worst_value", "threshold_deviation"),
