@@ -121,7 +121,7 @@ FROM w LEFT JOIN r ON w.doc_id = r.doc_id
 """
 
 
-#: Counts per host, domain and suffix; each level's prior is the mean of the level above, with one strength by moments.
+#: Counts per host, domain and suffix; each level's prior is the mean of the level above, with one strength by moments; the bound is an integral over the logit.
 _OP6 = r"""
 WITH u AS (
   SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -131,9 +131,13 @@ p AS (
 l AS (
   SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality = 1 AND toxic = 0 THEN 0 END) AS bad FROM labels GROUP BY doc_id),
 o AS (
-  SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
+  SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS k, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS name
   FROM p JOIN l ON try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})(?:\.html|/)?$', 1), '') AS BIGINT) = l.doc_id WHERE bad IS NOT NULL GROUP BY host),
-d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM o GROUP BY domain, suffix),
+q AS (SELECT *, string_split(name, '.') AS labels FROM o),
+c AS (SELECT *, regexp_matches(name, '^[0-9.]+$|^\[') OR len(labels) = 1 AS whole,
+  CASE WHEN len(labels) >= 2 AND length(labels[-1]) = 2 AND labels[-2] IN ('ac', 'co', 'com', 'edu', 'go', 'gob', 'gov', 'gouv', 'ltd', 'mil', 'ne', 'net', 'nom', 'or', 'org', 'plc', 'sch') THEN 2 ELSE 1 END AS w FROM q),
+h0 AS (SELECT host, n, k, CASE WHEN whole THEN name ELSE array_to_string(labels[-(w + 1):], '.') END AS domain, CASE WHEN whole THEN name ELSE array_to_string(labels[-w:], '.') END AS suffix FROM c),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h0 GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
 s1 AS (SELECT *, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM s) AS m FROM s),
 sr AS (SELECT greatest(2.0, least(200.0, CASE WHEN r > 0 THEN 1 / r - 1 ELSE 200.0 END)) AS t FROM
@@ -142,12 +146,18 @@ s2 AS (SELECT suffix, (m * t + k) / (t + n) AS prior FROM s1, sr),
 d1 AS (SELECT d.*, prior AS m FROM d JOIN s2 USING (suffix)),
 dr AS (SELECT greatest(2.0, least(200.0, CASE WHEN r > 0 THEN 1 / r - 1 ELSE 200.0 END)) AS t FROM
   (SELECT CASE WHEN sum(m * (1 - m) * n * (n - 1)) > 0 THEN (sum((k - n * m) * (k - n * m)) - sum(m * (1 - m) * n)) / sum(m * (1 - m) * n * (n - 1)) ELSE 0 END AS r FROM d1)),
-d2 AS (SELECT domain, (m * t + k) / (t + n) AS prior FROM d1, dr),
-h1 AS (SELECT o.*, prior AS m FROM o JOIN d2 USING (domain)),
+d2 AS (SELECT domain, suffix, (m * t + k) / (t + n) AS prior FROM d1, dr),
+h1 AS (SELECT h0.*, prior AS m FROM h0 JOIN d2 USING (domain, suffix)),
 hr AS (SELECT greatest(2.0, least(200.0, CASE WHEN r > 0 THEN 1 / r - 1 ELSE 200.0 END)) AS t FROM
   (SELECT CASE WHEN sum(m * (1 - m) * n * (n - 1)) > 0 THEN (sum((k - n * m) * (k - n * m)) - sum(m * (1 - m) * n)) / sum(m * (1 - m) * n * (n - 1)) ELSE 0 END AS r FROM h1)),
 h2 AS (SELECT host, m * t + k AS a, (1 - m) * t + n - k AS b FROM h1, hr),
-h3 AS (SELECT host, a / (a + b) - 2.0 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM h2),
+g AS (SELECT host, x, y, ln(z) - 1 / (2 * z) - 1 / (12 * z ** 2) + 1 / (120 * z ** 4) - r1 AS di, 1 / z + 1 / (2 * z ** 2) + 1 / (6 * z ** 3) - 1 / (30 * z ** 5) + r2 AS tri FROM
+  (SELECT *, y + 6 AS z, list_sum([1 / (y + i) for i in range(0, 6)]) AS r1, list_sum([1 / (y + i) ** 2 for i in range(0, 6)]) AS r2 FROM
+    (SELECT host, 'a' AS x, a AS y FROM h2 UNION ALL SELECT host, 'b', b FROM h2))),
+e AS (SELECT ga.host, ga.y AS a, gb.y AS b, ga.di - gb.di AS mean, sqrt(ga.tri + gb.tri) AS dev, a * ln(a / b) - (a + b) * ln(1 + a / b) AS peak FROM g ga JOIN g gb ON ga.host = gb.host AND ga.x = 'a' AND gb.x = 'b'),
+z AS (SELECT *, 'low' AS part, mean - 10 * dev AS u0, least(mean + 10 * dev, greatest(mean - 10 * dev, 0e0)) AS u1 FROM e UNION ALL SELECT *, 'high', least(mean + 10 * dev, greatest(mean - 10 * dev, 0e0)), mean + 10 * dev FROM e),
+i AS (SELECT host, part, (u1 - u0) / 200 * list_sum([CASE WHEN k IN (0, 200) THEN 0.5e0 ELSE 1e0 END * exp(a * (u0 + k * (u1 - u0) / 200) - (a + b) * ln(1 + exp(u0 + k * (u1 - u0) / 200)) - peak) for k in range(0, 201)]) AS mass FROM z),
+h3 AS (SELECT host, sum(mass) FILTER (part = 'high') / sum(mass) AS bound FROM i GROUP BY host),
 f AS (
   SELECT p.*, bound, CASE
     WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'block example.org/en/1'
@@ -156,7 +166,7 @@ f AS (
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'allow com/fr/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'allow org/' END AS r
   FROM p LEFT JOIN h3 USING (host))
-SELECT page_id, host, path, r[7:] AS rule, CASE WHEN r IS NOT NULL THEN r[:5] WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM f
+SELECT page_id, host, path, r[7:] AS rule, CASE WHEN r IS NOT NULL THEN r[:5] WHEN bound > 0.975 THEN 'block' ELSE 'allow' END AS verdict FROM f
 """
 
 #: What reading the archives must find.

@@ -191,6 +191,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     are left. A star's centre may have any number of rows: minima are pre-aggregated,
     and the join back to the edges is one that Spark can split.
     """
+    spark = edges.sparkSession
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = written(now, f"{folder}/edges-0")
     mark, step = None, 0
@@ -204,6 +205,9 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         moved = large.join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = written(moved.union(low.select("k", "m")).distinct(), f"{folder}/edges-{step}")
         found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        # the rounds before this one aren't read again
+        remove(spark, f"{folder}/edges-{step - 1}")
+        remove(spark, f"{folder}/edges-{step}-large")
         if (found.n, found.s) == mark:
             break
         mark = (found.n, found.s)

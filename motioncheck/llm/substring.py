@@ -174,10 +174,22 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, text: str = "text", id
     kept = joined.select("doc_id", "text", "ranges", *[f"keep_{i}" for i in range(len(keep))])
     kinds = ", ".join(["doc_id long, n_words long, n_removed long, kept string, kept_sha256 string", *(f"keep_{i} {rows.schema[f'keep_{i}'].dataType.simpleString()}" for i in range(len(keep)))])
     out = kept.mapInArrow(lambda batches: _kept(batches, width), kinds)
-    return out.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})
+    # a carried column with the name of a figure takes its place
+    own = [c for c in ("doc_id", "n_words", "n_removed", "kept", "kept_sha256") if c not in keep]
+    return out.select(*own, *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def keep_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with repeated passages taken out of the text; untouched texts stay as they are."""
-    done = dedup_substrings(docs, keep=("text", "lang", "source")).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
-    return done.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    """The documents with repeated passages taken out of the text; n_chars, where there is one, follows.
+
+    Untouched texts stay as they are, null and empty ones too; documents of which nothing is
+    left go. Repeated rows and null ids as in dedup_substrings(); all columns stay; no rows make no rows.
+    """
+    shared.ready(spark)
+    names = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    done = dedup_substrings(docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in names.items()]), keep=tuple(names.values()))
+    cut = F.col("n_removed") > 0
+    put = {"text": F.when(cut, F.col("kept")).otherwise(F.col(names["text"]))}
+    if "n_chars" in names:
+        put["n_chars"] = F.when(cut, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(names["n_chars"]))
+    return done.where(~cut | (F.col("n_removed") < F.col("n_words"))).select(*[put.get(c, F.col(n)).alias(c) for c, n in names.items()])

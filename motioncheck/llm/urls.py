@@ -3,12 +3,14 @@
 Method: empirical-Bayes host reputation. Labelled outcomes of pages are counted per host; a
 beta-binomial prior is fitted for suffixes over all of them, for registered domains from their
 suffix and for hosts from their domain, so that little evidence shrinks towards the level
-above. A host is blocked when a lower posterior bound of its rate of bad pages is above a limit.
-All of it is DataFrame operations; counts are pre-aggregated per host, so no key is hot.
+above. A host is blocked when its rate of bad pages is above a limit with a posterior probability
+of SURE: when the posterior's lower quantile is. All of it is DataFrame operations; counts are pre-aggregated per host, so no key is hot.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,12 @@ from motioncheck.llm import shared
 
 #: (verdict, host, path prefix).
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Standard deviations below the mean at which the bound stands, and the bad rate that it may reach.
-BOUND, LIMIT = 2.0, 0.5
+#: The probability with which a host's bad rate must be above the limit, and the limit.
+SURE, LIMIT = 0.975, 0.5
+#: Steps of the integral of the posterior.
+GRID = 200
+#: Second labels under which a country's domains are registered.
+SECOND = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 #: The strength of a prior in outcomes: at least and at most, about.
 STRENGTH = (2.0, 200.0)
 
@@ -39,26 +45,69 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
-    """(host, pages, bad, rate, bound) per host of outcomes (host, bad 0/1).
+def domain_and_suffix(host: Column) -> tuple[Column, Column]:
+    """The registered domain of a host, and its suffix: the last label, or two of them in a country with second labels.
+
+    User names and ports are no part of either; an address of numbers is its own domain.
+    """
+    name = F.rtrim(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), F.lit("."))
+    labels = F.split(name, "[.]")
+    two = (F.size(labels) >= 2) & (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, F.size(labels) - 2).isin(*SECOND)
+    whole = F.rlike(name, F.lit("^[0-9.]+$|^\\[")) | (F.size(labels) == 1)
+    suffix = F.when(whole, name).when(two, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+    domain = F.when(whole, name).when(two, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    return domain, suffix
+
+
+def _digamma(x: Column) -> Column:
+    y = x + 6
+    return F.log(y) - 1 / (2 * y) - 1 / (12 * y * y) + 1 / (120 * y * y * y * y) - sum((1 / (x + i) for i in range(6)), F.lit(0.0))
+
+
+def _trigamma(x: Column) -> Column:
+    y = x + 6
+    return 1 / y + 1 / (2 * y * y) + 1 / (6 * y * y * y) - 1 / (30 * y * y * y * y * y) + sum((1 / ((x + i) * (x + i)) for i in range(6)), F.lit(0.0))
+
+
+def surely_above(a: Column, b: Column, limit: float) -> Column:
+    """The probability that a beta variable is above the limit.
+
+    By the trapezoid rule over its logit, whose density is smooth whatever a and b are: it has the
+    mean digamma(a) - digamma(b), and next to nothing lies ten deviations away.
+    """
+    mean, deviation = _digamma(a) - _digamma(b), F.sqrt(_trigamma(a) + _trigamma(b))
+    low, high = mean - 10 * deviation, mean + 10 * deviation
+    cut = F.least(high, F.greatest(low, F.lit(math.log(limit / (1 - limit)))))
+    peak = a * F.log(a / b) - (a + b) * F.log1p(a / b)
+
+    def integral(start: Column, end: Column) -> Column:
+        step = (end - start) / GRID
+        density = lambda u: F.exp(a * u - (a + b) * F.log1p(F.exp(u)) - peak)
+        inner = F.aggregate(F.sequence(F.lit(1), F.lit(GRID - 1)), F.lit(0.0), lambda total, i: total + density(start + i * step))
+        return step * (inner + (density(start) + density(end)) / 2)
+
+    return integral(cut, high) / (integral(low, cut) + integral(cut, high))
+
+
+def reputations(outcomes: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """(host, pages, bad, rate, above) per host of outcomes (host, bad 0/1).
 
-    rate: the posterior mean; bound: BOUND posterior standard deviations below it. Rows with
-    a null outcome don't count; the empty host is a host like others.
+    rate: the posterior mean; above: the posterior probability that the rate is above the limit.
+    Rows with a null outcome don't count; the empty host is a host like others.
     """
     folder = shared.workspace(outcomes.sparkSession)
     counted = outcomes.where("bad is not null and host is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("bad").cast("double")).alias("k"))
     counted = shared.written(counted, f"{folder}/hosts")
-    # the registered domain: the last two labels; the suffix: the last
-    counted = counted.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    domain, suffix = domain_and_suffix(F.col("host"))
+    counted = counted.withColumn("domain", domain).withColumn("suffix", suffix)
     domains = counted.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     every = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).select(((F.col("k") + 1) / (F.col("n") + 2)).alias("prior"))
-    suffixes = _posterior(suffixes, every, [])
-    domains = _posterior(domains, suffixes, ["suffix"])
-    hosts = _posterior(counted, domains.select("domain", "prior"), ["domain"])
-    a, b = F.col("a"), F.col("b")
-    deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return hosts.select("host", F.col("n").cast("long").alias("pages"), F.col("k").cast("long").alias("bad"), F.col("prior").alias("rate"), (F.col("prior") - BOUND * deviation).alias("bound"))
+    # a level is written before the next one reads it
+    suffixes = shared.written(_posterior(suffixes, every, []), f"{folder}/suffixes")
+    domains = shared.written(_posterior(domains, suffixes, ["suffix"]), f"{folder}/domains")
+    hosts = _posterior(counted, domains.select("domain", "suffix", "prior"), ["domain", "suffix"])
+    return hosts.select("host", F.col("n").cast("long").alias("pages"), F.col("k").cast("long").alias("bad"), F.col("prior").alias("rate"), surely_above(F.col("a"), F.col("b"), limit).alias("above"))
 
 
 def _posterior(level: DataFrame, above: DataFrame, on: list[str]) -> DataFrame:
@@ -79,19 +128,19 @@ def _posterior(level: DataFrame, above: DataFrame, on: list[str]) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES, limit: float = LIMIT, url: str = "url", id: str = "page_id") -> DataFrame:
-    """(page_id, host, path, rule, verdict, bad_rate, bad_bound) per row of pages.
+    """(page_id, host, path, rule, verdict, bad_rate, bad_above) per row of pages.
 
-    outcomes: (host, bad) of labelled pages. Verdict: the longest rule's; else block if the
-    host's bound is above the limit, else allow. A host with no outcomes has null figures and
+    outcomes: (host, bad) of labelled pages. Verdict: the longest rule's; else block if
+    the host's bad rate is above the limit with a probability of SURE, else allow. A host with no outcomes has null figures and
     is allowed. Null urls have an empty host and path. Rows that repeat an id are rows of
     their own; other columns are ignored, whatever their names; no rows make no rows.
     """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(id).alias("page_id"), host.alias("host"), path.alias("path"))
-    known = reputations(outcomes).select(F.col("host").alias("_host"), "rate", "bound")
+    known = reputations(outcomes, limit).select(F.col("host").alias("_host"), "rate", "above")
     found = rows.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).join(known, F.col("host") == F.col("_host"), "left")
-    own = F.when(F.col("bound") > limit, "block").otherwise("allow")
-    return found.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), own).alias("verdict"), F.col("rate").alias("bad_rate"), F.col("bound").alias("bad_bound"))
+    own = F.when(F.col("above") > SURE, "block").otherwise("allow")
+    return found.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), own).alias("verdict"), F.col("rate").alias("bad_rate"), F.col("above").alias("bad_above"))
 
 
 def labelled_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:

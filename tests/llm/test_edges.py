@@ -225,6 +225,35 @@ def test_urls(spark, pages):
     assert urls.filter_urls(pages, outcomes.where("false")).where("verdict = 'block'").count() == 3
 
 
+def test_registered_domains(spark):
+    hosts = {"a.co.uk": ("a.co.uk", "co.uk"), "x.b.co.uk": ("b.co.uk", "co.uk"), "www.example.com": ("example.com", "com"), "user@www.example.com:8080": ("example.com", "com"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "localhost": ("localhost", "localhost"), "": ("", ""), "co.uk": ("co.uk", "co.uk"), "t.co": ("t.co", "co"), "example.com.": ("example.com", "com")}
+    domain, suffix = urls.domain_and_suffix(F.col("host"))
+    assert {r.host: (r.d, r.s) for r in spark.createDataFrame([(h,) for h in hosts], "host string").select("host", domain.alias("d"), suffix.alias("s")).collect()} == hosts
+
+
+def test_posterior_probabilities(spark):
+    """Those of draws, for few and many outcomes."""
+    rng = random.Random(1)
+    for a, b, limit in ((30.0, 10.0, 0.6), (5.0, 2.0, 0.36), (300.0, 200.0, 0.57), (0.2, 1.5, 0.01), (2.0, 0.3, 0.5), (1.0, 1.0, 0.3), (40.0, 1.0, 0.5)):
+        draws = [rng.betavariate(a, b) for _ in range(100_000)]
+        found = spark.range(1).select(urls.surely_above(F.lit(a), F.lit(b), limit).alias("p")).first().p
+        assert abs(found - sum(x > limit for x in draws) / len(draws)) < 0.006, (a, b, limit, found)
+
+
+def test_stages_keep_all_columns(spark, docs, none):
+    """Nulls, empty and long texts, repeated rows, clashing and missing columns in each stage of the pipeline."""
+    few = docs.select("doc_id", "text", F.lit("x").alias("n_words"))
+    for own in (docs, few, docs.drop("lang").withColumn("lang", F.lit("en"))):
+        kept = substring.keep_unique(spark, own, "")
+        assert kept.columns == own.columns and kept.dtypes == own.dtypes
+        texts = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+        assert texts == sorted(((r[0], r[1]) for r in ROWS if r[0] not in (2, 9)), key=str)  # 2 and 9 are wholly repeated
+    for stage in (langid.keep_identified, ngram_join.keep_one, substring.keep_unique):
+        assert stage(spark, none, "").count() == 0
+    assert langid.keep_identified(spark, docs, "").columns == docs.columns
+    assert packing.packed(spark, none, "").count() == 0 and packing.packed(spark, docs, "").count() >= len(ROWS)
+
+
 def test_main_texts(pages):
     found = [(r.page_id, r.text, r.n_chars) for r in html_text.main_texts(pages).collect()]
     assert len(found) == 9 and (3, "", 0) in found and (4, "", 0) in found and (5, "text only", 9) in found
