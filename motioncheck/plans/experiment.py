@@ -120,7 +120,9 @@ def run(spark: SparkSession, manifest: str) -> dict:
         path = own.folder / f"{name}.binproto"
         framed.write_submission(assemble.forecasts(spark, states, scenarios, model), str(path))
         made.append(path)
-        points = external.with_times(framed.read_submission(spark, str(path)), scenarios, forecast.STEPS).cache()
+        # the artifact is on the driver's disk, which executors may not see
+        written = spark.createDataFrame([(str(path), path.read_bytes())], "path string, content binary")
+        points = external.with_times(framed.decoded_submission(written), scenarios, forecast.STEPS).cache()
         found[name] = scores_of(points, states, own.miss_threshold_m).cache()
         report = assemble.evaluation(found[name], own.miss_threshold_m, own.samples, own.seed)
         context = assemble.risks(risk.evidence(states, scenarios, forecast.targets(scenarios), points, found[name], maps["crosswalks"], maps["signs"], maps["signals"], thresholds), thresholds)
