@@ -43,6 +43,15 @@ def digests(text: np.ndarray, firsts: np.ndarray, lengths: np.ndarray) -> np.nda
     return words.mix((sums[firsts + lengths] - sums[firsts]) * inverse[firsts] + lengths.astype(np.uint64))
 
 
+def distinct_kinds(kind: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first of each kind, kinds ascending, and the least low and largest high of the kind."""
+    _, one, of = np.unique(kind, return_index=True, return_inverse=True)
+    least, most = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
+    np.minimum.at(least, of, low)
+    np.maximum.at(most, of, high)
+    return one, least, most
+
+
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """The suffixes in order, by prefix doubling."""
     n = len(symbols)

@@ -160,6 +160,42 @@ def test_fm_index_and_repeats(seed):
         assert got == want
 
 
+def removed_by_force(texts: dict[int, str], width: int = 13) -> dict[int, str]:
+    """The words that stay, by every window of every document."""
+    first: dict[tuple, int] = {}
+    for i, t in texts.items():
+        own = t.split()
+        for s in range(len(own) - width + 1):
+            w = tuple(own[s : s + width])
+            first[w] = min(first.get(w, i), i)
+    out = {}
+    for i, t in texts.items():
+        own = t.split()
+        gone = {p for s in range(len(own) - width + 1) if first[tuple(own[s : s + width])] < i for p in range(s, s + width)}
+        out[i] = " ".join(w for p, w in enumerate(own) if p not in gone)
+    return out
+
+
+@pytest.mark.parametrize("frequent", [64, 3])
+def test_hot_passages(spark, monkeypatch, frequent):
+    """Passages, lines and grams that most documents hold, with frequent minimizers and tasks that send little at once."""
+    monkeypatch.setattr(substring, "FREQUENT", frequent)
+    monkeypatch.setattr(substring, "GATHERED", 3000)
+    monkeypatch.setattr(shared, "POSTS", 2000)
+    rng = random.Random(4)
+    passage, gram = [f"p{j}" for j in range(40)], [f"g{j}" for j in range(5)]
+    texts = {}
+    for i in range(300):
+        own = []
+        for _ in range(rng.randint(1, 5)):
+            a = rng.randrange(30)
+            own += rng.choice([passage, passage[a : a + 20], gram, ["same"] * rng.randint(1, 40), [f"u{rng.randrange(10**6)}" for _ in range(rng.randint(1, 25))], gram + [f"v{rng.randrange(3)}" for _ in range(12)]])
+        texts[i] = " ".join(own)
+    texts |= {1000 + i: texts[i] for i in range(0, 300, 3)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    assert {r.doc_id: r.kept for r in substring.dedup_substrings(docs).collect()} == removed_by_force(texts)
+
+
 def test_rank():
     rng = np.random.default_rng(1)
     symbols = rng.integers(0, 11, 500)
