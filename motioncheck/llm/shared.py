@@ -84,7 +84,7 @@ def pack(hashes: np.ndarray, bits: int, *columns: np.ndarray) -> pa.RecordBatch
 
 
 #: Posts that a task gathers before it reduces and packs them.
-POSTS = 1 << 21
+POSTS = 1 << 19
 
 
 def gathered(batches: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]], reduce: Callable[..., Iterator[pa.RecordBatch | None]]) -> Iterator[pa.RecordBatch]:

@@ -125,7 +125,7 @@ def _digests(text: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 #: Words of stretches that a task gathers before it sends distinct ones.
-GATHERED = 1 << 21
+GATHERED = 1 << 19
 
 
 def _stretches(docs: DataFrame, held: Broadcast, width: int, bits: int) -> DataFrame:
