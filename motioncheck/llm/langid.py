@@ -37,7 +37,7 @@ WORST, UNUSUAL = 2.5, 1.7
 #: Usual characters that are added to each text when its rate is taken.
 FEW = 20
 #: Words in a worker's cache; a full one is emptied.
-CACHE = 1_000_000
+CACHE = 500_000
 
 _letter = re.compile(r"[^\W\d_]")
 _gaps = re.compile("[ \t-\r]+")
@@ -251,16 +251,14 @@ class Model:
 
 
 class Scorer:
-    """A worker's cache of words: per language the score and the bounded score, then the length."""
+    """A worker's cache of words: the score per language, then the length."""
 
     def __init__(self, model: Model):
         self.model, self.rows = model, WordTable(CACHE)
-        self.table = np.zeros((CACHE, 2 * len(model.languages) + 1))
+        self.table = np.zeros((CACHE, len(model.languages) + 1))
 
     def _new(self, words: list[str]) -> np.ndarray:
-        scores = self.model.scores(words)
-        sizes = np.array([len(w) + len(MARK) for w in words], float)[:, None]
-        return np.concatenate([scores, np.maximum(scores, WORST * self.model.usual * sizes), sizes], axis=1)
+        return np.concatenate([self.model.scores(words), np.array([len(w) + len(MARK) for w in words], float)[:, None]], axis=1)
 
     def of(self, chunk: Chunk) -> np.ndarray:
         """Each word's row."""
@@ -286,13 +284,15 @@ class Scorer:
         k = len(self.model.languages)
         for chunk in chunks(texts, lower=True):
             if k:
-                sums = np.concatenate([np.zeros((1, 2 * k + 1)), np.cumsum(self.of(chunk), axis=0)])
-                total = sums[chunk.first[1:]] - sums[chunk.first[:-1]]
-                best = total[:, :k].argmax(axis=1)
+                words = self.of(chunk)
+                sums = lambda x: np.diff(np.append(0.0, np.cumsum(x))[chunk.first])  # noqa: B023, E731  of each document
+                total = np.stack([sums(words[:, j]) for j in range(k)], axis=1)
+                bounded = np.stack([sums(np.maximum(words[:, j], WORST * self.model.usual[j] * words[:, k])) for j in range(k)], axis=1)
+                best = total.argmax(axis=1)
                 row = np.arange(chunk.docs)
-                sure = 1 / np.exp(total[:, :k] - total[row, best][:, None]).sum(axis=1)
+                sure = 1 / np.exp(total - total[row, best][:, None]).sum(axis=1)
                 usual = self.model.usual[best]
-                rate = (total[row, k + best] + FEW * usual) / ((total[:, -1] + FEW) * usual)
+                rate = (bounded[row, best] + FEW * usual) / ((sums(words[:, k]) + FEW) * usual)
             for d in range(chunk.docs):
                 text = texts[chunk.row + d].as_py()
                 if not text or not k or not _letter.search(text):
