@@ -18,11 +18,17 @@ from motioncheck.llm.words import distinct
 BITMAP_BITS = 27
 
 
+#: Rows of a batch that goes to a worker, where the session has Spark's own default: texts are long.
+BATCH_ROWS = "2000"
+
+
 def ready(spark: SparkSession) -> None:
-    """Lets workers on machines that have this package at the driver's path import it.
+    """Lets workers on machines that have this package at the driver's path import it, and keeps their batches small.
 
     Elsewhere, install the package or ship it with --py-files.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 

@@ -18,7 +18,7 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 #: Bytes of text that are hashed at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
