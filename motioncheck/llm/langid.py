@@ -212,13 +212,12 @@ class Model:
                 table.setdefault(MARK + word, np.zeros(len(self.languages)))[i] += n
         words = sorted((w for w in table if len(w) <= LONG), key=lambda w: (len(w), w))
         long = [(LongWord(w, self.pieces), table[w]) for w in sorted(table) if len(w) > LONG]
-        groups = [words[i : i + 20_000] for i in range(0, len(words), 20_000)]
-        lattices = [(Lattice(g, self.pieces), np.stack([table[w] for w in g])) for g in groups]
+        groups = [words[i : i + 10_000] for i in range(0, len(words), 10_000)]  # a lattice is made anew each time, so only one is held
         k = len(self.pieces)
         p = np.full((k + 1, len(self.languages)), 1.0 / max(k, 1))
         p[k] = UNKNOWN
         for _ in range(rounds):
-            used = sum((lattice.expected(p, n) for lattice, n in lattices), np.zeros_like(p))
+            used = sum((Lattice(g, self.pieces).expected(p, np.stack([table[w] for w in g])) for g in groups), np.zeros_like(p))
             logs = np.log(p)
             for word, n in long:
                 word.expected(logs, n, used)
