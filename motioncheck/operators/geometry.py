@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motioncheck.functions.columns import distance
+from motioncheck.sources.stored import with_all
 
 TRACK = ("scenario_id", "agent_id")
 STATE = (*TRACK, "state_ord", "time_s")
@@ -19,13 +20,13 @@ STOP_STATES = ("stop", "arrow_stop", "flashing_stop")
 
 
 def scope(features: DataFrame) -> tuple[str, ...]:
-    """The key by which map features belong to scenarios; none if one map of bounded size is shared by all."""
+    """The key by which map features belong to scenarios; none if one map is shared by all."""
     return ("scenario_id",) if "scenario_id" in features.columns else ()
 
 
 def _on_map(points: DataFrame, features: DataFrame) -> DataFrame:
     """points with the features of their scenario, or with all of a shared map."""
-    return points.join(features, "scenario_id") if scope(features) else points.join(F.broadcast(features))
+    return points.join(features, "scenario_id") if scope(features) else with_all(points, features)
 
 
 def segments(features: DataFrame, keys: tuple[str, ...], closed: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from motioncheck.functions.columns import OPERATORS, holds
 from motioncheck.operators import geometry, signals
-from motioncheck.sources.stored import stored
+from motioncheck.sources.stored import stored, with_all
 
 REQ = ("scenario_id", "req_ord")
 #: The metrics that need another agent.
@@ -47,8 +47,8 @@ def _selected(selector: Column) -> Column:
 
 
 def resolve(requirements: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Each requirement in each scenario, with its agents: requirements is a small list by nature."""
-    both = scenarios.join(F.broadcast(requirements))
+    """Each requirement in each scenario, with its agents."""
+    both = with_all(scenarios, requirements)
     return both.select(*REQ, "requirement_id", "metric", "operator", "threshold", _selected(F.col("subject")).alias("agent_id"), _selected(F.col("other")).alias("other_id"), F.col("other").isNotNull().alias("paired"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from motioncheck.functions.columns import distance, time_key, wrapped_angle
 from motioncheck.operators import geometry
-from motioncheck.sources.stored import stored
+from motioncheck.sources.stored import stored, with_all
 
 AGENT = ("scenario_id", "agent_id")
 
@@ -97,7 +97,7 @@ def near_map(future: DataFrame, crosswalks: DataFrame, signs: DataFrame, signals
     walk = geometry.polygon_distances(future.select(*keys, "x_m", "y_m"), keys, crosswalks).groupBy(*AGENT).agg(F.bool_or(F.col("distance_m") <= thresholds.crosswalk_context_m).alias("near_crosswalk"))
     own = geometry.scope(signs)
     stops = signs.select(*own, "x_m", "y_m").union(signals.select(*own, "x_m", "y_m")).distinct().toDF(*own, "sx", "sy")
-    near = future.join(stops, "scenario_id") if own else future.join(F.broadcast(stops))
+    near = future.join(stops, "scenario_id") if own else with_all(future, stops)
     control = near.groupBy(*AGENT).agg(F.bool_or(distance(F.col("x_m"), F.col("y_m"), F.col("sx"), F.col("sy")) <= thresholds.control_context_m).alias("near_control"))
     return future.select(*AGENT).distinct().join(walk, list(AGENT), "left").join(control, list(AGENT), "left").select(*AGENT, F.coalesce("near_crosswalk", F.lit(False)).alias("near_crosswalk"), F.coalesce("near_control", F.lit(False)).alias("near_control"))
 

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import math
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes, as JSON, of a table that is broadcast whole, at most.
+BROADCAST_BYTES = 16 << 20
 
 
 def workspace(spark: SparkSession) -> str:
@@ -28,3 +34,17 @@ def stored(df: DataFrame) -> DataFrame:
 
     atexit.register(drop)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def with_all(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """Each of rows with each row of a table that all of them share.
+
+    The table's size is measured: up to BROADCAST_BYTES it is broadcast. A larger one, of any
+    size, is written in blocks of about half of that, which are broadcast one by one.
+    """
+    size = shared.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("n")).first().n or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(shared))
+    blocks = math.ceil(2 * size / BROADCAST_BYTES)
+    dealt = stored(shared.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))))
+    return reduce(DataFrame.union, (rows.join(F.broadcast(dealt.where(F.col("_block") == i).drop("_block"))) for i in range(blocks)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from motioncheck import cli
 from motioncheck.operators import compare, evidence, external, forecast, geometry, regression, requirements, risk, scoring, signals
 from motioncheck.plans import experiment, render
-from motioncheck.sources import framed, json_files
+from motioncheck.sources import framed, json_files, stored
 
 STATE = "scenario_id string, agent_id string, object_type string, track_ord long, state_ord long, time_s double, x_m double, y_m double"
 
@@ -81,6 +81,18 @@ def wanted(spark, *rows):
     return spark.createDataFrame([(i, f"r{i}", *r) for i, r in enumerate(rows)], "req_ord long, requirement_id string, metric string, operator string, threshold double, subject string, other string")
 
 
+def test_large_shared_tables(spark, monkeypatch):
+    """A table above the limit of a broadcast is met in blocks, with the same rows; so are equal rows and an empty table."""
+    rows, shared = spark.range(3).toDF("a"), spark.range(40).selectExpr("id % 5 as b", "array(id % 5, 7) as c")
+    whole = sorted((r.a, r.b, *r.c) for r in stored.with_all(rows, shared).collect())
+    assert len(whole) == 120
+    monkeypatch.setattr(stored, "BROADCAST_BYTES", 200)
+    parts = stored.with_all(rows, shared)
+    assert sorted((r.a, r.b, *r.c) for r in parts.collect()) == whole
+    assert parts._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") > 2
+    assert stored.with_all(rows, shared.where("false")).count() == 0
+
+
 def test_requirements(spark):
     own = track(spark, {"a": [(t, 10 * t, 0) for t in range(5)], "b": [(t, 30 + 8 * t, 0) for t in range(5)]})
     of = requirements.Recording(own, scenarios(spark))
