@@ -9,7 +9,8 @@ that a row further out would beat its k-th neighbour with a probability below 1
 The tree is spread over the cluster: its upper levels, fitted on a bounded sample, cut the
 projected space into cells of about CELL rows, and each cell's rows are indexed in its task. A
 query goes to its own cell first. What it finds there bounds the distance, and it goes on only
-to those cells whose box the test doesn't rule out. So rows are shuffled to their cell twice,
+to those cells whose box the test doesn't rule out. A cell with far more rows than others is
+indexed in parts, and its queries go to each of them. So rows are shuffled to their cell twice,
 whatever the number of queries, and queries to the cells they reach.
 """
 
@@ -30,8 +31,10 @@ DIMENSIONS = 16
 CONFIDENCE = 0.95
 #: Rows in a leaf and in a cell, about; cells at most (their boxes are in every task); queries that a cell takes in one task, about.
 LEAF, CELL, CELLS, BLOCK = 64, 12_000, 1 << 16, 50_000
-#: Rows that the cells are fitted on, about.
-SAMPLE = 20_000
+#: Rows that the cells are fitted on, about: so many, or so many a cell where that is more.
+SAMPLE, SAMPLE_CELL = 20_000, 4
+#: Cells' worth of rows that one index has, about; a larger cell is indexed in parts.
+PARTED = 4
 
 
 def chi_square(x: float, m: int) -> float:
@@ -256,15 +259,18 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id: str = "vec_id", vect
             for n, _, own in _matrices(batch.column(0)):
                 yield pa.record_batch([pa.array(np.full(len(own), n, np.int32)), _lists(projected(own, directions(n, m, seed)))], names=["n", "p"])
 
-    rate = min(1.0, SAMPLE / total)
+    depths = {n: max(0, math.ceil(math.log2(min(CELLS, max(1, count / CELL))))) for n, count in sizes.items()}
+    rate = min(1.0, max(SAMPLE, SAMPLE_CELL * sum(1 << d for d in depths.values())) / total)
     some = points.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 30)) <= int(rate * (1 << 30))).select("v")
     sample: dict[int, list] = {}
-    for r in some.mapInArrow(sketch, "n int, p array<double>").collect():  # about SAMPLE rows of DIMENSIONS numbers
-        sample.setdefault(r.n, []).append(r.p)
+    # of DIMENSIONS numbers each, and SAMPLE or SAMPLE_CELL * CELLS rows at most
+    for batch in some.mapInArrow(sketch, "n int, p array<double>").toArrow().to_batches():
+        lengths, own = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, m)
+        for n in np.unique(lengths).tolist():
+            sample.setdefault(n, []).append(own[lengths == n])
     trees = {}
-    for n, count in sizes.items():
-        depth = max(0, math.ceil(math.log2(min(CELLS, max(1, count / CELL)))))
-        own = np.array(sample.get(n, []), float).reshape(-1, m)
+    for n, depth in depths.items():
+        own = np.concatenate(sample.get(n, [np.zeros((0, m))]))
         trees[n] = Cells(own, depth if len(own) else 0, m)
     cells = spark.sparkContext.broadcast(trees)
 
@@ -288,20 +294,31 @@ def nearest(df: DataFrame, every: int = 50, k: int = 5, id: str = "vec_id", vect
                     if len(to):
                         yield pa.record_batch([pa.array(np.full(len(to), n, np.int32)), pa.array(to, pa.int32()), pa.array(np.full(len(to), keys[i])), pa.array(np.full(len(to), bounds[i])), _lists(np.repeat(own[i : i + 1], len(to), axis=0))], names=["n", "cell", "key", "bound", "v"])
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, _, own in _matrices(batch.column(0)):
+                cell, rows = np.unique(cells.value[n].of(projected(own, directions(n, m, seed))), return_counts=True)
+                yield pa.record_batch([pa.array(np.full(len(cell), n, np.int32)), pa.array(cell, pa.int32()), pa.array(rows, pa.int64())], names=["n", "cell", "rows"])
+
     placed = points.mapInArrow(place, CELL_ROWS)
+    held = points.select("v").mapInArrow(tally, "n int, cell int, rows long").groupBy("n", "cell").agg(F.ceil(F.sum("rows") / (PARTED * CELL)).cast("int").alias("parts"))
+    held = shared.written(held, f"{folder}/held")  # a row per cell
 
     def searched(routed: DataFrame) -> DataFrame:
         """(key, id, score) of what queries find in the cells they are routed to."""
-        # a cell that very many queries reach is in several tasks; one that none reaches isn't shuffled
-        blocks = routed.groupBy("n", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        own = placed.join(blocks, ["n", "cell"]).select("n", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("query"), F.col("id").alias("key"), F.lit(None).cast("double").alias("bound"), "v")
-        some = routed.join(blocks, ["n", "cell"]).select("n", "cell", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("query"), "key", "bound", "v")
+        # a cell that very many queries reach, or that has very many rows, is in several tasks; one that none reaches isn't shuffled
+        blocks = routed.groupBy("n", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(held, ["n", "cell"])
+        part, block = (F.pmod(F.xxhash64(key), F.col(of)).cast("int") for key, of in (("id", "parts"), ("key", "blocks")))
+        all_of = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+        own = placed.join(blocks, ["n", "cell"]).select("n", "cell", F.explode(F.transform(all_of("blocks"), lambda b: part * F.col("blocks") + b)).alias("block"), F.lit(False).alias("query"), F.col("id").alias("key"), F.lit(None).cast("double").alias("bound"), "v")
+        some = routed.join(blocks, ["n", "cell"]).select("n", "cell", F.explode(F.transform(all_of("parts"), lambda p: p * F.col("blocks") + block)).alias("block"), F.lit(True).alias("query"), "key", "bound", "v")
         both = own.union(some).repartition(shared.shuffle_partitions(spark), "n", "cell", "block").sortWithinPartitions("n", "cell", "block", "query")
         return both.mapInArrow(lambda batches: _run(batches, k + 1, test, m, seed), "key long, id long, score double")
 
     home = queries.select(F.col("key").alias("id"), "v").mapInArrow(place, CELL_ROWS).select("n", "cell", F.col("id").alias("key"), F.lit(None).cast("double").alias("bound"), "v")
     first = shared.written(searched(home), f"{folder}/first")
-    bounds = first.groupBy("key").agg(F.when(F.count("*") > k, F.min("score")).alias("bound"))
+    # the score of the k + 1st that a cell's parts found; null if there are fewer
+    bounds = first.groupBy("key").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), k).alias("bound"))
     on = shared.written(queries.join(bounds, "key").select("key", "bound", "v").mapInArrow(route, ASKED), f"{folder}/routed")
     found = first.union(searched(on)).groupBy("key", "id").agg(F.max("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id"))

@@ -70,7 +70,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def bucket_bits(spark: SparkSession) -> int:
     """Buckets are a power of two, about eight to a shuffle partition."""
-    return min(16, max(4, (8 * shuffle_partitions(spark) - 1).bit_length()))
+    return min(18, max(4, (8 * shuffle_partitions(spark) - 1).bit_length()))
 
 
 BLOCKS = "bucket int, block binary"

@@ -511,10 +511,11 @@ def recall(found: list, best: dict) -> float:
     return float(np.mean([sum(x >= own[-1][1] - 1e-9 for x in got[q]) / len(own) for q, own in best.items()]))
 
 
-@pytest.mark.parametrize("cell", [12_000, 60])
-def test_neighbours_recall(spark, monkeypatch, cell):
-    """Over several cells and blocks of queries too, against brute force."""
+@pytest.mark.parametrize("cell, parted", [(12_000, 4), (60, 4), (60, 0.2)])
+def test_neighbours_recall(spark, monkeypatch, cell, parted):
+    """Over several cells, parts of cells and blocks of queries too, against brute force."""
     monkeypatch.setattr(neighbours, "CELL", cell)
+    monkeypatch.setattr(neighbours, "PARTED", parted)
     monkeypatch.setattr(neighbours, "BLOCK", 7 if cell == 60 else 50_000)
     rows = [r for r in table("embeddings", "vec_id, embedding")]
     rng = np.random.default_rng(7)
