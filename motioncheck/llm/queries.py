@@ -78,8 +78,30 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motioncheck.llm.centroids import cluster_vectors
+
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motioncheck.llm.infill import fill_in_middle
+
+    return fill_in_middle(_table(spark, sf_dir, "documents"), digests=True)
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from motioncheck.llm.personal import find_personal
+
+    return find_personal(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_html_extraction, op3_substring_dedup, op4_language_id, op5_decontamination, op6_url_filters, op7_toxicity, op8_packing, op9_warc, op10_neighbours)}
+    own = (
+        op1_ngram_join, op2_html_extraction, op3_substring_dedup, op4_language_id, op5_decontamination, op6_url_filters, op7_toxicity,
+        op8_packing, op9_warc, op10_neighbours, op11_centroid_clustering, op12_fill_in_middle, op13_pii,
+    )
+    return {f.__name__: f for f in own}
 
 
 #: A word shingle of op1 is a list of words; links, then the smallest id within reach.
@@ -179,5 +201,49 @@ FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest AND p.payload_bytes =
 """
 
 
+#: Ten rounds over all rows, none grouped: k has the vectors, c0 the first centroids, d1 to d10 distances, c1 to c10 what they lead to, d11 the last assignment.
+_OP11 = (
+    """
+WITH k AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::HUGEINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v AS m FROM k WHERE vec_id IS NOT NULL ORDER BY sha256('3:' || vec_id), v LIMIT 8)"""
+    + "".join(
+        f""",
+d{i} AS MATERIALIZED (
+  SELECT vec_id, v, min({{'d': list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'c': c}}) AS n
+  FROM (SELECT *, row_number() OVER () AS r FROM k), c{i - 1} GROUP BY r, vec_id, v),
+c{i} AS MATERIALIZED (
+  SELECT o.c, coalesce(x.m, o.m) AS m FROM c{i - 1} o LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS m
+    FROM (SELECT n.c AS c, p, sum(v[p]) AS s, count(*) AS n FROM d{i}, range(1, 65) t(p) GROUP BY n.c, p) GROUP BY c) x ON x.c = o.c)"""
+        for i in range(1, 11)
+    )
+    + """,
+d11 AS (
+  SELECT vec_id, min({'d': list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'c': c}) AS n
+  FROM (SELECT *, row_number() OVER () AS r FROM k), c10 GROUP BY r, vec_id, v)
+SELECT vec_id, n.c::INTEGER AS cluster, n.d::BIGINT AS distance, (sum(n.d) OVER (PARTITION BY n.c))::BIGINT AS cluster_inertia, (sum(n.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM d11 JOIN c10 ON n.c = c10.c
+"""
+)
+
+#: Tokens as a list, pieces as parts of it; what is restored must be the text.
+_OP12 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ts, sha256('42:' || doc_id) AS h FROM documents),
+n AS (SELECT *, len(ts)::BIGINT AS n, [('0x' || h[8 * i + 1:8 * i + 8])::BIGINT for i in range(0, 4)] AS hs FROM t),
+f AS (
+  SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b,
+    CASE WHEN h IS NULL OR text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR hs[3] % 100 >= 50 THEN 'plain' WHEN hs[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, array_to_string(ts[1:a], '') AS pre, array_to_string(ts[a + 1:b], '') AS mid, array_to_string(ts[b + 1:], '') AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', pre, '<S>', suf, '<M>', mid) ELSE concat('<S>', suf, '<P>', pre, '<M>', mid) END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": _OP1, "op3_substring_dedup": _OP3, "op6_url_filters": _OP6, "op9_warc": _OP9}
+    return {"op1_ngram_join": _OP1, "op3_substring_dedup": _OP3, "op6_url_filters": _OP6, "op9_warc": _OP9, "op11_centroid_clustering": _OP11, "op12_fill_in_middle": _OP12}

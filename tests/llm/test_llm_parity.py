@@ -13,12 +13,11 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_same_rows(spark, duck, name):
-    found = queries.queries()[name](spark, DATA).toPandas()
-    want = duck.sql(queries.oracle_sql()[name]).to_df()
+    found = queries.queries()[name](spark, DATA)
+    want = duck.sql(queries.oracle_sql()[name])
     columns = sorted(want.columns)
     assert columns == sorted(found.columns)
-    both = [d[columns].astype(object).where(d[columns].notna(), None).astype(str).sort_values(columns).to_numpy().tolist() for d in (found, want)]
-    assert both[0] == both[1]
+    assert sorted(str(tuple(r)) for r in found.select(columns).collect()) == sorted(str(r) for r in want.select(*(f'"{c}"' for c in columns)).fetchall())
 
 
 def test_pipeline(spark):
