@@ -1,7 +1,8 @@
 """Map-aware signals: lanes, crosswalks, stop signs and signals.
 
-Geometry is exploded into segments and joined by scenario; a state's nearest segment is a
-minimum of structs that carry the tie-break, pre-aggregated before any shuffle.
+Geometry is exploded into segments, and states meet those of the cells that they are in (grid.py);
+a state's nearest segment is a minimum of structs that carry the tie-break, pre-aggregated before
+any shuffle.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motioncheck.functions.columns import distance
-from motioncheck.sources.stored import with_all
+from motioncheck.operators import grid
+from motioncheck.sources.stored import stored, with_all
 
 TRACK = ("scenario_id", "agent_id")
 STATE = (*TRACK, "state_ord", "time_s")
@@ -48,12 +50,8 @@ def _fraction(x: Column, y: Column) -> Column:
     return F.when(squared > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - F.col("ax")) * dx + (y - F.col("ay")) * dy) / F.nullif(squared, F.lit(0.0)))))
 
 
-def projections(points: DataFrame, lane_segments: DataFrame) -> DataFrame:
-    """points x their scenario's segments: distance, signed offset (left of travel is positive), tangent."""
-    return _projected(_on_map(points, lane_segments))
-
-
 def _projected(joined: DataFrame) -> DataFrame:
+    """points beside segments: distance, signed offset (left of travel is positive), tangent."""
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     f = _fraction(F.col("x_m"), F.col("y_m"))
     joined = joined.withColumn("f", f).where("f is not null")
@@ -64,7 +62,7 @@ def _projected(joined: DataFrame) -> DataFrame:
 def lane_distances(states: DataFrame, lanes: DataFrame, radius: float) -> DataFrame:
     """(state keys, lane_id, best) of the lanes within the radius: distance, lane, segment and offset of each lane's nearest point."""
     own = segments(lanes, (*scope(lanes), "lane_ord", "feature_id"))
-    near = projections(states.select(*STATE, "x_m", "y_m"), own).where(F.col("distance_m") <= radius)
+    near = _projected(grid.near_segments(states.select(*STATE, "x_m", "y_m"), own, scope(lanes), radius)).where(F.col("distance_m") <= radius)
     return near.groupBy(*STATE, F.col("feature_id").alias("lane_id")).agg(F.min(F.struct("distance_m", "lane_ord", "seg_ord", "offset_m", "feature_id")).alias("best"))
 
 
@@ -85,19 +83,79 @@ def lane_offset(states: DataFrame, lanes: DataFrame, distances: DataFrame | None
     return near.select(*TRACK, "sample_ord", "time_s", F.abs("lateral_offset_m").alias("value"))
 
 
-def polygon_distances(points: DataFrame, keys: tuple[str, ...], polygons: DataFrame) -> DataFrame:
-    """(keys, cw_ord, distance_m, inside): even-odd inside is 0, else the least distance to an edge."""
+def _edges(polygons: DataFrame) -> tuple[tuple[str, ...], DataFrame]:
+    """The keys of polygons, and their edges with the number of corners."""
     own = (*scope(polygons), "cw_ord")
-    edges = segments(polygons, own, closed=True).withColumn("corners", F.count("*").over(Window.partitionBy(*own)))
-    joined = _on_map(points, edges)
+    return own, segments(polygons, own, closed=True).withColumn("corners", F.count("*").over(Window.partitionBy(*own)))
+
+
+def _measured(joined: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, distance_m, inside) of points beside all edges of a polygon."""
     x, y = F.col("x_m"), F.col("y_m")
     f = F.coalesce(_fraction(x, y), F.lit(0.0))
     edge = distance(x, y, F.col("ax") + f * (F.col("bx") - F.col("ax")), F.col("ay") + f * (F.col("by") - F.col("ay")))
     straddles = (F.col("by") > y) != (F.col("ay") > y)
     crossing = (F.col("ax") - F.col("bx")) * (y - F.col("by")) / F.nullif(F.col("ay") - F.col("by"), F.lit(0.0)) + F.col("bx")
     corner = distance(x, y, F.col("bx"), F.col("by"))
-    found = joined.groupBy(*keys, "cw_ord").agg(F.min(F.when(F.col("corners") < 3, corner).otherwise(edge)).alias("edge_m"), (F.sum(F.when((F.col("corners") >= 3) & straddles & (x < crossing), 1).otherwise(0)) % 2 == 1).alias("inside"))
-    return found.select(*keys, "cw_ord", F.when(F.col("inside"), 0.0).otherwise(F.col("edge_m")).alias("distance_m"), "inside")
+    found = joined.groupBy(*keys).agg(F.min(F.when(F.col("corners") < 3, corner).otherwise(edge)).alias("edge_m"), (F.sum(F.when((F.col("corners") >= 3) & straddles & (x < crossing), 1).otherwise(0)) % 2 == 1).alias("inside"))
+    return found.select(*keys, F.when(F.col("inside"), 0.0).otherwise(F.col("edge_m")).alias("distance_m"), "inside")
+
+
+def polygon_distances(points: DataFrame, keys: tuple[str, ...], polygons: DataFrame) -> DataFrame:
+    """(keys, cw_ord, distance_m, inside) of each point and each polygon of its scenario: even-odd inside is 0, else the least distance to an edge."""
+    return _measured(_on_map(points, _edges(polygons)[1]), (*keys, "cw_ord"))
+
+
+#: Edges of a shared map that every point meets; the first ring where there are more, and its growth.
+FEW_EDGES, RING, GROWTH = 256, 8.0, 4.0
+
+
+def _few(polygons: DataFrame, edges: DataFrame, few: int) -> bool:
+    return not scope(polygons) and edges.limit(few + 1).count() <= few
+
+
+def polygons_within(points: DataFrame, keys: tuple[str, ...], polygons: DataFrame, radius: float, few: int = FEW_EDGES) -> DataFrame:
+    """polygon_distances() of the polygons within the radius, found by cells.
+
+    Cells that no edge comes near answer by themselves; in the others a point is measured against
+    its candidate's edges. Points and polygons whose place isn't finite are within no radius. All
+    points meet a map that is shared and has few edges.
+    """
+    own, edges = _edges(polygons)
+    if _few(polygons, edges, few):
+        return polygon_distances(points, keys, polygons).where(F.col("distance_m") <= radius)
+    odd = edges.where(~grid.finite("ax", "ay")).select(*own).distinct()
+    edges = edges.join(odd, list(own), "left_anti")
+    size = max(2 * radius, 1.0)
+    met = grid.meet(points, grid.polygon_cells(edges, own, radius, size, _measured), scope(polygons), size)
+    sure = met.where("within").select(*keys, "cw_ord", F.lit(0.0).alias("distance_m"), F.lit(True).alias("inside"))
+    near = _measured(met.where("not within").join(grid.sized(edges, scope(polygons)), list(own)), (*keys, "cw_ord"))
+    return sure.union(near.where(F.col("distance_m") <= radius))
+
+
+def nearest_polygon(points: DataFrame, keys: tuple[str, ...], polygons: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """(keys, value): each point's distance to its scenario's nearest polygon; no row where there is none.
+
+    Polygons are sought in rings: those within a radius are found by cells, and a point that has one is
+    done, as all others are further out. The few that have none go on to the next ring.
+    """
+    own, edges = _edges(polygons)
+    least = lambda found: found.groupBy(*keys).agg(F.min("distance_m").alias("value"))
+    if _few(polygons, edges, few):
+        return least(polygon_distances(points, keys, polygons))
+    rest = points.join(polygons.where(F.size("points") > 0).select("scenario_id").distinct(), "scenario_id", "left_semi") if scope(polygons) else points
+    reach = lambda df, x, y: df.where(grid.finite(x, y)).agg(F.max(F.abs(x)) + F.max(F.abs(y))).first()[0] or 0.0
+    far, radius, parts = reach(points, "x_m", "y_m") + reach(edges, "ax", "ay") + RING, RING, []
+    while True:
+        parts.append(stored(least(polygons_within(rest, keys, polygons, radius, few))))
+        rest = stored(rest.join(parts[-1].select(*keys), list(keys), "left_anti"))
+        if radius > far or not rest.take(1):
+            break
+        radius *= GROWTH
+    found = least(polygon_distances(rest, keys, polygons))  # what has no finite place, or only such polygons
+    for part in parts:
+        found = found.union(part)
+    return found
 
 
 def canvas(points: DataFrame, width: int = 900, height: int = 700, padding: int = 50) -> DataFrame:
@@ -113,14 +171,13 @@ def canvas(points: DataFrame, width: int = 900, height: int = 700, padding: int
 
 
 def crosswalk_proximity(states: DataFrame, crosswalks: DataFrame) -> DataFrame:
-    near = polygon_distances(states.select(*STATE, "x_m", "y_m"), STATE, crosswalks)
-    return near.groupBy(*STATE).agg(F.min("distance_m").alias("value")).withColumnRenamed("state_ord", "sample_ord")
+    return nearest_polygon(states.select(*STATE, "x_m", "y_m"), STATE, crosswalks).withColumnRenamed("state_ord", "sample_ord")
 
 
 def vru_crosswalk_proximity(states: DataFrame, crosswalks: DataFrame, subjects: DataFrame) -> DataFrame:
     """Distance of subjects (scenario_id, agent_id) to road users on foot or bicycle at crosswalks at the same time; a subject counts itself."""
-    on = polygon_distances(states.where(F.col("object_type").isin("pedestrian", "cyclist")).select(*STATE, "x_m", "y_m"), (*STATE, "x_m", "y_m"), crosswalks)
-    held = on.where(F.col("distance_m") <= VRU_RADIUS).select("scenario_id", "time_s", F.col("x_m").alias("vx"), F.col("y_m").alias("vy")).distinct()
+    on = polygons_within(states.where(F.col("object_type").isin("pedestrian", "cyclist")).select(*STATE, "x_m", "y_m"), (*STATE, "x_m", "y_m"), crosswalks, VRU_RADIUS)
+    held = on.select("scenario_id", "time_s", F.col("x_m").alias("vx"), F.col("y_m").alias("vy")).distinct()
     own = states.join(subjects.select(*TRACK).distinct(), list(TRACK), "left_semi").select(*STATE, "x_m", "y_m")
     return own.join(held, ["scenario_id", "time_s"]).groupBy(*STATE).agg(F.min(distance(F.col("x_m"), F.col("y_m"), F.col("vx"), F.col("vy"))).alias("value")).withColumnRenamed("state_ord", "sample_ord")
 
@@ -166,8 +223,9 @@ def red_stop_line_violation(states: DataFrame, lanes: DataFrame, signals: DataFr
 
 
 def stop_sign_crossing_speed(states: DataFrame, lanes: DataFrame, signs: DataFrame, distances: DataFrame | None = None) -> DataFrame:
-    """Speed of the step that crosses a stop sign of a lane nearby; a state may cross several."""
+    """Speed of the step that crosses a stop sign of a lane nearby; a state may cross several, numbered along the track by state and sign."""
     stops = stop_tangents(signs, lanes, "sign_ord")
     own = _with_previous(states).where("pt is not null").join(_near_lanes(states, lanes, signs, distances), list(STATE)).join(stops, [*scope(signs), "lane_id"])
     pace = distance(F.col("x_m"), F.col("y_m"), F.col("px"), F.col("py")) / (F.col("time_s") - F.col("pt"))
-    return own.where(_crossed()).select(*TRACK, (F.col("state_ord") * 1000 + F.col("sign_ord")).alias("sample_ord"), "time_s", pace.alias("value"))
+    crossed = own.where(_crossed()).withColumn("nth", F.row_number().over(Window.partitionBy(*TRACK).orderBy("state_ord", "sign_ord")))
+    return crossed.select(*TRACK, (F.col("nth") - 1).cast("long").alias("sample_ord"), "time_s", pace.alias("value"))

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motioncheck.functions.columns import distance, time_key, wrapped_angle
-from motioncheck.operators import geometry
-from motioncheck.sources.stored import stored, with_all
+from motioncheck.operators import geometry, grid
+from motioncheck.sources.stored import stored
 
 AGENT = ("scenario_id", "agent_id")
 
@@ -55,18 +55,22 @@ def future_states(states: DataFrame, best: DataFrame) -> DataFrame:
     return states.withColumn("t", time_key(F.col("time_s"))).join(best.select(*AGENT, "t").distinct(), [*AGENT, "t"], "left_semi").select(*AGENT, "state_ord", "t", "time_s", "x_m", "y_m")
 
 
+def _others(states: DataFrame) -> DataFrame:
+    return states.select("scenario_id", F.col("agent_id").alias("other_id"), time_key(F.col("time_s")).alias("t"), F.col("x_m").alias("ox"), F.col("y_m").alias("oy"))
+
+
 def scene_density(states: DataFrame, current: DataFrame, radius: float) -> DataFrame:
     """Other agents with a state at the current time within the radius."""
-    others = states.select("scenario_id", F.col("agent_id").alias("other_id"), time_key(F.col("time_s")).alias("t"), F.col("x_m").alias("ox"), F.col("y_m").alias("oy"))
-    near = current.withColumn("t", time_key(F.col("current_time_s"))).join(others, ["scenario_id", "t"], "left")
-    close = (F.col("other_id") != F.col("agent_id")) & (distance(F.col("x_m"), F.col("y_m"), F.col("ox"), F.col("oy")) <= radius)
-    return near.groupBy(*AGENT).agg(F.count_if(close).alias("nearby_agents"))
+    own = current.select(*AGENT, time_key(F.col("current_time_s")).alias("t"), "x_m", "y_m")
+    near = grid.neighbours(own, _others(states), ("scenario_id", "t"), radius).where(F.col("other_id") != F.col("agent_id"))
+    held = near.groupBy(*AGENT).agg(F.count("*").alias("n"))
+    return current.select(*AGENT).distinct().join(held, list(AGENT), "left").select(*AGENT, F.coalesce("n", F.lit(0)).alias("nearby_agents"))
 
 
-def min_actor_separation(states: DataFrame, future: DataFrame) -> DataFrame:
-    others = states.select("scenario_id", F.col("agent_id").alias("other_id"), time_key(F.col("time_s")).alias("t"), F.col("x_m").alias("ox"), F.col("y_m").alias("oy"))
-    both = future.join(others, ["scenario_id", "t"]).where(F.col("other_id") != F.col("agent_id"))
-    return both.groupBy(*AGENT).agg(F.min(distance(F.col("x_m"), F.col("y_m"), F.col("ox"), F.col("oy"))).alias("min_actor_separation_m"))
+def min_actor_separation(states: DataFrame, future: DataFrame, few: int = grid.FEW) -> DataFrame:
+    """The least separation of an agent's future states from any other agent's at the same instant."""
+    found = grid.least_separation(future, _others(states), ("scenario_id", "t"), AGENT, F.col("other_id") != F.col("agent_id"), few)
+    return found.withColumnRenamed("separation_m", "min_actor_separation_m")
 
 
 def sdc_interaction(states: DataFrame, scenarios: DataFrame, best: DataFrame) -> DataFrame:
@@ -94,11 +98,12 @@ def motion_class(current: DataFrame, future: DataFrame, thresholds: RiskThreshol
 def near_map(future: DataFrame, crosswalks: DataFrame, signs: DataFrame, signals: DataFrame, thresholds: RiskThresholds) -> DataFrame:
     """Whether any future state is near a crosswalk, or a stop sign's or any signal's stop point."""
     keys = (*AGENT, "state_ord")
-    walk = geometry.polygon_distances(future.select(*keys, "x_m", "y_m"), keys, crosswalks).groupBy(*AGENT).agg(F.bool_or(F.col("distance_m") <= thresholds.crosswalk_context_m).alias("near_crosswalk"))
+    walk = geometry.polygons_within(future.select(*keys, "x_m", "y_m"), keys, crosswalks, thresholds.crosswalk_context_m).select(*AGENT, F.lit(True).alias("near_crosswalk")).distinct()
     own = geometry.scope(signs)
-    stops = signs.select(*own, "x_m", "y_m").union(signals.select(*own, "x_m", "y_m")).distinct().toDF(*own, "sx", "sy")
-    near = future.join(stops, "scenario_id") if own else with_all(future, stops)
-    control = near.groupBy(*AGENT).agg(F.bool_or(distance(F.col("x_m"), F.col("y_m"), F.col("sx"), F.col("sy")) <= thresholds.control_context_m).alias("near_control"))
+    stops = signs.select(*own, "x_m", "y_m").union(signals.select(*own, "x_m", "y_m")).distinct().toDF(*own, "ax", "ay")
+    points = stops.withColumn("bx", F.col("ax")).withColumn("by", F.col("ay"))
+    near = grid.near_segments(future.select(*keys, "x_m", "y_m"), points, own, thresholds.control_context_m)
+    control = near.where(distance(F.col("x_m"), F.col("y_m"), F.col("ax"), F.col("ay")) <= thresholds.control_context_m).select(*AGENT, F.lit(True).alias("near_control")).distinct()
     return future.select(*AGENT).distinct().join(walk, list(AGENT), "left").join(control, list(AGENT), "left").select(*AGENT, F.coalesce("near_crosswalk", F.lit(False)).alias("near_crosswalk"), F.coalesce("near_control", F.lit(False)).alias("near_control"))
 
 

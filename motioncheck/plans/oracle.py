@@ -42,8 +42,8 @@ PARTS = {
     "lanes": "SELECT n_nationkey::BIGINT AS k, n_nationkey::VARCHAR AS feature_id FROM nation",
     "lane_seg": "SELECT k, feature_id, 0 AS seg, 0e0 AS ax, 4e0 * k AS ay, 64e0 AS bx, 4e0 * k + 1 AS by_ FROM lanes UNION ALL SELECT k, feature_id, 1, 64e0, 4e0 * k + 1, 160e0, 4e0 * k FROM lanes",
     "cw_edge": "SELECT r_regionkey::BIGINT AS cw, unnest([{'ax': 10 + 20e0 * r_regionkey, 'ay': 40e0, 'bx': 10 + 20e0 * r_regionkey, 'b': 0e0}, {'ax': 10 + 20e0 * r_regionkey, 'ay': 0e0, 'bx': 12 + 20e0 * r_regionkey, 'b': 0e0}, {'ax': 12 + 20e0 * r_regionkey, 'ay': 0e0, 'bx': 12 + 20e0 * r_regionkey, 'b': 40e0}, {'ax': 12 + 20e0 * r_regionkey, 'ay': 40e0, 'bx': 10 + 20e0 * r_regionkey, 'b': 40e0}], max_depth := 2) FROM region",
-    "signs": "SELECT n_nationkey::BIGINT AS sign_ord, n_nationkey::VARCHAR AS lane_id, 30e0 AS sx, 4e0 * n_nationkey + 0.5e0 AS sy FROM nation WHERE n_nationkey < 10",
-    "lights": "SELECT (s * 10 + n_nationkey)::BIGINT AS signal_ord, s / 10e0 AS time_s, n_nationkey::VARCHAR AS lane_id, CASE WHEN (s // 10 + n_nationkey) % 3 = 0 THEN 'stop' ELSE 'go' END AS state, 48e0 AS sx, 4e0 * n_nationkey + 0.75e0 AS sy FROM nation, range(0, 91) AS t(s) WHERE n_nationkey < 10",
+    "signs": "SELECT n_nationkey::BIGINT AS sign_ord, n_nationkey::VARCHAR AS lane_id, 30e0 AS sx, 4e0 * n_nationkey + 0.5e0 AS sy FROM nation",
+    "lights": "SELECT (s * 25 + n_nationkey)::BIGINT AS signal_ord, s / 10e0 AS time_s, n_nationkey::VARCHAR AS lane_id, CASE WHEN (s // 10 + n_nationkey) % 3 = 0 THEN 'stop' ELSE 'go' END AS state, 48e0 AS sx, 4e0 * n_nationkey + 0.75e0 AS sy FROM nation, range(0, 91) AS t(s)",
     "requirements": f"SELECT * FROM (VALUES {_VALUES}) AS t(req_ord, requirement_id, metric, operator, threshold, subject, other)",
     "resolved": f"SELECT scenario_id, req_ord::BIGINT AS req_ord, requirement_id, metric, operator, threshold, {_agent('subject')} AS agent_id, CASE WHEN other IS NOT NULL THEN {_agent('other')} END AS other_id FROM scenarios, requirements",
     "sdc_pairs": "SELECT scenario_id, sdc AS agent_id, unnest(preds) AS other_id FROM scenarios WHERE sdc IS NOT NULL",
@@ -63,7 +63,7 @@ PARTS = {
     "stop_points": "SELECT DISTINCT lane_id, sx, sy FROM lights UNION SELECT DISTINCT lane_id, sx, sy FROM signs",
     "tangents": "SELECT lane_id, sx, sy, dx AS tx, dy AS ty FROM (SELECT *, row_number() OVER (PARTITION BY lane_id, sx, sy ORDER BY sqrt((sx - ax - f * dx) ** 2 + (sy - ay - f * dy) ** 2), seg) AS n FROM (SELECT p.*, seg, ax, ay, bx - ax AS dx, by_ - ay AS dy, greatest(0e0, least(1e0, ((sx - ax) * (bx - ax) + (sy - ay) * (by_ - ay)) / ((bx - ax) ** 2 + (by_ - ay) ** 2))) AS f FROM stop_points p JOIN lane_seg ON feature_id = lane_id)) WHERE n = 1",
     "red": "SELECT l.scenario_id, l.agent_id, signal_ord AS sample_ord, l.time_s, CASE WHEN (px - sx) * tx + (py - sy) * ty <= 0 AND (x_m - sx) * tx + (y_m - sy) * ty > 0 THEN 1e0 ELSE 0e0 END AS value FROM lagged l JOIN lights g ON g.time_s = l.time_s AND state IN ('stop', 'arrow_stop', 'flashing_stop') JOIN tangents USING (lane_id, sx, sy) JOIN lane_near n ON n.scenario_id = l.scenario_id AND n.agent_id = l.agent_id AND n.state_ord = l.state_ord AND n.lane_id = lane_id WHERE pt IS NOT NULL",
-    "stop_speed": "SELECT l.scenario_id, l.agent_id, l.state_ord * 1000 + sign_ord AS sample_ord, l.time_s, sqrt((x_m - px) ** 2 + (y_m - py) ** 2) / (l.time_s - pt) AS value FROM lagged l JOIN lane_near n ON n.scenario_id = l.scenario_id AND n.agent_id = l.agent_id AND n.state_ord = l.state_ord JOIN signs g ON g.lane_id = n.lane_id JOIN tangents t ON t.lane_id = g.lane_id AND t.sx = g.sx AND t.sy = g.sy WHERE pt IS NOT NULL AND (px - g.sx) * tx + (py - g.sy) * ty <= 0 AND (x_m - g.sx) * tx + (y_m - g.sy) * ty > 0",
+    "stop_speed": "SELECT l.scenario_id, l.agent_id, row_number() OVER (PARTITION BY l.scenario_id, l.agent_id ORDER BY l.state_ord, sign_ord) - 1 AS sample_ord, l.time_s, sqrt((x_m - px) ** 2 + (y_m - py) ** 2) / (l.time_s - pt) AS value FROM lagged l JOIN lane_near n ON n.scenario_id = l.scenario_id AND n.agent_id = l.agent_id AND n.state_ord = l.state_ord JOIN signs g ON g.lane_id = n.lane_id JOIN tangents t ON t.lane_id = g.lane_id AND t.sx = g.sx AND t.sy = g.sy WHERE pt IS NOT NULL AND (px - g.sx) * tx + (py - g.sy) * ty <= 0 AND (x_m - g.sx) * tx + (y_m - g.sy) * ty > 0",
     "samples": "SELECT r.scenario_id, req_ord, sample_ord, time_s, value FROM resolved r JOIN (SELECT 'speed' AS m, * FROM speed UNION ALL SELECT 'acceleration', * FROM acceleration UNION ALL SELECT 'jerk', * FROM jerk UNION ALL SELECT 'lane_lateral_offset', scenario_id, agent_id, sample_ord, time_s, abs(lateral_offset_m) FROM lane_assoc UNION ALL SELECT 'crosswalk_proximity', * FROM crosswalk UNION ALL SELECT 'vru_crosswalk_proximity', * FROM vru_crosswalk UNION ALL SELECT 'red_stop_line_violation', * FROM red UNION ALL SELECT 'stop_sign_crossing_speed', * FROM stop_speed) x ON x.m = r.metric AND x.scenario_id = r.scenario_id AND x.agent_id = r.agent_id UNION ALL SELECT r.scenario_id, req_ord, sample_ord, time_s, value FROM resolved r JOIN separation s ON metric = 'separation' AND s.scenario_id = r.scenario_id AND s.agent_id = r.agent_id AND s.other_id = r.other_id UNION ALL SELECT r.scenario_id, req_ord, sample_ord, time_s, value FROM resolved r JOIN ttc s ON metric = 'time_to_collision' AND s.scenario_id = r.scenario_id AND s.agent_id = r.agent_id AND s.other_id = r.other_id",
     "judged": f"SELECT s.*, requirement_id, operator, threshold, {_holds('value')} AS met FROM samples s JOIN resolved r USING (scenario_id, req_ord)",
     "results": "SELECT scenario_id, req_ord, requirement_id, coalesce(n, 0) AS evaluated_samples, coalesce(bad, 0) AS failed_samples, lo AS observed_min, hi AS observed_max, req_ord < 6 OR coalesce(n, 0) > 0 AS applicable, CASE WHEN req_ord < 6 OR coalesce(n, 0) > 0 THEN coalesce(bad, 0) = 0 END AS passed, CASE WHEN req_ord >= 6 AND coalesce(n, 0) = 0 THEN CASE metric WHEN 'lane_lateral_offset' THEN 'subject is never within 10 m of a lane center' WHEN 'vru_crosswalk_proximity' THEN 'no pedestrian or cyclist is observed in a mapped crosswalk context' WHEN 'red_stop_line_violation' THEN 'subject is not aligned with an active stop-state signal' WHEN 'stop_sign_crossing_speed' THEN 'subject does not cross a mapped stop-sign position' END END AS not_applicable_reason FROM resolved LEFT JOIN (SELECT scenario_id, req_ord, count(*) AS n, count(*) FILTER (NOT met) AS bad, min(value) AS lo, max(value) AS hi FROM judged GROUP BY ALL) USING (scenario_id, req_ord)",

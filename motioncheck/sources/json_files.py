@@ -60,7 +60,7 @@ def map_tables(scenarios: DataFrame) -> dict[str, DataFrame]:
     return {
         "lanes": each("lanes", "lane_ord").select("scenario_id", long("lane_ord"), "f.feature_id", "f.points"),
         "crosswalks": each("crosswalks", "cw_ord").select("scenario_id", long("cw_ord"), "f.points"),
-        "signs": signs.select("scenario_id", (F.col("at") * 32 + F.col("nth")).cast("long").alias("sign_ord"), "lane_id", "f.position.x_m", "f.position.y_m"),
+        "signs": signs.select("scenario_id", (F.col("at").cast("long") * (1 << 31) + F.col("nth")).alias("sign_ord"), "lane_id", "f.position.x_m", "f.position.y_m"),
         "signals": each("signals", "signal_ord").select("scenario_id", long("signal_ord"), "f.time_s", "f.lane_id", "f.state", "f.stop_point.x_m", "f.stop_point.y_m"),
     }
 

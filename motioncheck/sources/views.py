@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STEPS = 91
+#: Keys of the table nation are below this, so signals of a step have numbers of their own.
+NATIONS = 25
 SCENARIO = F.lit
 
 
@@ -81,15 +83,15 @@ def crosswalks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stop_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sign_ord, lane_id, x_m, y_m)."""
     k = F.col("n_nationkey").cast("long")
-    return table(spark, sf_dir, "nation").where(k < 10).select(k.alias("sign_ord"), k.cast("string").alias("lane_id"), F.lit(30.0).alias("x_m"), (4 * k + 0.5).cast("double").alias("y_m"))
+    return table(spark, sf_dir, "nation").select(k.alias("sign_ord"), k.cast("string").alias("lane_id"), F.lit(30.0).alias("x_m"), (4 * k + 0.5).cast("double").alias("y_m"))
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(signal_ord, time_s, lane_id, state, x_m, y_m)."""
+    """(signal_ord, time_s, lane_id, state, x_m, y_m), step by step."""
     k = F.col("n_nationkey").cast("long")
-    steps = table(spark, sf_dir, "nation").where(k < 10).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
+    steps = table(spark, sf_dir, "nation").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
     state = F.when((F.floor(F.col("step") / 10) + k) % 3 == 0, "stop").otherwise("go")
-    return steps.select((F.col("step") * 10 + k).alias("signal_ord"), (F.col("step") / 10.0).alias("time_s"), k.cast("string").alias("lane_id"), state.alias("state"), F.lit(48.0).alias("x_m"), (4 * k + 0.75).cast("double").alias("y_m"))
+    return steps.select((F.col("step") * NATIONS + k).alias("signal_ord"), (F.col("step") / 10.0).alias("time_s"), k.cast("string").alias("lane_id"), state.alias("state"), F.lit(48.0).alias("x_m"), (4 * k + 0.75).cast("double").alias("y_m"))
 
 
 #: Requirements: id, metric, operator, threshold, subject, other. Some pass, some fail, some don't apply.
