@@ -1,20 +1,17 @@
 """Benchmark decontamination: documents that hold a passage close to a benchmark item.
 
-Method: SimHash of windows. A window's fingerprint has 64 bits, the signs of the summed bits of
-its shingles' hashes. Items are cut into all their windows of SPAN shingles (a shorter item is
-one window of its own size), and every window of that size of every document is looked up. The
-index cuts fingerprints into RADIUS + 1 blocks of bits: two of them within RADIUS bits agree in
-a block, so looking up each block finds all items' windows within that radius. A hit proposes an
-item and where it would begin; the item-sized windows around that place are verified by the
-exact weighted similarity of their shingle multisets.
-
-Why windows shorter than the item: two item-sized windows with a similarity of 0.8 differ in
-about 10 of 64 bits and sometimes in 20, and an index that guarantees 20 has 21 blocks of 3
-bits, whose buckets hold more candidates than there are items. But where at most a ninth of the
-shingles on each side have no partner, they leave whole runs between them: an edit of a word
-spoils five shingles in a row, so a window of n shingles with the similarity has a run of SPAN
-that is the item's, unless edits of a length below a word's are packed together. Such runs have
-a distance of 0, and RADIUS is what the lookup allows on top.
+Method: SimHash of item-sized windows. A window's fingerprint has 64 bits, the signs of the summed
+bits of its shingles' hashes, whatever their order. Items are indexed by size; a window as long as
+an item (or the whole text, if shorter) is looked up among the items of that size. The index cuts
+fingerprints into RADIUS + 1 blocks of bits: two of them within RADIUS bits agree in a block, so
+looking up each block finds all items within that radius. What is found is verified by the exact
+weighted similarity of the shingle multisets.
+
+Of two windows with a similarity of 0.8 a shingle in nine has no partner, so about ten of 64
+bits differ, and more than RADIUS in about one pair of a million; the tests measure it. An index
+for such a radius has blocks of two and three bits, which most fingerprints share. So before it, and
+without loss, windows are pruned: a window with the similarity has so many shingles of the
+benchmark, and those with fewer are never fingerprinted. Few documents have any such window.
 """
 
 from __future__ import annotations
@@ -30,8 +27,10 @@ from pyspark.sql import functions as F
 from motioncheck.llm import shared, words
 
 WORDS, SIMILAR = 5, 0.8
-#: Shingles of a window, and bits in which it may differ.
-SPAN, RADIUS = 8, 3
+#: Bits in which fingerprints may differ.
+RADIUS = 24
+#: Bits of the bitmap of an item's shingles, for each of them: about one other shingle in so many is let through to the exact test.
+BITMAP = 64
 #: Items that are broadcast together; a larger benchmark takes a pass for each part.
 ITEMS, ITEM_BYTES = 200_000, 64 << 20
 #: Windows of a text that are fingerprinted at once, whatever its length: 64 bytes each.
@@ -41,9 +40,8 @@ STRIP = 1 << 14
 PLAIN = words.WHITE.copy()
 PLAIN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
-_BLOCKS = RADIUS + 1
-#: Bits before each block.
-_CUTS = [64 * i // _BLOCKS for i in range(_BLOCKS + 1)]
+#: Pairs of a fingerprint asked and one of the index that are looked at together, about.
+PAIRS = 1 << 21
 
 
 def shingles_of(hashes: np.ndarray) -> np.ndarray:
@@ -73,12 +71,13 @@ def window_fingerprints(shingles: np.ndarray, size: int) -> np.ndarray:
 
 
 class HammingIndex:
-    """Fingerprints by each of RADIUS + 1 blocks of their bits."""
+    """Fingerprints by each of radius + 1 blocks of their bits."""
 
-    def __init__(self, prints: np.ndarray):
-        self.prints = prints
+    def __init__(self, prints: np.ndarray, radius: int = RADIUS):
+        self.prints, self.radius = prints, radius
         self.tables = []
-        for a, b in zip(_CUTS, _CUTS[1:]):
+        cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+        for a, b in zip(cuts, cuts[1:]):
             key = self._key(prints, a, b)
             order = np.argsort(key, kind="stable")
             cut = np.searchsorted(key[order], np.arange((1 << (b - a)) + 1)).astype(np.int32)
@@ -97,14 +96,18 @@ class HammingIndex:
             count = cut[key + 1] - cut[key]
             yield np.repeat(query, count), order[words.spread(cut[key].astype(np.int64), count.astype(np.int64))]
 
-    def within(self, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-        """(query, item) pairs of all fingerprints within the radius, RADIUS at most."""
-        found = []
-        for query, item in self.candidates(prints):
-            near = np.bitwise_count(prints[query] ^ self.prints[item]) <= radius
-            found.append(query[near] * len(self.prints) + item[near])
-        pairs = words.distinct(np.concatenate(found))
-        return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
+    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, item) pairs of all fingerprints within the radius."""
+        n, step = max(1, len(self.prints)), max(1, PAIRS // max(1, len(self.prints)))
+        pairs = [np.zeros(0, np.int64)]
+        for low in range(0, len(prints), step):
+            own, found = prints[low : low + step], [np.zeros(0, np.int64)]
+            for query, item in self.candidates(own):
+                near = np.bitwise_count(own[query] ^ self.prints[item]) <= self.radius
+                found.append((low + query[near]) * n + item[near])
+            pairs.append(words.distinct(np.concatenate(found)))
+        every = np.concatenate(pairs)
+        return every // n, every % n
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -114,54 +117,67 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / whole if whole else 0.0
 
 
-def shift(width: int, size: int) -> int:
-    """How far a window of `width` with the similarity to an item of `size` may lie from where the item would begin by a shared run.
-
-    Shingles that one side has more before the run have no partner, and at most so many haven't.
-    Below 0: such a window can't have the similarity.
-    """
-    need = int(np.ceil(SIMILAR * (width + size) / (1 + SIMILAR) - 1e-9))
-    return size - need if need <= width else -1
+def least_shared(width: int, size: int) -> int:
+    """Shingles that a window of `width` shares at least with an item of `size`, if it has the similarity; more than `width` if it can't have it."""
+    return int(np.ceil(SIMILAR * (width + size) / (1 + SIMILAR) - 1e-9))
 
 
 class Items:
-    """A benchmark's items, and an index of their windows for each size of window."""
+    """A benchmark's items, an index of their fingerprints for each size, and all their shingles."""
 
     def __init__(self, rows: list[tuple]):
         self.ids: list[int] = []
         self.counts: list[Counter] = []
         self.sizes: list[int] = []
-        prints, owners, places = defaultdict(list), defaultdict(list), defaultdict(list)
+        prints, owners, every = defaultdict(list), defaultdict(list), [np.zeros(0, np.uint64)]
         texts = pa.array([text for _, text in rows], pa.string())
         for chunk in words.chunks(texts, lower=True, white=PLAIN):
             for d in range(chunk.docs):
                 own = shingles_of(chunk.hashes[chunk.first[d] : chunk.first[d + 1]])
                 if len(own):
-                    size = min(SPAN, len(own))
-                    found = window_fingerprints(own, size)
-                    prints[size].append(found)
-                    owners[size].append(np.full(len(found), len(self.ids)))
-                    places[size].append(np.arange(len(found)))
+                    prints[len(own)].append(window_fingerprints(own, len(own)))
+                    owners[len(own)].append(len(self.ids))
+                    every.append(own)
                     self.ids.append(rows[chunk.row + d][0])
                     self.counts.append(Counter(own.tolist()))
                     self.sizes.append(len(own))
-        #: size of window -> index, and each print's item and place in it
-        self.groups = {size: (HammingIndex(np.concatenate(found)), np.concatenate(owners[size]), np.concatenate(places[size])) for size, found in prints.items()}
-        #: a text with fewer shingles than SPAN may be close to these items, as a whole, though it has no window of their size
-        self.few = {n: [i for i, size in enumerate(self.sizes) if n < size <= n / SIMILAR] for n in range(1, SPAN)}
+        #: size of item -> index, and each print's item
+        self.groups = {size: (HammingIndex(np.concatenate(found)), np.array(owners[size])) for size, found in sorted(prints.items())}
+        self.shingles = np.unique(np.concatenate(every))
+        self._shift = np.uint64(64 - max(10, (BITMAP * len(self.shingles)).bit_length()))
+        self._marks = np.zeros(1 << (64 - int(self._shift)), bool)
+        self._marks[(self.shingles >> self._shift).astype(np.int64)] = True
+        #: shingles that any window has at least which holds an item: no shorter one can
+        self.least = min((int(np.ceil(SIMILAR * size - 1e-9)) for size in self.groups), default=1)
+
+    def perhaps(self, shingles: np.ndarray) -> np.ndarray:
+        """Which may be an item's: all that are, and few others."""
+        return self._marks[(shingles >> self._shift).astype(np.int64)]
+
+    def known(self, shingles: np.ndarray) -> np.ndarray:
+        """Which are an item's."""
+        some = self.perhaps(shingles)
+        at = np.flatnonzero(some)
+        place = np.minimum(np.searchsorted(self.shingles, shingles[at]), max(0, len(self.shingles) - 1))
+        some[at] = self.shingles[place] == shingles[at]
+        return some
 
     def proposals(self, own: np.ndarray) -> dict[int, set[int]]:
-        """Item -> where its windows may begin in a text's shingles."""
-        starts: dict[int, set[int]] = {i: {0} for i in self.few.get(len(own), ())}
-        for size, (index, owners, places) in self.groups.items():
-            for low in range(0, len(own) - size + 1, STRIP):
-                query, hit = index.within(window_fingerprints(own[low : low + STRIP + size - 1], size))
-                for at, item, place in zip((low + query).tolist(), owners[hit].tolist(), places[hit].tolist()):
-                    width = min(self.sizes[item], len(own))
-                    slack = shift(width, self.sizes[item])
-                    if slack >= 0:
-                        last = len(own) - width
-                        starts.setdefault(item, set()).update(range(min(last, max(0, at - place - slack)), min(last, max(0, at - place + slack)) + 1))
+        """Item -> where the windows of a text's shingles begin whose fingerprint is near its own."""
+        before = np.concatenate([[0], np.cumsum(self.known(own))])
+        starts: dict[int, set[int]] = {}
+        for size, (index, owners) in self.groups.items():
+            width = min(size, len(own))
+            need = least_shared(width, size)
+            if need > width or before[-1] < need:
+                continue
+            at = np.flatnonzero(before[width:] - before[:-width] >= need)
+            # windows one after another are fingerprinted together, STRIP of them at most
+            runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []
+            for low, high in ((int(run[i]), int(run[min(i + STRIP, len(run)) - 1])) for run in runs for i in range(0, len(run), STRIP)):
+                query, hit = index.within(window_fingerprints(own[low : high + width], width))
+                for q, item in zip((low + query).tolist(), owners[hit].tolist()):
+                    starts.setdefault(item, set()).add(q)
         return starts
 
     def matches(self, own: np.ndarray) -> list[tuple[int, int, float]]:
@@ -203,18 +219,13 @@ def item_parts(benchmark: DataFrame, id: str = "item_id", text: str = "text") ->
 
 
 def _hit(items: Items, chunk: words.Chunk) -> np.ndarray:
-    """Documents of a chunk that have a window that hits the index, and those with too few words for one."""
-    some = (chunk.counts > 0) & (chunk.counts < WORDS + SPAN - 1)
-    if min(items.sizes) > SPAN / SIMILAR:
-        some[:] = False
-    for size, (index, _, _) in items.groups.items():
-        grams = words.ngrams(chunk.hashes, WORDS)
-        for low in range(0, len(grams) - size + 1, STRIP):
-            prints = window_fingerprints(grams[low : low + STRIP + size - 1], size)
-            for query, item in index.candidates(prints):
-                near = query[np.bitwise_count(prints[query] ^ index.prints[item]) <= RADIUS]
-                some[np.searchsorted(chunk.first, low + near, "right") - 1] = True
-    return np.flatnonzero(some)
+    """Documents of a chunk with as many shingles that may be an item's as any match has, and those with too few words for a shingle."""
+    grams = words.ngrams(chunk.hashes, WORDS)
+    before = np.concatenate([[0], np.cumsum(items.perhaps(grams))])
+    first = np.minimum(chunk.first, len(grams))
+    # shingles across the next document's words count as well: more is let through
+    some = before[first[1:]] - before[first[:-1]] >= items.least
+    return np.flatnonzero(some & (chunk.counts > 0) | (chunk.counts > 0) & (chunk.counts < WORDS))
 
 
 def matches_of(items: Items, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
@@ -234,7 +245,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
     Words are runs of characters that are neither white space nor ASCII punctuation, A-Z
     lower-cased. A document holds an item when a window of the item's length (or the whole
     document, if shorter) has a weighted 5-word shingle similarity of 0.8 or more with it; the
-    best window is reported, the first of equal ones. An item of fewer than five words is one
+    best window is reported, the first of equal ones (README says how many the fingerprints may miss). An item of fewer than five words is one
     shingle of its own, which only a document of just these words holds: a word or two would be
     found everywhere. Texts and items that are null or have no words hold and match nothing.
     Null ids are reported as null; rows that repeat an id each count; other columns are ignored,

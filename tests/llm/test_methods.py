@@ -264,12 +264,23 @@ def test_hamming_index():
     rng = np.random.default_rng(2)
     items = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
     asked = items[:500] ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(500)], np.uint64)
-    index = decontam.HammingIndex(items)
-    query, item = index.within(asked)
     near = np.bitwise_count(asked[:, None] ^ items[None])
-    assert set(zip(query.tolist(), item.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(near <= decontam.RADIUS))))
-    # the index prunes: it fetches a small share of the items
-    assert sum(len(q) for q, _ in index.candidates(asked)) < 0.01 * len(asked) * len(items)
+    for radius in (3, decontam.RADIUS):
+        index = decontam.HammingIndex(items, radius)
+        query, item = index.within(asked)
+        assert set(zip(query.tolist(), item.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(near <= radius))))
+        # an index of a small radius prunes: it fetches a small share of the items
+        assert radius > 3 or sum(len(q) for q, _ in index.candidates(asked)) < 0.01 * len(asked) * len(items)
+
+
+def test_shingles_prune_windows(monkeypatch):
+    """What isn't a passage is never fingerprinted: the radius needs no pruning of its own."""
+    items = decontam.Items(table("benchmark", "item_id, text"))
+    seen, real = [], decontam.window_fingerprints
+    monkeypatch.setattr(decontam, "window_fingerprints", lambda own, size: seen.append(len(own) - size + 1) or real(own, size))
+    texts = [t for _, t in table("documents", "doc_id, text") if t]
+    assert list(decontam.matches_of(items, pa.array(texts)))
+    assert sum(seen) < 0.05 * sum(len(t.split()) for t in texts)  # the table is full of passages
 
 
 @pytest.mark.parametrize("size", range(1, 9))
@@ -322,6 +333,35 @@ def test_edited_passages(monkeypatch, seed):
     assert len(want) > 100 and found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_reordered_phrases():
+    """Equal multisets in any order are equal to the fingerprint: no run of the item is left."""
+    rng = random.Random(8)
+    phrase = "alpha beta gamma delta".split()
+    fillers = [f"f{i}" for i in range(17)]
+    item = [w for f in fillers for w in (*phrase, f)]
+    other = fillers[1:]
+    rng.shuffle(other)
+    text = [w for f in [fillers[0], *other] for w in (*phrase, f)]
+    built = decontam.Items([(5, " ".join(item))])
+    (_, found), = decontam.matches_of(built, pa.array([" ".join(["pad"] * 9 + text + ["end"] * 9)]))
+    best = plain_best([tuple(text[i : i + 5]) for i in range(len(text) - 4)], plain_shingles(" ".join(item)))
+    assert best >= 0.8 and len(found) == 1 and found[0][2] >= best - 1e-9
+
+
+def test_radius_at_the_threshold():
+    """Fingerprints of random multisets with a similarity just at 0.8: all within the radius, of 40,000 pairs."""
+    rng = np.random.default_rng(11)
+    far = []
+    for size in (9, 18, 45, 90, 180):
+        gone = size // 9
+        for _ in range(8_000):
+            a = rng.integers(0, 2**63, size, dtype=np.uint64)
+            b = a.copy()
+            b[rng.choice(size, gone, replace=False)] = rng.integers(0, 2**63, gone, dtype=np.uint64)
+            far.append(int(np.bitwise_count(decontam.window_fingerprints(a, size) ^ decontam.window_fingerprints(b, size))[0]))
+    assert max(far) <= decontam.RADIUS and np.mean(far) < 12
+
+
 def test_short_items_and_texts():
     items = decontam.Items([(1, "one two three four"), (2, "a b c d e f g h i j"), (3, ""), (4, None)])
     texts = ["one two three four", "One, two three (four)", "one two three four five", "a b c d e f g h i", "a b c d e f g", "x a b c d e f g h i j x", "", None]
