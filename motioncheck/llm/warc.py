@@ -61,7 +61,9 @@ def write_archives(pages: DataFrame, path: str, html: str = "html", id: str = "p
     The payload is the html in UTF-8, behind the head of an HTTP response; null html is an empty
     payload. Pages that repeat an id are records like others: of equal payloads the rows with
     the largest id are responses. A null id is a response of its own. Record ids are unique; a
-    page's follows from its id and payload, unless rows repeat both. Other columns are ignored,
+    page's follows from its id and payload, unless rows repeat both. Where a response's row is
+    repeated, revisits are written after the responses, and refer to a record id that is read from the
+    archive. Other columns are ignored,
     whatever their names; no rows make an archive with no records.
     """
     spark = pages.sparkSession
@@ -85,7 +87,7 @@ def write_archives(pages: DataFrame, path: str, html: str = "html", id: str = "p
     kind = ("Content-Type", F.lit("application/http; msgtype=response"))
     own = ("WARC-Record-ID", _urn(F.col("record")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(full).cast("string"), F.lit(END))
-    revisit = _record("revisit", [own, *common, *digest, ("WARC-Refers-To", _urn(name(F.col("refers_to")))), ("WARC-Refers-To-Page-ID", F.col("refers_to")), ("WARC-Profile", F.lit(PROFILE))], F.lit(""))
+    revisit = _record("revisit", [own, *common, *digest, ("WARC-Refers-To", F.col("origin")), ("WARC-Refers-To-Page-ID", F.col("refers_to")), ("WARC-Profile", F.lit(PROFILE))], F.lit(""))
     whole = _record("response", [own, *common, *digest, kind], F.concat(http, full))
     # each MARK in the payload is cut in two: after WARC
     parts = F.split(F.concat(http, full), "(?<=WARC)(?=/1\\.1\r\nWARC-Type: )")
@@ -98,20 +100,32 @@ def write_archives(pages: DataFrame, path: str, html: str = "html", id: str = "p
         return F.when(i == 0, first).otherwise(_record("continuation", [*after, ("WARC-Segment-Total-Length", F.when(i == F.size(parts) - 1, last))], x))
 
     records = F.when(F.col("refers_to").isNotNull(), F.array(revisit)).when(F.contains(full, F.lit(MARK)), F.transform(parts, segment)).otherwise(F.array(whole))
-    known.select(F.explode(records).alias("value")).write.mode("overwrite").option("lineSep", END).option("compression", compression).text(path)
 
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload) per record under path.
-
-    payload is what the record itself holds (null for a revisit), and digest and bytes are taken
-    from it; a revisit's are its headers'. A record's segments are joined by its id.
-    """
+    def write(rows: DataFrame, mode: str) -> None:
+        rows.select(F.explode(records).alias("value")).write.mode(mode).option("lineSep", END).option("compression", compression).text(path)
+
+    plain = _urn(name(F.col("refers_to")))
+    asked = plan.where("refers_to is not null").select(F.col("refers_to").alias("of_id"), F.col("from_digest").alias("of_digest")).distinct()
+    repeated = plan.where("refers_to is null and times > 1").join(asked, (F.col("from_id") == F.col("of_id")) & (F.col("from_digest") == F.col("of_digest")), "left_semi")
+    if not repeated.take(1):
+        write(known.withColumn("origin", plain), "overwrite")
+        return
+    write(known.where("refers_to is null").withColumn("origin", plain), "overwrite")
+    ids = _parsed(spark, path).where("record_type = 'response'").select("page_id", "payload_digest", "record")
+    ids = ids.join(repeated.select("from_id", "from_digest"), (F.col("page_id") == F.col("from_id")) & (F.col("payload_digest") == F.col("from_digest")), "left_semi")
+    # read before the archive is appended to
+    ids = shared.written(ids.groupBy(F.col("page_id").alias("of_id"), F.col("payload_digest").alias("of_digest")).agg(F.min("record").alias("held")), f"{path.rstrip('/')}-ids")
+    later = known.where("refers_to is not null").join(ids, (F.col("refers_to") == F.col("of_id")) & (F.col("payload_digest") == F.col("of_digest")), "left")
+    write(later.withColumn("origin", F.coalesce("held", plain)), "append")
+
+
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
+    """A row per record of an archive: its headers, the id of the record or of a segment's first one, and its block."""
     found = spark.read.option("lineSep", MARK).text(path).where("value <> ''")
     head = F.expr(f"substring(value, 1, instr(value, '{END}') - 1)")
     lines = found.select(F.concat(F.lit("\r\nWARC-Type: "), head, F.lit("\r\n")).alias("head"), F.expr(f"encode(substring(value, instr(value, '{END}') + 4), 'UTF-8')").alias("body"))
     field = lambda name: F.nullif(F.regexp_extract("head", f"\r\n{name}: ([^\r]*)\r\n", 1), F.lit(""))
-    parsed = lines.select(
+    return lines.select(
         field("WARC-Page-ID").cast("long").alias("page_id"),
         field("WARC-Target-URI").alias("url"),
         field("WARC-Type").alias("record_type"),
@@ -122,6 +136,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         field("WARC-Segment-Number").cast("int").alias("segment"),
         F.expr("substring(body, 1, cast(regexp_extract(head, '\r\nContent-Length: ([0-9]+)\r\n', 1) as int))").alias("block"),
     )
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload) per record under path.
+
+    payload is what the record itself holds (null for a revisit), and digest and bytes are taken
+    from it; a revisit's are its headers'. A record's segments are joined by its id.
+    """
+    parsed = _parsed(spark, path)
     columns = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes"]
     whole = parsed.where("segment is null").select(*columns, F.decode("block", "UTF-8").alias("block"))
     # segments are few, and those of one record only are together

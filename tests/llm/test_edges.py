@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
@@ -167,6 +168,17 @@ def test_archives(pages):
     assert warc.archived(pages.where("false")).count() == 0
 
 
+def test_every_reference_is_a_record(spark, pages):
+    """Also where the response's row is repeated, and where all rows of a group are."""
+    more = spark.createDataFrame([(i, f"http://h/{k}", "q" * 1500) for i, k in [(20, 0), (21, 1), (22, 2), (22, 2), (22, 3), (20, 0)]], PAGES)
+    for own in (pages.unionByName(more, allowMissingColumns=True), pages.unionByName(more, allowMissingColumns=True).repartition(5)):
+        path = shared.workspace(spark)
+        warc.write_archives(own, path)
+        raw = "".join(bytes(r.content).decode() for r in spark.read.format("binaryFile").load(path).collect())
+        ids, to = re.findall("WARC-Record-ID: (.*)\r\n", raw), re.findall("WARC-Refers-To: (.*)\r\n", raw)
+        assert len(ids) == len(set(ids)) and len(to) >= 5 and set(to) <= set(ids)
+
+
 PIECES = ["WARC/1.1\r\n", "\r\n", "\r\n\r\n", "WARC-Type: ", "WARC", "/1.1\r\n", "WARC-Type:", "x", "", "é", "response\r\n", "Content-Length: 3\r\n", "\n", "\r", " "]
 
 
