@@ -143,7 +143,12 @@ class Items:
                     self.sizes.append(len(own))
         #: size of item -> index, and each print's item
         self.groups = {size: (HammingIndex(np.concatenate(found)), np.array(owners[size])) for size, found in sorted(prints.items())}
-        self.shingles = np.unique(np.concatenate(every))
+        flat = np.concatenate(every)
+        order = np.argsort(flat, kind="stable")
+        #: all shingles, where each one's owners begin, and the items that have it
+        self.shingles, self.first = np.unique(flat[order], return_index=True)
+        self.first = np.append(self.first, len(flat))
+        self.owners = np.repeat(np.arange(len(self.sizes)), self.sizes)[order]
         self._shift = np.uint64(64 - max(10, (BITMAP * len(self.shingles)).bit_length()))
         self._marks = np.zeros(1 << (64 - int(self._shift)), bool)
         self._marks[(self.shingles >> self._shift).astype(np.int64)] = True
@@ -154,22 +159,26 @@ class Items:
         """Which may be an item's: all that are, and few others."""
         return self._marks[(shingles >> self._shift).astype(np.int64)]
 
-    def known(self, shingles: np.ndarray) -> np.ndarray:
-        """Which are an item's."""
-        some = self.perhaps(shingles)
-        at = np.flatnonzero(some)
-        place = np.minimum(np.searchsorted(self.shingles, shingles[at]), max(0, len(self.shingles) - 1))
-        some[at] = self.shingles[place] == shingles[at]
-        return some
-
     def proposals(self, own: np.ndarray) -> dict[int, set[int]]:
         """Item -> where the windows of a text's shingles begin whose fingerprint is near its own."""
-        before = np.concatenate([[0], np.cumsum(self.known(own))])
+        at = np.flatnonzero(self.perhaps(own))
+        place = np.minimum(np.searchsorted(self.shingles, own[at]), len(self.shingles) - 1)
+        same = self.shingles[place] == own[at]
+        at, place = at[same], place[same]
+        # a window shares no more with an item than the text has shingles of it, however often
+        of, shared_with = np.unique(self.owners[words.spread(self.first[place], self.first[place + 1] - self.first[place])], return_counts=True)
+        sizes = {self.sizes[i] for i, n in zip(of.tolist(), shared_with.tolist()) if n >= int(np.ceil(SIMILAR * self.sizes[i] - 1e-9))}
         starts: dict[int, set[int]] = {}
-        for size, (index, owners) in self.groups.items():
+        if not sizes:
+            return starts
+        known = np.zeros(len(own), np.int64)
+        known[at] = 1
+        before = np.concatenate([[0], np.cumsum(known)])
+        for size in sorted(sizes):
+            index, owners = self.groups[size]
             width = min(size, len(own))
             need = least_shared(width, size)
-            if need > width or before[-1] < need:
+            if need > width:
                 continue
             at = np.flatnonzero(before[width:] - before[:-width] >= need)
             # windows one after another are fingerprinted together, STRIP of them at most
