@@ -33,6 +33,13 @@ def unique(nested: DataFrame) -> DataFrame:
         raise SystemExit(f"scenario {repeated[0].scenario_id} appears more than once")
     if nested.isEmpty():
         raise SystemExit("there are no scenarios")
+    return sound(nested)
+
+
+def sound(nested: DataFrame) -> DataFrame:
+    """nested, if it breaks no rule of the model."""
+    if bad := json_files.faults(nested).limit(1).collect():
+        raise SystemExit(f"scenario {bad[0].scenario_id}: {bad[0].problem}")
     return nested
 
 
@@ -49,7 +56,7 @@ def say(payload: object) -> None:
 
 
 def verify(spark: SparkSession, a: argparse.Namespace) -> int:
-    nested = json_files.read_scenarios(spark, [a.scenario])
+    nested = sound(json_files.read_scenarios(spark, [a.scenario]))
     report = assemble.validation(recording(nested), json_files.read_requirements(spark, a.requirements))[0]
     text = render.validation(report)
     render.write(a.markdown, text)
@@ -66,6 +73,7 @@ def verify_scenes(spark: SparkSession, a: argparse.Namespace) -> int:
     one = framed.in_file_order(framed.read_scenarios(spark, a.records), a.records).offset(a.index).limit(1).cache()
     if one.isEmpty():
         raise SystemExit("there is no scenario of that index")
+    sound(one)
     report = assemble.validation(recording(one), json_files.read_requirements(spark, a.requirements))[0]
     text = render.validation(report)
     render.write(a.markdown, text)
@@ -87,7 +95,7 @@ def inspect(spark: SparkSession, a: argparse.Namespace) -> int:
 def compare_runs(spark: SparkSession, a: argparse.Namespace) -> int:
     raw = json.loads(Path(a.policy).read_text()) if a.policy else {}
     policy = regression.RegressionPolicy(int(raw.get("max_new_failures", 0)), bool(raw.get("fail_on_missing_candidate_scenarios", True)), bool(raw.get("fail_on_lost_applicability", True)))
-    sides = [recording(json_files.read_manifest(spark, m)) for m in (a.baseline, a.candidate)]
+    sides = [recording(sound(json_files.read_manifest(spark, m))) for m in (a.baseline, a.candidate)]
     found = assemble.regressions(*sides, json_files.read_requirements(spark, a.requirements), policy)
     text = render.regression(found)
     render.write(a.markdown, text)
@@ -144,6 +152,8 @@ def run_experiment(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def analyze_risk(spark: SparkSession, a: argparse.Namespace) -> int:
     states, scenarios, points, scores, maps = _scored(spark, a)
+    if odd := risk.identity(scenarios, points, scores).limit(1).collect():
+        raise SystemExit(f"scenario {odd[0].scenario_id}, agent {odd[0].agent_id}: {odd[0].problem}")
     thresholds = risk.RiskThresholds()
     found = assemble.risks(risk.evidence(states, scenarios, forecast.targets(scenarios), points, scores, maps["crosswalks"], maps["signs"], maps["signals"], thresholds), thresholds)
     text = render.risks(found)

@@ -236,6 +236,7 @@ FINALS = {
     "risk_evidence": "SELECT scenario_id, agent_id, object_type, motion_class, review_priority, array_to_string(tags, ',') AS risk_tags, round(min_ade_m, 6) AS min_ade_m, round(min_fde_m, 6) AS min_fde_m, miss, round(displacement_m, 6) AS future_displacement_m, nearby_agents::BIGINT AS scene_density_30m, round(min_actor_separation_m, 6) AS min_actor_separation_m, round(min_sdc_separation_m, 6) AS min_sdc_separation_m, round(sdc_separation_error_m, 6) AS max_sdc_separation_error_m, near_crosswalk, near_control AS near_traffic_control FROM risk",
     "svg_projection": "SELECT scenario_id, agent_id, state_ord::BIGINT AS state_ord, round(50 + (x_m - x0) * scale, 6) AS px, round(650 - (y_m - y0) * scale, 6) AS py FROM states JOIN (SELECT scenario_id, min(x_m) AS x0, min(y_m) AS y0, least(800 / greatest(1e0, max(x_m) - min(x_m)), 600 / greatest(1e0, max(y_m) - min(y_m))) AS scale FROM states GROUP BY scenario_id) USING (scenario_id)",
     "tfrecord_scan": "SELECT 0::BIGINT AS record_ord, count(DISTINCT scenario_id)::BIGINT AS records, count(DISTINCT scenario_id)::BIGINT AS filled FROM states",
+    "shard_scan": "SELECT scenario_id, count(DISTINCT agent_id)::BIGINT AS tracks, count(*)::BIGINT AS n_states FROM states GROUP BY scenario_id",
     "scenario_scan": _select("states", "track_ord", "time_s x_m y_m", f"{_A} object_type"),
     "scenario_json": _select("states", "track_ord state_ord", "time_s x_m y_m", f"{_A} object_type"),
     "normalize_valid_states": "SELECT scenario_id, agent_id, count(*)::BIGINT AS valid_states FROM states GROUP BY ALL",

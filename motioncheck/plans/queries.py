@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from motioncheck.functions.columns import r6, wrapped_angle
 from motioncheck.operators import compare, evidence, external, forecast, geometry, regression, requirements, risk, scoring, signals
-from motioncheck.sources import framed, json_files, views
+from motioncheck.sources import framed, json_files, shards, views
 from motioncheck.sources.stored import stored, workspace
 
 
@@ -144,6 +144,14 @@ class Case:
         return framed.encoded_scenarios(self.nested)
 
 
+    @cached_property
+    def shards(self) -> DataFrame:
+        """(path, record_ord, payload): all scenarios in two shards of many records, written and read in ranges."""
+        path = f"{workspace(self.spark)}-shards"
+        shards.write_shards(framed.decoded_records(self.records).repartition(2, "path").select("payload"), path)
+        return shards.read_shards(self.spark, path, range_bytes=1 << 16)
+
+
 QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "scan_states": lambda c: c.states.drop("micros"),
     "scenario_timeline": lambda c: c.scenarios.select("scenario_id", F.posexplode("timestamps_s").alias("step", "time_s")),
@@ -229,6 +237,7 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "scenario_scan": lambda c: json_files.states_of(framed.decoded_scenarios(c.records)).select("scenario_id", "agent_id", "object_type", "track_ord", "time_s", "x_m", "y_m"),
     "normalize_valid_states": lambda c: framed.decoded_scenarios(c.records).select("scenario_id", F.explode("tracks").alias("t")).select("scenario_id", "t.agent_id", F.size("t.states").alias("valid_states")),
     "map_normalize": lambda c: map_counts(framed.decoded_scenarios(c.records)),
+    "shard_scan": lambda c: shards.decoded(c.shards).select("scenario_id", F.size("tracks").alias("tracks"), F.aggregate("tracks", F.lit(0), lambda n, t: n + F.size(t["states"])).alias("n_states")),
     "scenario_json": lambda c: json_files.states_of(written_json(c)).select("scenario_id", "agent_id", "object_type", "track_ord", "state_ord", "time_s", "x_m", "y_m"),
     "manifest_duplicates": lambda c: json_files.duplicates(written_json(c, "s1")),
 }
