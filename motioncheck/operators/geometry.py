@@ -106,12 +106,15 @@ def polygon_distances(points: DataFrame, keys: tuple[str, ...], polygons: DataFr
     return _measured(_on_map(points, _edges(polygons)[1]), (*keys, "cw_ord"))
 
 
-#: Edges of a shared map that every point meets; the first ring where there are more, and its growth.
+#: Edges of a map that all its points meet; the first ring where there are more, and its growth.
 FEW_EDGES, RING, GROWTH = 256, 8.0, 4.0
 
 
 def _few(polygons: DataFrame, edges: DataFrame, few: int) -> bool:
-    return not scope(polygons) and edges.limit(few + 1).count() <= few
+    """Whether no map has more than so many edges."""
+    if scope(polygons):
+        return not edges.groupBy(*scope(polygons)).agg(F.count("*").alias("n")).where(F.col("n") > few).take(1)
+    return edges.limit(few + 1).count() <= few
 
 
 def polygons_within(points: DataFrame, keys: tuple[str, ...], polygons: DataFrame, radius: float, few: int = FEW_EDGES) -> DataFrame:
@@ -119,7 +122,7 @@ def polygons_within(points: DataFrame, keys: tuple[str, ...], polygons: DataFram
 
     Cells that no edge comes near answer by themselves; in the others a point is measured against
     its candidate's edges. Points and polygons whose place isn't finite are within no radius. All
-    points meet a map that is shared and has few edges.
+    points of a scenario meet its whole map where no map has more than a few edges.
     """
     own, edges = _edges(polygons)
     if _few(polygons, edges, few):
