@@ -6,6 +6,7 @@ import math
 import random
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,20 @@ def identity(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     return b.join(c, list(AGENT), "left_anti").withColumn("only_in", F.lit("baseline")).union(c.join(b, list(AGENT), "left_anti").withColumn("only_in", F.lit("candidate")))
 
 
+def same_agents(baseline: DataFrame, candidate: DataFrame) -> bool:
+    """Whether both sides have the same agents, each as often: one aggregation, with no join and no shuffle of rows.
+
+    The sides' sums of two 64-bit hashes are compared, which don't depend on the rows' order. identity() finds which
+    agents differ; only sides that aren't the same need it.
+    """
+    sides = baseline.select(*AGENT, F.lit(1).alias("side")).union(candidate.select(*AGENT, F.lit(-1).alias("side")))
+    text = F.to_json(F.struct(*AGENT))
+    hashes = [F.xxhash64(text), F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")]
+    sums = [F.sum(h.cast("decimal(20,0)") * F.col("side")) for h in hashes]
+    found = sides.agg(F.sum("side").alias("n"), *[x.alias(f"h{i}") for i, x in enumerate(sums)]).first()
+    return not any(found)  # null where both are empty
+
+
 def change_counts(deltas: DataFrame) -> DataFrame:
     """(metric, improved, unchanged, regressed)."""
     metrics = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("d")) for n, c in (("min_ade_m", "min_ade_delta_m"), ("min_fde_m", "min_fde_delta_m"), ("miss", "miss_delta"))])
@@ -93,7 +108,7 @@ def bootstrap_exact(values: DataFrame, samples: int = 1000, seed: int = 0) -> Da
     """(metric, lower, upper) from values (metric, metric_ord, scenario_id, agent_id, value): Python's generator, seed + metric_ord, a task per metric.
 
     Values are drawn by their place in the order of scenarios and agents. Holds a metric's
-    values in one task: for evaluations of up to some millions of agents; beyond, bootstrap_hashed().
+    values in one task: for evaluations of up to EXACT_MOST agents; beyond, bootstrap_split().
     """
     if samples < 1:
         raise ValueError("samples must be positive")
@@ -118,6 +133,13 @@ def metric_values(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return df.select(*AGENT, F.explode(each).alias("m")).select("m.metric", "m.metric_ord", *AGENT, "m.value")
 
 
+def _bounds(means: DataFrame, samples: int) -> DataFrame:
+    """(metric, lower, upper) from (metric, b, mean)."""
+    low, high = interval_ranks(samples)
+    ranked = means.withColumn("rank", F.row_number().over(Window.partitionBy("metric").orderBy(F.round("mean", 9), "b")) - 1)
+    return ranked.groupBy("metric").agg(F.max(F.when(F.col("rank") == low, F.col("mean"))).alias("lower"), F.max(F.when(F.col("rank") == high, F.col("mean"))).alias("upper"))
+
+
 def bootstrap_hashed(values: DataFrame, samples: int = 200, seed: int = 0) -> DataFrame:
     """(metric, lower, upper) from values (metric, metric_ord, scenario_id, agent_id, value): a distributed bootstrap.
 
@@ -134,7 +156,66 @@ def bootstrap_hashed(values: DataFrame, samples: int = 200, seed: int = 0) -> Da
     drawn = values.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("u", uniform).withColumn("n", times)
     mean = F.coalesce(F.sum(F.col("n") * F.col("value")) / F.nullif(F.sum("n"), F.lit(0)), F.avg("value"))
     means = drawn.groupBy("metric", "b").agg(mean.alias("mean"))
-    rank = F.row_number().over(Window.partitionBy("metric").orderBy(F.round("mean", 9), "b")) - 1
-    low, high = interval_ranks(samples)
-    ranked = means.withColumn("rank", rank)
-    return ranked.groupBy("metric").agg(F.max(F.when(F.col("rank") == low, F.col("mean"))).alias("lower"), F.max(F.when(F.col("rank") == high, F.col("mean"))).alias("upper"))
+    return _bounds(means, samples)
+
+
+#: Agents whose values bootstrap_exact() holds in one task for reports; above, they take bootstrap_split().
+EXACT_MOST = 100_000
+#: Values in a block of bootstrap_split(), about, and blocks at most.
+BLOCK, BLOCKS = 1 << 16, 1 << 16
+
+
+def block_draws(sizes: np.ndarray, block: int, samples: int, key: tuple[int, ...]) -> np.ndarray:
+    """How many of each resample's draws, as many as there are values, fall into a block.
+
+    Blocks are the leaves of a binary tree. At each node the draws are split by a binomial of its
+    halves' sizes, whose generator is seeded by the key and the node: tasks that go down to
+    different leaves make the same splits on the way, so the leaves' draws add up without any exchange.
+    """
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    low, high = 0, len(sizes)
+    drawn = np.full(samples, before[-1], dtype=np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        share = (before[middle] - before[low]) / max(before[high] - before[low], 1)
+        left = np.random.default_rng([*key, low, high]).binomial(drawn, share)
+        low, high, drawn = (low, middle, left) if block < middle else (middle, high, drawn - left)
+    return drawn
+
+
+def resampled_sums(values: DataFrame, samples: int, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """(metric, b, total, n): the sum of each resample's draws from each block, and how many they are.
+
+    A value's block is a hash of its scenario and agent, so no value needs a place among all. The
+    driver reads the blocks' sizes: at most BLOCKS numbers a metric. Null values take no part.
+    """
+    values = values.where("value is not null")
+    most = max((r["count"] for r in values.groupBy("metric").count().collect()), default=0)
+    blocks = max(1, min(BLOCKS, math.ceil(most / block)))
+    placed = values.withColumn("block", F.pmod(F.xxhash64(*AGENT), F.lit(blocks)).cast("int"))
+    sizes: dict[str, np.ndarray] = {}
+    for r in placed.groupBy("metric", "block").count().collect():
+        sizes.setdefault(r["metric"], np.zeros(blocks, dtype=np.int64))[r["block"]] = r["count"]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        own = group.sort_values([*AGENT, "value"])["value"].to_numpy()
+        metric, place = group["metric"].iloc[0], int(group["block"].iloc[0])
+        key = (seed % (1 << 63), int(group["metric_ord"].iloc[0]))
+        draws = block_draws(sizes[metric], place, samples, key)
+        pick = np.random.default_rng([*key, place])
+        totals = [float(own[pick.integers(0, len(own), n)].sum()) for n in draws]
+        return pd.DataFrame({"metric": metric, "b": np.arange(samples, dtype=np.int64), "total": totals, "n": draws})
+
+    return placed.groupBy("metric", "block").applyInPandas(run, "metric string, b long, total double, n long")
+
+
+def bootstrap_split(values: DataFrame, samples: int = 1000, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """(metric, lower, upper) from values (metric, metric_ord, scenario_id, agent_id, value): a distributed bootstrap of the exact size.
+
+    Each resample draws exactly as many values as there are, with replacement, as bootstrap_exact()
+    does with another generator; a task holds one block of values.
+    """
+    if samples < 1:
+        raise ValueError("samples must be positive")
+    sums = resampled_sums(values, samples, seed, block)
+    return _bounds(sums.groupBy("metric", "b").agg((F.sum("total") / F.sum("n")).alias("mean")), samples)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motioncheck.functions.columns import holds, status
@@ -56,20 +56,27 @@ def relevant(resolved: DataFrame, quality: DataFrame) -> DataFrame:
     return named.join(quality, "scenario_id").where((F.size("agent_ids") == 0) | F.arrays_overlap("agent_ids", "named")).drop("named")
 
 
-def thresholds(requirements: DataFrame) -> DataFrame:
-    """Three thresholds around each requirement's: a tenth of it away, or 0.1 from zero."""
-    t = F.col("threshold")
-    d = F.when(t == 0, 0.1).otherwise(0.1 * F.abs(t))
-    return requirements.withColumn("swept", F.explode(F.array(t - d, t, t + d)))
+#: How far from a requirement's threshold the swept ones are, in shares of it, or as they are where it is zero.
+OFFSETS = (-0.1, 0.0, 0.1)
 
 
-def sensitivity(samples: DataFrame, resolved: DataFrame, results: DataFrame) -> DataFrame:
-    """(scenario_id, req_ord, threshold, passed, failed_samples, failed_fraction) for each swept threshold where the requirement applies."""
-    swept = thresholds(resolved).join(results.where("applicable").select(*REQ), list(REQ)).select(*REQ, "operator", "swept")
-    met = swept.join(samples.select(*REQ, "value"), list(REQ), "left").withColumn("met", holds(F.col("value"), F.col("operator"), F.col("swept")))
-    found = met.groupBy(*REQ, "swept").agg(F.count("value").alias("n"), F.count_if(~F.col("met")).alias("failed_samples"))
+def swept(threshold: Column, offset: float) -> Column:
+    return threshold + offset * F.when(threshold == 0, 1.0).otherwise(F.abs(threshold))
+
+
+def sensitivity(judged: DataFrame, resolved: DataFrame, results: DataFrame, offsets: tuple[float, ...] = OFFSETS) -> DataFrame:
+    """(scenario_id, req_ord, threshold, passed, failed_samples, failed_fraction) for each swept threshold where the requirement applies.
+
+    Each judged sample is read once, for however many thresholds: they are counted side by side in
+    one aggregation, which leaves a row per requirement before anything is joined.
+    """
+    failed = [F.count_if(~holds(F.col("value"), F.col("operator"), swept(F.col("threshold"), o))).alias(f"failed_{i}") for i, o in enumerate(offsets)]
+    counted = judged.groupBy(*REQ).agg(F.count("value").alias("n"), *failed)
+    own = resolved.select(*REQ, F.col("threshold").alias("stated")).join(results.where("applicable").select(*REQ), list(REQ)).join(counted, list(REQ), "left")
+    each = F.array(*[F.struct(swept(F.col("stated"), o).alias("threshold"), F.coalesce(f"failed_{i}", F.lit(0)).alias("failed_samples")) for i, o in enumerate(offsets)])
+    found = own.select(*REQ, F.coalesce("n", F.lit(0)).alias("n"), F.explode(each).alias("s")).select(*REQ, "n", "s.*")
     fraction = F.when(F.col("n") > 0, F.col("failed_samples") / F.nullif(F.col("n"), F.lit(0))).otherwise(0.0)
-    return found.select(*REQ, F.col("swept").alias("threshold"), (F.col("failed_samples") == 0).alias("passed"), "failed_samples", fraction.alias("failed_fraction"))
+    return found.select(*REQ, "threshold", (F.col("failed_samples") == 0).alias("passed"), "failed_samples", fraction.alias("failed_fraction"))
 
 
 def explanations(intervals: DataFrame) -> DataFrame:

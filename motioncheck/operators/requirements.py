@@ -173,13 +173,32 @@ def results(judged: DataFrame, resolved: DataFrame) -> DataFrame:
     return both.select(*REQ, "requirement_id", n.alias("evaluated_samples"), bad.alias("failed_samples"), "observed_min", "observed_max", applies.alias("applicable"), F.when(applies, bad == 0).alias("passed"))
 
 
-def failure_intervals(judged: DataFrame) -> DataFrame:
-    """Runs of failed samples: a step longer than 1.5 times their least positive step parts them."""
-    w = Window.partitionBy(*REQ).orderBy("sample_ord")
-    whole = Window.partitionBy(*REQ)
-    bad = failed_samples(judged).withColumn("step", F.col("time_s") - F.lag("time_s").over(w))
-    bad = bad.withColumn("nominal", F.min(F.when(F.col("step") > 0, F.col("step"))).over(whole))
-    starts = F.when(F.col("step").isNull() | (F.col("nominal").isNotNull() & (F.col("step") > 1.5 * F.col("nominal"))), 1).otherwise(0)
-    bad = bad.withColumn("island", F.sum(starts).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    worst = F.when(F.first("operator").startswith("greater"), F.min("value")).otherwise(F.max("value"))
-    return bad.groupBy(*REQ, "requirement_id", "island").agg(F.min("time_s").alias("start_time_s"), F.max("time_s").alias("end_time_s"), F.count("*").alias("sample_count"), worst.alias("worst_value"), F.first("threshold").alias("threshold"))
+#: Consecutive samples that one task holds of a requirement, at most.
+CHUNK = 1 << 16
+
+
+def failure_intervals(judged: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Runs of failed samples: a step longer than 1.5 times their least positive step parts them.
+
+    A requirement's series is cut into chunks of its order, so that a long one takes many tasks.
+    A chunk is summed up by its first and last time and its least step; these rows give each chunk
+    the time before it and the least step of the whole series. Chunks then mark where runs start,
+    and a chunk's samples before its first start go on with the last run of the chunk before.
+    """
+    part = [*REQ, "chunk"]
+    along = Window.partitionBy(*part).orderBy("sample_ord")
+    series, chunks = Window.partitionBy(*REQ), Window.partitionBy(*REQ).orderBy("chunk")
+    bad = failed_samples(judged).select(*REQ, "requirement_id", "operator", "threshold", "sample_ord", "time_s", "value", F.floor(F.col("sample_ord") / chunk).alias("chunk"))
+    bad = stored(bad.withColumn("step", F.col("time_s") - F.lag("time_s").over(along)))  # read for the summaries, and for the runs
+    ends = bad.groupBy(*part).agg(F.min_by("time_s", "sample_ord").alias("first"), F.max_by("time_s", "sample_ord").alias("last"), F.min(F.when(F.col("step") > 0, F.col("step"))).alias("least"))
+    ends = ends.withColumn("before", F.col("first") - F.lag("last").over(chunks))
+    ends = ends.select(*part, "before", F.min(F.least("least", F.when(F.col("before") > 0, F.col("before")))).over(series).alias("nominal"))
+    step = F.coalesce("step", "before")
+    starts = F.when(step.isNull() | (F.col("nominal").isNotNull() & (step > 1.5 * F.col("nominal"))), 1).otherwise(0)
+    marked = bad.join(ends, part).withColumn("nth", F.sum(starts).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = marked.groupBy(*part, "requirement_id", "nth").agg(F.min("time_s").alias("start_time_s"), F.max("time_s").alias("end_time_s"), F.count("*").alias("sample_count"), F.min("value").alias("low"), F.max("value").alias("high"), F.first("operator").alias("operator"), F.first("threshold").alias("threshold"))
+    opened = runs.groupBy(*part).agg(F.max("nth").alias("opened"))
+    earlier = opened.select(*part, F.coalesce(F.sum("opened").over(chunks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    numbered = runs.join(earlier, part).withColumn("island", F.col("earlier") + F.col("nth"))
+    worst = F.when(F.first("operator").startswith("greater"), F.min("low")).otherwise(F.max("high"))
+    return numbered.groupBy(*REQ, "requirement_id", "island").agg(F.min("start_time_s").alias("start_time_s"), F.max("end_time_s").alias("end_time_s"), F.sum("sample_count").alias("sample_count"), worst.alias("worst_value"), F.first("threshold").alias("threshold"))

@@ -41,7 +41,7 @@ def validation(recording: requirements.Recording, wanted: DataFrame) -> list[dic
     quality = evidence.quality(recording.states, recording.scenarios).cache()
     keys = ("scenario_id", "req_ord")
     intervals = _by(_rows(evidence.explanations(requirements.failure_intervals(judged)).orderBy("start_time_s")), *keys)
-    swept = _by(_rows(evidence.sensitivity(judged.drop("threshold", "operator"), resolved, results).orderBy("threshold")), *keys)
+    swept = _by(_rows(evidence.sensitivity(judged, resolved, results).orderBy("threshold")), *keys)
     grades = {(r["scenario_id"], r["req_ord"]): r["evidence_confidence"] for r in _rows(evidence.confidence(results, resolved, quality))}
     notes = _by(_rows(quality.orderBy("code")), "scenario_id")
     own_notes = _by(_rows(evidence.relevant(resolved, quality).orderBy("code")), *keys)
@@ -99,7 +99,8 @@ def regressions(baseline: requirements.Recording, candidate: requirements.Record
 def _intervals(df: DataFrame, columns: tuple[str, ...], samples: int, seed: int) -> dict:
     if samples < 1:
         return {}
-    return {r.metric: {"lower": r.lower, "upper": r.upper, "confidence": 0.95} for r in compare.bootstrap_exact(compare.metric_values(df, columns), samples, seed).collect()}
+    resample = compare.bootstrap_exact if df.count() <= compare.EXACT_MOST else compare.bootstrap_split
+    return {r.metric: {"lower": r.lower, "upper": r.upper, "confidence": 0.95} for r in resample(compare.metric_values(df, columns), samples, seed).collect()}
 
 
 def evaluation(scores: DataFrame, miss_threshold_m: float = 2.0, samples: int = 1000, seed: int = 0) -> dict:
@@ -131,8 +132,10 @@ def comparison(baseline: DataFrame, candidate: DataFrame, policy: compare.Compar
         raise ValueError("samples must be nonnegative")
     if not samples and (policy.require_significant_ade_improvement or policy.require_significant_fde_improvement):
         raise ValueError("significance needs samples")
-    if odd := compare.identity(baseline, candidate).limit(1).collect():
-        raise ValueError(f"agent {odd[0].agent_id} of {odd[0].scenario_id} is only in the {odd[0].only_in}")
+    if not compare.same_agents(baseline, candidate):
+        if odd := compare.identity(baseline, candidate).limit(1).collect():
+            raise ValueError(f"agent {odd[0].agent_id} of {odd[0].scenario_id} is only in the {odd[0].only_in}")
+        raise ValueError("an agent is repeated")
     deltas = compare.agent_deltas(baseline, candidate).cache()
     means = summaries or tuple(scoring.means(df) for df in (baseline, candidate))
     moved = _rows(compare.gate(*means, policy))[0]

@@ -73,6 +73,7 @@ PARTS = {
     "tracks_i": "SELECT scenario_id, track_ord, agent_id, count(*) AS n_states, count(step) AS steps, max(step) AS longest, median(step) AS med FROM (SELECT *, time_s - lag(time_s) OVER (PARTITION BY scenario_id, agent_id ORDER BY state_ord) AS step FROM irregular) GROUP BY ALL",
     "quality": "SELECT scenario_id, 'INSUFFICIENT_TRACK_SAMPLES' AS code, 'error' AS severity, list(agent_id ORDER BY track_ord) AS agent_ids FROM tracks_i WHERE n_states < 2 GROUP BY scenario_id UNION ALL SELECT scenario_id, 'IRREGULAR_SAMPLING', 'warning', list(agent_id ORDER BY track_ord) FROM tracks_i WHERE steps >= 2 AND longest > 1.5 * med GROUP BY scenario_id UNION ALL SELECT scenario_id, 'NO_MAP_FEATURES', 'info', [] FROM scenarios UNION ALL SELECT DISTINCT scenario_id, 'PARTIAL_REPORTED_VELOCITY', 'info', [] FROM irregular",
     "swept": "SELECT scenario_id, req_ord, operator, unnest([threshold - d, threshold, threshold + d]) AS swept FROM (SELECT *, CASE WHEN threshold = 0 THEN 0.1e0 ELSE 0.1e0 * abs(threshold) END AS d FROM resolved) JOIN results USING (scenario_id, req_ord) WHERE applicable",
+    "swept_wide": "SELECT r.scenario_id, r.req_ord, operator, threshold + o / 8e0 * CASE WHEN threshold = 0 THEN 1e0 ELSE abs(threshold) END AS swept FROM resolved r JOIN results USING (scenario_id, req_ord) CROSS JOIN (SELECT unnest(range(-8, 9)) AS o) WHERE applicable",
     "transitions": "SELECT scenario_id, req_ord, b.requirement_id, b.failed_samples AS baseline_failed_samples, c.failed_samples AS candidate_failed_samples, b.st AS baseline_status, c.st AS candidate_status, CASE WHEN b.st = c.st THEN 'UNCHANGED_' || b.st WHEN c.st = 'FAIL' THEN 'NEW_FAILURE' WHEN b.st = 'FAIL' AND c.st = 'PASS' THEN 'RESOLVED' WHEN c.st = 'NOT_APPLICABLE' THEN 'LOST_APPLICABILITY' ELSE 'NEWLY_APPLICABLE_PASS' END AS classification FROM (SELECT *, CASE WHEN passed IS NULL THEN 'NOT_APPLICABLE' WHEN passed THEN 'PASS' ELSE 'FAIL' END AS st FROM results) b JOIN (SELECT *, CASE WHEN passed IS NULL THEN 'NOT_APPLICABLE' WHEN passed THEN 'PASS' ELSE 'FAIL' END AS st FROM results_c) c USING (scenario_id, req_ord)",
     "changes": "(SELECT scenario_id, 'missing' AS kind FROM states EXCEPT SELECT scenario_id, 'missing' FROM states_c) UNION ALL (SELECT scenario_id, 'added' FROM states_c EXCEPT SELECT scenario_id, 'added' FROM states)",
     "targets": "SELECT scenario_id, unnest(range(0, len(preds))) AS agent_ord, unnest(preds) AS agent_id FROM scenarios",
@@ -196,6 +197,7 @@ FINALS = {
     "quality_irregular": "SELECT scenario_id, agent_id, steps::BIGINT AS steps, round(longest, 6) AS longest, round(med, 6) AS median FROM tracks_i WHERE steps >= 2 AND longest > 1.5 * med",
     "quality_annotations": "SELECT scenario_id, code, severity, array_to_string(agent_ids, ',') AS agent_ids, message FROM quality JOIN messages USING (code)",
     "sensitivity_sweep": f"SELECT scenario_id, req_ord::BIGINT AS req_ord, round(swept, 6) AS threshold, count(*) FILTER (NOT met) = 0 AS passed, count(*) FILTER (NOT met)::BIGINT AS failed_samples, round(CASE WHEN count(value) > 0 THEN count(*) FILTER (NOT met) / count(value) ELSE 0e0 END, 6) AS failed_fraction FROM (SELECT w.*, value, {_holds('value', 'swept')} AS met FROM swept w LEFT JOIN samples USING (scenario_id, req_ord)) GROUP BY scenario_id, req_ord, swept",
+    "threshold_sweep": f"SELECT scenario_id, req_ord::BIGINT AS req_ord, round(swept, 6) AS threshold, count(*) FILTER (NOT met) = 0 AS passed, count(*) FILTER (NOT met)::BIGINT AS failed_samples, round(CASE WHEN count(value) > 0 THEN count(*) FILTER (NOT met) / count(value) ELSE 0e0 END, 6) AS failed_fraction FROM (SELECT w.*, value, {_holds('value', 'swept')} AS met FROM swept_wide w LEFT JOIN samples USING (scenario_id, req_ord)) GROUP BY scenario_id, req_ord, swept",
     "evidence_confidence": "SELECT s.scenario_id, s.req_ord::BIGINT AS req_ord, s.requirement_id, CASE WHEN NOT applicable THEN 'not_applicable' WHEN evaluated_samples < 2 OR coalesce(e, false) THEN 'low' WHEN evaluated_samples < 5 OR coalesce(w, false) THEN 'medium' ELSE 'high' END AS evidence_confidence FROM results s LEFT JOIN (SELECT r.scenario_id, req_ord, bool_or(severity = 'error') AS e, bool_or(severity = 'warning') AS w FROM resolved r JOIN quality q ON q.scenario_id = r.scenario_id AND (len(agent_ids) = 0 OR list_contains(agent_ids, agent_id) OR list_contains(agent_ids, other_id)) GROUP BY ALL) m ON m.scenario_id = s.scenario_id AND m.req_ord = s.req_ord",
     "validation_rollup": "SELECT scenario_id, CASE WHEN count(*) FILTER (NOT passed) > 0 THEN 'FAIL' WHEN count(*) FILTER (applicable) = 0 THEN 'NOT APPLICABLE' ELSE 'PASS' END AS overall_status, count(*) FILTER (passed)::BIGINT AS passed_count, count(*) FILTER (applicable)::BIGINT AS applicable_count, count(*)::BIGINT AS total FROM results GROUP BY scenario_id",
     "regression_transitions": _select("transitions", "req_ord baseline_failed_samples candidate_failed_samples", "", "scenario_id requirement_id baseline_status candidate_status classification"),

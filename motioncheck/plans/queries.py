@@ -215,6 +215,8 @@ QUERIES: dict[str, Callable[[Case], DataFrame]] = {
     "bootstrap_ci": lambda c: compare.bootstrap_hashed(c.resampled),
     "paired_bootstrap_ci": lambda c: compare.bootstrap_hashed(compare.metric_values(c.deltas, ("min_ade_delta_m", "min_fde_delta_m", "miss_delta"))),
     "bootstrap_exact": lambda c: compare.bootstrap_exact(c.resampled),
+    "bootstrap_split": lambda c: compare.bootstrap_split(c.resampled),
+    "threshold_sweep": lambda c: evidence.sensitivity(c.baseline[1], c.baseline[0], c.baseline[2], tuple(i / 8 for i in range(-8, 9))),
     "external_predictions": lambda c: c.external,
     "external_invalid_modes": lambda c: external.invalid_modes(c.external.withColumn("x_m", F.when(F.col("agent_id").cast("int") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("x_m"))).where("not (agent_id % 11 = 0 and point_ord = 3)")),
     "external_identity": lambda c: external.population_differences(c.external, forecast.targets(c.scenarios)),

@@ -25,41 +25,90 @@ def table(rows: list[dict], columns: list[str] | None = None) -> str:
     return "\n".join(f"| {line} |" for line in lines) + "\n"
 
 
+#: What a report's figures can and can't show.
+BOUNDARIES = {
+    "validation": "A failed requirement says that this recording went beyond a threshold that the project chose. By itself it proves no unsafe operation and makes no claim about any system in service.",
+    "evaluation": "The scores are a diagnostic that the project defines, not those of an official challenge. Displacements are minimised for each metric by itself, over all modes.",
+    "comparison": "The gate applies the project's tolerances to the same agents of two sets of forecasts. It is no measure of safety.",
+}
+
+
+def bounded(kind: str) -> list[str]:
+    return ["## Interpretation boundary", "", BOUNDARIES[kind], ""]
+
+
+def signed(x: float | None) -> str:
+    return figure(x) if x is None else f"{x:+.6g}"
+
+
+def _status(result: dict) -> str:
+    return "NOT APPLICABLE" if not result["applicable"] else "PASS" if result["passed"] else "FAIL"
+
+
+def _range(result: dict) -> str:
+    units = f" {result['units']}" if result.get("units") else ""
+    return "not evaluated" if result["observed_min"] is None else f"{figure(result['observed_min'])} to {figure(result['observed_max'])}{units}"
+
+
 def validation(report: dict) -> str:
+    every = report["requirement_evidence"]
     out = [f"# Scenario {report['scenario_id']}: {report['overall_status']}", "", f"{report['passed_count']} of {report['applicable_count']} applicable requirements passed, of {report['total']}.", ""]
-    for e in report["requirement_evidence"]:
-        r = e["result"]
-        status = "NOT APPLICABLE" if not r["applicable"] else "PASS" if r["passed"] else "FAIL"
-        range_text = "not evaluated" if r["observed_min"] is None else f"{figure(r['observed_min'])} to {figure(r['observed_max'])}"
-        out += [f"## {r['requirement_id']}: {status}", "", f"Observed {range_text}; {r['failed_samples']} of {r['evaluated_samples']} samples failed. Confidence {e['evidence_confidence']}: {e['confidence_rationale']}.", ""]
-        if r.get("not_applicable_reason"):
+    out += ["## Requirements", "", table([{"requirement": e["result"]["requirement_id"], "result": _status(e["result"]), "confidence": e["evidence_confidence"], "evaluated": e["result"]["evaluated_samples"], "failed": e["result"]["failed_samples"], "observed": _range(e["result"])} for e in every])]
+    for e in every:
+        r, asked = e["result"], e["requirement"]
+        units, other = f" {r['units']}" if r.get("units") else "", f" and {asked['other_id']}" if asked["other_id"] else ""
+        out += [f"## {r['requirement_id']}: {_status(r)}", "", f"{asked['metric']} {asked['operator'].replace('_', ' ')} {asked['threshold']:g}{units}, of {asked['agent_id']}{other}.", ""]
+        out += [f"Observed {_range(r)}; {r['failed_samples']} of {r['evaluated_samples']} samples failed. Confidence {e['evidence_confidence']}: {e['confidence_rationale']}.", ""]
+        if not r["applicable"]:
             out += [f"Not applicable: {r['not_applicable_reason']}.", ""]
-        out += [f"- {x['narrative']}" for x in e["explanations"]]
+        out += [f"- {x['narrative']}" for x in e["explanations"]] or (["No sample failed.", ""] if r["applicable"] else [])
         if e["sensitivity"]:
             out += ["", table(e["sensitivity"], ["threshold", "passed", "failed_samples", "failed_fraction"])]
     out += ["## Data quality", "", table([q | {"agent_ids": ", ".join(q["agent_ids"])} for q in report["quality_annotations"]], ["code", "severity", "agent_ids", "message"])]
-    return "\n".join(out)
+    return "\n".join([*out, *bounded("validation")])
 
 
 def regression(found: dict) -> str:
     moves = [t for s in found["scenarios"] for t in s["transitions"]]
     out = [f"# Regression: {'PASS' if found['gate_passed'] else 'FAIL'}", "", table([found["counts"]]), *[f"- {v}" for v in found["violations"]], "", table(moves, ["scenario_id", "requirement_id", "baseline_status", "candidate_status", "classification"])]
-    if found["missing_candidate_scenarios"]:
-        out += ["Missing: " + ", ".join(found["missing_candidate_scenarios"])]
+    for kind in ("missing", "added"):
+        if names := found[f"{kind}_candidate_scenarios"]:
+            out += [f"{kind.capitalize()}: " + ", ".join(names), ""]
     return "\n".join(out) + "\n"
 
 
+#: Which column of the summary an interval is of.
+ESTIMATES = {"min_ade_m": "mean_min_ade_m", "min_fde_m": "mean_min_fde_m", "miss": "miss_rate"}
+
+
 def evaluation(found: dict) -> str:
-    ranking = sorted(({"scenario_id": s["scenario_id"], "mean_min_ade_m": math.fsum(a["min_ade_m"] for a in s["agents"]) / len(s["agents"])} for s in found["scenarios"]), key=lambda r: (-r["mean_min_ade_m"], r["scenario_id"]))
-    intervals = [{"metric": k} | v for k, v in found["confidence_intervals"].items()]
-    return "\n".join(["# Forecast evaluation", "", table([found["summary"]]), "## Confidence intervals", "", table(intervals), "## Object types", "", table(list(found["by_object_type"].values())), "## Scenarios", "", table(ranking)])
+    mean = lambda own, name: math.fsum(float(a[name]) for a in own) / len(own)
+    ranking = [{"scenario_id": s["scenario_id"], "agents": len(s["agents"]), "mean_min_ade_m": mean(s["agents"], "min_ade_m"), "mean_min_fde_m": mean(s["agents"], "min_fde_m"), "miss_rate": mean(s["agents"], "miss"), "mean_ground_truth_coverage": mean(s["agents"], "ground_truth_coverage")} for s in found["scenarios"]]
+    ranking.sort(key=lambda r: (-r["mean_min_ade_m"], r["scenario_id"]))
+    intervals = [{"metric": ESTIMATES[k], "estimate": found["summary"][ESTIMATES[k]]} | v for k, v in found["confidence_intervals"].items()]
+    modes = [{"best_mode": k, "agents": n} for k, n in found["best_mode_counts"].items()]
+    parts = ["# Forecast evaluation", "", f"A miss is beyond {found['assumptions']['miss_threshold_m']:g} m.", "", table([found["summary"]]), "## Confidence intervals", "", table(intervals), "## Object types", "", table(list(found["by_object_type"].values())), "## Best modes", "", table(modes), "## Scenarios", "", table(ranking)]
+    return "\n".join([*parts, *bounded("evaluation")])
+
+
+#: Which metric of the change counts an interval is of.
+CHANGES = {"min_ade_delta_m": "min_ade_m", "min_fde_delta_m": "min_fde_m", "miss_delta": "miss"}
 
 
 def comparison(found: dict) -> str:
-    parts = ["# Comparison: " + ("PASS" if found["gate_passed"] else "FAIL"), "", table([found["deltas"]]), "## Paired intervals", "", table([{"metric": k} | v for k, v in found["paired_confidence_intervals"].items()])]
+    parts = ["# Comparison: " + ("PASS" if found["gate_passed"] else "FAIL"), "", f"{found['agent_count']} agents of {found['scenario_count']} scenarios.", ""]
+    if found["violations"]:
+        parts += ["## Policy violations", "", *[f"- {v}" for v in found["violations"]], ""]
+    names = [n.removesuffix("_delta") for n in found["deltas"]]
+    parts += ["## Means", "", table([{"metric": n, "baseline": found["baseline"].get(n), "candidate": found["candidate"].get(n), "delta": signed(found["deltas"][f"{n}_delta"])} for n in names])]
+    changes = []
+    for name, metric in CHANGES.items():
+        counts, interval = found["agent_change_counts"].get(metric, {}), found["paired_confidence_intervals"].get(name, {})
+        changes.append({"metric": name, "lower": signed(interval.get("lower")), "upper": signed(interval.get("upper"))} | {k: counts.get(k, 0) for k in ("improved", "unchanged", "regressed")})
+    parts += ["## Changes of agents, with paired intervals", "", table(changes)]
     for name in ("most_improved_scenarios", "most_regressed_scenarios", "most_improved_agents", "most_regressed_agents"):
         parts += [f"## {name.replace('_', ' ').capitalize()}", "", table(found[name])]
-    return "\n".join(parts)
+    return "\n".join([*parts, *bounded("comparison")])
 
 
 def risks(found: dict) -> str:

@@ -105,7 +105,7 @@ def test_requirements(spark):
     interval = requirements.failure_intervals(judged).collect()
     assert [(i.start_time_s, i.end_time_s, i.sample_count, i.worst_value) for i in interval] == [(2, 4, 3, 11)]
     assert evidence.explanations(requirements.failure_intervals(judged)).first().threshold_deviation == 2.5
-    assert [(r.threshold, r.failed_samples) for r in evidence.sensitivity(judged.drop("threshold", "operator"), resolved, found).where("req_ord = 2").orderBy("threshold").collect()] == [(9.0, 0), (10.0, 0), (11.0, 0)]
+    assert [(r.threshold, r.failed_samples) for r in evidence.sensitivity(judged, resolved, found).where("req_ord = 2").orderBy("threshold").collect()] == [(9.0, 0), (10.0, 0), (11.0, 0)]
     notes = evidence.quality(own, of.scenarios)
     assert {r.code for r in notes.collect()} == {"NO_MAP_FEATURES", "PARTIAL_REPORTED_VELOCITY"}
     assert [r.evidence_confidence for r in evidence.confidence(found, resolved, notes).orderBy("req_ord").collect()] == ["medium", "not_applicable", "medium"]
@@ -149,6 +149,31 @@ def test_nan_fails_and_islands_use_failed_steps(spark):
     assert [(i.start_time_s, i.end_time_s) for i in found] == [(0, 0), (10, 11), (13, 13)]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_intervals_of_chunks(spark, seed):
+    # cut at any place, a series has the runs of the plain rule
+    import random
+
+    draw, at, rows = random.Random(seed), 0.0, []
+    for i in range(60):
+        at += draw.choice([0.0, 0.5, 0.5, 0.5, 0.75, 2.0])
+        rows.append(("s", 0, i, at, draw.choice([0.0, 9.0, 9.0, 9.0, math.nan])))
+    judged = spark.createDataFrame([(*r, "r", "less_than", 5.0, r[4] < 5) for r in rows], "scenario_id string, req_ord long, sample_ord long, time_s double, value double, requirement_id string, operator string, threshold double, met boolean")
+    bad = [r for r in rows if not r[4] < 5]
+    steps = [b[3] - a[3] for a, b in zip(bad, bad[1:])]
+    least = min((d for d in steps if d > 0), default=None)
+    runs = [[bad[0]]]
+    for d, r in zip(steps, bad[1:]):
+        if least is not None and d > 1.5 * least:
+            runs.append([])
+        runs[-1].append(r)
+    want = [(r[0][3], r[-1][3], len(r)) for r in runs]
+    for chunk in (1, 3, 7, 60, 1 << 16):
+        found = requirements.failure_intervals(judged, chunk).orderBy("start_time_s", "island").collect()
+        assert [(i.start_time_s, i.end_time_s, i.sample_count) for i in found] == want
+    assert requirements.failure_intervals(judged.where("met"), 3).count() == 0
+
+
 def results(spark, rows):
     return spark.createDataFrame(rows, "scenario_id string, req_ord long, requirement_id string, passed boolean")
 
@@ -204,6 +229,15 @@ def test_comparison(spark):
         exact, hashed = (f(some, 200).first() for f in (compare.bootstrap_exact, compare.bootstrap_hashed))
         mean = sum(i * i % 97 for i in range(n)) / n
         assert hashed.lower < mean < hashed.upper and 0.75 < (hashed.upper - hashed.lower) / (exact.upper - exact.lower) < 1.33
+        # cut into blocks, a resample still draws as many as there are
+        sums = compare.resampled_sums(some, 20, 5, block=16).groupBy("b").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")).collect()
+        assert len(sums) == 20 and {r.n for r in sums} == {n} and min(r.blocks for r in sums) > 1
+        split = [compare.bootstrap_split(some, 200, block=block).first() for block in (16, 1 << 16)]
+        assert all(s.lower < mean < s.upper and 0.75 < (s.upper - s.lower) / (exact.upper - exact.lower) < 1.33 for s in split)
+        assert split[0] == compare.bootstrap_split(some.repartition(3), 200, block=16).first()
+    assert compare.bootstrap_split(some.where("false")).count() == 0
+    assert compare.same_agents(old, new) and compare.same_agents(old.where("false"), new.where("false"))
+    assert not compare.same_agents(old, new.where("agent_id <> '2'")) and not compare.same_agents(old, new.union(new.limit(1)))
     assert compare.gate(means(old), means(new)).first().gate_passed and not compare.gate(means(new), means(old)).first().gate_passed
     assert compare.identity(old, new.where("agent_id <> '2'")).first().agent_id == "2"
 
@@ -300,6 +334,7 @@ def test_commands(spark, shard, tmp_path, capsys, monkeypatch):
     assert cli.main(["verify-scenes", str(tmp_path / "r.json"), shard, "--markdown", str(tmp_path / "v.md"), "--html", str(tmp_path / "v.html")]) == 1
     found = said()
     assert found["overall_status"] == "FAIL" and [r["passed"] for r in found["results"]] == [True, False] and "FAIL" in (tmp_path / "v.md").read_text()
+    assert all(x in (tmp_path / "v.md").read_text() for x in ("## Requirements", "| requirement | result |", "No sample failed.", "## Interpretation boundary"))
     out = str(tmp_path / "cv.binproto")
     assert cli.main(["forecast", out, shard, "--model", "constant_velocity"]) == 0
     said()
@@ -309,6 +344,22 @@ def test_commands(spark, shard, tmp_path, capsys, monkeypatch):
     (tmp_path / "e.json").write_text(json.dumps(found))
     assert cli.main(["compare-evaluations", str(tmp_path / "e.json"), str(tmp_path / "e.json"), "--bootstrap-samples", "20", "--summary-only"]) == 0
     assert said()["gate_passed"]
+    worse = json.loads(json.dumps(found))
+    worse["summary"]["miss_rate"] = 0.5
+    for a in worse["scenarios"][0]["agents"]:
+        a["min_ade_m"] += 1.0
+    (tmp_path / "worse.json").write_text(json.dumps(worse))
+    assert cli.main(["compare-evaluations", str(tmp_path / "e.json"), str(tmp_path / "worse.json"), "--bootstrap-samples", "20", "--markdown", str(tmp_path / "c.md")]) == 1
+    said()
+    text = (tmp_path / "c.md").read_text()
+    assert "- miss_rate rose by 0.5; 0 is allowed" in text and "| miss_rate | 0.000 | 0.500 | +0.5 |" in text and "## Interpretation boundary" in text
+    assert "| metric | lower | upper | improved | unchanged | regressed |" in text
+    text = render.evaluation(found)
+    assert "| metric | estimate | lower | upper | confidence |" in text and "not those of an official challenge" in text
+    doubled = worse | {"scenarios": [worse["scenarios"][0] | {"agents": worse["scenarios"][0]["agents"] * 2}, *worse["scenarios"][1:]]}
+    (tmp_path / "doubled.json").write_text(json.dumps(doubled))
+    with pytest.raises(ValueError, match="repeated"):
+        cli.main(["compare-evaluations", str(tmp_path / "e.json"), str(tmp_path / "doubled.json"), "--bootstrap-samples", "20"])
     assert cli.main(["risk", out, shard, "--summary-only", "--html", str(tmp_path / "risk.html")]) == 0
     assert said()["summary"]["agents"] == 2
 
