@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from motioncheck.operators import compare, external, forecast, regression, requirements, risk
 from motioncheck.plans import assemble, experiment, render
-from motioncheck.sources import framed, json_files
+from motioncheck.sources import framed, json_files, submissions
 
 
 def session() -> SparkSession:
@@ -107,7 +107,7 @@ def compare_runs(spark: SparkSession, a: argparse.Namespace) -> int:
 def _scored(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, dict]:
     nested = unique(framed.read_scenarios(spark, a.records))
     scenarios, states = json_files.timelines(nested), json_files.states_of(nested)
-    points = external.with_times(framed.read_submission(spark, a.submission), scenarios, forecast.STEPS)
+    points = external.with_times(submissions.read_submission(spark, a.submission), scenarios, forecast.STEPS)
     own = forecast.targets(scenarios).join(points.select("scenario_id").distinct(), "scenario_id", "left_semi")
     if odd := external.population_differences(points, own).limit(1).collect():
         raise SystemExit(f"agent {odd[0].agent_id} of {odd[0].scenario_id} is {odd[0].problem}")
@@ -128,7 +128,7 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> int:
 def make_forecast(spark: SparkSession, a: argparse.Namespace) -> int:
     nested = unique(limited(framed.read_scenarios(spark, a.records), a.limit, a.records))
     points = assemble.forecasts(spark, json_files.states_of(nested), json_files.timelines(nested), a.model)
-    framed.write_submission(points, a.output)
+    submissions.write_submission(points, a.output)
     say({"model": a.model, "scenarios": nested.count(), "output": a.output})
     return 0
 
@@ -175,7 +175,7 @@ def import_predictions(spark: SparkSession, a: argparse.Namespace) -> int:
         raise SystemExit(f"agent {bad[0].agent_id} of {bad[0].scenario_id} has invalid {bad[0].reason}")
     modes = external.normalized_confidence(points.where("point_ord = 0").select("scenario_id", "agent_id", "mode_index", "confidence"))
     named = points.drop("confidence").join(modes, ["scenario_id", "agent_id", "mode_index"]).join(own.select("scenario_id", "agent_id", "agent_ord"), ["scenario_id", "agent_id"])
-    framed.write_submission(named, a.output)
+    submissions.write_submission(named, a.output)
     say({"model": provenance["model_name"], "scenarios": own.select("scenario_id").distinct().count(), "agents": own.count(), "output": a.output})
     return 0
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from motioncheck.operators import compare, external, forecast, risk, scoring
 from motioncheck.plans import assemble, render
-from motioncheck.sources import framed, json_files
+from motioncheck.sources import framed, json_files, submissions
+from motioncheck.sources.stored import workspace
 
 REVISION = "MOTIONCHECK_SOURCE_REVISION"
 
@@ -118,11 +119,11 @@ def run(spark: SparkSession, manifest: str) -> dict:
 
     for name, model in own.candidates:
         path = own.folder / f"{name}.binproto"
-        framed.write_submission(assemble.forecasts(spark, states, scenarios, model), str(path))
+        # the artifact is on the driver's disk, which executors may not see: they read the same fragments in the shared folder
+        parts = workspace(spark)
+        submissions.write_submission(assemble.forecasts(spark, states, scenarios, model), str(path), parts)
         made.append(path)
-        # the artifact is on the driver's disk, which executors may not see
-        written = spark.createDataFrame([(str(path), path.read_bytes())], "path string, content binary")
-        points = external.with_times(framed.decoded_submission(written), scenarios, forecast.STEPS).cache()
+        points = external.with_times(submissions.read_submission(spark, parts), scenarios, forecast.STEPS).cache()
         found[name] = scores_of(points, states, own.miss_threshold_m).cache()
         report = assemble.evaluation(found[name], own.miss_threshold_m, own.samples, own.seed)
         context = assemble.risks(risk.evidence(states, scenarios, forecast.targets(scenarios), points, found[name], maps["crosswalks"], maps["signs"], maps["signals"], thresholds), thresholds)

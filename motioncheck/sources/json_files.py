@@ -107,15 +107,6 @@ def read_external(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     return (head.provenance.asDict() if head.provenance else {}), points.select("scenario_id", "agent_id", "mode_index", "point_ord", "confidence", F.get("xy", F.lit(0)).alias("x_m"), F.get("xy", F.lit(1)).alias("y_m"))
 
 
-def write_external(points: DataFrame, provenance: dict, path: str) -> None:
-    """points (with agent_ord) as an external prediction file, in the order of scenarios, agents, modes and points."""
-    modes = points.groupBy("scenario_id", "agent_ord", "agent_id", "mode_index").agg(F.first("confidence").alias("confidence"), F.sort_array(F.collect_list(F.struct("point_ord", "x_m", "y_m"))).alias("points"))
-    agents = modes.groupBy("scenario_id", "agent_ord", "agent_id").agg(F.sort_array(F.collect_list(F.struct("mode_index", "confidence", "points"))).alias("modes"))
-    whole = agents.groupBy("scenario_id").agg(F.sort_array(F.collect_list(F.struct("agent_ord", "agent_id", "modes"))).alias("agents")).orderBy("scenario_id")
-    found = [{"scenario_id": r.scenario_id, "agents": [{"agent_id": a.agent_id, "modes": [{"confidence": m.confidence, "xy_m": [[p.x_m, p.y_m] for p in m.points]} for m in a.modes]} for a in r.agents]} for r in whole.toLocalIterator()]
-    Path(path).write_text(json.dumps({"schema_version": 1, "provenance": provenance, "predictions": found}, indent=2) + "\n")
-
-
 REPORT = "summary struct<mean_min_ade_m: double, mean_min_fde_m: double, miss_rate: double, mean_ground_truth_coverage: double>, scenarios array<struct<scenario_id: string, agents: array<struct<agent_id: string, object_type: string, min_ade_m: double, min_fde_m: double, miss: boolean, best_mode_index: int>>>>"
 
 

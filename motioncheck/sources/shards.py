@@ -126,8 +126,9 @@ class Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool):
+    def __init__(self, path: str, overwrite: bool, framing: bool = True, tail: bytes = b""):
         self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, uuid.uuid4().hex
+        self.framing, self.tail = framing, tail
 
     def _pending(self) -> tuple[fs.FileSystem, str, str]:
         store, own = located(self.path)
@@ -140,8 +141,10 @@ class _Writer(DataSourceArrowWriter):
         with store.open_output_stream(f"{pending}/{name}") as out:
             for batch in iterator:
                 for payload in batch.column(batch.schema.get_field_index("payload")):
-                    out.write(framed.frame(payload.as_py() or b""))
+                    own = payload.as_py() or b""
+                    out.write(framed.frame(own) if self.framing else own)
                     n += 1
+            out.write(self.tail)
         return Written(name, n)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -164,7 +167,10 @@ class _Writer(DataSourceArrowWriter):
 
 
 class FramedSink(DataSource):
-    """`framed`: a column payload goes to framed shards under a path, one for each task that has rows."""
+    """`framed`: a column payload goes to framed shards under a path, one for each task that has rows.
+
+    Options: framing=none writes payloads as they are; tail, in hexadecimal, ends each file.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -174,10 +180,40 @@ class FramedSink(DataSource):
         return "payload binary"
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], overwrite)
+        return _Writer(self.options["path"], overwrite, self.options.get("framing") != "none", bytes.fromhex(self.options.get("tail", "")))
 
 
 def write_shards(records: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Writes the column payload as framed shards, a file per partition that has rows; null payloads are empty records."""
     records.sparkSession.dataSource.register(FramedSink)
     records.select(F.col("payload")).write.format("framed").mode(mode).save(path)
+
+
+def write_fragments(records: DataFrame, path: str, tail: bytes = b"") -> None:
+    """Writes the column payload as it is, a file per partition that has rows, each with the tail at its end; names are in the order of partitions."""
+    records.sparkSession.dataSource.register(FramedSink)
+    records.select("payload").write.format("framed").mode("overwrite").option("framing", "none").option("tail", tail.hex()).save(path)
+
+
+def join_fragments(folder: str, path: str, head: bytes = b"", tail: bytes = b"", skip: int = 0) -> None:
+    """One file of a folder's files, one after another in the order of their names, without their first `skip` bytes in all.
+
+    Streamed in pieces of BATCH_BYTES into a pending file beside the target, which it replaces when it is whole.
+    """
+    store, own = located(path)
+    pending = f"{own}.pending-{uuid.uuid4().hex}"
+    try:
+        with store.open_output_stream(pending) as out:
+            out.write(head)
+            for name in listed(folder):
+                source, part = located(name)
+                with source.open_input_stream(part) as file:
+                    while piece := file.read(BATCH_BYTES):
+                        out.write(piece[skip:])
+                        skip = max(0, skip - len(piece))
+            out.write(tail)
+        store.move(pending, own)
+    except BaseException:
+        if store.get_file_info(pending).type == fs.FileType.File:
+            store.delete_file(pending)
+        raise

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from motioncheck import cli
 from motioncheck.operators import compare, evidence, external, forecast, geometry, regression, requirements, risk, scoring, signals
 from motioncheck.plans import experiment, render
-from motioncheck.sources import framed, json_files, stored
+from motioncheck.sources import framed, json_files, stored, submissions
 
 STATE = "scenario_id string, agent_id string, object_type string, track_ord long, state_ord long, time_s double, x_m double, y_m double"
 
@@ -287,6 +287,14 @@ def shard(tmp_path_factory):
     return str(path)
 
 
+@pytest.fixture
+def uncoalesced(spark):
+    """As many tasks after a shuffle as the session asks for, however little they have to do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_frames(spark, shard):
     data = framed.frame(b"abc") + framed.frame(b"")
     assert list(framed.frames(data)) == [b"abc", b""]
@@ -309,15 +317,36 @@ def test_decoding(spark, shard):
     assert json_files.map_tables(nested)["signals"].count() == 182
 
 
-def test_submission(spark, shard, tmp_path):
+def test_submission(spark, shard, tmp_path, uncoalesced):
     nested = framed.read_scenarios(spark, shard)
     points = forecast.forecast(json_files.states_of(nested), json_files.timelines(nested), "kinematic_ensemble")
     path = str(tmp_path / "out.binproto")
-    framed.write_submission(points, path)
-    back = external.with_times(framed.read_submission(spark, path), nested, forecast.STEPS)
+    submissions.write_submission(points, path)
+    back = external.with_times(submissions.read_submission(spark, path), nested, forecast.STEPS)
     want = {tuple(r) for r in external.submitted(points).select("scenario_id", "agent_id", "mode_index", "point_ord", "x_m", "y_m").collect()}
     assert {tuple(r) for r in back.select("scenario_id", "agent_id", "mode_index", "point_ord", "x_m", "y_m").collect()} == want
     assert back.agg(F.min("time_s"), F.max("time_s")).first() == (1.5, 9.0)
+    one = (tmp_path / "out.binproto").read_bytes()
+    with pytest.raises(Exception, match="appears more than once"):
+        submissions.write_submission(points.union(points.where("mode_index = 0")), path)
+    assert (tmp_path / "out.binproto").read_bytes() == one and sorted(x.name for x in tmp_path.iterdir()) == ["out.binproto"]  # nothing half written
+    # many scenarios: fragments of several tasks, read by several, and joined in the order of scenarios
+    many = points.crossJoin(spark.range(40).select(F.format_string("n%02d", "id").alias("nth"))).withColumn("scenario_id", F.concat("nth", "scenario_id")).drop("nth")
+    parts = tmp_path / "parts"
+    submissions.write_submission(many, path, str(parts))
+    names = sorted(x.name for x in parts.iterdir())
+    assert len(names) > 1 and (tmp_path / "out.binproto").read_bytes() == b"".join((parts / n).read_bytes() for n in names) + submissions.KIND
+    listed = list(framed.decode_submission((tmp_path / "out.binproto").read_bytes()))
+    assert [x["scenario_id"] for x in listed] == sorted(x["scenario_id"] for x in listed) and len({x["scenario_id"] for x in listed}) == 80
+    assert submissions.read_submission(spark, str(parts)).count() == len(listed) == submissions.read_submission(spark, path).count()
+    submissions.write_parts(many, str(parts))
+    assert all((parts / n).read_bytes().endswith(submissions.KIND) for n in (x.name for x in parts.iterdir()))
+    submissions.write_external(many, {"model_name": "m"}, str(tmp_path / "x.json"))
+    whole = json.loads((tmp_path / "x.json").read_text())
+    assert whole["provenance"] == {"model_name": "m"} and [x["scenario_id"] for x in whole["predictions"]] == sorted({x["scenario_id"] for x in listed})
+    assert len(whole["predictions"][0]["agents"][0]["modes"][0]["xy_m"]) == 16
+    submissions.write_external(many.where("false"), {}, str(tmp_path / "x.json"))
+    assert json.loads((tmp_path / "x.json").read_text())["predictions"] == []
     short = framed.encode((2, struct.pack("<3f", 1, 2, 3)))
     agent = framed.encode((1, 1), (2, framed.encode((1, short))))
     with pytest.raises(ValueError):
@@ -369,10 +398,10 @@ def test_import_command(spark, shard, tmp_path, capsys, monkeypatch):
     nested = framed.read_scenarios(spark, shard)
     points = forecast.forecast(json_files.states_of(nested), json_files.timelines(nested), "kinematic_ensemble").withColumn("confidence", F.lit(2.0))
     good = {"model_name": "m", "model_version": "1", "source_repository": "r", "source_revision": "v", "checkpoint_sha256": "0" * 64, "coordinate_frame": "scenario_global", "future_data_used": False}
-    json_files.write_external(points, good, str(tmp_path / "x.json"))
+    submissions.write_external(points, good, str(tmp_path / "x.json"))
     assert cli.main(["import-predictions", str(tmp_path / "x.json"), str(tmp_path / "x.binproto"), shard]) == 0
     assert json.loads(capsys.readouterr().out)["agents"] == 2
-    assert {round(r.confidence, 5) for r in framed.read_submission(spark, str(tmp_path / "x.binproto")).collect()} == {0.33333}
+    assert {round(r.confidence, 5) for r in submissions.read_submission(spark, str(tmp_path / "x.binproto")).collect()} == {0.33333}
 
 
 def test_policies():
