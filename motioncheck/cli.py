@@ -117,8 +117,9 @@ def _scored(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, Data
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.bootstrap_samples < 0:
         raise SystemExit("--bootstrap-samples must be nonnegative")
-    found = assemble.evaluation(_scored(spark, a)[3], a.miss_threshold, a.bootstrap_samples, a.bootstrap_seed)
+    found = assemble.evaluation(_scored(spark, a)[3], a.miss_threshold, a.bootstrap_samples, a.bootstrap_seed, a.parts)
     text = render.evaluation(found)
+    render.write(a.json, render.as_json(found))
     render.write(a.markdown, text)
     render.write(a.html, render.html(text, "evaluation"))
     say({k: found[k] for k in ("assumptions", "summary", "confidence_intervals", "by_object_type", "best_mode_counts")} if a.summary_only else found)
@@ -155,7 +156,7 @@ def analyze_risk(spark: SparkSession, a: argparse.Namespace) -> int:
     if odd := risk.identity(scenarios, points, scores).limit(1).collect():
         raise SystemExit(f"scenario {odd[0].scenario_id}, agent {odd[0].agent_id}: {odd[0].problem}")
     thresholds = risk.RiskThresholds()
-    found = assemble.risks(risk.evidence(states, scenarios, forecast.targets(scenarios), points, scores, maps["crosswalks"], maps["signs"], maps["signals"], thresholds), thresholds)
+    found = assemble.risks(risk.evidence(states, scenarios, forecast.targets(scenarios), points, scores, maps["crosswalks"], maps["signs"], maps["signals"], thresholds), thresholds, a.parts)
     text = render.risks(found)
     render.write(a.json, render.as_json(found))
     render.write(a.markdown, text)
@@ -202,6 +203,7 @@ def parser() -> argparse.ArgumentParser:
         own = command(name, run, "submission", "records", reports=(*both, "json"))
         own.add_argument("--miss-threshold", type=float, default=2.0)
         own.add_argument("--summary-only", action="store_true")
+        own.add_argument("--parts", help="a new folder for the rows of all agents, instead of the report")
         own.add_argument("--bootstrap-samples", type=int, default=1000)
         own.add_argument("--bootstrap-seed", type=int, default=0)
     own = command("forecast", make_forecast, "output", "records")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motioncheck.operators import compare, evidence, forecast, regression, requirements, risk, scoring, signals
+from motioncheck.sources import parted
 
 #: What each grade of confidence rests on.
 RATIONALES = {"not_applicable": "the requirement does not apply", "low": "too few samples, or data errors", "medium": "few samples, or data warnings", "high": "enough samples and no data warnings"}
@@ -103,22 +104,34 @@ def _intervals(df: DataFrame, columns: tuple[str, ...], samples: int, seed: int)
     return {r.metric: {"lower": r.lower, "upper": r.upper, "confidence": 0.95} for r in resample(compare.metric_values(df, columns), samples, seed).collect()}
 
 
-def evaluation(scores: DataFrame, miss_threshold_m: float = 2.0, samples: int = 1000, seed: int = 0) -> dict:
-    """Summary, intervals, strata, histogram, worst agents and all scores of forecasts."""
+#: Scenarios that a report ranks where its scores are in a folder.
+RANKED = 100
+
+
+def evaluation(scores: DataFrame, miss_threshold_m: float = 2.0, samples: int = 1000, seed: int = 0, folder: str | None = None) -> dict:
+    """Summary, intervals, strata, histogram, worst agents and all scores of forecasts.
+
+    folder: a new folder that tasks write the scores to; the report then names it, and ranks the
+    RANKED worst scenarios, so that what the driver holds doesn't grow with the agents.
+    """
     scores = scores.cache()
-    of = _by(_rows(scores.orderBy("scenario_id", "agent_id")), "scenario_id")
-    if not of:
+    if scores.isEmpty():
         raise ValueError("there are no scores")
+    order = ("scenario_id", "agent_id")
     summary = _rows(scoring.means(scores))[0]
     out = {
         "assumptions": {"miss_threshold_m": miss_threshold_m, "bootstrap_samples": samples, "bootstrap_seed": seed},
-        "summary": {"scenarios": len(of)} | summary,
+        "summary": {"scenarios": scores.select("scenario_id").distinct().count()} | summary,
         "confidence_intervals": _intervals(scores, ("min_ade_m", "min_fde_m", "miss"), samples, seed),
         "by_object_type": {r["object_type"]: r for r in _rows(scoring.means(scores, "object_type").orderBy("object_type"))},
         "best_mode_counts": {str(r["best_mode_index"]): r["agents"] for r in _rows(scoring.best_mode_counts(scores).orderBy("best_mode_index"))},
         "worst_agents_by_min_ade": _rows(scoring.worst_agents(scores)),
-        "scenarios": [{"scenario_id": k, "agents": v} for (k,), v in of.items()],
     }
+    if folder:
+        ranked = scoring.means(scores, "scenario_id").orderBy(F.desc("mean_min_ade_m"), "scenario_id").limit(RANKED)
+        out |= {"worst_scenarios_by_min_ade": _rows(ranked), "parts": parted.write(scores, order, folder)}
+    else:
+        out["scenarios"] = [{"scenario_id": k, "agents": v} for (k,), v in _by(_rows(scores.orderBy(*order)), "scenario_id").items()]
     scores.unpersist()
     return out
 
@@ -162,8 +175,8 @@ def comparison(baseline: DataFrame, candidate: DataFrame, policy: compare.Compar
     return out
 
 
-def risks(found: DataFrame, thresholds: risk.RiskThresholds) -> dict:
-    """Counters, strata and the cases to review first."""
+def risks(found: DataFrame, thresholds: risk.RiskThresholds, folder: str | None = None) -> dict:
+    """Counters, strata, the cases to review first, and all agents; folder: as of evaluation()."""
     found = found.cache()
     counters = _by(_rows(risk.counters(found).orderBy("kind", "name")), "kind")
     strata = _by(_rows(risk.strata(found).orderBy("kind", "name")), "kind")
@@ -174,8 +187,9 @@ def risks(found: DataFrame, thresholds: risk.RiskThresholds) -> dict:
         "by_motion_class": {r.pop("name"): {k: v for k, v in r.items() if k != "kind"} for r in strata.get(("motion_class",), [])},
         "by_review_priority": {r.pop("name"): {k: v for k, v in r.items() if k != "kind"} for r in strata.get(("review_priority",), [])},
         "highest_priority_cases": _rows(risk.reported(risk.top_cases(found))),
-        "agents": _rows(risk.reported(found).orderBy("scenario_id", "agent_id")),
     }
+    every, order = risk.reported(found), ("scenario_id", "agent_id")
+    out |= {"parts": parted.write(every, order, folder)} if folder else {"agents": _rows(every.orderBy(*order))}
     found.unpersist()
     return out
 

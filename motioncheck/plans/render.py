@@ -81,13 +81,17 @@ def regression(found: dict) -> str:
 ESTIMATES = {"min_ade_m": "mean_min_ade_m", "min_fde_m": "mean_min_fde_m", "miss": "miss_rate"}
 
 
+RANKING = ["scenario_id", "agents", "mean_min_ade_m", "mean_min_fde_m", "miss_rate", "mean_ground_truth_coverage"]
+
+
 def evaluation(found: dict) -> str:
     mean = lambda own, name: math.fsum(float(a[name]) for a in own) / len(own)
-    ranking = [{"scenario_id": s["scenario_id"], "agents": len(s["agents"]), "mean_min_ade_m": mean(s["agents"], "min_ade_m"), "mean_min_fde_m": mean(s["agents"], "min_fde_m"), "miss_rate": mean(s["agents"], "miss"), "mean_ground_truth_coverage": mean(s["agents"], "ground_truth_coverage")} for s in found["scenarios"]]
+    ranking = [{"scenario_id": s["scenario_id"], "agents": len(s["agents"]), "mean_min_ade_m": mean(s["agents"], "min_ade_m"), "mean_min_fde_m": mean(s["agents"], "min_fde_m"), "miss_rate": mean(s["agents"], "miss"), "mean_ground_truth_coverage": mean(s["agents"], "ground_truth_coverage")} for s in found.get("scenarios", [])]
     ranking.sort(key=lambda r: (-r["mean_min_ade_m"], r["scenario_id"]))
+    ranking = ranking or found["worst_scenarios_by_min_ade"]
     intervals = [{"metric": ESTIMATES[k], "estimate": found["summary"][ESTIMATES[k]]} | v for k, v in found["confidence_intervals"].items()]
     modes = [{"best_mode": k, "agents": n} for k, n in found["best_mode_counts"].items()]
-    parts = ["# Forecast evaluation", "", f"A miss is beyond {found['assumptions']['miss_threshold_m']:g} m.", "", table([found["summary"]]), "## Confidence intervals", "", table(intervals), "## Object types", "", table(list(found["by_object_type"].values())), "## Best modes", "", table(modes), "## Scenarios", "", table(ranking)]
+    parts = ["# Forecast evaluation", "", f"A miss is beyond {found['assumptions']['miss_threshold_m']:g} m.", "", table([found["summary"]]), "## Confidence intervals", "", table(intervals), "## Object types", "", table(list(found["by_object_type"].values())), "## Best modes", "", table(modes), "## Scenarios", "", table(ranking, RANKING)]
     return "\n".join([*parts, *bounded("evaluation")])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motioncheck import schema
+from motioncheck.sources import parted
 
 
 def read_scenarios(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -107,11 +108,16 @@ def read_external(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     return (head.provenance.asDict() if head.provenance else {}), points.select("scenario_id", "agent_id", "mode_index", "point_ord", "confidence", F.get("xy", F.lit(0)).alias("x_m"), F.get("xy", F.lit(1)).alias("y_m"))
 
 
-REPORT = "summary struct<mean_min_ade_m: double, mean_min_fde_m: double, miss_rate: double, mean_ground_truth_coverage: double>, scenarios array<struct<scenario_id: string, agents: array<struct<agent_id: string, object_type: string, min_ade_m: double, min_fde_m: double, miss: boolean, best_mode_index: int>>>>"
+SCORES = "scenario_id string, agent_id string, object_type string, min_ade_m double, min_fde_m double, miss boolean, best_mode_index int"
+MEANS = "mean_min_ade_m: double, mean_min_fde_m: double, miss_rate: double, mean_ground_truth_coverage: double"
+AGENTS = "agent_id: string, object_type: string, min_ade_m: double, min_fde_m: double, miss: boolean, best_mode_index: int"
+REPORT = f"summary struct<{MEANS}>, scenarios array<struct<scenario_id: string, agents: array<struct<{AGENTS}>>>>, parts struct<folder: string, rows: long>"
 
 
 def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """An evaluation report's summary row, as it says, and its agents' scores."""
+    """An evaluation report's summary row, as it says, and its agents' scores: its own, or those of the folder that it names."""
     own = spark.read.schema(REPORT).json(path, multiLine=True)
+    if parts := own.select("parts.*").where("folder is not null").first():
+        return own.select("summary.*"), parted.read(spark, parts.asDict(), SCORES)
     agents = own.select(F.explode("scenarios").alias("s")).select("s.scenario_id", F.explode("s.agents").alias("a")).select("scenario_id", "a.*")
     return own.select("summary.*"), agents

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from motioncheck import cli
 from motioncheck.operators import compare, evidence, external, forecast, geometry, regression, requirements, risk, scoring, signals
 from motioncheck.plans import experiment, render
-from motioncheck.sources import framed, json_files, stored, submissions
+from motioncheck.sources import framed, json_files, parted, stored, submissions
 
 STATE = "scenario_id string, agent_id string, object_type string, track_ord long, state_ord long, time_s double, x_m double, y_m double"
 
@@ -373,6 +373,18 @@ def test_commands(spark, shard, tmp_path, capsys, monkeypatch):
     (tmp_path / "e.json").write_text(json.dumps(found))
     assert cli.main(["compare-evaluations", str(tmp_path / "e.json"), str(tmp_path / "e.json"), "--bootstrap-samples", "20", "--summary-only"]) == 0
     assert said()["gate_passed"]
+    # the same report with its scores in a folder
+    assert cli.main(["evaluate", out, shard, "--bootstrap-samples", "20", "--parts", str(tmp_path / "scores"), "--json", str(tmp_path / "p.json")]) == 0
+    parts = said()
+    assert "scenarios" not in parts and parts["parts"]["rows"] == 2 and {k: parts[k] for k in ("summary", "confidence_intervals")} == {k: found[k] for k in ("summary", "confidence_intervals")}
+    assert render.evaluation(parts) == render.evaluation(found)
+    whole, named = (json_files.read_report(spark, str(tmp_path / n))[1] for n in ("e.json", "p.json"))
+    assert sorted(map(tuple, whole.select(named.columns).collect())) == sorted(map(tuple, named.collect()))
+    assert cli.main(["compare-evaluations", str(tmp_path / "e.json"), str(tmp_path / "p.json"), "--bootstrap-samples", "20", "--summary-only"]) == 0
+    assert said()["agent_count"] == 2
+    next((tmp_path / "scores").glob("part-*")).unlink()
+    with pytest.raises(ValueError, match="its report says 2"):
+        json_files.read_report(spark, str(tmp_path / "p.json"))
     worse = json.loads(json.dumps(found))
     worse["summary"]["miss_rate"] = 0.5
     for a in worse["scenarios"][0]["agents"]:
@@ -390,7 +402,25 @@ def test_commands(spark, shard, tmp_path, capsys, monkeypatch):
     with pytest.raises(ValueError, match="repeated"):
         cli.main(["compare-evaluations", str(tmp_path / "e.json"), str(tmp_path / "doubled.json"), "--bootstrap-samples", "20"])
     assert cli.main(["risk", out, shard, "--summary-only", "--html", str(tmp_path / "risk.html")]) == 0
-    assert said()["summary"]["agents"] == 2
+    agents = said()["summary"]["agents"]
+    assert agents == 2 and cli.main(["risk", out, shard, "--parts", str(tmp_path / "cases")]) == 0
+    parts = said()
+    assert "agents" not in parts and parts["parts"]["rows"] == 2 and {r.risk_tags is not None for r in spark.read.json(parts["parts"]["folder"]).collect()} == {True}
+
+
+def test_parted_rows(spark, tmp_path, uncoalesced):
+    # one scenario holds nearly all rows: it takes several files
+    rows = spark.range(3000).select(F.when(F.col("id") < 2900, "hot").otherwise("zz").alias("scenario_id"), F.format_string("%05d", "id").alias("agent_id"), F.when(F.col("id") == 7, float("nan")).when(F.col("id") == 8, float("inf")).otherwise(F.col("id") / 7).alias("v"), F.lit(None).cast("string").alias("tag"))
+    found = parted.write(rows, ("scenario_id", "agent_id"), str(tmp_path / "rows"))
+    files = found["files"]
+    assert found["rows"] == 3000 and len(files) > 2 and all(tuple(a["last"].values()) < tuple(b["first"].values()) for a, b in zip(files, files[1:]))
+    assert sum(f["first"]["scenario_id"] == "hot" for f in files) > 2
+    back = parted.read(spark, found, "scenario_id string, agent_id string, v double, tag string")
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+    with pytest.raises(Exception, match="(?i)exists"):
+        parted.write(rows, ("scenario_id", "agent_id"), str(tmp_path / "rows"))
+    none = parted.write(rows.where("false"), ("scenario_id", "agent_id"), str(tmp_path / "none"))
+    assert (none["rows"], none["files"]) == (0, [])
 
 
 def test_import_command(spark, shard, tmp_path, capsys, monkeypatch):
