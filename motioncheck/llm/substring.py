@@ -33,13 +33,15 @@ from pyspark.sql import functions as F
 
 from motioncheck.llm import shared, words
 from motioncheck.llm.fm_index import FMIndex
-from motioncheck.llm.suffixes import digests, distinct_kinds, pack_stretches, unpack_stretches
+from motioncheck.llm.suffixes import FIRST, SECOND, digests, distinct_kinds, distinct_pairs, pack_stretches, unpack_stretches
 
 WIDTH = 13
 #: Words of the hashes whose least is a window's minimizer.
 GRAM = 5
 #: The range of a copy.
 COPY = -1
+#: What a text's second hash is seeded with.
+SECOND_SEED = "second"
 #: Words that one index has, about; a larger shard is indexed in parts.
 INDEXED = 1_500_000
 
@@ -120,8 +122,9 @@ def _entries(batches: Iterator[pa.RecordBatch], width: int, marks: np.ndarray, f
                 yield to[at], text, lengths, ids[chunk.row + row], keys[chunk.row + row], begins - chunk.first[row]
 
 
-def _digests(text: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    return digests(text >> np.uint64(16), np.cumsum(lengths) - lengths, lengths)
+def _digests(text: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """Two digests of each stretch's words of 48 bits: 128 bits, so that kinds of all documents don't collide."""
+    return [digests(text, np.cumsum(lengths) - lengths, lengths, m) for m in (FIRST, SECOND)]
 
 
 #: Words of stretches that a task gathers before it sends distinct ones.
@@ -133,7 +136,7 @@ def _stretches(docs: DataFrame, held: Broadcast, width: int, bits: int) -> DataF
 
     def sent(parts: list[tuple]) -> pa.RecordBatch:
         to, text, lengths, ids = (np.concatenate(p) for p in zip(*parts))
-        one, low, high = distinct_kinds(_digests(text, lengths), ids, ids)
+        one, low, high = distinct_pairs(*_digests(text >> np.uint64(16), lengths), ids, ids)
         firsts = np.cumsum(lengths) - lengths
         return pack_stretches(to[one], bits, text, firsts[one], lengths[one], low, high, np.zeros(len(one)))
 
@@ -200,18 +203,18 @@ def _ranges(docs: DataFrame, stretches: DataFrame, held: Broadcast, width: int,
             low, high, _, lengths, text = unpack_stretches(blocks)
             lengths = lengths.astype(np.int64)
             firsts = np.cumsum(lengths) - lengths
-            kind = digests(text, firsts, lengths)
-            one, low, high = distinct_kinds(kind, low, high)
+            kind, check = _digests(text, lengths)
+            one, low, high = distinct_pairs(kind, check, low, high)
             best = least_owners(low, lengths[one], text[words.spread(firsts[one], lengths[one])], width)
             counts = lengths[one] - width + 1
             starts = np.cumsum(counts) - counts
             some = np.flatnonzero(np.minimum.reduceat(best, starts) < high)  # of others, no document loses a word
             own = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts[some])), pa.int32()), pa.array(best[words.spread(starts[some], counts[some])]))
-            yield pa.record_batch([pa.array(kind[one][some].view(np.int64)), own], names=["kind", "best"])
+            yield pa.record_batch([*(pa.array(x[one][some].view(np.int64)) for x in (kind, check)), own], names=["kind", "check", "best"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, text, lengths, ids, keys, places in _entries(batches, width, *held.value):
-            yield pa.record_batch([pa.array(_digests(text, lengths).view(np.int64)), pa.array(ids), pa.array(keys), pa.array(places)], names=["of", "id", "key", "place"])
+            yield pa.record_batch([*(pa.array(x.view(np.int64)) for x in _digests(text >> np.uint64(16), lengths)), pa.array(ids), pa.array(keys), pa.array(places)], names=["of", "of_check", "id", "key", "place"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,17 +222,18 @@ def _ranges(docs: DataFrame, stretches: DataFrame, held: Broadcast, width: int,
             entry, low, high = hit_ranges(ids, places, np.diff(best.offsets.to_numpy()), best.flatten().to_numpy(), width)
             yield pa.record_batch([pa.array(ids[entry]), pa.array(keys[entry]), pa.array(low << 32 | high)], names=["id", "key", "range"])
 
-    found = shared.written(shared.dealt(stretches).mapInArrow(search, "kind long, best array<long>"), f"{folder}/found")
-    entries = docs.mapInArrow(place, "of long, id long, key long, place long")
+    found = shared.written(shared.dealt(stretches).mapInArrow(search, "kind long, check long, best array<long>"), f"{folder}/found")
+    entries = docs.mapInArrow(place, "of long, of_check long, id long, key long, place long")
     # a kind that very many documents have is a row here: a join that Spark can split
-    return entries.join(found, F.col("of") == F.col("kind")).select("id", "key", "place", "best").mapInArrow(cut, "id long, key long, range long")
+    return entries.join(found, (F.col("of") == F.col("kind")) & (F.col("of_check") == F.col("check"))).select("id", "key", "place", "best").mapInArrow(cut, "id long, key long, range long")
 
 
 def _copies(rows: DataFrame, folder: str) -> DataFrame:
-    """(id, key, range) of rows whose whole text a smaller id has."""
-    first = rows.where("doc_id is not null and text is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = shared.written(first.select(F.col("key").alias("of"), "first"), f"{folder}/first")
-    return rows.select("doc_id", "key").join(first, (F.col("key") == F.col("of")) & (F.col("doc_id") > F.col("first"))).select(F.col("doc_id").alias("id"), "key", F.lit(COPY).cast("long").alias("range"))
+    """(id, key, range) of rows whose whole text a smaller id has, by its key and a second hash: 128 bits."""
+    rows = rows.select("doc_id", "key", "text", F.xxhash64(F.lit(SECOND_SEED), "text").alias("check"))
+    first = rows.where("doc_id is not null and text is not null").groupBy("key", "check").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = shared.written(first.select(F.col("key").alias("of"), F.col("check").alias("of_check"), "first"), f"{folder}/first")
+    return rows.select("doc_id", "key", "check").join(first, (F.col("key") == F.col("of")) & (F.col("check") == F.col("of_check")) & (F.col("doc_id") > F.col("first"))).select(F.col("doc_id").alias("id"), "key", F.lit(COPY).cast("long").alias("range"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:

@@ -36,10 +36,14 @@ def unpack_stretches(blocks: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
-def digests(text: np.ndarray, firsts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+#: Odd multipliers of two independent digests.
+FIRST, SECOND = 0xD1342543DE82EF95, 0x9FB21C651E98DF25
+
+
+def digests(text: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, multiplier: int = FIRST) -> np.ndarray:
     """A hash of each stretch's words."""
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(words.mix(text) * words.powers(np.uint64(0xD1342543DE82EF95), len(text)))])
-    inverse = words.powers(np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64)), len(text) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(words.mix(text) * words.powers(np.uint64(multiplier), len(text)))])
+    inverse = words.powers(np.uint64(pow(multiplier, -1, 1 << 64)), len(text) + 1)
     return words.mix((sums[firsts + lengths] - sums[firsts]) * inverse[firsts] + lengths.astype(np.uint64))
 
 
@@ -52,6 +56,16 @@ def distinct_kinds(kind: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple
     return one, least, most
 
 
+def distinct_pairs(first: np.ndarray, second: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """distinct_kinds() of kinds that two digests tell apart, ascending by the first, then the second."""
+    if not len(first):
+        return np.zeros(0, np.int64), low, high
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return order[cuts], np.minimum.reduceat(low[order], cuts), np.maximum.reduceat(high[order], cuts)
+
+
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """The suffixes in order, by prefix doubling."""
     n = len(symbols)

@@ -196,6 +196,19 @@ def test_hot_passages(spark, monkeypatch, frequent):
     assert {r.doc_id: r.kept for r in substring.dedup_substrings(docs).collect()} == removed_by_force(texts)
 
 
+def test_colliding_hashes(spark, tmp_path):
+    # texts of one 64-bit key are copies only if their second hashes agree as well
+    rows = spark.createDataFrame([(1, 7, "a b"), (2, 7, "c d"), (3, 7, "a b"), (4, 8, "a b")], "doc_id long, key long, text string")
+    assert [(r.id, r.key) for r in substring._copies(rows, str(tmp_path / "x")).collect()] == [(3, 7)]
+    first, second = np.array([5, 5, 1, 5], np.uint64), np.array([9, 2, 3, 9], np.uint64)
+    one, low, high = suffixes.distinct_pairs(first, second, np.array([4, 1, 8, 2]), np.array([4, 1, 8, 6]))
+    assert one.tolist() == [2, 1, 0] and low.tolist() == [8, 1, 2] and high.tolist() == [8, 1, 6]
+    assert all(len(x) == 0 for x in suffixes.distinct_pairs(*[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 2))
+    text, lengths = np.arange(1, 60, dtype=np.uint64), np.array([13, 20, 26])
+    both = substring._digests(text, lengths)
+    assert not set(both[0]) & set(both[1]) and [x[1] for x in both] == [x[0] for x in substring._digests(text[13:33], lengths[1:2])]
+
+
 def test_rank():
     rng = np.random.default_rng(1)
     symbols = rng.integers(0, 11, 500)
