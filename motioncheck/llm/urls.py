@@ -10,8 +10,9 @@ of SURE: when the posterior's lower quantile is. All of it is DataFrame operatio
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motioncheck.llm import shared
@@ -69,24 +70,38 @@ def _trigamma(x: Column) -> Column:
     return 1 / y + 1 / (2 * y * y) + 1 / (6 * y * y * y) - 1 / (30 * y * y * y * y * y) + sum((1 / ((x + i) * (x + i)) for i in range(6)), F.lit(0.0))
 
 
+def _bound(values: Column, use: Callable[[Column], Column]) -> Column:
+    """use() of a struct that is evaluated once, however often use() names its fields."""
+    return F.get(F.transform(F.array(values), use), 0)
+
+
 def surely_above(a: Column, b: Column, limit: float) -> Column:
     """The probability that a beta variable is above the limit.
 
     By the trapezoid rule over its logit, whose density is smooth whatever a and b are: it has the
-    mean digamma(a) - digamma(b), and next to nothing lies ten deviations away.
+    mean digamma(a) - digamma(b), and next to nothing lies ten deviations away. What the steps of
+    the integral share is bound before, so that a step costs two exponentials and a logarithm.
     """
-    mean, deviation = _digamma(a) - _digamma(b), F.sqrt(_trigamma(a) + _trigamma(b))
-    low, high = mean - 10 * deviation, mean + 10 * deviation
-    cut = F.least(high, F.greatest(low, F.lit(math.log(limit / (1 - limit)))))
-    peak = a * F.log(a / b) - (a + b) * F.log1p(a / b)
 
-    def integral(start: Column, end: Column) -> Column:
-        step = (end - start) / GRID
-        density = lambda u: F.exp(a * u - (a + b) * F.log1p(F.exp(u)) - peak)
-        inner = F.aggregate(F.sequence(F.lit(1), F.lit(GRID - 1)), F.lit(0.0), lambda total, i: total + density(start + i * step))
-        return step * (inner + (density(start) + density(end)) / 2)
+    def integral(v: Column, start: Column, end: Column) -> Column:
+        density = lambda u: F.exp(v.a * u - v.n * F.log1p(F.exp(u)) - v.peak)
+
+        def over(x: Column) -> Column:
+            inner = F.aggregate(F.sequence(F.lit(1), F.lit(GRID - 1)), F.lit(0.0), lambda total, i: total + density(x.start + i * x.step))
+            return x.step * (inner + (density(x.start) + density(x.end)) / 2)
+
+        return _bound(F.struct(start.alias("start"), end.alias("end"), ((end - start) / GRID).alias("step")), over)
+
+    def halves(v: Column) -> Column:
+        low, high = v["mean"] - 10 * v.deviation, v["mean"] + 10 * v.deviation
+        cut = F.least(high, F.greatest(low, F.lit(math.log(limit / (1 - limit)))))
+        return _bound(F.struct(integral(v, low, cut).alias("below"), integral(v, cut, high).alias("beyond")), lambda x: x.beyond / (x.below + x.beyond))
 
-    return integral(cut, high) / (integral(low, cut) + integral(cut, high))
+    def shared_values(v: Column) -> Column:
+        peak = v.a * F.log(v.a / v.b) - (v.a + v.b) * F.log1p(v.a / v.b)
+        return F.struct(v.a.alias("a"), (v.a + v.b).alias("n"), peak.alias("peak"), (_digamma(v.a) - _digamma(v.b)).alias("mean"), F.sqrt(_trigamma(v.a) + _trigamma(v.b)).alias("deviation"))
+
+    return _bound(F.struct(a.alias("a"), b.alias("b")), lambda v: _bound(shared_values(v), halves))
 
 
 def reputations(outcomes: DataFrame, limit: float = LIMIT) -> DataFrame:
@@ -144,15 +159,15 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES, lim
 
 
 def labelled_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host, bad) of pages whose path ends in the number of a labelled document: bad if its quality is 0 or it is toxic."""
+    """(host, bad) of pages whose path ends in the number of a labelled document: bad if its quality is 0 or it is toxic.
+
+    A null url and one without such a number have no row, nor has a page whose document isn't
+    labelled. Null where the document's labels don't tell. Of labels that repeat a document the
+    worst counts; pages that repeat are outcomes of their own; empty tables make no rows.
+    """
     host, path = host_and_path(F.col("url"))
     number = F.regexp_extract(path, r"/([0-9]{1,18})(?:\.html|/)?$", 1)
     rows = pages.select(host.alias("host"), F.when(number != "", number).cast("long").alias("doc"))
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 0)
     known = labels.groupBy(F.col("doc_id").alias("doc")).agg(F.max(bad).alias("bad"))
     return rows.join(known, "doc").select("host", "bad")
-
-
-def reputed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels"))
-    return filter_urls(pages, labelled_outcomes(pages, labels))
