@@ -327,19 +327,32 @@ def fit(docs: DataFrame, pieces: list[str], text: str = "text", lang: str = "lan
     the driver: tasks count the sampled documents' words, and the sums come.
     """
     spark = docs.sparkSession
-    known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(id).isNotNull() & ~held_out(F.col(id)))
+    known = docs.where(F.col(lang).isNotNull() & F.col(id).isNotNull() & ~held_out(F.col(id)))
     keyed = known.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(id), F.lit(3)).alias("h"), F.col(text).alias("text"))
-    sizes = {r.lang: r.n for r in keyed.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language, as the model has
+    sizes = {r.lang: r.n for r in keyed.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language, as the model has; no text is read
     model = Model(pieces)
-    if not sizes:
-        return model
-    # a share of the hashes' range that holds the sample almost surely, then the sample's largest hash
-    near = spark.createDataFrame([(k, int(-(2**63) + min(1.0, 1.5 * sample / n + 10 / n) * (2.0**64 - 2**12))) for k, n in sizes.items()], "own string, near long")
+    # a share of the hashes' range that holds the sample almost surely, in one pass over the texts; more where many are null
+    shares = {k: 1.5 * sample / n + 10 / n for k, n in sizes.items()}
+    folder, near = shared.workspace(spark), None
     hashes: dict[str, list[int]] = {}
-    for row in keyed.select("lang", "h").join(F.broadcast(near), (F.col("lang") == F.col("own")) & (F.col("h") <= F.col("near"))).select("lang", "h").collect():  # about 1.5 samples a language
-        hashes.setdefault(row.lang, []).append(row.h)
-    limits = spark.createDataFrame([(k, sorted(h)[:sample][-1]) for k, h in hashes.items()], "own string, most long")
-    chosen = keyed.join(F.broadcast(limits), (F.col("lang") == F.col("own")) & (F.col("h") <= F.col("most"))).select("lang", "text")
+    todo, step = set(shares), 0
+    while todo:
+        limits = spark.createDataFrame([(k, int(-(2**63) + min(1.0, shares[k]) * (2.0**64 - 2**12))) for k in todo], "own string, near long")
+        some = keyed.join(F.broadcast(limits), (F.col("lang") == F.col("own")) & (F.col("h") <= F.col("near"))).where(F.col("text").isNotNull()).select("lang", "h", "text")
+        some = shared.written(some, f"{folder}/near-{step}")
+        own: dict[str, list[int]] = {}
+        for row in some.select("lang", "h").collect():  # about 1.5 samples a language, four times as many where texts are null
+            own.setdefault(row.lang, []).append(row.h)
+        done = {k for k in todo if len(own.get(k, [])) >= sample or shares[k] >= 1}
+        hashes.update({k: sorted(own[k]) for k in done if k in own})
+        some = some.where(F.col("lang").isin(*done))
+        near = some if near is None else near.union(some)
+        todo, step = todo - done, step + 1
+        shares.update({k: shares[k] * 4 for k in todo})
+    if not hashes:
+        return model
+    limits = spark.createDataFrame([(k, h[:sample][-1]) for k, h in hashes.items()], "own string, most long")
+    chosen = near.join(F.broadcast(limits), (F.col("lang") == F.col("own")) & (F.col("h") <= F.col("most"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -276,6 +276,11 @@ def classify(docs: DataFrame, chain: Chain, text: str = "text", id: str = "doc_i
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, p_low_quality, p_toxic) of the documents that the chain low quality -> toxic flags as toxic."""
+    """(doc_id, p_low_quality, p_toxic) of the documents that the chain low quality -> toxic flags as toxic.
+
+    Null labels aren't learned from, and of labels that repeat an id the largest count. Null and
+    empty texts have the base rates; rows that repeat an id, or have none, are judged on their
+    own. Without labels, or where the sample has no toxic document, none is flagged; no rows make no rows.
+    """
     chain = fit(docs, labels, {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
     return classify(docs, chain).where(F.col("p_toxic") >= LIMIT)

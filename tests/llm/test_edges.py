@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +139,17 @@ def test_toxicity(spark, docs, none):
     assert toxicity.classify(docs, chain).count() == len(ROWS)
     assert toxicity.classify(none, chain).count() == 0
     assert toxicity.toxic_documents(spark, none, marks).count() == 0
+    assert toxicity.toxic_documents(spark, own, marks.where("false")).count() == 0
+
+
+def test_language_samples_of_null_texts(spark):
+    # texts that are null take no place in the sample, however many there are, and a language of null texts isn't learned
+    rows = [(i, None if i % 20 else f"wort zahl {i}", "de") for i in range(2000)] + [(i, f"word number {i}", "en") for i in range(2000, 2300)] + [(i, None, "fr") for i in range(2300, 2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pieces = ["▁", *"abcdefghijklmnopqrstuvwxyz0123456789", "▁wort", "▁word", "▁number", "▁zahl"]
+    model, plain = (langid.fit(d, pieces, sample=20) for d in (docs, docs.where("text is not null")))
+    assert model.languages == plain.languages == ["de", "en"]
+    assert np.array_equal(model.probability, plain.probability)
 
 
 def test_packing(docs, none):
