@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motioncheck import cli
+from motioncheck.functions.columns import r6
 from motioncheck.operators import compare, evidence, external, forecast, geometry, regression, requirements, risk, scoring, signals
 from motioncheck.plans import experiment, render
 from motioncheck.sources import framed, json_files, parted, stored, submissions
@@ -203,6 +204,15 @@ def test_forecasts(spark):
         forecast.forecast(line, scenarios(spark), "other")
 
 
+def test_rounding(spark):
+    below = [math.nextafter(k / 1e7, 0) for k in range(5, 20_000, 10)]  # one bit below a half of the sixth decimal, as a ratio may be
+    values = [*below, *(-x for x in below), 2.4999999999999998e-06, 1.5, -0.0, 1e300, math.inf, -math.inf, math.nan, None]
+    found = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").select("i", r6(F.col("x")).alias("x")).orderBy("i").collect()
+    duck = pytest.importorskip("duckdb").connect()
+    wanted = [duck.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in values]
+    assert [repr(r.x) for r in found] == [repr(x) for x in wanted]
+
+
 def test_scores(spark):
     truth = track(spark, {"a": [(t, t, 0) for t in (1, 2, 3)]})
     rows = [("s", "a", m, 1.0, i, float(t), float(t), off) for m, off in enumerate((4.0, 1.0, 2.1)) for i, t in enumerate((1, 2, 3, 4))]
