@@ -18,8 +18,14 @@ def point_errors(points: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def mode_errors(errors: DataFrame) -> DataFrame:
-    """(agent, mode_index, ade_m, fde_m, evaluated_points): fde is the last aligned point's error."""
-    return errors.groupBy(*AGENT, "mode_index").agg(F.avg("error_m").alias("ade_m"), F.max(F.struct("point_ord", "error_m"))["error_m"].alias("fde_m"), F.count("*").alias("evaluated_points"))
+    """(agent, mode_index, ade_m, fde_m, evaluated_points): fde is the last aligned point's error.
+
+    Errors are summed in the points' order, however a shuffle deals the rows: modes with the same
+    points have the same mean to the last bit, so they tie.
+    """
+    along = F.array_sort(F.collect_list(F.struct("point_ord", "error_m")))  # the points of one mode
+    total = F.aggregate(along, F.lit(0.0), lambda n, p: n + F.coalesce(p["error_m"], F.lit(0.0)))
+    return errors.groupBy(*AGENT, "mode_index").agg(F.try_divide(total, F.count("error_m")).alias("ade_m"), F.max(F.struct("point_ord", "error_m"))["error_m"].alias("fde_m"), F.count("*").alias("evaluated_points"))
 
 
 def agent_scores(points: DataFrame, states: DataFrame, miss_threshold_m: float = 2.0) -> DataFrame:

@@ -222,6 +222,14 @@ def test_scores(spark):
     assert scoring.agent_scores(points.where("mode_index = 2"), truth).first().miss
 
 
+def test_modes_with_the_same_errors_tie(spark):
+    errors = [0.1 * i + 1 / 3 for i in range(16)]
+    orders = ([*range(16)], [*range(15, -1, -1)], [*range(1, 16, 2), *range(0, 16, 2)])  # as shuffles may deal the rows
+    rows = [("s", str(k), m, i, errors[i] * (k + 1)) for k in range(20) for m, order in enumerate(orders) for i in order]
+    dealt = spark.createDataFrame(rows, "scenario_id string, agent_id string, mode_index int, point_ord int, error_m double").coalesce(1)
+    assert {r.n for r in scoring.mode_errors(dealt).groupBy("agent_id").agg(F.count_distinct("ade_m").alias("n")).collect()} == {1}
+
+
 def test_comparison(spark):
     kind = "scenario_id string, agent_id string, object_type string, min_ade_m double, min_fde_m double, miss boolean, best_mode_index int, ground_truth_coverage double"
     old = spark.createDataFrame([("s", str(i), "vehicle", 2.0, 4.0, True, 0, 1.0) for i in range(5)], kind)
