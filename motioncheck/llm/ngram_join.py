@@ -139,13 +139,13 @@ def _levels(sets: DataFrame, bits: int) -> np.ndarray:
         return hashes[first], np.diff(np.append(first, len(hashes))) if times is None else np.add.reduceat(times[order], first)
 
     def reduce(hashes: np.ndarray) -> Iterator[pa.RecordBatch | None]:
-        yield shared.pack((own := counted(hashes))[0], bits, own[1].astype(np.int64))
+        yield shared.slim((own := counted(hashes))[0], bits, (np.minimum(own[1], 0xFFFF), 2))
 
     per, shift = 1 << (LEVEL_BITS - bits), np.uint64(64 - LEVEL_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, blocks in shared.by_bucket(batches):
-            hashes, times = counted(*shared.unpack(blocks, np.int64))
+            hashes, times = counted(*shared.unslim(bucket, blocks, bits, 2))
             level = np.log2(times).astype(np.uint8)
             if level.any():
                 own = np.zeros(per, np.uint8)

@@ -304,3 +304,16 @@ def test_neighbours_of_repeated_ids_and_vectors(spark):
     # by its second vector 50 is near 1004 too; the cosines of equal vectors differ in their last bits
     assert {x for _, x in found[50]} == {1.0} and {i for i, _ in found[50]} <= {0, 1, 2, 3, 4, 1004}
     assert found[100] == [(i, 1.0) for i in (0, 1, 2, 3, 4)] and len(found) == 7
+
+
+def test_slim_blocks_keep_what_marks_and_levels_ask():
+    draw = np.random.default_rng(5)
+    hashes, owners, times = draw.integers(0, 1 << 64, 4000, np.uint64), draw.integers(0, 1 << 64, 4000, np.uint64), draw.integers(1, 1 << 16, 4000)
+    for bits in (4, 11, 18):
+        made = shared.slim(hashes, bits, (owners, shared.OWNER), (times, 2))
+        found = [np.concatenate(c) for c in zip(*(shared.unslim(bucket, [block], bits, shared.OWNER, 2) for bucket, block in zip(made.column(0).to_pylist(), made.column(1).to_pylist())))]
+        order, kept = np.argsort(hashes, kind="stable"), np.uint64(64 - bits - 8 * shared.SLIM)
+        assert (found[0] == hashes[order] >> kept << kept).all() and (found[1] == owners[order] & np.uint64((1 << 40) - 1)).all() and (found[2] == times[order]).all()
+    # a post of the largest shuffle takes 9 bytes, 16 before
+    posts = next(iter(shared.owners_packed(hashes, owners, 4)))
+    assert sum(map(len, posts.column(1).to_pylist())) < 10 * len(hashes)
