@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from motioncheck import cli
 from motioncheck.functions.columns import r6
 from motioncheck.operators import compare, evidence, external, forecast, geometry, regression, requirements, risk, scoring, signals
-from motioncheck.plans import experiment, render
+from motioncheck.plans import experiment, queries, render
 from motioncheck.sources import framed, json_files, parted, stored, submissions
 
 STATE = "scenario_id string, agent_id string, object_type string, track_ord long, state_ord long, time_s double, x_m double, y_m double"
@@ -335,6 +335,21 @@ def test_decoding(spark, shard):
     assert json_files.map_tables(nested)["signals"].count() == 182
 
 
+def test_maps_are_counted_in_one_pass(spark):
+    case = queries.Case(spark, "/root/testdata/sf0.001")
+    found = queries.map_counts(framed.decoded_scenarios(case.records))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Generate" not in plan[: plan.index("MapInArrow")]  # one encodes, one decodes
+    maps = json_files.map_tables(framed.decoded_scenarios(case.records))
+    for name, table in maps.items():
+        assert {r.scenario_id: r[name] for r in found.collect()} == {r.scenario_id: r["count"] for r in table.groupBy("scenario_id").count().collect()}
+
+
+def test_shards_grow_with_the_session(spark):
+    shards = queries.Case(spark, "/root/testdata/sf0.01").shards
+    assert shards.select("path").distinct().count() > 2 and shards.rdd.getNumPartitions() < shards.count()  # no task per record
+
+
 def test_submission(spark, shard, tmp_path, uncoalesced):
     nested = framed.read_scenarios(spark, shard)
     points = forecast.forecast(json_files.states_of(nested), json_files.timelines(nested), "kinematic_ensemble")
