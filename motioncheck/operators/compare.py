@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -104,11 +105,37 @@ def interval_ranks(samples: int) -> tuple[int, int]:
     return math.floor(0.025 * (samples - 1)), math.ceil(0.975 * (samples - 1))
 
 
+#: Words of the generator that python_draws() makes at once, at most.
+WORDS = 1 << 20
+
+
+def python_draws(seed: int, n: int) -> Iterator[np.ndarray]:
+    """Arrays of n draws each: what random.Random(seed).randrange(n) gives, n < 2 ** 32, one call after another.
+
+    The generator is numpy's of the same kind, from the same state. A draw is the upper bits of a word of 32
+    bits, as many as n has; what is not below n is drawn again. Words left over go to the next array.
+    """
+    _, state, _ = random.Random(seed).getstate()
+    words = np.random.MT19937()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], dtype=np.uint32), "pos": state[-1]}}
+    bits, left = n.bit_length(), np.empty(0, dtype=np.int64)
+    while True:
+        parts, held = [left], len(left)
+        while held < n:
+            drawn = (words.random_raw(min(WORDS, 2 * (n - held) + 64)) >> np.uint64(32 - bits)).astype(np.int64)
+            parts.append(drawn[drawn < n])
+            held += len(parts[-1])
+        drawn = np.concatenate(parts)
+        left = drawn[n:]
+        yield drawn[:n]
+
+
 def bootstrap_exact(values: DataFrame, samples: int = 1000, seed: int = 0) -> DataFrame:
     """(metric, lower, upper) from values (metric, metric_ord, scenario_id, agent_id, value): Python's generator, seed + metric_ord, a task per metric.
 
     Values are drawn by their place in the order of scenarios and agents. Holds a metric's
     values in one task: for evaluations of up to EXACT_MOST agents; beyond, bootstrap_split().
+    Draws are those of random.Random.randrange(), made from the same words a block at a time.
     """
     if samples < 1:
         raise ValueError("samples must be positive")
@@ -116,8 +143,9 @@ def bootstrap_exact(values: DataFrame, samples: int = 1000, seed: int = 0) -> Da
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         own = group.sort_values(list(AGENT))["value"].tolist()
-        draw, n = random.Random(seed + int(group["metric_ord"].iloc[0])), len(own)
-        found = sorted(math.fsum(own[draw.randrange(n)] for _ in range(n)) / n for _ in range(samples))
+        places, n = python_draws(seed + int(group["metric_ord"].iloc[0]), len(own)), len(own)
+        own = np.array(own, dtype=np.float64)
+        found = sorted(math.fsum(own[next(places)].tolist()) / n for _ in range(samples))
         return pd.DataFrame({"metric": [group["metric"].iloc[0]], "lower": [found[low]], "upper": [found[high]]})
 
     return values.groupBy("metric").applyInPandas(run, "metric string, lower double, upper double")

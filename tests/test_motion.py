@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 import struct
 
 import pytest
@@ -230,6 +231,14 @@ def test_modes_with_the_same_errors_tie(spark):
     assert {r.n for r in scoring.mode_errors(dealt).groupBy("agent_id").agg(F.count_distinct("ade_m").alias("n")).collect()} == {1}
 
 
+def test_exact_draws():
+    """The exact bootstrap's draws are those of Python's generator, call by call; they were made one by one before."""
+    for n in (1, 2, 3, 64, 65, 1000, 70_001):
+        one, many = random.Random(5), compare.python_draws(5, n)
+        for _ in range(3):
+            assert next(many).tolist() == [one.randrange(n) for _ in range(n)]
+
+
 def test_comparison(spark):
     kind = "scenario_id string, agent_id string, object_type string, min_ade_m double, min_fde_m double, miss boolean, best_mode_index int, ground_truth_coverage double"
     old = spark.createDataFrame([("s", str(i), "vehicle", 2.0, 4.0, True, 0, 1.0) for i in range(5)], kind)
