@@ -86,6 +86,28 @@ def test_nearest_polygon(spark, own):
     assert not own or geometry.nearest_polygon(lone, geometry.STATE, polygons, few=0).count() == 0
 
 
+def test_points_are_measured_where_they_are(spark):
+    """Beside a shared map of few edges no row is multiplied, grouped or shuffled by point, which filled a task's memory before."""
+    points, polygons = points_of(spark, 80, 9), polygons_of(spark, False)
+    points = points.union(points.where("state_ord = 0").selectExpr("scenario_id", "'null'", "state_ord", "time_s", "null", "y_m"))
+    joined = geometry._measured(points.crossJoin(geometry._edges(polygons)[1]), (*geometry.STATE, "cw_ord"))
+    order = [*geometry.STATE, "cw_ord"]
+    close = lambda a, b: (a is None and b is None) or a == pytest.approx(b, rel=1e-14, abs=1e-14, nan_ok=True)
+
+    def same(found, want, on, value):
+        found, want = (df.orderBy(*on).collect() for df in (found, want))
+        assert len(found) == len(want) > 0 and all(tuple(a[c] for c in on) == tuple(b[c] for c in on) and close(a[value], b[value]) and ("inside" not in a or a.inside == b.inside) for a, b in zip(found, want))
+
+    every, near = geometry.polygon_distances(points, geometry.STATE, polygons, geometry.FEW_EDGES), geometry.nearest_polygon(points, geometry.STATE, polygons)
+    same(every, joined, order, "distance_m")
+    same(geometry.polygons_within(points, geometry.STATE, polygons, 3.0), joined.where("distance_m <= 3.0"), order, "distance_m")
+    same(near, joined.groupBy(*geometry.STATE).agg(F.min("distance_m").alias("value")), list(geometry.STATE), "value")
+    for made in (every, near):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and "Exchange" not in plan and "Join" not in plan
+    assert geometry.nearest_polygon(points, geometry.STATE, polygons.where("false")).count() == 0
+
+
 def crowd(spark, n: int):
     rng = random.Random(6)
     rows = [("s", str(i), 0, 1.0, rng.uniform(0, 4000), rng.uniform(0, 4000)) for i in range(n)]
