@@ -117,6 +117,22 @@ def test_requirements(spark):
     assert [r.agent_id for r in requirements.unknown_agents(odd, own).collect()] == ["zz"]
 
 
+def test_signals_are_made_of_the_agents_asked(spark, street, monkeypatch):
+    """Each signal reads only its own requirements' agents; before, the map's signals were made of all agents that any asks about."""
+    own = track(spark, {"a": [(t, 8 + t, 1) for t in range(3)], "b": [(t, 9 + t, 2) for t in range(3)], "c": [(t, 7 + t, 0) for t in range(3)]}, {"c": "cyclist"})
+    of = requirements.Recording(own, scenarios(spark), *street)
+    asked = wanted(spark, ("lane_lateral_offset", "less_than", 1.5, "@sdc", None), ("crosswalk_proximity", "less_than", 9.0, "b", None), ("vru_crosswalk_proximity", "less_than", 9.0, "@sdc", None), ("separation", "less_than", 2.0, "b", "c"), ("speed", "less_than", 9.0, "c", None))
+    seen = {}
+    for module, name in ((geometry, "lane_distances"), (geometry, "crosswalk_proximity"), (signals, "kinematics")):
+        made = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda states, *rest, made=made, name=name: seen.update({name: sorted({r.agent_id for r in states.collect()})}) or made(states, *rest))
+    resolved = requirements.resolve(asked, of.scenarios)
+    judged = requirements.judged(requirements.samples(resolved, of), resolved)
+    assert seen == {"lane_distances": ["a"], "crosswalk_proximity": ["b"], "kinematics": ["c"]}
+    found = requirements.results(judged, resolved).orderBy("req_ord").collect()
+    assert [(r.evaluated_samples, r.failed_samples, r.passed) for r in found] == [(3, 0, True), (3, 0, True), (2, 0, True), (3, 3, False), (2, 0, True)]
+
+
 def test_reasons(spark, street):
     lanes, walks, signs, lights = street
     own = track(spark, {"a": [(t, 100 + t, 50) for t in range(3)], "b": [(t, 0, 0) for t in range(3)]})
