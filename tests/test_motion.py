@@ -550,6 +550,17 @@ def test_risk(spark, street):
         risk.RiskThresholds(turning_angle_rad=4.0)
 
 
+def test_map_context_is_made_alone(spark, monkeypatch):
+    """near_map_context has what the whole evidence says of the map, and makes none of its other parts; before, it made all."""
+    case = queries.Case(spark, "/root/testdata/sf0.001")
+    columns = ["scenario_id", "agent_id", "near_crosswalk", "near_control"]
+    want = sorted(tuple(r) for r in case.risk.select(*columns).collect())
+    for name in ("scene_density", "min_actor_separation", "sdc_interaction", "motion_class"):
+        monkeypatch.setattr(risk, name, None)
+    found = queries.queries()["near_map_context"](spark, "/root/testdata/sf0.001")
+    assert sorted(tuple(r) for r in found.select(*columns).collect()) == want and len(want) > 3
+
+
 def test_drawing():
     one = {"scenario_id": "x", "sdc_agent_id": "a", "tracks": [{"agent_id": "a", "states": [{"x_m": 0.0, "y_m": 0.0}, {"x_m": math.nan, "y_m": 0.0}]}]}
     assert 'stroke-width="4"' in render.svg(one)
