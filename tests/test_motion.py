@@ -152,6 +152,16 @@ def test_reasons(spark, street):
     assert reasons(*(d.withColumn("scenario_id", F.lit("other")) for d in (lanes, walks, signs, lights)))[:2] == [requirements.NO_LANES, requirements.NO_CROSSWALKS]
 
 
+def test_annotations_meet_requirements_once(spark):
+    """Grades and listed annotations come from one meeting of both; before, each made its own."""
+    resolved = requirements.resolve(wanted(spark, ("speed", "less_than", 9.0, "a", None), ("speed", "less_than", 9.0, "b", None)), scenarios(spark))
+    notes = spark.createDataFrame([("s", "Z", "warning", ["a"], "z"), ("s", "A", "info", [], "a")], "scenario_id string, code string, severity string, agent_ids array<string>, message string")
+    found = spark.createDataFrame([("s", i, f"r{i}", 9, 0, True) for i in range(2)], "scenario_id string, req_ord long, requirement_id string, evaluated_samples long, failed_samples long, applicable boolean")
+    made = evidence.graded(found, evidence.marks(resolved, notes)).orderBy("req_ord")
+    assert [(r.evidence_confidence, r.quality_annotations) for r in made.collect()] == [("medium", "A: a; Z: z"), ("high", "A: a")]
+    assert [r.evidence_confidence for r in evidence.confidence(found, resolved, notes).orderBy("req_ord").collect()] == ["medium", "high"]
+
+
 def test_partial_velocity_names_no_agents(spark):
     own = track(spark, {"a": [(0, 0, 0), (1, 2, 0)], "b": [(0, 0, 0), (1, 2, 0)]}).withColumn("velocity_x_mps", F.lit(1.0)).withColumn("velocity_y_mps", F.when(F.col("agent_id") == "a", 1.0))
     notes = evidence.quality(own, scenarios(spark, map_feature_count=3)).collect()
