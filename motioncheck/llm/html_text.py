@@ -1,19 +1,22 @@
 """Main text of web pages.
 
-Method: a host suffix array beside the page's own structure. A pass over the markup gives each
-page its blocks of text. What the structure says surely is taken: blocks of the article (or main
-part) are text; menus, footers, adverts, forms, comments and the like aren't. Of the others, the
-host decides: the token streams of its pages, all blocks outside the articles, are concatenated,
-a suffix array finds the long substrings that distinct pages share, and a block that they cover
-is boilerplate and goes; unique ones stay. These are the blocks of pages without an article, and
+Method: a host suffix array, then a check by the page's own structure. A pass over the markup
+gives each page its blocks of text. All of them are in the token streams of their host, articles'
+blocks in one and the others in another; the streams of its pages are concatenated, a suffix array
+finds the long substrings that distinct pages share, and a block that they cover is boilerplate.
+
+The suffix array alone can't give right results: menus, adverts and footers may be unique text,
+which repetition doesn't find, while articles quote one another. So where the page's structure is
+sure, it corrects the array: a block of the article (or main part) that other articles have too is
+restored, and counted; menus, footers, adverts, forms, comments and the like go, unique or not.
+Where it isn't sure, the array's word stands: for the blocks of pages without an article, and
 those in an article whose class only hints at no text (such as "section-header").
 
 A host may have any number of pages, so its suffix array is in shards: a stretch of tokens whose
 windows have one minimizer goes to that minimizer's shard, where equal windows are side by side.
-Equal stretches are one before the shuffle, so a line on all pages of a host isn't hot.
-
-The suffix array alone can't give right results here: these pages' menus, adverts and footers
-are unique text, which repetition doesn't find, while articles may quote one another.
+Outside the articles, equal stretches are one before the shuffle, so a line on all pages of a host
+isn't hot. In articles a bitmap of the minimizers that two pages have comes first: a stretch whose
+minimizer no other page has can't be shared, and most are of that kind.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,6 +38,10 @@ from motioncheck.llm.urls import host_and_path
 
 #: Tokens that a substring has at least to be boilerplate, and of the hashes whose least is a window's minimizer.
 LEAST, GRAM = 5, 2
+#: The same in articles, which have shorter phrases in common by chance.
+LONG, LONG_GRAM = 13, 4
+#: Bits of the bitmap of pages that share words in articles: 2 MB.
+PAGE_BITS = 24
 
 #: What a block is: text by structure; to be decided, in an article or where there is none; no text.
 TEXT, DOUBTFUL, OPEN, ASIDE = range(4)
@@ -179,11 +186,12 @@ def _owner(page: list[tuple[int, str]]) -> int:
     return int.from_bytes(hashlib.blake2b("\n".join(f"{kind} {text}" for kind, text in page).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _plan(page: list[tuple[int, str]]) -> tuple[list[str], list[int], list[str]]:
-    """Of a page's blocks: those that are or may be its text, where each of these is in its stream (-1: surely text), the stream.
+def _plan(page: list[tuple[int, str]]) -> tuple[list[str], list[int], list[str], list[str]]:
+    """Of a page's blocks: those that are or may be its text, where each of these is in its stream (-1: in the article's), the stream, the article's.
 
     The stream has the blocks to be decided, then the others outside the article; between them
-    stands a token that only the page's copies have, so that no substring goes across.
+    stands a token that only the page's copies have, so that no substring goes across. The
+    article's has its blocks in page order.
     """
     has = any(kind in (TEXT, DOUBTFUL) for kind, _ in page)
     ask = DOUBTFUL if has else OPEN
@@ -197,25 +205,47 @@ def _plan(page: list[tuple[int, str]]) -> tuple[list[str], list[int], list[str]]
     rest = [text for kind, text in page if kind not in (TEXT, ask)]
     if stream and rest:
         stream.append(f"\0{_owner(page)}")
-    return own, place, stream + rest
+    return own, place, stream + rest, [text for kind, text in page if kind == TEXT]
 
 
-def _kept(own: list[str], place: list[int], stream: list[str], covered: np.ndarray) -> str:
-    """The page's text: its blocks less those that are covered whole."""
+def _kept(own: list[str], place: list[int], stream: list[str], covered: np.ndarray) -> tuple[str, int]:
+    """The page's text: its blocks less those that are covered whole, but for the article's; and the covered words of the others that stay."""
     cuts = np.cumsum([0, *(len(block.split()) for block in stream)])
-    return " ".join(text for text, p in zip(own, place) if p < 0 or not covered[cuts[p] : cuts[p + 1]].all())
+    stay = [p < 0 or not covered[cuts[p] : cuts[p + 1]].all() for p in place]
+    loose = sum(int(covered[cuts[p] : cuts[p + 1]].sum()) for p, s in zip(place, stay) if s and p >= 0)
+    return " ".join(text for text, s in zip(own, stay) if s), loose
 
 
-def host_texts(pages: list[list[tuple[int, str]]]) -> list[str]:
-    """The text of each page of one host, from blocks(): what main_texts() finds, on one machine."""
+def _restored(sizes: list[int], covered: np.ndarray) -> tuple[int, int]:
+    """The covered words of an article, and its blocks that are covered whole; sizes: words of each block."""
+    return int(covered.sum()), sum(bool(block.all()) for block in np.split(covered, np.cumsum(sizes)[:-1]) if len(block))
+
+
+def host_judged(pages: list[list[tuple[int, str]]]) -> list[tuple[str, int, int]]:
+    """(text, n_shared, n_restored) of each page of one host, from blocks(): what main_texts() finds, on one machine."""
     plans = [_plan(page) for page in pages]
-    covered = repeated_tokens([[t for block in stream for t in block.split()] for _, _, stream in plans], LEAST, [_owner(page) for page in pages])
-    return [_kept(*plan, own) for plan, own in zip(plans, covered)]
+    owners = [_owner(page) for page in pages]
+    covered = repeated_tokens([[t for block in stream for t in block.split()] for _, _, stream, _ in plans], LEAST, owners)
+    quoted = repeated_tokens([[t for block in article for t in block.split()] for *_, article in plans], LONG, owners)
+    found = []
+    for (own, place, stream, article), outside, inside in zip(plans, covered, quoted):
+        text, loose = _kept(own, place, stream, outside)
+        n, restored = _restored([len(block.split()) for block in article], inside)
+        found.append((text, loose + n, restored))
+    return found
+
+
+def host_texts(pages: list[list[tuple[int, str]]]) -> list[str]:
+    """The text of each page of one host, from blocks()."""
+    return [text for text, _, _ in host_judged(pages)]
 
 
 def _streams(stream: pa.Array, host: pa.Array) -> Iterator[words.Chunk]:
     """Words of pages' streams, with hashes that are the host's own; 48 bits count."""
-    texts = pa.array([" ".join(own or ()) for own in stream.to_pylist()], pa.large_string())
+    return _hashed(pa.array([" ".join(own or ()) for own in stream.to_pylist()], pa.large_string()), host)
+
+
+def _hashed(texts: pa.Array, host: pa.Array) -> Iterator[words.Chunk]:
     hosts = host.to_numpy().view(np.uint64)
     for chunk in words.chunks(texts):
         mixed = words.mix(chunk.hashes ^ words.mix(hosts[chunk.row : chunk.row + chunk.docs])[chunk.doc_of_word()])
@@ -262,11 +292,82 @@ def _repeated(parsed: DataFrame) -> DataFrame:
     return shared.dealt(blocks).mapInArrow(search, "window long").distinct()
 
 
-PARSED = "row long, page_id long, url string, host string, text string, own array<string>, place array<int>, stream array<string>, owner long"
+def _runs(chunk: words.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of an article's windows that have one minimizer: the minimizer, evenly spread, the run's first word, its words."""
+    starts, least = words.minimizers(chunk, LONG, LONG_GRAM)
+    at = words.runs(starts, least)
+    return words.mix(least[at]), starts[at], np.diff(np.append(at, len(starts))) + LONG - 1
+
+
+def _marks(articles: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of the minimizers that articles of two keys have; articles: (hash, key, text)."""
+
+    def make(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        keys = batch.column(1).to_numpy()
+        for chunk in _hashed(batch.column(2), batch.column(0)):
+            least, starts, _ = _runs(chunk)
+            yield least, keys[chunk.row + chunk.doc_of_word()[starts]]
+
+    def reduce(least: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch | None]:
+        one, low, high = distinct_kinds(least, keys, keys)
+        yield shared.slim(np.concatenate([least[one], least[one][low != high]]), bits)
+
+    return shared.shared_bitmap(articles.mapInArrow(lambda batches: shared.gathered(batches, make, reduce), shared.BLOCKS), bits, owned=False)
+
+
+def _quoted(articles: DataFrame) -> DataFrame:
+    """(key, at, n): in an article, n windows of LONG tokens from token `at` on that articles of other keys have.
+
+    articles: (hash, key, text); the key is that of a host and its page's copies.
+    """
+    bits = shared.bucket_bits(articles.sparkSession)
+    marks = articles.sparkSession.sparkContext.broadcast(_marks(articles, bits))
+
+    def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys = batch.column(1).to_numpy()
+        first = np.zeros(len(keys), bool)
+        first[np.unique(keys, return_index=True)[1]] = True  # of copies
+        for chunk in _hashed(batch.column(2), batch.column(0)):
+            least, starts, lengths = _runs(chunk)
+            doc = chunk.doc_of_word()[starts]
+            may = np.flatnonzero(shared.marked(marks.value, least) & first[chunk.row + doc])
+            if len(may):
+                yield pack_stretches(least[may], bits, chunk.hashes, starts[may], lengths[may], keys[chunk.row + doc[may]], np.zeros(len(may), np.int64), starts[may] - chunk.first[doc[may]])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, packed in shared.by_bucket(batches):
+            keys, _, places, lengths, text = unpack_stretches(packed)
+            lengths = lengths.astype(np.int64)
+            firsts = np.cumsum(lengths) - lengths
+            kinds = digests(text, firsts, lengths)
+            one, low, high = distinct_kinds(kinds, keys, keys)
+            of = np.searchsorted(kinds[one], kinds)
+            begins = np.cumsum(lengths[one]) - lengths[one]
+            found = repeated_starts(text[words.spread(firsts[one], lengths[one])], lengths[one], low, high, LONG)
+            if not len(found):
+                continue
+            stretch = np.searchsorted(begins, found, "right") - 1
+            cuts = np.flatnonzero(np.concatenate([[True], (np.diff(found) > 1) | (np.diff(stretch) > 0)]))
+            n, stretch = np.diff(np.append(cuts, len(found))), stretch[cuts]
+            at = found[cuts] - begins[stretch]  # in the stretch
+            has = np.bincount(stretch, minlength=len(one))
+            each = np.repeat(np.arange(len(keys)), has[of])
+            run = words.spread((np.cumsum(has) - has)[of], has[of])
+            yield pa.record_batch([pa.array(keys[each]), pa.array((places[each] + at[run]).astype(np.int32)), pa.array(n[run].astype(np.int32))], names=["key", "at", "n"])
+
+    return shared.dealt(articles.mapInArrow(lambda batches: shared.each(batches, deal), shared.BLOCKS)).mapInArrow(search, "key long, at int, n int").distinct()
+
+
+PARSED = "page_id long, url string, host string, text string, sizes array<int>, own array<string>, place array<int>, stream array<string>, owner long"
+COUNTS = "n_shared long, n_restored long"
 
 
 def main_texts(pages: DataFrame, html: str = "html", url: str = "url", id: str = "page_id") -> DataFrame:
-    """(page_id, url, text, n_chars, host) per row of pages.
+    """(page_id, url, text, n_chars, host, n_shared, n_restored) per row of pages.
+
+    n_shared is how many words of the text stand in substrings that the host's array finds on other
+    pages, of 13 tokens in articles and 5 outside; n_restored is how many blocks of it the array
+    alone takes for boilerplate, as such substrings cover them, and structure restores.
 
     Null or empty html has the empty text; a page that is no markup is one block. Pages are
     parsed once, and their blocks written. Pages of a host with the same blocks count as one, so
@@ -277,47 +378,84 @@ def main_texts(pages: DataFrame, html: str = "html", url: str = "url", id: str =
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks(page.as_py() or "") for page in batch.column(4)]
+            found = [blocks(page.as_py() or "") for page in batch.column(3)]
             plans = [_plan(page) for page in found]
-            sure = [max(place, default=-1) < 0 for _, place, _ in plans]
+            sure = [max(place, default=-1) < 0 for _, place, _, _ in plans]
             yield pa.record_batch([
-                *batch.columns[:4],
-                pa.array([" ".join(own) if s else None for (own, _, _), s in zip(plans, sure)], pa.string()),
-                pa.array([None if s else own for (own, _, _), s in zip(plans, sure)], pa.list_(pa.string())),
-                pa.array([None if s else place for (_, place, _), s in zip(plans, sure)], pa.list_(pa.int32())),
-                pa.array([stream for _, _, stream in plans], pa.list_(pa.string())),
+                *batch.columns[:3],
+                pa.array([" ".join(article) for *_, article in plans], pa.string()),
+                pa.array([[block.count(" ") + 1 for block in article] for *_, article in plans], pa.list_(pa.int32())),
+                pa.array([None if s else own for (own, *_), s in zip(plans, sure)], pa.list_(pa.string())),
+                pa.array([None if s else place for (_, place, *_), s in zip(plans, sure)], pa.list_(pa.int32())),
+                pa.array([stream for _, _, stream, _ in plans], pa.list_(pa.string())),
                 pa.array([_owner(page) for page in found], pa.int64()),
-            ], names=["row", "page_id", "url", "host", "text", "own", "place", "stream", "owner"])
+            ], names=["page_id", "url", "host", "text", "sizes", "own", "place", "stream", "owner"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in _streams(batch.column(2), batch.column(1)):
                 windows = _windows(chunk.hashes)
                 found = [np.unique(windows[a : max(a, b - LEAST + 1)]) for a, b in zip(chunk.first[:-1], chunk.first[1:])]
-                yield pa.record_batch([batch.column(0).slice(chunk.row, chunk.docs), pa.array(found, pa.list_(pa.int64()))], names=["row", "windows"])
+                yield pa.record_batch([batch.column(0).slice(chunk.row, chunk.docs), pa.array(found, pa.list_(pa.int64()))], names=["key", "windows"])
+
+    def twice(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch | None]:
+        keys = batch.column(0).to_numpy().view(np.uint64)
+        yield shared.slim(np.concatenate([keys, keys]), bits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for sizes, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                quoted = np.zeros(sum(sizes), bool)
+                for run in runs:
+                    quoted[run["at"] : run["at"] + run["n"] + LONG - 1] = True
+                found.append(_restored(sizes, quoted))
+            yield pa.record_batch([batch.column(0), *map(pa.array, np.array(found, np.int64).reshape(-1, 2).T)], names=["key", "n_shared", "n_restored"])
+
+    def split(share: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Pages whose articles may share words, or the others."""
+
+        def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array((shared.marked(sharing.value, batch.column(0).to_numpy().view(np.uint64)) > 0) == share))
+
+        return take
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
+            texts, counts = [], []
             for chunk in _streams(batch.column(5), batch.column(2)):
                 windows = _windows(chunk.hashes)
                 for d, (a, b) in enumerate(zip(chunk.first[:-1], chunk.first[1:])):
-                    own, place, stream, held = (batch.column(c)[chunk.row + d].as_py() for c in (3, 4, 5, 6))
+                    own, place, stream, held, n = (batch.column(c)[chunk.row + d].as_py() for c in (3, 4, 5, 6, 7))
                     at = np.flatnonzero(np.isin(windows[a : max(a, b - LEAST + 1)], np.array(held or [], np.int64)))
                     covered = np.zeros(b - a, bool)
                     covered[(at[:, None] + np.arange(LEAST)).ravel()] = True
-                    texts.append(_kept(own, place, stream, covered))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+                    text, loose = _kept(own, place, stream, covered)
+                    texts.append(text)
+                    counts.append(loose + n)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), batch.column(8)], names=["page_id", "url", "text", "n_shared", "n_restored"])
 
+    spark = pages.sparkSession
+    bits = shared.bucket_bits(spark)
     host = host_and_path(F.col(url))[0]
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
-    folder = shared.workspace(pages.sparkSession)
-    parsed = shared.written(rows.mapInArrow(parse, PARSED), f"{folder}/parsed")
+    rows = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
+    folder = shared.workspace(spark)
+    parsed = shared.written(rows.mapInArrow(parse, PARSED), f"{folder}/parsed", "zstd")
     repeated = shared.written(_repeated(parsed), f"{folder}/repeated")
-    done = parsed.where("text is not null").select("page_id", "url", "text")
-    asked = parsed.where("text is null").withColumn("hash", F.xxhash64("host"))
-    windows = asked.select("row", "hash", "stream").mapInArrow(ask, "row long, windows array<long>").select("row", F.explode("windows").alias("window"))
-    held = windows.join(repeated, "window", "left_semi").groupBy("row").agg(F.collect_list("window").alias("held"))  # a page's own windows
-    rest = asked.join(held, "row", "left").select("page_id", "url", "hash", "own", "place", "stream", "held").mapInArrow(decide, "page_id long, url string, text string")
-    found = done.union(rest)
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), host.alias("host"))
+    parsed = parsed.withColumns({"hash": F.xxhash64("host"), "key": F.xxhash64("host", "owner")})
+    runs = shared.written(_quoted(parsed.select("hash", "key", "text")), f"{folder}/quoted")
+    sharing = spark.sparkContext.broadcast(shared.shared_bitmap(runs.select("key").distinct().mapInArrow(lambda batches: shared.each(batches, twice), shared.BLOCKS), bits, PAGE_BITS, owned=False))
+    quoted = runs.groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("runs")).join(parsed.select("key", "sizes"), "key").select("key", "sizes", "runs")
+    counts = shared.written(quoted.mapInArrow(count, f"key long, {COUNTS}").dropDuplicates(["key"]), f"{folder}/counts")
+    asked = parsed.where("own is not null")
+    windows = asked.select("key", "hash", "stream").mapInArrow(ask, "key long, windows array<long>").select("key", F.explode("windows").alias("window"))
+    held = windows.join(repeated, "window", "left_semi").groupBy("key").agg(F.collect_set("window").alias("held"))  # a page's own windows
+    none = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_shared", "n_restored")]
+    texts = parsed.where("own is null").select("key", "page_id", "url", "text")
+    done = texts.mapInArrow(split(False), texts.schema).select("page_id", "url", "text", *(F.lit(0).cast("long").alias(c) for c in ("n_shared", "n_restored")))
+    checked = texts.mapInArrow(split(True), texts.schema).join(counts, "key", "left").select("page_id", "url", "text", *none)
+    asked = asked.select("key", "page_id", "url", "hash", "own", "place", "stream").join(held.join(counts, "key", "full"), "key", "left")
+    decided = asked.select("page_id", "url", "hash", "own", "place", "stream", "held", *none).mapInArrow(decide, f"page_id long, url string, text string, {COUNTS}")
+    found = done.union(checked).union(decided)
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), host.alias("host"), "n_shared", "n_restored")

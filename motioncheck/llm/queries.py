@@ -23,7 +23,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from motioncheck.llm.html_text import main_texts
 
-    return main_texts(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return main_texts(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_shared", "n_restored")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,13 +46,13 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
+def written(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
     """df as a written table: its lineage ends here, and any executor can read it again.
 
     The folder is deleted when the application ends.
     """
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
 
     def drop() -> None:
         try:
@@ -183,22 +183,24 @@ def dealt(blocks: DataFrame) -> DataFrame:
     return blocks.repartition(shuffle_partitions(blocks.sparkSession), "bucket").sortWithinPartitions("bucket")
 
 
-def shared_bitmap(blocks: DataFrame, bits: int, bitmap_bits: int = BITMAP_BITS) -> np.ndarray:
+def shared_bitmap(blocks: DataFrame, bits: int, bitmap_bits: int = BITMAP_BITS, owned: bool = True) -> np.ndarray:
     """A bitmap of the hashes that two or more owners have, by the hashes' top bits.
 
     blocks: owners_packed(), whose owners are digests: 40 of their bits count. Other hashes with the same top bits are marked
     too, so a clear bit proves that no other owner has the hash. What reaches the driver is
-    the bitmap's size, whatever the input's.
+    the bitmap's size, whatever the input's. Without owners, blocks are slim() of hashes alone, and each hash that was
+    posted twice is marked.
     """
     shift, per = np.uint64(64 - bitmap_bits), 1 << (bitmap_bits - bits)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, packed in by_bucket(batches):
-            hashes, owners = unslim(bucket, packed, bits, OWNER)
+            hashes, *owners = unslim(bucket, packed, bits, *([OWNER] if owned else []))
             order = np.argsort(hashes, kind="stable")
-            hashes, owners = hashes[order], owners[order]
-            # a run of one hash is shared if its owners aren't all the same
-            other = (hashes[1:] == hashes[:-1]) & (owners[1:] != owners[:-1])
+            hashes = hashes[order]
+            other = hashes[1:] == hashes[:-1]
+            for own in owners:  # a run of one hash is shared if its owners aren't all the same
+                other &= own[order][1:] != own[order][:-1]
             found = hashes[1:][other]
             if len(found):
                 at = distinct((found >> shift).astype(np.int64) & (per - 1))

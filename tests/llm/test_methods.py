@@ -13,7 +13,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from motioncheck.llm import decontam, fm_index, html_text, langid, neighbours, ngram_join, packing, shared, substring, suffixes, tokens, toxicity, trie, words
+from motioncheck.llm import decontam, fm_index, html_text, langid, neighbours, ngram_join, packing, queries, shared, substring, suffixes, tokens, toxicity, trie, words
 
 DATA = "/root/testdata/sf0.01"
 
@@ -502,6 +502,58 @@ def test_boilerplate_of_a_host(spark, pages):
     assert collections.Counter((r.page_id, r.url, r.text) for r in html_text.main_texts(table).collect()) == want
 
 
+def shared_words(article: str, others: list[str]) -> int:
+    """Words of an article in 13 words in a row that another one has, window by window."""
+    sets = [{tuple(o.split()[j : j + 13]) for j in range(len(o.split()) - 12)} for o in others]
+    own = article.split()
+    covered = {i + k for i in range(len(own) - 12) if any(tuple(own[i : i + 13]) in s for s in sets) for k in range(13)}
+    return len(covered)
+
+
+@pytest.mark.parametrize("pages", [20, 800])
+def test_articles_are_in_their_hosts_array(spark, pages):
+    """The array judges each block of an article, whatever the host's size; structure restores those that it takes."""
+    rng = random.Random(8)
+    quotes = [" ".join(f"q{k}w{rng.randint(0, 999)}" for _ in range(rng.randint(10, 40))) for k in range(60)]
+    rows = []
+    for i in range(pages):
+        body = [f"Only {i} has this paragraph of text", *rng.sample(quotes, 2), f"and {rng.choice(quotes)} in {i}"]
+        rng.shuffle(body)
+        header = "<p class='entry-header'>Filed under news by the editors</p>" if i % 9 == 0 else ""
+        rows.append((i, f"http://{'big' if i % 5 else 'other'}.example/{i}", "<nav>Our site has many fine pages</nav><article>" + header + "".join(f"<p>{b}</p>" for b in body) + "</article>"))
+    rows += [rows[1], (7_000_000, rows[1][1], rows[1][2]), (8_000_000, "http://alone.example/", rows[1][2]), (None, None, rows[1][2]), (9_000_000, rows[1][1], None)]
+    hosts = collections.defaultdict(list)
+    for i, url, html in rows:
+        hosts[(url or "//").split("/")[2]].append((i, url, html_text.blocks(html or "")))
+    want = collections.Counter((i, url, *judged) for own in hosts.values() for (i, url, _), judged in zip(own, html_text.host_judged([b for _, _, b in own])))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    found = [(r.page_id, r.url, r.text, r.n_shared, r.n_restored) for r in html_text.main_texts(table).collect()]
+    assert collections.Counter(found) == want
+    assert sum(restored for *_, restored in found) > pages / 2 and all(n == 0 for i, _, _, n, _ in found if i in (None, 8_000_000))
+    articles = {(url, text) for _, url, text, _, _ in found}
+    for i, url, text, n, _ in rng.sample([f for f in found if f[0] and f[0] < pages and f[0] % 9], 10):
+        assert n == shared_words(text, [t for u, t in articles if u and u.split("/")[2] == url.split("/")[2] and t != text])
+
+
+def test_shared_words_of_the_pages(spark):
+    """On the given table, each page of which has an article."""
+    found = [(r.page_id, r.url.split("/")[2], r.text, r.n_shared) for r in html_text.main_texts(spark.read.parquet(f"{DATA}/pages.parquet")).collect()]
+    assert any(n for *_, n in found)
+    for page, host, text, n in found:  # no page is a copy
+        assert n == shared_words(text, [t for i, h, t, _ in found if h == host and i != page])
+
+
+def test_the_query_takes_the_arrays_word(spark, tmp_path):
+    """Of blocks that structure doesn't decide; and tells what it restored of those that it does."""
+    quote = "as was told at length in the article of another page of this host"
+    rows = [(i, f"http://h.example/{i}", f"<body><p>Our site has many fine pages</p><p>Page{i} has{i} this{i}</p>") for i in range(3)]
+    rows += [(i, f"http://h.example/{i}", f"<article><p>Body {i}</p><p>{quote}</p></article>") for i in (3, 4)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = sorted((r.page_id, r.text, r.n_chars, r.n_shared, r.n_restored) for r in queries.queries()["op2_html_extraction"](spark, str(tmp_path)).collect())
+    texts = [f"Page{i} has{i} this{i}" for i in range(3)] + [f"Body {i} {quote}" for i in (3, 4)]
+    assert found == [(i, text, len(text), 14 * (i > 2), int(i > 2)) for i, text in enumerate(texts)]
+
+
 def test_language_held_out_accuracy():
     rows = table("documents", "doc_id, text, lang")
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
