@@ -14,8 +14,8 @@ those in an article whose class only hints at no text (such as "section-header")
 
 A host may have any number of pages, so its suffix array is in shards: a stretch of tokens whose
 windows have one minimizer goes to that minimizer's shard, where equal windows are side by side.
-Outside the articles, equal stretches are one before the shuffle, so a line on all pages of a host
-isn't hot. In articles a bitmap of the minimizers that two pages have comes first: a stretch whose
+Equal stretches are one before the shuffle, so a line on all pages of a host isn't hot; in articles
+each page's place is sent beside them. In articles a bitmap of the minimizers that two pages have comes first: a stretch whose
 minimizer no other page has can't be shared, and most are of that kind.
 """
 
@@ -327,19 +327,29 @@ def _quoted(articles: DataFrame) -> DataFrame:
         keys = batch.column(1).to_numpy()
         first = np.zeros(len(keys), bool)
         first[np.unique(keys, return_index=True)[1]] = True  # of copies
+        parts = []
         for chunk in _hashed(batch.column(2), batch.column(0)):
             least, starts, lengths = _runs(chunk)
             doc = chunk.doc_of_word()[starts]
             may = np.flatnonzero(shared.marked(marks.value, least) & first[chunk.row + doc])
             if len(may):
-                yield pack_stretches(least[may], bits, chunk.hashes, starts[may], lengths[may], keys[chunk.row + doc[may]], np.zeros(len(may), np.int64), starts[may] - chunk.first[doc[may]])
+                parts.append((least[may], lengths[may], keys[chunk.row + doc[may]], starts[may] - chunk.first[doc[may]], chunk.hashes[words.spread(starts[may], lengths[may])]))
+        if parts:
+            least, lengths, owner, places, text = (np.concatenate(p) for p in zip(*parts))
+            firsts = np.cumsum(lengths) - lengths
+            kinds = digests(text >> np.uint64(16), firsts, lengths)
+            again = np.ones(len(kinds), bool)  # a stretch that came before is sent as its digest
+            again[np.unique(kinds, return_index=True)[1]] = False
+            yield pack_stretches(least, bits, text, firsts, np.where(again, 0, lengths), owner, np.where(again, kinds.view(np.int64), 0), places)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, packed in shared.by_bucket(batches):
-            keys, _, places, lengths, text = unpack_stretches(packed)
+            keys, sent, places, lengths, text = unpack_stretches(packed)
             lengths = lengths.astype(np.int64)
             firsts = np.cumsum(lengths) - lengths
-            kinds = digests(text, firsts, lengths)
+            whole = lengths > 0
+            kinds = sent.astype(np.uint64)
+            kinds[whole] = digests(text, firsts[whole], lengths[whole])
             one, low, high = distinct_kinds(kinds, keys, keys)
             of = np.searchsorted(kinds[one], kinds)
             begins = np.cumsum(lengths[one]) - lengths[one]
