@@ -6,7 +6,7 @@ Method: a prefix-tree join of globally ordered sets:
    those that two different sets have in a bitmap of fixed size;
 2. a pass keeps a set when enough of its first shingles are marked for a partner to exist;
 3. the kept sets' shingles are ordered by frequency (by a table of fixed size), rare ones
-   first; sets that share a prefix shingle and are near in size form candidate clusters;
+   first; sets that share enough prefix shingles and are near in size form candidate clusters;
 4. a cluster's sets are stored in a trie and joined by traversing it with shared partial
    overlaps, pruned by bounds of the remaining lengths. In a large cluster, sets are compared
    with one centre of their size band first; then it is cut into blocks, and every pair of
@@ -37,6 +37,8 @@ POSTED = 0.3
 LEVEL_BITS = 24
 #: Shingles that a block of a large cluster has, about; a unit joins two blocks.
 BLOCK = 60_000
+#: Sets that share a prefix shingle and are met in pairs, at most; more are chained by size.
+RUN = 64
 
 SETS = "doc_id long, n_shingles long, d1 long, d2 long, posted binary"
 
@@ -178,38 +180,86 @@ def _pairs(found: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
+def _prefix(levels: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a set's prefix that another candidate may have, and their places in the set's order: rare ones first, then by hash.
+
+    A shingle of level 0 is of one set alone. The order is one of the shingles, the same in all sets.
+    """
+    level = levels[(hashes >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
+    order = np.argsort(level, kind="stable")[: len(hashes) - int(_needed(np.int64(len(hashes)))) + 1]
+    places = np.flatnonzero(level[order])
+    return hashes[order[places]], places
+
+
+def met(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, n, m, i, j) of every two sets that share a hash and are near in size: ids, sizes, n <= m, and places. Some at a time.
+
+    Where more than RUN share it, or some are chained already (place -1), they are chained: (a, b, 0, 0, 0, 0).
+    """
+    order = np.lexsort((low, hashes))
+    hashes, low, high, ids, places = hashes[order], low[order], high[order], ids[order], places[order]
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    length = np.diff(np.append(first, len(hashes)))
+    chain = np.repeat((length > RUN) | (np.minimum.reduceat(places, first) < 0), length)
+    if chain.any():
+        pairs = chained(hashes[chain], low[chain], high[chain], ids[chain])[1]
+        yield pairs[:, 0], pairs[:, 1], *[np.zeros(len(pairs), np.int64)] * 4
+    end, at = np.repeat(first + length, length), np.flatnonzero(~chain)
+    for step in range(1, RUN):  # a set and the next larger one, then the one after that, ...
+        at = at[at + step < end[at]]
+        at = at[DEN * low[at] >= NUM * low[at + step]]
+        if not len(at):
+            return
+        to = at + step
+        yield ids[at], ids[to], low[at], low[to], places[at], places[to]
+
+
 def _cluster_edges(sets: DataFrame, levels: np.ndarray, bits: int, folder: str) -> DataFrame:
-    """(a, b): sets that share a prefix shingle, chained by size: all candidates are connected.
+    """(a, b): sets that share so many prefix shingles that they may link: all candidates are connected.
 
-    The order is one of the shingles alone: rare ones first, then by hash. So passages that many
-    documents hold don't connect them unless nearly all of a document is such passages. A task
-    chains its own sets first, and posts a hash's chains: a hash that all sets have isn't hot.
+    A pair's common shingles are counted up to the end of either prefix; beyond it, the set whose prefix
+    that is has all but its prefix left, at most. Before the first common one, nothing is common. So
+    sets that share a few shingles by chance, as more do in larger tables, aren't connected. Of a
+    shingle that very many sets have in their prefix, sets are chained by size instead, uncounted; a task
+    chains its own ones first, so such a shingle isn't hot.
     """
     held = sets.sparkSession.sparkContext.broadcast(levels)
+    kinds = (np.int32, np.int32, np.int64, np.int32)
 
     def post(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        for i, size, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+        for i, h in zip(batch.column(0).to_pylist(), batch.column(1)):
             own = np.frombuffer(h.as_buffer(), np.uint64)
-            own = own[np.argsort(held.value[(own >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)], kind="stable")[: size - int(_needed(size)) + 1]]
-            yield own, np.full(len(own), i), np.full(len(own), size)
-
-    def reduce(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch | None]:
-        chains, pairs = chained(hashes, sizes, sizes, ids)
-        yield shared.pack(chains[0], bits, *chains[1:])
-        if len(pairs):  # known already: of no bucket
-            yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([pairs.tobytes()], pa.binary())], names=["bucket", "block"])
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            early, places = _prefix(held.value, own)
+            yield early, np.full(len(early), len(own)), np.full(len(early), i), places
+
+    def reduce(hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch | None]:
+        _, of, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        chain = times[of] > RUN
+        columns = [hashes[~chain], sizes[~chain], sizes[~chain], ids[~chain], places[~chain]]
+        if chain.any():
+            chains, pairs = chained(hashes[chain], sizes[chain], sizes[chain], ids[chain])
+            columns = [np.concatenate(c) for c in zip(columns, (*chains, np.full(len(chains[0]), -1)))]
+            if len(pairs):  # known already: of no bucket
+                yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([pairs.tobytes()], pa.binary())], names=["bucket", "block"])
+        yield shared.pack(columns[0], bits, *(c.astype(k) for c, k in zip(columns[1:], kinds)))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blocks in shared.by_bucket(batches):
-            yield _pairs(chained(*shared.unpack(blocks, np.int64, np.int64, np.int64))[1])
+            hashes, *columns = shared.unpack(blocks, *kinds)
+            for a, b, n, m, i, j in met(hashes, *(c.astype(np.int64) for c in columns)):
+                yield pa.record_batch([pa.array(c) for c in (np.minimum(a, b), np.maximum(a, b), n, m, i, j)], names=["a", "b", "n", "m", "i", "j"])
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.column(0):
                 yield _pairs(np.frombuffer(block.as_buffer(), np.int64).reshape(-1, 2))
 
-    posts = shared.written(sets.select("id", "n_shingles", "hashes").mapInArrow(lambda batches: shared.gathered(batches, post, reduce), shared.BLOCKS), f"{folder}/posts")
-    return shared.dealt(posts.where("bucket >= 0")).mapInArrow(link, "a long, b long").union(posts.where("bucket < 0").select("block").mapInArrow(known, "a long, b long"))
+    posts = shared.written(sets.select("id", "hashes").mapInArrow(lambda batches: shared.gathered(batches, post, reduce), shared.BLOCKS), f"{folder}/posts")
+    pairs = shared.dealt(posts.where("bucket >= 0")).mapInArrow(meet, "a long, b long, n long, m long, i long, j long").where("a <> b")
+    pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.min("i").alias("i"), F.min("j").alias("j"))
+    needed = F.ceil(NUM * (F.col("n") + F.col("m")) / (NUM + DEN))
+    may = (F.col("c") + F.ceil(NUM * F.col("m") / DEN) - 1 >= needed) & (F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= needed)
+    return pairs.where((F.col("n") == 0) | may).select("a", "b").union(posts.where("bucket < 0").select("block").mapInArrow(known, "a long, b long"))
 
 
 def _banded(sets: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -330,5 +380,6 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and wordless texts are groups of their own; all columns stay as they are; no rows make no rows.
     """
     shared.ready(spark)
-    groups = ngram_groups(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["_kept"]), "left_semi")
+    others = ngram_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
+    others = shared.written(others, f"{shared.workspace(spark)}/others")  # few and known: texts aren't shuffled up to Spark's limit of a broadcast
+    return docs.join(others, docs["doc_id"] == others["_other"], "left_anti")

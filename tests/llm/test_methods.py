@@ -101,6 +101,37 @@ def test_chains():
         assert groups(n, links + ngram_join.chained(*(np.concatenate(c) for c in zip(*parts)))[1].tolist()) == whole
 
 
+def test_chance_shingles_connect_nothing(spark):
+    """Sets in a long chain, each with a few shingles of the next one: only sets that may link are candidates together."""
+    rng = np.random.default_rng(7)
+    own = rng.integers(0, 1 << 63, (400, 100)).astype(np.uint64) * np.uint64(2)
+    own[1:, :6] = own[:-1, 50:56]  # by chance
+    own[300] = own[299]
+    own[300, -8:] = rng.integers(0, 1 << 63, 8)  # a link
+    rows = [(i, 100, bytearray(np.sort(x).tobytes())) for i, x in enumerate(own)]
+    sets = spark.createDataFrame(rows, "id long, n_shingles long, hashes binary").repartition(3)
+    bits = shared.bucket_bits(spark)
+    edges = ngram_join._cluster_edges(sets, ngram_join._levels(sets, bits), bits, shared.workspace(spark))
+    assert {(r.a, r.b) for r in edges.collect()} == {(299, 300)}
+
+
+def test_met():
+    """Sets that share a hash meet in pairs or chains: none that are near in size are left apart."""
+    rng = np.random.default_rng(3)
+    for run in (1, 3, 64):
+        n = 80
+        hashes, sizes, ids, places = rng.integers(0, 9, n).astype(np.uint64), rng.integers(1, 60, n), rng.permutation(n), rng.integers(0, 9, n)
+        ngram_join.RUN, kept = run, ngram_join.RUN
+        try:
+            found = [tuple(map(int, x)) for part in ngram_join.met(hashes, sizes, sizes, ids, places) for x in zip(*part)]
+        finally:
+            ngram_join.RUN = kept
+        near = {frozenset((int(ids[x]), int(ids[y]))) for x in range(n) for y in range(x) if hashes[x] == hashes[y] and 5 * min(sizes[x], sizes[y]) >= 4 * max(sizes[x], sizes[y])}
+        if run == 64:
+            assert {frozenset(x[:2]) for x in found} == near and len(found) == len(near)
+        assert groups(n, [x[:2] for x in found]) == groups(n, [tuple(x) for x in near])
+
+
 def test_components(spark):
     rng = random.Random(2)
     for n, m in ((60, 40), (300, 280), (40, 0)):
